@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from recollect.llm.bpe import encode_decode
 from recollect.llm.common import table
 from recollect.llm.packing import pack
 from recollect.llm.token_files import token_files
+from recollect.llm.unigram import count_tokens
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's count of unigram tokens and the score of its best segmentation."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the word-level BPE and decoded again."""
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
@@ -22,6 +34,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_token_counts": op2_token_counts,
+    "op5_bpe": op5_bpe,
     "op9_packing": op9_packing,
 }
 SQL: dict[str, str] = {}
