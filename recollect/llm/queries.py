@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm.bpe import encode_decode
 from recollect.llm.common import table
 from recollect.llm.packing import pack
+from recollect.llm.secrets import secret_report
+from recollect.llm.sharding import shard
+from recollect.llm.simhash import fingerprint_report
 from recollect.llm.token_files import token_files
 from recollect.llm.unigram import count_tokens
 
@@ -22,11 +26,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of near equal bytes."""
+    return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A source is an owner, a source's language one of its repositories."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_report(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the word-level BPE and decoded again."""
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; every hundredth id is searched among all."""
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
@@ -35,7 +55,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
+    "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
+    "op6_secrets": op6_secrets,
+    "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
 }
 SQL: dict[str, str] = {}
