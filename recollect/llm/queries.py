@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recollect.llm.bpe import encode_decode
 from recollect.llm.common import table
 from recollect.llm.packing import pack
+from recollect.llm.pivot_search import top_k
 from recollect.llm.secrets import secret_report
 from recollect.llm.sharding import shard
 from recollect.llm.simhash import fingerprint_report
@@ -47,6 +48,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
@@ -60,5 +66,18 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
+    "op10_top_k": op10_top_k,
+}
+SQL: dict[str, str] = {
+    "op10_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
 }
-SQL: dict[str, str] = {}
