@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.bpe import encode_decode
 from recollect.llm.common import table
+from recollect.llm.language import identify
 from recollect.llm.packing import pack
 from recollect.llm.pivot_search import top_k
 from recollect.llm.secrets import secret_report
@@ -53,6 +54,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
@@ -65,6 +71,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_top_k": op10_top_k,
 }
