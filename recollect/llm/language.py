@@ -201,3 +201,15 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(rows.where(~F.col("held_out")))
     return predict(rows, model, ["doc_id", "held_out"])
+
+
+def confident(docs: DataFrame, times: float = 1.5) -> DataFrame:
+    """The rows of ``docs`` (text, lang and others) with a language: not ``und``, and not under ``times`` chance.
+
+    The model learns from the rows of ``docs`` whose lang isn't null. Rows and columns that stay are unchanged.
+    """
+    model = fit(docs)
+    least = min(times / max(1, len(model.labels)), 1.0)
+    renamed = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")})
+    kept = predict(renamed, model, renamed.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({f"_{c}": c for c in docs.columns if c in ("lang_pred", "score")})

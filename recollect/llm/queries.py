@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm.bpe import encode_decode
 from recollect.llm.common import table
+from recollect.llm.jaccard_join import jaccard_components
 from recollect.llm.language import identify
 from recollect.llm.packing import pack
 from recollect.llm.pivot_search import top_k
@@ -28,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of every document under a Jaccard similarity of 0.85 of four-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).drop("component", "mark")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards of near equal bytes."""
     return shard(table(spark, sf_dir, "documents"), shards=16)
@@ -67,6 +73,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
+    "op3_jaccard": op3_jaccard,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
     "op6_secrets": op6_secrets,

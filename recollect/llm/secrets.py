@@ -95,13 +95,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
     """Spans of all secrets of ``docs`` (doc_id, text): a row for each document, and the ownership table.
 
-    The first frame has row, doc_id, base and live (arrays of spans, start and end in code points), and
-    n_example, the number of its base spans whose value many owners hold. A null or empty text has no
+    The first frame has doc_id, mark (md5 of the text), base and live (arrays of spans, start and end in code
+    points), and example, where its base spans stand whose value many owners hold. A null or empty text has no
     spans. Rows stand alone, also where a doc_id is null or repeated; a null repository or owner counts as
     none. An empty table gives no rows; other columns are left alone. The scan is written to the shared
     folder without the texts; what is joined and shuffled after that is candidates only.
     """
-    texts = docs.select(F.col("doc_id"), text_or_empty().alias("text"), repository.alias("repository"), owner.alias("owner"))
+    text = text_or_empty()
+    texts = docs.select(F.col("doc_id"), text.alias("text"), F.md5(text).alias("mark"), repository.alias("repository"), owner.alias("owner"))
     scanned = written(scan(texts).drop("text"), "secret-scan")
     each = scanned.where((F.size("base") > 0) | (F.size("opaque") > 0)).select(
         "row", "repository", "owner", F.explode(F.concat("base", "opaque")).alias("span")
@@ -114,11 +115,12 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[Da
     live = F.struct(F.lit("live").alias("kind"), F.lit(len(KINDS)).alias("ord"), F.col("span.vstart").alias("start"), F.col("span.vend").alias("end"))
     by_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_set(F.when(F.col("live"), live))).alias("live"),
-        F.count_if(F.col("known") & (F.col("owners") > OWNERS)).alias("n_example"),
+        F.array_sort(F.collect_set(F.when(F.col("known") & (F.col("owners") > OWNERS), F.struct("span.start", "span.end")))).alias("example"),
     )
     no_spans = F.array().cast("array<struct<kind:string,ord:int,start:int,`end`:int>>")
+    none = F.array().cast("array<struct<start:int,`end`:int>>")
     out = scanned.join(by_row, "row", "left").select(
-        "row", "doc_id", "base", F.coalesce("live", no_spans).alias("live"), F.coalesce("n_example", F.lit(0)).alias("n_example")
+        "doc_id", "mark", "base", F.coalesce("live", no_spans).alias("live"), F.coalesce("example", none).alias("example")
     )
     return out, owned
 
@@ -142,5 +144,33 @@ def secret_report(docs: DataFrame, repository: Column, owner: Column) -> DataFra
     )
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
-        spans_text(every).alias("spans"), F.size("live").cast("long").alias("n_live"), F.col("n_example").cast("long").alias("n_example"),
+        spans_text(every).alias("spans"), F.size("live").cast("long").alias("n_live"), F.size("example").cast("long").alias("n_example"),
     )
+
+
+def redact(docs: DataFrame, repository: Column, owner: Column, put: str = "[SECRET]") -> DataFrame:
+    """``docs`` with ``put`` in the place of every secret, and n_chars to match; copied examples stay.
+
+    All rows and columns stay; texts without secrets, null ones among them, stay as they are.
+    """
+    found, _ = find_secrets(docs, repository, owner)
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    secret = F.concat(F.array_except(F.transform("base", place), "example"), F.transform("live", place))
+    spans = found.withColumn("_spans", F.array_sort(secret)).where(F.size("_spans") > 0)
+    spans = spans.groupBy(F.col("mark").alias("_mark")).agg(F.first("_spans").alias("_spans"))  # one text, one list
+
+    def step(state: Column, s: Column) -> Column:
+        apart = s["start"] >= state["at"]
+        before = F.substr("text", state["at"] + 1, s["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(apart, F.concat(state["out"], before, F.lit(put))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda state: F.concat(state["out"], F.substr("text", state["at"] + 1, F.length("text")))
+    clean = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, rest)).otherwise(F.col("text"))
+    joined = docs.withColumn("_mark", F.md5(text_or_empty())).join(spans, "_mark", "left").withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(*docs.columns)
