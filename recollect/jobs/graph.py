@@ -1 +1,198 @@
-"""To come."""
+"""Relationship edges over customers, suppliers, nations and parts, and links of pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.jobs.registry import query
+from recollect.jobs.retrieval import VISIBLE, _asked, _top, bm25_sql
+from recollect.operators import graph, lexical
+from recollect.sources.derived import EDGES, MEMORIES, PROBES, edges, memories, read
+
+
+@query(f"""
+    WITH RECURSIVE {EDGES}, steps AS (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges WHERE predicate = 'contradicts'),
+    l0 AS (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0),
+    l1 AS (SELECT seed, b AS node, min(seed || '>' || b) AS path FROM l0 JOIN steps ON a = seed AND b <> seed GROUP BY seed, b),
+    l2 AS (SELECT l.seed, s.b AS node, min(path || '>' || s.b) AS path FROM l1 l JOIN steps s ON s.a = l.node WHERE s.b <> l.seed AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.seed = l.seed AND x.node = s.b) GROUP BY l.seed, s.b)
+    SELECT seed, seed AS node, 0 AS depth, seed AS path FROM l0 UNION ALL SELECT seed, node, 1, path FROM l1 UNION ALL SELECT seed, node, 2, path FROM l2
+""")
+def traverse(spark, sf_dir):
+    seeds = read(spark, sf_dir, "part").where(F.col("p_partkey") % 20 == 0).select(F.concat(F.lit("p"), "p_partkey").alias("id")).distinct()
+    return graph.traverse(edges(spark, sf_dir), seeds, depth=2)
+
+
+_REGISTRY = ", ".join(f"('{p}', {list(s)}, {list(o)}, {str(r).lower()})" for p, s, o, _, r in graph.PREDICATES)
+_KINDS = ("memory", "entity", "span", "artifact")
+
+
+@query(f"""
+    WITH reg(predicate, sk, ok, reserved) AS (VALUES {_REGISTRY}),
+    e AS (SELECT o_orderkey, list_extract([{", ".join(repr(p[0]) for p in graph.PREDICATES)}, 'unheard_of'], o_orderkey % 11 + 1) AS predicate,
+        list_extract({list(_KINDS)}, o_custkey % 4 + 1) AS s, list_extract({list(_KINDS)}, o_orderkey // 11 % 4 + 1) AS o FROM orders)
+    SELECT o_orderkey, CASE WHEN reserved IS NULL THEN 'unknown_predicate' WHEN reserved THEN 'reserved_predicate' WHEN NOT list_contains(sk, s) THEN 'subject_kind' WHEN NOT list_contains(ok, o) THEN 'object_kind' END AS reason
+    FROM e LEFT JOIN reg USING (predicate)
+""")
+def validate_edges(spark, sf_dir):
+    names, kinds = F.lit([p[0] for p in graph.PREDICATES] + ["unheard_of"]), F.lit(list(_KINDS))
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(
+        k, F.element_at(names, (k % 11 + 1).cast("int")).alias("predicate"), F.element_at(kinds, (F.col("o_custkey") % 4 + 1).cast("int")).alias("subject_kind"),
+        F.element_at(kinds, (F.floor(k / 11) % 4 + 1).cast("int")).alias("object_kind"),
+    )
+    return graph.validate_edges(rows).select("o_orderkey", "reason")
+
+
+@query("""
+    WITH e AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 9 = 0 THEN 1000000 ELSE 0 END AS object, o_orderkey % 3 AS scope FROM orders)
+    SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'object_not_found' WHEN c_custkey % 3 <> scope THEN 'object_scope_denied' END AS reason FROM e LEFT JOIN customer ON c_custkey = object
+""")
+def dangling_endpoints(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(
+        k, F.lit("order").alias("subject_kind"), F.concat(F.lit("o"), k).alias("subject"), F.lit("customer").alias("object_kind"),
+        F.concat(F.lit("c"), F.col("o_custkey") + F.when(k % 9 == 0, 1000000).otherwise(0)).alias("object"), (k % 3).alias("scope"),
+    )
+    orders = rows.select(F.lit("order").alias("kind"), F.col("subject").alias("id"), "scope")
+    people = read(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.concat(F.lit("c"), "c_custkey").alias("id"), (F.col("c_custkey") % 3).cast("long").alias("scope"))
+    return graph.dangling_endpoints(rows, orders.unionByName(people)).select("o_orderkey", "reason")
+
+
+@query("""
+    WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'p' || l_partkey % 50 AS subject, 's' || l_suppkey AS object, l_linenumber % 2 AS payload FROM lineitem),
+    h AS (SELECT DISTINCT subject, object, 1 AS held FROM n WHERE object LIKE '%7'),
+    f AS (SELECT n.*, held, first_value(payload) OVER w AS fp, min(seq) OVER w AS fs FROM n LEFT JOIN h USING (subject, object) WINDOW w AS (PARTITION BY subject, object ORDER BY seq))
+    SELECT seq, CASE WHEN payload <> coalesce(held, fp) THEN 'conflict' WHEN held IS NULL AND seq = fs THEN 'created' ELSE 'replayed' END AS status FROM f
+""")
+def dedupe_edges(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit("org").alias("scope"), F.lit("contradicts").alias("predicate"),
+        F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("subject"), F.concat(F.lit("s"), "l_suppkey").alias("object"), (F.col("l_linenumber") % 2).cast("int").alias("payload"),
+    )
+    held = rows.where(F.col("object").endswith("7")).select("scope", "predicate", "subject", "object").distinct().withColumns({"payload": F.lit(1), "state": F.lit("active")})
+    return graph.dedupe_edges(rows, held).select("seq", "status")
+
+
+@query("""
+    WITH e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'closed' ELSE 'active' END AS state, c_custkey % 3 + 1 AS version FROM customer),
+    r AS (SELECT o_orderkey AS seq, o_custkey AS id, o_orderkey % 3 + 1 AS expected, CASE o_orderkey % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'active' WHEN 2 THEN 'stale' ELSE 'purged' END AS state, CASE WHEN o_orderkey % 5 > 0 THEN 'why' END AS reason FROM orders),
+    c AS (SELECT r.seq, r.id, CASE WHEN e.id IS NULL THEN 'not_found' WHEN expected <> version THEN 'version_conflict' WHEN r.state = 'purged' THEN 'not_allowed' WHEN e.state <> 'active' AND r.state = 'active' THEN 'cannot_reopen'
+        WHEN r.state IN ('closed', 'stale') AND reason IS NULL THEN 'reason_required' END AS why FROM r LEFT JOIN e USING (id))
+    SELECT seq, id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY why IS NOT NULL, seq) = 1 THEN 'ok' ELSE 'conflict' END) AS status FROM c
+""")
+def update_edges(spark, sf_dir):
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    rows = read(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 4 == 0, "closed").otherwise("active").alias("state"), (c % 3 + 1).alias("version"))
+    asked = read(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.col("o_custkey").alias("id"), (k % 3 + 1).alias("expected_version"),
+        F.when(k % 4 == 0, "closed").when(k % 4 == 1, "active").when(k % 4 == 2, "stale").otherwise("purged").alias("state"), F.when(k % 5 > 0, "why").alias("reason"),
+    )
+    return graph.update_edges(rows, asked)[1]
+
+
+@query("SELECT 's' || s_suppkey AS subject, 'n' || s_nationkey AS object FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey % 7 DESC, 's' || s_suppkey LIMIT 128")
+def list_edges(spark, sf_dir):
+    rows = read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("subject"), F.lit("depends_on").alias("predicate"), F.concat(F.lit("n"), "s_nationkey").alias("object"), F.lit("active").alias("state"), (F.col("s_suppkey") % 7).alias("valid_from")
+    )
+    return graph.list_edges(rows, F.lit("n3"), "depends_on").select("subject", "object")
+
+
+_PAIRS = "pairs AS (SELECT 'm' || doc_id AS subject, 'contradicts' AS predicate, 'm' || (doc_id * 7 % (SELECT count(*) FROM documents)) AS object FROM documents WHERE doc_id % 2 = 0)"
+
+
+@query(f"""
+    WITH {MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}), {_PAIRS},
+    steps AS (SELECT subject AS a, object AS b, predicate FROM pairs WHERE subject <> object UNION SELECT object, subject, predicate FROM pairs WHERE subject <> object),
+    found AS (SELECT query_id, b AS id, min(rank1) AS seed_rank, list_sort(list_distinct(list(a)))[1:3] AS f FROM hits JOIN steps ON a = id GROUP BY query_id, b),
+    j AS (SELECT coalesce(h.query_id, f.query_id) AS query_id, coalesce(h.id, f.id) AS id, rank1, score, seed_rank, f FROM hits h FULL JOIN found f ON h.query_id = f.query_id AND h.id = f.id),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank1 IS NULL ORDER BY seed_rank, id) AS n, coalesce(max(rank1) OVER (PARTITION BY query_id), 0) AS direct FROM j)
+    SELECT query_id, id, coalesce(rank1, direct + n) AS rank1, round(coalesce(score, 1 / (60.0::DOUBLE + direct + n)), 6) AS score, rank1 IS NULL AS expanded, array_to_string(f, ',') AS "from" FROM p WHERE rank1 IS NOT NULL OR n <= 32
+""")
+def graph_expand(spark, sf_dir):
+    asked, rows, visible = _asked(spark, sf_dir)
+    hits = lexical.bm25_search(asked, rows, visible, 8, "any")
+    n = read(spark, sf_dir, "documents").count()
+    d = F.col("doc_id")
+    pairs = read(spark, sf_dir, "documents").where(d % 2 == 0).select(F.concat(F.lit("m"), d).alias("subject"), F.lit("contradicts").alias("predicate"), F.concat(F.lit("m"), d * 7 % n).alias("object"))
+    out = graph.graph_expand(hits, pairs)
+    return out.select("query_id", "id", "rank1", F.round("score", 6).alias("score"), "expanded", F.array_join("from", ",").alias("from"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey AS seq, 'e' || o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS name, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 END AS expected FROM orders),
+    e AS (SELECT 'e' || c_custkey AS id, c_name AS name, c_custkey % 3 + 1 AS version FROM customer WHERE c_custkey % 2 = 0),
+    c AS (SELECT r.*, CASE WHEN version IS NOT NULL AND expected <> version THEN 'version_conflict' WHEN version IS NULL AND coalesce(r.name, '') = '' THEN 'name_required' END AS why FROM r LEFT JOIN e USING (id)),
+    o AS (SELECT *, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY why IS NOT NULL, seq) = 1 THEN 'ok' ELSE 'conflict' END) AS status FROM c),
+    w AS (SELECT id, name FROM o WHERE status = 'ok')
+    SELECT coalesce(e.id, w.id) AS id, coalesce(w.name, e.name) AS name, coalesce(version, 0) + (w.id IS NOT NULL)::BIGINT AS version FROM e FULL JOIN w ON e.id = w.id
+""")
+def upsert_entities(spark, sf_dir):
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    rows = read(spark, sf_dir, "customer").where(c % 2 == 0).select(F.concat(F.lit("e"), c).alias("id"), F.lit("person").alias("kind"), F.col("c_name").alias("name"), (c % 3 + 1).alias("version"))
+    asked = read(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.concat(F.lit("e"), "o_custkey").alias("id"), F.lit(None).cast("string").alias("kind"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("name"), F.when(k % 4 == 0, k % 5).alias("expected_version")
+    )
+    return graph.upsert_entities(rows, asked)[0].select("id", "name", "version")
+
+
+@query("""
+    WITH l AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1000000 ELSE 0 END AS m, user_id + CASE WHEN event_id % 15 = 0 THEN 1000000 ELSE 0 END AS s FROM events)
+    SELECT event_id, CASE WHEN doc_id IS NULL THEN 'memory_not_found' WHEN c_custkey IS NULL THEN 'source_not_found' WHEN doc_id % 3 <> c_custkey % 3 THEN 'scope_denied' END AS reason FROM l LEFT JOIN documents ON doc_id = m LEFT JOIN customer ON c_custkey = s
+""")
+def link_derived_from(spark, sf_dir):
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(
+        e, (F.get_json_object("props", "$.k").cast("long") + F.when(e % 10 == 0, 1000000).otherwise(0)).alias("id"), F.lit("artifact").alias("source_kind"), (F.col("user_id") + F.when(e % 15 == 0, 1000000).otherwise(0)).alias("source")
+    )
+    own = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("scope"))
+    of = read(spark, sf_dir, "customer").select(F.lit("artifact").alias("kind"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("scope"))
+    return graph.link_derived_from(rows, own, of).select("event_id", "reason")
+
+
+def _sections(spark, sf_dir):
+    """A section for each document: its words, a requirement that it defines, one that it uses, and a link."""
+    d = F.col("doc_id")
+    req = lambda n: F.concat(F.lit("REQ-"), F.lpad((n % 1000).cast("string"), 3, "0"))
+    text = F.concat(F.substring("text", 1, 200), F.lit(" **"), req(d), F.lit("** after "), req(d * 3), F.lit(" see [it](d"), d * 5 % 1000, F.lit(")"))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), d).alias("label"), text.alias("text"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("heading"))
+
+
+_SECTIONS = """
+    sections AS (SELECT 'd' || doc_id AS label, left(text, 200) || ' **REQ-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '** after REQ-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0') || ' see [it](d' || (doc_id * 5 % 1000) || ')' AS text,
+        array_to_string(list_slice(string_split(text, ' '), 2, 5), ' ') AS heading FROM documents),
+    defs AS (SELECT req, min(label) AS object FROM (SELECT label, unnest(regexp_extract_all(text, '\\*\\*([A-Z]{2,5}-[0-9]{3})\\*\\*', 1)) AS req FROM sections) GROUP BY req),
+    uses AS (SELECT label AS subject, unnest(regexp_extract_all(text, '\\b([A-Z]{2,5}-[0-9]{3})\\b', 1)) AS req FROM sections),
+    linked AS (SELECT label AS subject, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)#\\s]+)\\)', 1)) AS object FROM sections),
+    mined AS (SELECT DISTINCT subject, 'derived_from' AS predicate, object FROM uses JOIN defs USING (req) WHERE subject <> object
+        UNION ALL SELECT DISTINCT subject, 'depends_on', object FROM linked WHERE subject <> object AND object IN (SELECT label FROM sections))"""
+
+
+@query(f"WITH {_SECTIONS} SELECT * FROM mined")
+def mine_edges(spark, sf_dir):
+    return graph.mine_edges(_sections(spark, sf_dir))
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 3))"
+
+
+@query(f"""
+    WITH {_SECTIONS}, q AS (SELECT label, heading AS query, {_WORDS.format('heading')} AS q FROM sections), asked AS (SELECT * FROM q WHERE len(q) >= 2), b AS (SELECT label AS object, {_WORDS.format('text')} AS w FROM sections),
+    pairs AS (SELECT DISTINCT subject, object FROM mined), far AS (SELECT DISTINCT a.subject, b.object FROM pairs a JOIN pairs b ON a.object = b.subject),
+    g1 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN pairs ON subject = label JOIN b USING (object) WHERE object <> label AND NOT list_has_any(q, w) GROUP BY label),
+    g2 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN far ON subject = label JOIN b USING (object) WHERE object <> label AND NOT list_has_any(q, w) GROUP BY label)
+    SELECT label, query, array_to_string(coalesce(g1.g, g2.g, [label]), ',') AS gold, CASE WHEN g1.g IS NOT NULL THEN 1 WHEN g2.g IS NOT NULL THEN 2 ELSE 0 END AS min_depth FROM asked LEFT JOIN g1 USING (label) LEFT JOIN g2 USING (label)
+""")
+def mine_probes(spark, sf_dir):
+    sections = _sections(spark, sf_dir)
+    return graph.mine_probes(sections, graph.mine_edges(sections)).withColumn("gold", F.array_join("gold", ","))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents)
+    SELECT 'd' || doc_id AS doc, count(*) FILTER (WHERE no = 0) AS sections, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS chars FROM l GROUP BY doc_id
+""")
+def split_sections(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
+    cut = graph.split_sections(docs, 1 << 30)
+    return cut.groupBy("doc").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))

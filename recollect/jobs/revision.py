@@ -1 +1,183 @@
-"""To come."""
+"""Belief revision over the version chains of orders and over keyed documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.jobs.registry import query
+from recollect.operators import revise
+from recollect.sources.derived import CHAINS, MEMORIES, chains, memories, read
+
+AT = "2024-02-01 12:00:00"
+NOW = F.lit(AT).cast("timestamp_ntz")
+
+
+@query(f"WITH {MEMORIES} SELECT scope, category, valid_from = known_at AS at_once, count(*) AS n, CAST(sum(version) AS BIGINT) AS versions FROM (SELECT scope, category, valid_from, known_at, version FROM memories "
+       f"UNION ALL SELECT 'org/puts', 'episodic', CASE WHEN turn % 2 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' ELSE TIMESTAMP '{AT}' END, TIMESTAMP '{AT}', 1 FROM conversations) GROUP BY ALL")
+def apply_puts(spark, sf_dir):
+    at = F.when(F.col("turn") % 2 == 0, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    puts = read(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("org/puts").alias("scope"), F.lit("episodic").alias("category"), "text",
+        at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("known_at"),
+    )
+    rows, _ = revise.apply_puts(memories(spark, sf_dir), puts, NOW)
+    return rows.groupBy("scope", "category", (F.col("valid_from") == F.col("known_at")).alias("at_once")).agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+
+
+@query("""
+    WITH p AS (SELECT doc_id AS seq, 'org/' || source AS scope, source || '-' || (n_chars % 7) AS key, n_chars % 14 AS identity FROM documents),
+    s AS (SELECT DISTINCT scope, key, 3 AS identity, ends_with(key, '-4') AS erased FROM p WHERE ends_with(key, '-3') OR ends_with(key, '-4')),
+    f AS (SELECT p.*, s.identity AS slot, erased, first_value(p.identity) OVER w AS fi, min(seq) OVER w AS fs FROM p LEFT JOIN s USING (scope, key) WINDOW w AS (PARTITION BY scope, key ORDER BY seq))
+    SELECT seq, scope, key, CASE WHEN identity <> coalesce(slot, fi) THEN 'idempotency_conflict' WHEN coalesce(erased, false) THEN 'unavailable' WHEN slot IS NULL AND seq = fs THEN 'created' ELSE 'replayed' END AS status,
+        CASE WHEN slot IS NULL THEN fs END AS first_seq FROM f
+""")
+def apply_keyed_puts(spark, sf_dir):
+    puts = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("org/"), "source").alias("scope"), F.concat("source", F.lit("-"), F.col("n_chars") % 7).alias("key"),
+        (F.col("n_chars") % 14).cast("string").alias("identity"),
+    )
+    slots = puts.where(F.col("key").endswith("-3") | F.col("key").endswith("-4")).select("scope", "key").distinct()
+    slots = slots.select("scope", "key", F.lit("3").alias("identity"), F.col("key").endswith("-4").alias("erased"))
+    return revise.keyed_put_outcomes(puts, slots)
+
+
+_REQUESTS = """
+    requests AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'o' || l_orderkey AS prior_id, CASE WHEN l_partkey % 11 = 0 THEN 'org/x' ELSE scope END AS scope,
+        CASE WHEN l_suppkey % 5 = 0 THEN version + 1 ELSE version END AS expected_version, CASE WHEN l_linenumber = 3 THEN TIMESTAMP '1990-01-01 00:00:00' END AS close_at, chains.*  EXCLUDE (scope)
+        FROM lineitem JOIN chains ON id = 'o' || l_orderkey)"""
+
+
+def _requests(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("id", F.concat(F.lit("o"), "l_orderkey"))
+    rows = lines.join(chains(spark, sf_dir).select("id", "scope", "version"), "id")
+    return rows.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("id").alias("prior_id"), F.when(F.col("l_partkey") % 11 == 0, "org/x").otherwise(F.col("scope")).alias("scope"),
+        F.when(F.col("l_suppkey") % 5 == 0, F.col("version") + 1).otherwise(F.col("version")).alias("expected_version"),
+        F.when(F.col("l_linenumber") == 3, F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")).alias("close_at"), F.lit(None).cast("timestamp_ntz").alias("new_valid_from"), F.lit("new").alias("text"),
+    )
+
+
+def _heads(spark, sf_dir):
+    return chains(spark, sf_dir).withColumn("sys_closed", F.col("valid_until"))
+
+
+_OUTCOMES = f"""
+    checked AS (SELECT *, CASE WHEN scope <> (SELECT 'org/c' || o_custkey FROM orders WHERE 'o' || o_orderkey = prior_id) THEN 'scope_denied' WHEN expected_version <> version THEN 'version_conflict'
+        WHEN valid_until IS NOT NULL OR superseded_by IS NOT NULL THEN 'already_closed' WHEN coalesce(close_at, TIMESTAMP '{AT}') < valid_from THEN 'invalid_interval' END AS reason FROM requests),
+    outcomes AS (SELECT seq, prior_id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY prior_id ORDER BY reason IS NOT NULL, seq) = 1 THEN 'ok' ELSE 'conflict' END) AS status FROM checked)"""
+
+
+@query(f"WITH {CHAINS}, {_REQUESTS}, {_OUTCOMES} SELECT * FROM outcomes")
+def apply_supersedes(spark, sf_dir):
+    _, outcomes = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), NOW)
+    return outcomes.select("seq", "prior_id", "status")
+
+
+@query(f"""
+    WITH {CHAINS}, {_REQUESTS}, {_OUTCOMES}, won AS (SELECT prior_id, seq FROM outcomes WHERE status = 'ok')
+    SELECT id, version + (seq IS NOT NULL)::BIGINT AS version, coalesce(superseded_by, prior_id || '+' || seq) AS superseded_by, valid_until IS NULL AND seq IS NULL AS open FROM chains LEFT JOIN won ON id = prior_id
+    UNION ALL SELECT prior_id || '+' || seq, 1, NULL, true FROM won
+""")
+def superseded_table(spark, sf_dir):
+    rows, _ = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), NOW)
+    return rows.select("id", "version", "superseded_by", F.col("valid_until").isNull().alias("open"))
+
+
+@query(f"""
+    WITH {CHAINS}, {_REQUESTS}, c AS (SELECT *, CASE WHEN scope <> (SELECT 'org/c' || o_custkey FROM orders WHERE 'o' || o_orderkey = prior_id) THEN 'scope_denied' WHEN expected_version <> version THEN 'version_conflict'
+        WHEN valid_until IS NOT NULL THEN 'already_closed' WHEN coalesce(close_at, TIMESTAMP '{AT}') < valid_from THEN 'invalid_interval' END AS reason FROM requests),
+    o AS (SELECT seq, id, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY reason IS NOT NULL, seq) = 1 THEN 'ok' ELSE 'conflict' END) AS status FROM c),
+    w AS (SELECT id FROM o WHERE status = 'ok')
+    SELECT scope, count(*) AS n, count(*) FILTER (WHERE valid_until IS NOT NULL OR w.id IS NOT NULL) AS closed, CAST(sum(version + (w.id IS NOT NULL)::BIGINT) AS BIGINT) AS versions FROM chains LEFT JOIN w USING (id) GROUP BY scope
+""")
+def apply_soft_forgets(spark, sf_dir):
+    asked = _requests(spark, sf_dir).withColumnRenamed("prior_id", "id").withColumn("at", F.coalesce("close_at", NOW))
+    rows, _ = revise.apply_soft_forgets(asked, _heads(spark, sf_dir))
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count("valid_until").alias("closed"), F.sum("version").alias("versions"))
+
+
+_LINKS = "links AS (SELECT id AS subject, 'derived_from' AS predicate, supersedes AS object, 'active' AS state FROM chains WHERE supersedes IS NOT NULL)"
+
+
+def _links(spark, sf_dir):
+    return chains(spark, sf_dir).where(F.col("supersedes").isNotNull()).select(F.col("id").alias("subject"), F.lit("derived_from").alias("predicate"), F.col("supersedes").alias("object"), F.lit("active").alias("state"))
+
+
+@query(f"WITH {CHAINS}, {_LINKS}, gone AS (SELECT id FROM chains WHERE text = 'F') SELECT subject, object, CASE WHEN subject IN (SELECT id FROM gone) OR object IN (SELECT id FROM gone) THEN 'purged' ELSE state END AS state, "
+       "CASE WHEN subject IN (SELECT id FROM gone) OR object IN (SELECT id FROM gone) THEN 'endpoint_erased' END AS state_reason FROM links")
+def apply_hard_erases(spark, sf_dir):
+    rows = chains(spark, sf_dir)
+    _, edges, _ = revise.apply_hard_erases(rows, _links(spark, sf_dir), rows.where("text = 'F'"))
+    return edges.select("subject", "object", "state", "state_reason")
+
+
+@query(f"WITH {CHAINS}, {_LINKS} SELECT subject, object, CASE WHEN s OR o THEN 'stale' ELSE state END AS state, CASE WHEN s OR o THEN 'endpoint_superseded' END AS state_reason FROM "
+       "(SELECT *, subject IN (SELECT id FROM chains WHERE text = 'O') AS s, object IN (SELECT id FROM chains WHERE text = 'O') AS o FROM links)")
+def stale_edges(spark, sf_dir):
+    return revise.stale_edges(_links(spark, sf_dir), chains(spark, sf_dir).where("text = 'O'")).select("subject", "object", "state", "state_reason")
+
+
+@query(f"WITH {CHAINS} SELECT DISTINCT c.id FROM chains c JOIN chains p ON c.supersedes = p.id AND p.text = 'O' AND c.scope = p.scope")
+def stale_dependents(spark, sf_dir):
+    rows = chains(spark, sf_dir)
+    derived = rows.where(F.col("supersedes").isNotNull()).select("id", F.col("supersedes").alias("source"))
+    return revise.stale_dependents(rows, derived, rows.where("text = 'O'"))
+
+
+@query(f"WITH {CHAINS} SELECT a.id AS asked, b.id, CAST(b.version - a.version AS INTEGER) AS pos FROM chains a JOIN chains b ON a.scope = b.scope AND a.text = 'P' AND abs(b.version - a.version) <= 64")
+def history(spark, sf_dir):
+    rows = chains(spark, sf_dir)
+    return revise.history(rows, rows.where("text = 'P'").select("id"))
+
+
+@query(f"WITH {CHAINS}, {_REQUESTS} SELECT seq, prior_id AS id, expected_version AS expected, version AS found FROM requests WHERE expected_version <> version")
+def version_conflicts(spark, sf_dir):
+    return revise.version_conflicts(_requests(spark, sf_dir).withColumnRenamed("prior_id", "id"), chains(spark, sf_dir))
+
+
+@query("""
+    WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    w AS (SELECT conv_id, turn FROM r WHERE n = 1)
+    SELECT 'm' || doc_id AS id, CASE WHEN turn IS NULL THEN '{"a":"' || source || '","b":"1"}' ELSE '{"a":"' || source || '","b":"' || turn || '","c":"x"}' END AS attrs,
+        doc_id % 3 + 1 + (turn IS NOT NULL)::BIGINT AS version, CASE WHEN turn IS NOT NULL THEN 'ok' END AS status FROM documents LEFT JOIN w ON conv_id = doc_id
+""")
+def apply_annotations(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.concat(F.lit('{"a":"'), "source", F.lit('","b":"1"}')).alias("attrs"), (F.col("doc_id") % 3 + 1).alias("version"))
+    asked = read(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("seq"), F.concat(F.lit("m"), "conv_id").alias("id"), F.concat(F.lit('{"c":"x","b":"'), "turn", F.lit('"}')).alias("attrs"), F.lit(True).alias("bump_version")
+    )
+    return revise.apply_annotations(asked, rows)
+
+
+@query("""
+    SELECT 'm' || k AS memory_id, event_id, kind, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS pos FROM (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+        CASE event_type WHEN 'view' THEN 'assert' WHEN 'click' THEN 'annotate' WHEN 'purchase' THEN 'supersede' ELSE 'other' END AS kind FROM events) WHERE kind <> 'other' AND k % 2 = 0
+""")
+def belief_events(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type") == "view", "assert").when(F.col("event_type") == "click", "annotate").when(F.col("event_type") == "purchase", "supersede").otherwise("other")
+    events = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("memory:m"), k).alias("memory_id"), kind.alias("kind"), F.col("ts").alias("at_sys"))
+    ids = events.where(F.regexp_extract("memory_id", r"(\d+)$", 1).cast("long") % 2 == 0).select(F.regexp_replace("memory_id", "^memory:", "").alias("id"))
+    return revise.belief_events(events, ids, ("assert", "annotate", "supersede")).select("memory_id", "event_id", "kind", "pos")
+
+
+@query("""
+    WITH o AS (SELECT conv_id AS batch_id, turn AS idx, CASE turn % 3 WHEN 0 THEN 'put' WHEN 1 THEN 'forget' ELSE 'noop' END AS op, conv_id % 2 = 0 AS hard, (conv_id + turn) % 6 = 5 AS failed FROM conversations),
+    f AS (SELECT *, min(CASE WHEN failed THEN idx END) OVER (PARTITION BY batch_id) AS first FROM o)
+    SELECT batch_id, idx, CASE WHEN first IS NULL OR idx < first THEN 'ok' WHEN idx = first THEN 'failed' ELSE 'not_attempted' END AS status,
+        CASE WHEN first IS NULL OR idx < first THEN CASE WHEN op = 'forget' THEN 'soft_forget' ELSE op END END AS applied FROM f
+""")
+def apply_ops(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    ops = read(spark, sf_dir, "conversations").select(c.alias("batch_id"), t.alias("idx"), F.when(t % 3 == 0, "put").when(t % 3 == 1, "forget").otherwise("noop").alias("op"), (c % 2 == 0).alias("hard"), ((c + t) % 6 == 5).alias("failed"))
+    return revise.op_outcomes(ops).select("batch_id", "idx", "status", "applied")
+
+
+@query()
+def fold_task_state(spark, sf_dir):
+    e = F.col("event_id")
+    ops = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("org/u"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("s"), "user_id").alias("slot"), e.alias("seq"),
+        F.when(e % 13 == 0, "[]").otherwise(F.col("props")).alias("body"), F.when(e % 3 == 0, e % 4).alias("expected_version"), (e % 7 == 0).alias("create_only"),
+    )
+    return revise.fold_task_state(ops)
