@@ -1 +1,83 @@
-"""To come."""
+"""Trace events derived from the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.jobs.registry import query
+from recollect.operators import traces
+from recollect.sources.derived import MEMORIES, PROBES, TRACES, read, trace_events
+
+
+@query(f"""
+    WITH {TRACES}, e AS (SELECT event_id, trace_id, CASE WHEN event_id % 50 = 0 THEN 'org/x' ELSE scope END AS scope, CASE WHEN event_id % 70 = 0 THEN 'odd' ELSE kind END AS kind, created_at FROM trace_events),
+    p AS (SELECT trace_id, arg_min(scope, (created_at, event_id)) AS own FROM e WHERE kind <> 'odd' GROUP BY trace_id)
+    SELECT event_id, trace_id, CASE WHEN kind = 'odd' THEN 'invalid' WHEN scope <> own THEN 'scope_denied' ELSE 'ok' END AS status FROM e LEFT JOIN p USING (trace_id)
+""")
+def ingest_traces(spark, sf_dir):
+    e = F.col("event_id")
+    events = trace_events(spark, sf_dir).withColumns({"scope": F.when(e % 50 == 0, "org/x").otherwise(F.col("scope")), "kind": F.when(e % 70 == 0, "odd").otherwise(F.col("kind"))})
+    return traces.ingest_traces(events)[1].select("event_id", "trace_id", "status")
+
+
+@query(f"WITH {TRACES} SELECT event_id, 'h' || (event_id % 5) || ',' || memory_id || ',memory:h' || (event_id % 5) || ',memory:' || memory_id AS ids FROM trace_events WHERE memory_id IS NOT NULL")
+def extract_memory_ids(spark, sf_dir):
+    rows = trace_events(spark, sf_dir).select(
+        "event_id", F.concat(F.lit('{"hits":[{"id":" h'), F.col("event_id") % 5, F.lit('"},{"id":""}],"ops":[{"id":"memory:'), "memory_id", F.lit('"}]}')).alias("payload"),
+        F.lit(None).cast("array<string>").alias("memory_ids"),
+    )
+    return traces.extract_memory_ids(rows).select("event_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"""
+    WITH {TRACES}, p AS (SELECT memory_id, trace_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, max(created_at) AS last_at,
+        arg_max(outcome, (created_at, event_id)) FILTER (WHERE outcome IS NOT NULL) AS outcome FROM trace_events GROUP BY memory_id, trace_id)
+    SELECT memory_id, trace_id, kinds, outcome, row_number() OVER (PARTITION BY memory_id ORDER BY last_at DESC, trace_id) AS pos FROM p QUALIFY pos <= 32
+""")
+def traces_for_memory(spark, sf_dir):
+    events = trace_events(spark, sf_dir)
+    out = traces.traces_for_memory(events, events.select("memory_id"))
+    return out.select("memory_id", "trace_id", F.array_join("kinds", ",").alias("kinds"), "outcome", "pos")
+
+
+@query(f"""
+    WITH {TRACES} SELECT trace_id, count(*) AS n, string_agg(kind, ',' ORDER BY created_at, event_id) AS kinds, arg_min(scope, (created_at, event_id)) AS first_scope FROM trace_events GROUP BY trace_id
+""")
+def trace_bundles(spark, sf_dir):
+    return traces.trace_bundles(trace_events(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(f"WITH {TRACES}, p AS (SELECT trace_id, arg_min(scope, (created_at, event_id)) AS scope, min(created_at) AS began FROM trace_events GROUP BY trace_id) SELECT scope, trace_id, row_number() OVER (PARTITION BY scope ORDER BY began DESC, trace_id) AS pos FROM p QUALIFY pos <= 32")
+def list_traces(spark, sf_dir):
+    parents, _ = traces.ingest_traces(trace_events(spark, sf_dir))
+    return traces.list_traces(parents).select("scope", "trace_id", "pos")
+
+
+@query(f"""
+    WITH {TRACES}, l AS (SELECT memory_id, trace_id, arg_max(outcome, (created_at, event_id)) AS outcome FROM trace_events WHERE outcome IS NOT NULL GROUP BY memory_id, trace_id)
+    SELECT memory_id, count(*) FILTER (WHERE outcome = 'helped') AS helped, count(*) FILTER (WHERE outcome = 'harmed') AS harmed FROM l GROUP BY memory_id
+""")
+def outcome_stats(spark, sf_dir):
+    return traces.outcome_stats(trace_events(spark, sf_dir))
+
+
+@query(f"WITH {TRACES} SELECT memory_id, count(*) FILTER (WHERE kind = 'search') AS scanned, count(*) FILTER (WHERE kind = 'inject') AS used FROM trace_events GROUP BY memory_id")
+def usage_stats(spark, sf_dir):
+    return traces.usage_stats(trace_events(spark, sf_dir))
+
+
+@query("SELECT item_id AS query_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS rank0, 'b' || item_id AS id, CASE WHEN length(text) > 160 THEN left(text, 160) || '…' ELSE text END AS preview FROM benchmark")
+def hit_cards(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.row_number().over(Window.orderBy("item_id")).alias("rank1"), F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    return traces.hit_cards(rows)
+
+
+@query("""
+    SELECT 'm' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS memory_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'view') AS searches,
+        count(*) FILTER (WHERE event_type = 'click') AS injects, count(*) FILTER (WHERE event_type IN ('purchase', 'error')) AS outcomes FROM events GROUP BY ALL
+""")
+def usage_windows(spark, sf_dir):
+    events = trace_events(spark, sf_dir)
+    return traces.usage_windows(events).select("memory_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "searches", "injects", "outcomes")
