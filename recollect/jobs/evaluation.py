@@ -1 +1,227 @@
-"""To come."""
+"""Evaluation, packing and insertion audit over the probes and derived tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from recollect.jobs.registry import query
+from recollect.jobs.retrieval import VISIBLE, _asked, _top, bm25_sql
+from recollect.operators import evaluate, lexical, packs
+from recollect.sources.derived import MEMORIES, PROBES, read
+
+_HITS = f"{MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS (SELECT h.*, text, version FROM ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}) h JOIN memories USING (id))"
+
+
+def _hits(spark, sf_dir):
+    asked, rows, visible = _asked(spark, sf_dir)
+    return asked, lexical.bm25_search(asked, rows, visible, 8, "any").join(rows.select("id", "text", "version"), "id")
+
+
+_P = """
+    p AS (SELECT item_id AS probe, CASE WHEN item_id % 8 = 0 THEN [] ELSE ['m' || (item_id * 7 % 100), 'm' || item_id] END AS expect, ['m' || (item_id * 3 % 50)] AS forbid, item_id % 8 = 0 AS abstain, item_id % 3 AS tag FROM benchmark),
+    k AS (SELECT user_id AS probe, 'm' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank1 FROM events WHERE event_type = 'view'),
+    s AS (SELECT p.*, (SELECT list(DISTINCT key) FROM k WHERE k.probe = p.probe AND rank1 <= 20) AS keys, (SELECT count(*) FROM k WHERE k.probe = p.probe AND rank1 <= 20) AS n_hits FROM p),
+    c AS (SELECT *, len(list_intersect(expect, coalesce(keys, []))) AS found, len(expect) AS expected, len(list_intersect(forbid, coalesce(keys, []))) AS leaked FROM s)"""
+
+
+def _probe_rows(spark, sf_dir):
+    n = F.col("item_id")
+    m = lambda c: F.concat(F.lit("m"), c)
+    probes = read(spark, sf_dir, "benchmark").select(
+        n.alias("probe"), F.when(n % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(m(n * 7 % 100), m(n))).alias("expect"), F.array(m(n * 3 % 50)).alias("forbid"), (n % 8 == 0).alias("abstain"), (n % 3).alias("tag")
+    )
+    views = read(spark, sf_dir, "events").where("event_type = 'view'").select(
+        F.col("user_id").alias("probe"), m(F.get_json_object("props", "$.k")).alias("key"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank1")
+    )
+    return probes, views
+
+
+@query(f"WITH {_P} SELECT probe, n_hits, found, expected, leaked FROM c")
+def search_to_gold(spark, sf_dir):
+    probes, views = _probe_rows(spark, sf_dir)
+    return evaluate.search_to_gold(views, probes, 20).select("probe", "n_hits", "found", "expected", "leaked")
+
+
+_SCORED = f"{_P}, r AS (SELECT *, leaked = 0 AND CASE WHEN abstain THEN n_hits = 0 ELSE found = expected END AS hit, CASE WHEN expected = 0 THEN 1.0::DOUBLE ELSE found / expected::DOUBLE END AS recall FROM c)"
+
+
+@query(f"WITH {_SCORED} SELECT probe, hit, recall FROM r")
+def score_probes(spark, sf_dir):
+    probes, views = _probe_rows(spark, sf_dir)
+    return evaluate.score_probes(views, probes, 20).select("probe", "hit", "recall")
+
+
+@query(f"WITH {_SCORED} SELECT 'views' AS system, tag, count(*) FILTER (WHERE probe % 5 > 0) AS n, count(*) FILTER (WHERE probe % 5 > 0 AND hit) AS hits, count(*) FILTER (WHERE probe % 5 = 0) AS skipped FROM r GROUP BY tag")
+def tag_summary(spark, sf_dir):
+    probes, views = _probe_rows(spark, sf_dir)
+    rows = evaluate.score_probes(views, probes, 20).select(F.lit("views").alias("system"), "tag", "hit", (F.col("probe") % 5 == 0).alias("skipped"))
+    return evaluate.tag_summary(rows)
+
+
+@query("""
+    WITH v AS (SELECT event_type AS system, list_sort(list(value)) AS v FROM events GROUP BY event_type)
+    SELECT system, 'round' AS method, v[least(CAST(floor(0.5::DOUBLE * (len(v) - 1) + 0.5) AS BIGINT), len(v) - 1) + 1] AS p50, v[least(CAST(floor(0.95::DOUBLE * (len(v) - 1) + 0.5) AS BIGINT), len(v) - 1) + 1] AS p95, v[len(v)] AS max FROM v
+    UNION ALL SELECT system, 'floor', v[len(v) // 2 + 1], v[len(v) * 95 // 100 + 1], v[len(v)] FROM v
+""")
+def latency_percentiles(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.col("value").alias("ms"))
+    one = lambda m: evaluate.latency_percentiles(rows, m).withColumn("method", F.lit(m))
+    return one("round").unionByName(one("floor"))
+
+
+@query("""
+    WITH a AS (SELECT o_custkey AS scenario, count(*) FILTER (WHERE o_orderstatus = 'F') / count(*)::DOUBLE AS precision, count(*) FILTER (WHERE o_orderstatus = 'O') / count(*)::DOUBLE AS recall, count(*) > 14 AS invented FROM orders GROUP BY o_custkey)
+    SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, count(*) FILTER (WHERE invented) AS invented FROM a
+""")
+def macro_precision_recall(spark, sf_dir):
+    share = lambda s: F.count_if(F.col("o_orderstatus") == s) / F.count("*")
+    rows = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(share("F").alias("precision"), share("O").alias("recall"), (F.count("*") > 14).alias("invented"))
+    return evaluate.macro_precision_recall(rows).select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "invented")
+
+
+@query("""
+    WITH h AS (SELECT event_type AS strategy, user_id AS probe, 'm' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS key, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS rank1 FROM events),
+    p AS (SELECT item_id AS probe, ['m' || (item_id * 7 % 100), 'm' || item_id] AS gold, ['m' || (item_id % 10)] AS seeds, item_id % 3 AS min_depth FROM benchmark),
+    x AS (SELECT s.strategy, p.*, coalesce((SELECT list(DISTINCT key) FROM h WHERE h.strategy = s.strategy AND h.probe = p.probe), []) AS a, coalesce((SELECT list(DISTINCT key) FROM h WHERE h.strategy = s.strategy AND h.probe = p.probe AND rank1 <= 6), []) AS t
+        FROM p, (SELECT DISTINCT strategy FROM h) s),
+    y AS (SELECT strategy, unnest(['overall', CASE WHEN min_depth > 0 THEN 'graph' ELSE 'lexical' END]) AS kind, len(list_intersect(list_distinct(gold), a)) / len(gold)::DOUBLE AS recall,
+        len(list_filter(t, lambda k: NOT list_contains(gold, k) AND NOT list_contains(seeds, k))) AS noise FROM x)
+    SELECT strategy, kind, round(avg(recall), 6) AS recall, round(avg(noise), 6) AS noise, count(*) AS n FROM y GROUP BY strategy, kind
+""")
+def expand_scores(spark, sf_dir):
+    n = F.col("item_id")
+    m = lambda c: F.concat(F.lit("m"), c)
+    hits = read(spark, sf_dir, "events").select(
+        F.col("event_type").alias("strategy"), F.col("user_id").alias("probe"), m(F.get_json_object("props", "$.k")).alias("key"),
+        F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id")).alias("rank1"),
+    )
+    probes = read(spark, sf_dir, "benchmark").select(n.alias("probe"), F.array(m(n * 7 % 100), m(n)).alias("gold"), F.array(m(n % 10)).alias("seeds"), (n % 3).alias("min_depth"))
+    out = evaluate.expand_scores(hits, probes, 6)
+    return out.select("strategy", "kind", F.round("recall", 6).alias("recall"), F.round("noise", 6).alias("noise"), "n")
+
+
+def _answers(spark, sf_dir):
+    n, t = F.col("conv_id"), F.col("turn")
+    mark = (
+        F.when(t == 0, F.concat(F.lit("USED: [b"), n, F.lit(", b1] and more"))).when(t == 1, "ABSTAIN: none").when(t == 2, F.concat(F.lit("used b"), n)).otherwise("Used the block above.")
+    )
+    return read(spark, sf_dir, "conversations").select((n * 1000 + t).alias("probe"), F.concat("text", F.lit("\n"), mark).alias("raw"))
+
+
+_ANSWERS = """
+    answers AS (SELECT conv_id * 1000 + turn AS probe, text, CASE turn WHEN 0 THEN 'b' || conv_id || ',b1' WHEN 2 THEN 'b' || conv_id ELSE '' END AS used, turn = 1 AS abstained,
+        trim(text || CASE WHEN turn > 2 THEN chr(10) || 'Used the block above.' ELSE '' END, chr(10) || ' ') AS body FROM conversations)"""
+
+
+@query(f"WITH {_ANSWERS} SELECT probe, used, abstained, length(body) AS body_chars FROM answers")
+def parse_citations(spark, sf_dir):
+    out = evaluate.parse_citations(_answers(spark, sf_dir))
+    return out.select("probe", F.array_join("used", ",").alias("used"), "abstained", F.length("body").cast("long").alias("body_chars"))
+
+
+_NORM = "trim(regexp_replace(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g')), '\\s+', ' ', 'g'))"
+_BIG = "list_distinct(list_filter(string_split({}, ' '), lambda w: strlen(w) > 3))"
+
+
+def _match_sql(a: str, b: str) -> str:
+    x, y = _NORM.format(a), _NORM.format(b)
+    wx, wy = _BIG.format(x), _BIG.format(y)
+    return f"coalesce({a} <> '' AND {b} <> '' AND (contains({x}, {y}) OR contains({y}, {x}) OR (len({wx}) > 0 AND len({wy}) > 0 AND 2 * len(list_intersect({wx}, {wy})) >= least(len({wx}), len({wy})))), false)"
+
+
+@query(f"SELECT a.conv_id, a.turn, {_match_sql('a.text', 'b.text')} AS matched FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def text_match(spark, sf_dir):
+    from recollect.functions.text import text_match as match
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", match(F.col("text"), F.col("after")).alias("matched"))
+
+
+@query(f"""
+    WITH {_ANSWERS}, blocks AS (SELECT conv_id * 1000 + turn AS probe, 'b' || conv_id AS block_id, text FROM conversations), gold AS (SELECT conv_id * 1000 + turn AS probe, left(text, 60) AS text, turn % 4 = 3 AS forbidden FROM conversations),
+    r AS (SELECT a.probe, probe % 1000 = 1 AS want, abstained, CASE WHEN used LIKE '%,b1' AND used <> 'b1,b1' THEN 'b1' ELSE '' END AS fraud, CASE WHEN used <> '' AND NOT forbidden AND {_match_sql('g.text', 'b.text')} THEN 1 ELSE 0 END AS gold_supported,
+        CASE WHEN forbidden THEN 0 ELSE 1 END AS n_gold, strlen(b.text) // 4 AS est_tokens, NOT forbidden AND {_match_sql('g.text', 'a.body')} AS asserts, forbidden AND {_match_sql('g.text', 'a.body')} AS bad
+        FROM answers a JOIN blocks b USING (probe) JOIN gold g USING (probe))
+    SELECT probe, fraud, gold_supported, n_gold, est_tokens, NOT want AND asserts AND gold_supported > 0 AS fact_hit, NOT want AND asserts AND gold_supported = 0 AS leak, CASE WHEN want THEN abstained AND NOT asserts AND NOT (NOT asserts AND bad) END AS abstain_ok,
+        NOT asserts AND bad AS forbidden_asserted, fraud = '' AND NOT (NOT asserts AND bad) AND CASE WHEN want THEN abstained AND NOT asserts AND NOT bad WHEN n_gold = 0 THEN true ELSE asserts AND gold_supported > 0 END AS passed FROM r
+""")
+def score_citations(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumn("probe", F.col("conv_id") * 1000 + F.col("turn"))
+    answers = evaluate.parse_citations(_answers(spark, sf_dir)).withColumn("expect_abstain", F.col("probe") % 1000 == 1)
+    blocks = rows.select("probe", F.concat(F.lit("b"), "conv_id").alias("block_id"), "text")
+    gold = rows.select("probe", F.substring("text", 1, 60).alias("text"), (F.col("turn") % 4 == 3).alias("forbidden"))
+    return evaluate.score_citations(answers, blocks, gold).drop("n_presented").withColumn("fraud", F.array_join("fraud", ","))
+
+
+@query(f"WITH b AS (SELECT conv_id AS probe, string_agg(text, ' ' ORDER BY turn, text) AS blob FROM conversations GROUP BY conv_id), f AS (SELECT conv_id + turn % 2 AS probe, left(text, 30) AS text FROM conversations) SELECT probe, count(*) FILTER (WHERE contains({_NORM.format('blob')}, {_NORM.format('f.text')})) AS leaks FROM b JOIN f USING (probe) GROUP BY probe")
+def leak_check(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    blobs = rows.groupBy(F.col("conv_id").alias("probe")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("blob"))
+    return evaluate.leak_check(blobs, rows.select((F.col("conv_id") + F.col("turn") % 2).alias("probe"), F.substring("text", 1, 30).alias("text")))
+
+
+_W = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 3))"
+
+
+@query(f"""
+    WITH e AS (SELECT conv_id AS scenario, text FROM conversations WHERE turn = 0), g AS (SELECT conv_id AS scenario, turn AS idx, CASE turn % 3 WHEN 0 THEN 'put' WHEN 1 THEN 'supersede' ELSE 'forget' END AS op, text FROM conversations),
+    w AS (SELECT g.*, {_W.format(_NORM.format('g.text'))} AS w, {_W.format(_NORM.format('e.text'))} AS ew FROM g JOIN e USING (scenario))
+    SELECT scenario, idx, CASE WHEN op IN ('put', 'supersede') THEN CASE WHEN len(list_intersect(w, ew)) >= 3 OR 2 * len(list_intersect(w, ew)) >= len(w) THEN 'put' ELSE 'noop' END ELSE op END AS op FROM w
+""")
+def extract_gold(spark, sf_dir):
+    t = F.col("turn")
+    rows = read(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "scenario")
+    gold = rows.select("scenario", t.alias("idx"), F.when(t % 3 == 0, "put").when(t % 3 == 1, "supersede").otherwise("forget").alias("op"), "text")
+    return evaluate.extract_gold(gold, rows.where("turn = 0").select("scenario", "text")).select("scenario", "idx", "op")
+
+
+@query()
+def score_extraction(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("idx"), F.lit("put").alias("op"), "text")
+    gold = rows.where("idx % 2 = 0").withColumn("text", F.substring("text", 1, 40))
+    return evaluate.score_extraction(rows, gold)
+
+
+@query()
+def pack_context(spark, sf_dir):
+    _, hits = _hits(spark, sf_dir)
+    return packs.pack_context(hits)
+
+
+@query(f"""
+    WITH {_HITS}, inv AS (SELECT query_id, id, CASE WHEN query_id % 2 = 0 THEN version END AS v FROM hits WHERE rank1 % 3 = 0)
+    SELECT query_id, id, rank1, CASE WHEN inv.id IS NOT NULL THEN 'already_in_context' WHEN score < 3 THEN 'below_floor' ELSE 'candidate' END AS disposition FROM hits LEFT JOIN inv USING (query_id, id)
+""")
+def dispositions(spark, sf_dir):
+    _, hits = _hits(spark, sf_dir)
+    inventory = hits.where("rank1 % 3 = 0").select("query_id", "id", F.when(F.col("query_id") % 2 == 0, F.col("version")).alias("version"))
+    return packs.dispositions(hits, inventory, 3.0).select("query_id", "id", "rank1", "disposition")
+
+
+@query()
+def prepare_context(spark, sf_dir):
+    _, hits = _hits(spark, sf_dir)
+    inventory = hits.where("rank1 % 3 = 0").select("query_id", "id", "version")
+    return packs.prepare_context(hits, inventory, 1.0)[1]
+
+
+@query(f"WITH {_HITS} SELECT query_id, string_agg(CASE WHEN rank1 % 2 = 0 THEN left(text, 80) ELSE '' END, chr(10) || chr(10) ORDER BY rank1) AS text FROM hits GROUP BY query_id")
+def render_blocks(spark, sf_dir):
+    _, hits = _hits(spark, sf_dir)
+    return packs.render_blocks(hits.select("query_id", "rank1", F.when(F.col("rank1") % 2 == 0, F.substring("text", 1, 80)).otherwise("").alias("excerpt")))
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey AS seq, o_custkey AS p, CASE WHEN o_orderkey % 5 = 0 THEN ['b0'] WHEN o_orderkey % 11 = 0 THEN ['zz'] ELSE ['b0', 'b1'] END AS i FROM orders),
+    c AS (SELECT *, CASE WHEN p % 4 = 0 THEN 'unknown_proposal' WHEN i = ['zz'] THEN 'fabricated_block' END AS reason FROM a),
+    f AS (SELECT *, row_number() OVER w AS n, first_value(i) OVER w AS first FROM c WINDOW w AS (PARTITION BY p, reason IS NULL ORDER BY seq))
+    SELECT seq, p AS proposal_id, coalesce(reason, CASE WHEN n = 1 THEN 'accepted' WHEN i = first THEN 'replayed' ELSE 'conflict' END) AS status FROM f
+""")
+def verify_insertions(spark, sf_dir):
+    k, p = F.col("o_orderkey"), F.col("o_custkey")
+    rows = read(spark, sf_dir, "orders")
+    acks = rows.select(k.alias("seq"), p.alias("proposal_id"), F.when(k % 5 == 0, F.array(F.lit("b0"))).when(k % 11 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.lit("b0"), F.lit("b1"))).alias("inserted"))
+    selected = rows.where(p % 4 != 0).select(p.alias("proposal_id"), F.explode(F.array(F.lit("b0"), F.lit("b1"), F.lit("b2"))).alias("block_id")).distinct()
+    return packs.verify_insertions(acks, selected)
