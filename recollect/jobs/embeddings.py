@@ -1 +1,133 @@
-"""To come."""
+"""Embedding generations and artifacts over the vectors and documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recollect.jobs.registry import query
+from recollect.operators import artifacts, fusion, generations
+from recollect.operators.vectors import hash_embed
+from recollect.sources.derived import MEMORIES, memories, read
+
+_ITEMS = """
+    items AS (SELECT vec_id AS seq, 1 AS generation, CASE WHEN vec_id % 9 = 0 THEN 'x' || vec_id ELSE 'm' || (vec_id // 2) END AS id, vec_id % 7 = 0 AS short FROM embeddings),
+    known AS (SELECT 'm' || doc_id AS id FROM documents)"""
+
+
+def _items(spark, sf_dir):
+    v = F.col("vec_id")
+    rows = read(spark, sf_dir, "embeddings").select(
+        v.alias("seq"), F.lit(1).alias("generation"), F.when(v % 9 == 0, F.concat(F.lit("x"), v)).otherwise(F.concat(F.lit("m"), F.floor(v / 2))).alias("id"),
+        F.when(v % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"),
+    )
+    return rows, memories(spark, sf_dir, embeddings=True)
+
+
+@query(f"WITH {_ITEMS} SELECT seq, CASE WHEN k.id IS NULL THEN 'unknown_memory' WHEN short THEN 'embedding_dimension' ELSE 'staged' END AS status FROM items LEFT JOIN known k USING (id)")
+def stage_embeddings(spark, sf_dir):
+    items, rows = _items(spark, sf_dir)
+    return generations.stage_embeddings(items.limit(0), items, rows, 64)[1].select("seq", "status")
+
+
+_STAGED = f"{_ITEMS}, staged AS (SELECT DISTINCT id FROM items SEMI JOIN known USING (id) WHERE NOT short), embedded AS (SELECT 'm' || doc_id AS id FROM documents SEMI JOIN embeddings ON vec_id = doc_id)"
+
+
+@query(f"WITH {_STAGED} SELECT id FROM embedded ANTI JOIN staged USING (id)")
+def generation_coverage(spark, sf_dir):
+    items, rows = _items(spark, sf_dir)
+    vectors, _ = generations.stage_embeddings(items.limit(0), items, rows, 64)
+    return generations.generation_coverage(rows, vectors, 1)
+
+
+@query(f"WITH {_STAGED} SELECT 1 AS generation, count(s.id) AS embedded, count(*) AS expected, round(count(s.id) / count(*)::DOUBLE, 6) AS coverage FROM embedded LEFT JOIN staged s USING (id)")
+def embedded_count(spark, sf_dir):
+    items, rows = _items(spark, sf_dir)
+    vectors, _ = generations.stage_embeddings(items.limit(0), items, rows, 64)
+    return generations.embedded_count(rows, vectors).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("SELECT 'm' || doc_id AS id, 2 AS embedding_generation, list_reverse(embedding)[1] AS first FROM documents JOIN embeddings ON vec_id = doc_id")
+def activate_generation(spark, sf_dir):
+    rows = memories(spark, sf_dir, embeddings=True).withColumn("embedding_generation", F.lit(1).cast("long"))
+    vectors = rows.where("embedding IS NOT NULL").select(F.lit(2).alias("generation"), "id", F.reverse("embedding").alias("vector"))
+    states = vectors.select("generation").distinct().withColumn("status", F.lit("building"))
+    out, _ = generations.activate_generation(rows, vectors, states, 2)
+    return out.where("embedding IS NOT NULL").select("id", "embedding_generation", F.element_at("embedding", 1).alias("first"))
+
+
+@query()
+def reindex(spark, sf_dir):
+    out = generations.reindex(memories(spark, sf_dir), lambda text: hash_embed(text, 16), ["org/src0", "org/src1"], 3)
+    return out.select("generation", "id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4)), ",").alias("vector"))
+
+
+@query("""
+    WITH g AS (SELECT n_nationkey AS generation, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'f' || n_nationkey % 2 END AS model, n_nationkey % 2 AS embedded FROM nation), c AS (SELECT c_custkey AS claim, CAST(c_custkey % 30 AS INTEGER) AS generation, 'f' || (c_custkey % 2) AS model FROM customer)
+    SELECT claim, c.generation, CASE WHEN embedded IS NULL THEN 'not_found' WHEN g.model IS NULL AND embedded = 0 THEN 'adoptable' WHEN g.model IS NULL THEN 'unknown_identity' WHEN c.model = g.model THEN 'compatible' ELSE 'incompatible' END AS status FROM c LEFT JOIN g USING (generation)
+""")
+def identity_compatible(spark, sf_dir):
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    known = n % 3 != 0
+    full = lambda model, when: [F.when(when, F.lit(v)).alias(k) for k, v in (("family", "hash"), ("dimension", 64), ("normalization", "l2"), ("encoding", "f32"))] + [F.when(when, model).alias("model")]
+    rows = read(spark, sf_dir, "nation").select(n.alias("generation"), (n % 2).alias("embedded"), *full(F.concat(F.lit("f"), n % 2), known))
+    claims = read(spark, sf_dir, "customer").select(c.alias("claim"), (c % 30).cast("int").alias("generation"), *full(F.concat(F.lit("f"), c % 2), F.lit(True)))
+    return generations.identity_compatible(rows, claims)
+
+
+@query("SELECT doc_id AS seq, sha256(text) AS digest, CASE WHEN strlen(text) = 0 THEN 'empty' WHEN row_number() OVER (PARTITION BY source, text ORDER BY doc_id) = 1 THEN 'created' ELSE 'replayed' END AS status FROM documents")
+def ingest_artifacts(spark, sf_dir):
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("scope"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("string").alias("media_type"))
+    return artifacts.ingest_artifacts(files)[1].select("seq", "digest", "status")
+
+
+@query("""
+    WITH a AS (SELECT doc_id AS id, 'store/' || CASE WHEN doc_id % 10 = 0 THEN 'odd' ELSE sha256(text) END AS location, text FROM documents), c AS (SELECT DISTINCT sha256(text) AS d FROM documents WHERE doc_id % 3 > 0)
+    SELECT id, CASE WHEN location = 'store/odd' OR c.d IS NULL THEN 'failed' ELSE 'copied' END AS outcome, CASE WHEN location = 'store/odd' THEN 'bad_location' WHEN c.d IS NULL THEN 'copy_missing' END AS reason FROM a LEFT JOIN c ON d = sha256(text)
+""")
+def relocate_report(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents")
+    rows = docs.select(d.alias("id"), F.concat(F.lit("store/"), F.when(d % 10 == 0, "odd").otherwise(F.sha2("text", 256))).alias("location"))
+    files = docs.select(F.concat(F.lit("store/"), F.sha2("text", 256)).alias("location"), F.col("text").cast("binary").alias("content")).distinct()
+    copies = docs.where(d % 3 > 0).select(F.col("text").cast("binary").alias("content"))
+    return artifacts.relocate_report(rows, files, copies).select("id", "outcome", "reason")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'guard_rejected' ELSE 'rebound' END AS status FROM documents WHERE doc_id % 2 = 0")
+def rebind_locations(spark, sf_dir):
+    d = F.col("doc_id")
+    rows = read(spark, sf_dir, "documents").select(d.alias("id"), F.concat(F.lit("a/"), d).alias("location"))
+    moves = rows.where(F.col("id") % 2 == 0).select("id", F.when(F.col("id") % 4 == 0, "gone").otherwise(F.col("location")).alias("expected_location"), F.lit("b").alias("location"))
+    return artifacts.rebind_locations(rows, moves)[1]
+
+
+@query("""
+    WITH s AS (SELECT event_id, user_id + CASE WHEN event_id % 8 = 0 THEN 1000000 ELSE 0 END AS artifact, event_id % 3 AS scope, event_id % 50 AS s, event_id % 50 + event_id % 7 - 1 AS e, list_extract(['byte', 'line', 'char', 'word'], event_id % 4 + 1) AS unit FROM events)
+    SELECT event_id, CASE WHEN unit = 'word' THEN 'bad_unit' WHEN e < s THEN 'bad_range' WHEN c_custkey IS NULL THEN 'not_found' WHEN c_custkey % 3 <> scope THEN 'scope_denied' END AS reason FROM s LEFT JOIN customer ON c_custkey = artifact
+""")
+def ingest_spans(spark, sf_dir):
+    e, c = F.col("event_id"), F.col("c_custkey")
+    spans = read(spark, sf_dir, "events").select(
+        e, (F.col("user_id") + F.when(e % 8 == 0, 1000000).otherwise(0)).alias("artifact"), (e % 3).alias("scope"), (e % 50).alias("start"), (e % 50 + e % 7 - 1).alias("end"),
+        F.element_at(F.lit(["byte", "line", "char", "word"]), (e % 4 + 1).cast("int")).alias("unit"),
+    )
+    own = read(spark, sf_dir, "customer").select(c.alias("id"), (c % 3).alias("scope"))
+    return artifacts.ingest_spans(spans, own).select("event_id", "reason")
+
+
+@query(f"WITH {MEMORIES} SELECT doc_id AS hit, CASE WHEN doc_id % 4 > 0 THEN 'e' || (doc_id % 4) ELSE '' END AS links, doc_id % 4 > 0 AS graph FROM documents")
+def attach_entities(spark, sf_dir):
+    n = F.col("n")
+    rows = memories(spark, sf_dir).select("id", F.when(n % 4 > 0, F.array(F.concat(F.lit("e"), n % 4))).alias("entity_links"))
+    hits = memories(spark, sf_dir).select(n.alias("hit"), "id")
+    return fusion.attach_entities(hits, rows).select("hit", F.coalesce(F.array_join("entity_links", ","), F.lit("")).alias("links"), "graph")
+
+
+@query("""
+    WITH a AS (SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'signup')
+    SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'missing', k FROM a WHERE k NOT IN (SELECT k FROM b)
+""")
+def set_operations(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
+    a, b = (rows.where(F.col("event_type") == t).select("k").distinct() for t in ("view", "signup"))
+    return a.unionByName(b).dropDuplicates().select(F.lit("union").alias("op"), "k").unionByName(a.join(b, "k", "left_anti").select(F.lit("missing").alias("op"), "k"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from recollect.jobs.registry import query
 from recollect.operators import traces
-from recollect.sources.derived import MEMORIES, PROBES, TRACES, read, trace_events
+from recollect.sources.derived import TRACES, read, trace_events
+from recollect.streaming import traces as streams
 
 
 @query(f"""
@@ -81,3 +82,38 @@ def hit_cards(spark, sf_dir):
 def usage_windows(spark, sf_dir):
     events = trace_events(spark, sf_dir)
     return traces.usage_windows(events).select("memory_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "searches", "injects", "outcomes")
+
+
+def _stream(spark, sf_dir):
+    """The events table as a stream of its files, with the columns of trace events."""
+    raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    return raw.select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id")).alias("trace_id"), F.concat(F.lit("org/u"), F.col("event_id") % 3).alias("scope"),
+        F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "inject").otherwise("outcome").alias("kind"),
+        F.concat(F.lit("m"), F.get_json_object("props", "$.k")).alias("memory_id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("props").alias("body"), "user_id",
+    )
+
+
+@query("""
+    WITH e AS (SELECT event_id, 'u' || user_id AS trace_id, 'org/u' || (event_id % 3) AS scope, ts FROM events)
+    SELECT event_id, trace_id, CASE WHEN scope = first_value(scope) OVER (PARTITION BY trace_id ORDER BY ts, event_id) THEN 'ok' ELSE 'scope_denied' END AS status FROM e
+""")
+def ingest_trace_stream(spark, sf_dir):
+    return streams.run_available(streams.ingest_stream(_stream(spark, sf_dir)))
+
+
+@query()
+def task_state_stream(spark, sf_dir):
+    e = F.col("event_id")
+    ops = _stream(spark, sf_dir).select(
+        F.concat(F.lit("org/u"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("s"), "user_id").alias("slot"), e.alias("seq"),
+        F.when(e % 13 == 0, "[]").otherwise(F.col("body")).alias("body"), F.when(e % 3 == 0, e % 4).alias("expected_version"), (e % 7 == 0).alias("create_only"),
+    )
+    return streams.run_available(streams.task_state_stream(ops))
+
+
+@query()
+def usage_windows_stream(spark, sf_dir):
+    """Windows that the watermark has closed; the last ones stay open until later events come."""
+    out = streams.run_available(traces.usage_windows(_stream(spark, sf_dir)))
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))

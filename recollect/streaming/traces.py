@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from recollect.sources.shared import shared_path
 
 EVENT = "event_id long, trace_id string, scope string, kind string, memory_id string, created_at timestamp, payload string"
 STATE_OP = "scope string, slot string, seq long, body string, expected_version long, create_only boolean"
@@ -68,8 +68,10 @@ def task_state_stream(ops: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drives a stream over what is there now, and returns its rows: for tests and backfills that fit a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame) -> DataFrame:
+    """Drives a stream over what is there now, into a table in the shared folder, and reads that table."""
+    spark = stream.sparkSession
+    at = shared_path(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
