@@ -133,17 +133,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(sizes)
     df = np.zeros(FEATURES)
+    if not labels:
+        return Model([], df, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     for r in rows.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r.feature] = r.n
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
-    quota = max(1, sample // max(1, len(labels)))
+    quota = max(1, sample // len(labels))
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
-    if labels:
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-        odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name]))])
-        drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).orderBy(F.xxhash64("text", F.lit(3)), "lang").limit(sample)
-        for r in drawn.mapInArrow(_examples(idf, labels), "label int, at array<int>, value array<float>").toLocalIterator():
-            examples.append((np.array(r.at), np.array(r.value), r.label))
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name]))])
+    drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).orderBy(F.xxhash64("text", F.lit(3)), "lang").limit(sample)
+    for r in drawn.mapInArrow(_examples(idf, labels), "label int, at array<int>, value array<float>").toLocalIterator():
+        examples.append((np.array(r.at), np.array(r.value), r.label))
     back, used = examples[::KEPT_BACK], [x for i, x in enumerate(examples) if i % KEPT_BACK] or examples
     weights, bias = train(used, len(labels))
     scores = np.array([values @ weights[at] + bias for at, values, _ in back]).reshape(-1, len(labels))
