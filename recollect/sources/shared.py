@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path under ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
@@ -18,7 +20,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, from a Parquet table in the shared folder."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, from a Parquet table in the shared folder; the shuffle files that made it are dropped."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
