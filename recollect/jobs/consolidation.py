@@ -11,7 +11,10 @@ from recollect.operators import consolidate, ingest
 from recollect.sources.derived import MEMORIES, TRACES, memories, read, trace_events
 
 AT = "2024-02-01 12:00:00"
-NOW = F.lit(AT).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(AT).cast("timestamp_ntz")
 _quoted = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 _any = lambda text, cues: " OR ".join(f"contains({text}, '{c.replace(chr(39), chr(39) * 2)}')" for c in cues)
 
@@ -61,12 +64,12 @@ def select_proposals(spark, sf_dir):
 
 @query(f"WITH {MEMORIES} SELECT id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS preview FROM memories WHERE category = 'episodic' AND valid_from <= DATE '2024-02-01' - INTERVAL 31 DAYS")
 def age_out(spark, sf_dir):
-    return consolidate.age_out(memories(spark, sf_dir), NOW, 31).select("id", "preview")
+    return consolidate.age_out(memories(spark, sf_dir), now(), 31).select("id", "preview")
 
 
 @query(f"WITH {MEMORIES} SELECT 'age_out_episodic' AS op, id, 'review' AS reason FROM memories WHERE category = 'episodic'")
 def sleep_report(spark, sf_dir):
-    return consolidate.sleep_report(memories(spark, sf_dir), NOW, None)[0]
+    return consolidate.sleep_report(memories(spark, sf_dir), now(), None)[0]
 
 
 @query(f"WITH {MEMORIES} SELECT scope, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) > 1024) AS oversized, count(*) > 512 OR sum(strlen(text)) > 262144 AS over FROM memories WHERE valid_until IS NULL GROUP BY scope")
@@ -83,7 +86,7 @@ def duplicate_identities(spark, sf_dir):
 def prune_probation(spark, sf_dir):
     from recollect.operators.traces import usage_stats
 
-    return consolidate.prune_probation(memories(spark, sf_dir), usage_stats(trace_events(spark, sf_dir)), NOW)
+    return consolidate.prune_probation(memories(spark, sf_dir), usage_stats(trace_events(spark, sf_dir)), now())
 
 
 @query(f"""

@@ -10,18 +10,21 @@ from recollect.operators import lenses, validation
 from recollect.sources.derived import MEMORIES, PROBES, memories, probes, read
 
 AT = "2024-02-01 12:00:00"
-NOW = F.lit(AT).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(AT).cast("timestamp_ntz")
 SCOPES = ("org/src0/en", " org/src1 ", "org//x", "/org", "org/a b", "", "org/ü", "a" * 513)
 
 
 @query(f"WITH {MEMORIES} SELECT id FROM memories WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{AT}')")
 def as_of(spark, sf_dir):
-    return lenses.as_of(memories(spark, sf_dir), NOW).select("id")
+    return lenses.as_of(memories(spark, sf_dir), now()).select("id")
 
 
 @query(f"WITH {MEMORIES} SELECT id FROM memories WHERE known_at <= TIMESTAMP '{AT}'")
 def known_as_of(spark, sf_dir):
-    return lenses.known_as_of(memories(spark, sf_dir), NOW).select("id")
+    return lenses.known_as_of(memories(spark, sf_dir), now()).select("id")
 
 
 @query(
@@ -29,7 +32,7 @@ def known_as_of(spark, sf_dir):
     f"AND (sys_closed IS NULL OR sys_closed > TIMESTAMP '{AT}')"
 )
 def sys_as_of(spark, sf_dir):
-    return lenses.sys_as_of(memories(spark, sf_dir), NOW).select("id")
+    return lenses.sys_as_of(memories(spark, sf_dir), now()).select("id")
 
 
 @query(f"WITH {MEMORIES} SELECT category, count(*) AS n FROM memories WHERE category IN ('semantic', 'identity') GROUP BY category")

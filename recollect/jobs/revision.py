@@ -9,7 +9,10 @@ from recollect.operators import revise
 from recollect.sources.derived import CHAINS, MEMORIES, chains, memories, read
 
 AT = "2024-02-01 12:00:00"
-NOW = F.lit(AT).cast("timestamp_ntz")
+
+
+def now():
+    return F.lit(AT).cast("timestamp_ntz")
 
 
 @query(f"WITH {MEMORIES} SELECT scope, category, valid_from = known_at AS at_once, count(*) AS n, CAST(sum(version) AS BIGINT) AS versions FROM (SELECT scope, category, valid_from, known_at, version FROM memories "
@@ -20,7 +23,7 @@ def apply_puts(spark, sf_dir):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("org/puts").alias("scope"), F.lit("episodic").alias("category"), "text",
         at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("known_at"),
     )
-    rows, _ = revise.apply_puts(memories(spark, sf_dir), puts, NOW)
+    rows, _ = revise.apply_puts(memories(spark, sf_dir), puts, now())
     return rows.groupBy("scope", "category", (F.col("valid_from") == F.col("known_at")).alias("at_once")).agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
 
 
@@ -69,7 +72,7 @@ _OUTCOMES = f"""
 
 @query(f"WITH {CHAINS}, {_REQUESTS}, {_OUTCOMES} SELECT * FROM outcomes")
 def apply_supersedes(spark, sf_dir):
-    _, outcomes = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), NOW)
+    _, outcomes = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), now())
     return outcomes.select("seq", "prior_id", "status")
 
 
@@ -79,7 +82,7 @@ def apply_supersedes(spark, sf_dir):
     UNION ALL SELECT prior_id || '+' || seq, 1, NULL, true FROM won
 """)
 def superseded_table(spark, sf_dir):
-    rows, _ = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), NOW)
+    rows, _ = revise.apply_supersedes(_requests(spark, sf_dir), _heads(spark, sf_dir), now())
     return rows.select("id", "version", "superseded_by", F.col("valid_until").isNull().alias("open"))
 
 
@@ -91,7 +94,7 @@ def superseded_table(spark, sf_dir):
     SELECT scope, count(*) AS n, count(*) FILTER (WHERE valid_until IS NOT NULL OR w.id IS NOT NULL) AS closed, CAST(sum(version + (w.id IS NOT NULL)::BIGINT) AS BIGINT) AS versions FROM chains LEFT JOIN w USING (id) GROUP BY scope
 """)
 def apply_soft_forgets(spark, sf_dir):
-    asked = _requests(spark, sf_dir).withColumnRenamed("prior_id", "id").withColumn("at", F.coalesce("close_at", NOW))
+    asked = _requests(spark, sf_dir).withColumnRenamed("prior_id", "id").withColumn("at", F.coalesce("close_at", now()))
     rows, _ = revise.apply_soft_forgets(asked, _heads(spark, sf_dir))
     return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count("valid_until").alias("closed"), F.sum("version").alias("versions"))
 
