@@ -126,3 +126,13 @@ def parse_ops_text(spark, sf_dir):
     raw = F.when(n == 0, F.concat(F.lit("["), put, F.lit("]"))).when(n == 1, F.concat(F.lit("Sure:\n```json\n"), put, F.lit("\n```"))).when(n == 2, F.concat(F.lit("I would "), put, F.lit(" then stop"))).when(n == 3, odd).otherwise(t)
     rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), raw.alias("text"))
     return ingest.parse_ops_text(rows)
+
+
+@query(f"""
+    WITH {_EPISODES}, l AS (SELECT conv_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS n, conv_id % 9 > 0 AND len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) <= 128 AS ok FROM episodes)
+    SELECT conv_id AS batch_id, 'write' AS kind, n AS n_ops, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) <= 128 AS ok FROM episodes JOIN l USING (conv_id)
+""")
+def ingest_compaction(spark, sf_dir):
+    episodes = ingest.episodes_from_turns(read(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("episode_id"), F.lit("org/c").alias("scope"), "text")
+    summaries = episodes.select("episode_id", F.substring("text", 1, 40).alias("text"))
+    return ingest.ingest_compaction(episodes, summaries)[1]

@@ -225,3 +225,32 @@ def verify_insertions(spark, sf_dir):
     acks = rows.select(k.alias("seq"), p.alias("proposal_id"), F.when(k % 5 == 0, F.array(F.lit("b0"))).when(k % 11 == 0, F.array(F.lit("zz"))).otherwise(F.array(F.lit("b0"), F.lit("b1"))).alias("inserted"))
     selected = rows.where(p % 4 != 0).select(p.alias("proposal_id"), F.explode(F.array(F.lit("b0"), F.lit("b1"), F.lit("b2"))).alias("block_id")).distinct()
     return packs.verify_insertions(acks, selected)
+
+
+@query(f"WITH {MEMORIES} SELECT item_id AS probe, id AS key FROM benchmark b JOIN memories m ON contains(m.text, b.text)")
+def passage_gold(spark, sf_dir):
+    from recollect.sources.derived import memories
+
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), F.col("text").alias("query"))
+    return evaluate.passage_gold(passages, memories(spark, sf_dir))
+
+
+@query(f"""
+    WITH {MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, h AS ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}), g AS (SELECT item_id AS query_id, id FROM benchmark b JOIN memories m ON contains(m.text, b.text)),
+    s AS (SELECT query_id, (SELECT count(*) FROM h WHERE h.query_id = p.query_id) AS n, (SELECT count(*) FROM h JOIN g USING (query_id, id) WHERE h.query_id = p.query_id) AS found, (SELECT count(*) FROM g WHERE g.query_id = p.query_id) AS expected FROM probes p)
+    SELECT query_id AS probe, CASE WHEN expected = 0 THEN n = 0 ELSE found = expected END AS hit, CASE WHEN expected = 0 THEN 1.0::DOUBLE ELSE round(found / expected::DOUBLE, 6) END AS recall FROM s
+""")
+def run_probes(spark, sf_dir):
+    asked, rows, visible = _asked(spark, sf_dir)
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), F.col("text").alias("query"))
+    out = evaluate.run_probes(asked, rows, visible, evaluate.passage_gold(passages, rows), 8)
+    return out.select("probe", "hit", F.round("recall", 6).alias("recall"))
+
+
+@query("""
+    WITH v AS (SELECT event_type AS system, list_sort(list(value)) AS v, count(*) AS n, count(*) FILTER (WHERE user_id % 2 = 0) AS passed, count(*) FILTER (WHERE user_id % 3 = 0) AS fact_hits FROM events GROUP BY event_type)
+    SELECT system, n, passed, fact_hits, v[len(v) // 2 + 1] AS p50, v[len(v) * 95 // 100 + 1] AS p95, v[len(v)] AS max FROM v
+""")
+def system_stats(spark, sf_dir):
+    u = F.col("user_id")
+    return evaluate.system_stats(read(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.col("value").alias("ms"), (u % 2 == 0).alias("passed"), (u % 3 == 0).alias("fact_hit")))

@@ -221,3 +221,23 @@ def label_scores(spark, sf_dir):
     )
     out = lexical.label_scores(hits)
     return out.select("o_orderkey", F.round("score", 9).alias("score"), "score_kind", F.col("distance").isNotNull().alias("vector"), F.col("bm25").isNotNull().alias("lexical"))
+
+
+@query("""
+    WITH h AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS rrf, o_orderkey % 3 = 0 AS bm25, o_orderkey % 5 = 0 AS distance FROM orders)
+    SELECT o_orderkey, distance OR (rrf AND NOT bm25 AND NOT distance AND o_orderkey % 7 > 2) AS vector, bm25 OR (rrf AND NOT bm25 AND NOT distance) AS lexical FROM h
+""")
+def channel_signals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    some = lambda n: F.when(k % n == 0, F.lit(0.5))
+    hits = read(spark, sf_dir, "orders").select(k, some(2).alias("rrf"), some(3).alias("bm25"), some(5).alias("distance"))
+    return fusion.channel_signals(hits, k % 7 > 2, F.lit(True)).select("o_orderkey", "vector", "lexical")
+
+
+@query(f"""
+    WITH {MEMORIES}, {PROBES}, v AS (SELECT query_id, id FROM probes p JOIN memories m ON starts_with(m.scope, p.scope || '/') AND valid_from <= TIMESTAMP '2024-02-20 00:00:00' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-02-20 00:00:00')), {bm25_sql()}
+    SELECT query_id, id, round(score, 6) AS score, rank1 FROM ({_top('scored SEMI JOIN v USING (query_id, id)', 8)})
+""")
+def find_candidates(spark, sf_dir):
+    out = fusion.find_candidates(probes(spark, sf_dir), memories(spark, sf_dir), F.lit("2024-02-20 00:00:00").cast("timestamp_ntz"))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank1")

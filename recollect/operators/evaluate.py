@@ -163,3 +163,29 @@ def validate_scenarios(scenarios: DataFrame, memories: DataFrame, probes: DataFr
     idle = probes.where(F.col("abstain") & (F.size("expect") > 0)).select("scenario", F.lit("abstain_expects").alias("violation"))
     out = twice(scenarios, ["scenario"], "repeated_scenario").unionByName(twice(memories, ["scenario", "key"], "repeated_key")).unionByName(twice(probes, ["scenario", "probe"], "repeated_probe"))
     return out.unionByName(unknown).unionByName(idle).distinct()
+
+
+def passage_gold(passages: DataFrame, memories: DataFrame) -> DataFrame:
+    """(probe, key) of memories that hold a passage (probe, query) verbatim: only texts with all of its words are searched."""
+    from recollect.operators.lexical import bm25_scores
+
+    near = bm25_scores(passages.select(F.col("probe").alias("query_id"), "query"), memories, "all").select(F.col("query_id").alias("probe"), "id")
+    both = near.join(passages.select("probe", "query"), "probe").join(memories.select("id", "text"), "id")
+    return both.where(F.contains("text", F.col("query"))).select("probe", F.col("id").alias("key"))
+
+
+def run_probes(probes: DataFrame, memories: DataFrame, visible: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(probe, n_hits, found, expected, hit, recall) of probes (query_id, query) searched among ``visible`` and held against ``gold`` (probe, key)."""
+    from recollect.operators.lexical import bm25_search
+
+    hits = bm25_search(probes, memories, visible, k, "any").select(F.col("query_id").alias("probe"), "rank1", F.col("id").alias("key"))
+    empty = F.array().cast("array<string>")
+    keys = gold.groupBy("probe").agg(F.collect_set("key").alias("expect"))
+    rows = probes.select(F.col("query_id").alias("probe")).join(keys, "probe", "left").withColumns({"expect": F.coalesce("expect", empty), "forbid": empty})
+    return score_probes(hits, rows.withColumn("abstain", F.size("expect") == 0), k)
+
+
+def system_stats(rows: DataFrame) -> DataFrame:
+    """(system, n, passed, fact_hits, p50, p95, max) of scored rows with ms, by the floor rule of percentiles."""
+    sums = rows.groupBy("system").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.count_if("fact_hit").alias("fact_hits"))
+    return sums.join(latency_percentiles(rows, "floor"), "system", "left")

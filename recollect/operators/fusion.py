@@ -131,3 +131,18 @@ def iterative_requery(queries: DataFrame, memories: DataFrame, visible: DataFram
     best = both.groupBy("query_id", "id").agg(F.min(F.struct("round", "rank1")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at", "id")
     return best.withColumn("rank1", F.row_number().over(order)).where(F.col("rank1") <= k).select("query_id", "id", "rank1", F.col("at.round").alias("round"))
+
+
+def channel_signals(hits: DataFrame, has_vector: Column, has_text: Column) -> DataFrame:
+    """``hits`` (rrf?, bm25?, distance?) with which channels found them; a row with a fused score alone has those of its query."""
+    fused = F.col("rrf").isNotNull() & F.col("bm25").isNull() & F.col("distance").isNull()
+    return hits.withColumns({"vector": F.col("distance").isNotNull() | (fused & has_vector), "lexical": F.col("bm25").isNotNull() | (fused & has_text)})
+
+
+def find_candidates(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 8) -> DataFrame:
+    """Open rows of a query's scope that its text may revise: a search at ``now`` without other lenses."""
+    from recollect.operators.lenses import as_of_join
+
+    asked = queries.select("query_id", "query", "scope", "scope_match").withColumn("as_of", now)
+    visible = as_of_join(asked, memories).select("query_id", "id")
+    return top_k_per_query(bm25_scores(asked, memories, "any").join(visible, ["query_id", "id"], "left_semi"), limit)

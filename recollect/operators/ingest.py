@@ -113,3 +113,23 @@ def parse_ops_text(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["text_id", "idx", "op", "body", "reason"])
 
     return texts.select("text_id", "text").mapInPandas(parse, "text_id long, idx int, op string, body string, reason string")
+
+
+def ingest_compaction(episodes: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(op outcomes, trace events, checkpoints) of episodes (episode_id, scope, text) and summaries (episode_id, text).
+
+    Lines become puts, checked as a batch and applied up to the first failure; each batch leaves a write
+    event; a summary becomes a checkpoint only if all of its episode's operations went through.
+    """
+    from recollect.operators.revise import op_outcomes
+    from recollect.operators.validation import checkpoint_filter, preflight_ops
+
+    scope = episodes.select(F.col("episode_id").alias("batch_id"), "scope")
+    ops = extract_ops(episodes).withColumnRenamed("episode_id", "batch_id").join(scope, "batch_id")
+    ops = ops.withColumns({"active_scope": F.col("scope"), "id": F.lit(None).cast("string"), "expected_version": F.lit(None).cast("long")})
+    checked = preflight_ops(ops).withColumns({"hard": F.lit(False), "failed": ~F.col("batch_ok")})
+    done = op_outcomes(checked)
+    batches = done.groupBy("batch_id").agg(F.count("*").alias("n_ops"), F.bool_and(F.col("status") == "ok").alias("ok"))
+    events = batches.select("batch_id", F.lit("write").alias("kind"), "n_ops", "ok")
+    kept = summaries.withColumnRenamed("episode_id", "batch_id").withColumn("force", F.lit(False)).join(batches.where("ok").select("batch_id"), "batch_id", "left_semi")
+    return done.select("batch_id", "idx", "op", "status"), events, checkpoint_filter(kept).select("batch_id", "status")
