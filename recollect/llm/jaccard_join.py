@@ -1,12 +1,13 @@
 """Exact n-gram Jaccard join of documents, down to connected components.
 
 1. Each text becomes a set of shingle hashes; equal sets are one set from then on.
-2. Highly similar sets meet in leaders: each set's least hash in each of 16 slices of the hash space is a
-   key; of the sets of a key and a size class the first is the leader. Pairs with a leader are verified.
+2. Highly similar sets meet in leaders: each set's least hash in each of 8 slices of the hash space is a
+   key; of the sets of a key and a size class the first is the leader. Each set's likeliest leader is verified.
 3. The exact join finds every further link between components. A set's prefix in one order of all shingles
    (frequent ones last) must meet the prefix of any set it links with. Index lists by shingle are cut into
    blocks by component, size and position in the prefix; blocks whose sizes and positions bound the
-   intersection too low, or that stand in one component, are skipped as wholes.
+   intersection too low, or that stand in one component, are skipped as wholes. So are pairs that share too
+   few shingles of their prefixes for what is left of them to make up.
 4. Candidates are verified by groups: the intersection of a leader with another set is computed once, and
    each of the leader's similar sets gets its own from it by the few shingles in which it differs.
 """
@@ -25,11 +26,11 @@ from recollect.llm.common import bounded_batches, text_or_empty, written
 from recollect.llm.components import components
 from recollect.llm.shingles import shingle_sets
 
-SLICES = 16
-STORED = 1.4  # prefixes are stored this many times as long, for frequent shingles that move to the end
-FREQUENT = 40  # shingles in more sets than this go last in the order ...
+SLICES = 8
+STORED = 1.25  # prefixes are stored this many times as long, for frequent shingles that move to the end
+FREQUENT = 40  # shingles in more components than this go last in the order ...
 MOST_FREQUENT = 500_000  # ... or in more than a multiple of it, so that these are at most so many
-BROADCAST_ROWS = 2_000_000  # 16 MB of longs
+BROADCAST_ROWS = 1_000_000  # at most 40 MB
 GROUP = 256
 
 
@@ -42,7 +43,7 @@ def _profiler(words: int, percent: int) -> Callable:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        slices = (np.arange(SLICES, dtype="u8") << np.uint64(60)).astype("u8")
+        slices = np.arange(SLICES, dtype="u8") * np.uint64((1 << 64) // SLICES)
         for batch in batches:
             digests, sizes, mins, lows = [], [], [], []
             for found in shingle_sets(batch.column("text").to_pylist(), words):
@@ -73,21 +74,22 @@ def _whole(words: int) -> Callable:
 
         for batch in batches:
             data = [x.tobytes() for x in shingle_sets(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), pa.array(data, pa.binary())], ["digest", "tokens"]
-            )
+            same = [xxhash.xxh3_128_digest(x) == d for x, d in zip(data, batch.column("digest").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(data, pa.binary())], ["sid", "tokens"]).filter(pa.array(same, pa.bool_()))
 
     return whole
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Written (sid, tokens) of the ``wanted`` sets (sid, doc_id, digest), computed anew from their texts."""
-    ids = wanted.select("doc_id").distinct()
+    """Written (sid, tokens) of the ``wanted`` sets (sid, doc_id, digest), computed anew from their texts.
+
+    Where rows repeat, so do their sets; links that come twice change nothing.
+    """
+    ids = wanted.select("sid", F.col("doc_id").alias("_id"), "digest")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    kept = texts.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = kept.select("text").mapInArrow(_whole(words), "digest binary, tokens binary")
-    return written(sets.join(wanted.select("sid", "digest"), "digest").dropDuplicates(["sid"]).select("sid", "tokens"), "sets")
+    kept = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "digest", "text")
+    return written(kept.mapInArrow(_whole(words), "sid long, tokens binary"), "sets")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -179,40 +181,57 @@ def _frequent(counts: DataFrame) -> list[int]:
     return [r.token for r in counts.where(F.col("n") > least).select("token").collect()]
 
 
-def _counter() -> Callable:
+def _exploder() -> Callable:
+    """(token, comp) of stored shingles; comp is doubled, and odd for the component's root."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n = np.unique(np.frombuffer(b"".join(batch.column("low").to_pylist()), "i8"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["token", "n"])
+            data = batch.column("low").to_pylist()
+            comp = batch.column("comp").to_numpy()
+            comp = 2 * comp + (comp == batch.column("sid").to_numpy())
+            found = np.frombuffer(b"".join(data), "i8")
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.repeat(comp, [len(x) // 8 for x in data]))], ["token", "comp"])
 
     return run
 
 
-def _poster(frequent, percent: int, known: bool) -> Callable:
-    """(token, sid, comp, n, place) of prefixes; sets whose stored shingles don't reach give a row with place -1."""
+def _within(sorted_tokens: np.ndarray, found: np.ndarray) -> np.ndarray:
+    if not len(sorted_tokens):
+        return np.zeros(len(found), bool)
+    return sorted_tokens[np.minimum(np.searchsorted(sorted_tokens, found), len(sorted_tokens) - 1)] == found
+
+
+def _poster(frequent, shared, percent: int, whole: bool) -> Callable:
+    """(token, sid, comp, n, place) of prefixes, only of ``shared`` shingles if they are given.
+
+    Sets whose stored shingles don't reach give a row with place -1, unless they are ``whole``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
+        last, kept = frequent.value, shared.value if shared else None
         for batch in batches:
             parts = []
             sid, comp, size = (batch.column(c).to_pylist() for c in ("sid", "comp", "n"))
             for s, c, n, data in zip(sid, comp, size, batch.column("low").to_pylist()):
                 found = np.frombuffer(data, "u8")
-                often = np.zeros(len(found), bool)
-                if len(last):
-                    often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                often = _within(last, found)
                 p = prefix_length(n, percent)
-                ordered = np.concatenate([found[~often], found[often]]) if known or len(found) == n else found[~often]
+                ordered = np.concatenate([found[~often], found[often]]) if whole or len(found) == n else found[~often]
                 if len(ordered) < p:
                     parts.append((np.zeros(1, "u8"), s, c, n, np.array([-1])))
-                else:
-                    parts.append((ordered[:p], s, c, n, np.arange(p)))
-            lengths = [len(x[0]) for x in parts]
-            whole = lambda k: np.repeat(np.array([x[k] for x in parts], "i8"), lengths)
+                    continue
+                ordered, place = ordered[:p], np.arange(p)
+                if kept is not None:
+                    use = _within(kept, ordered)
+                    ordered, place = ordered[use], place[use]
+                if len(ordered):
+                    parts.append((ordered, s, c, n, place))
             if parts:
+                lengths = [len(x[0]) for x in parts]
+                columns = [np.repeat(np.array([x[k] for x in parts], "i8"), lengths) for k in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in parts]).view("i8")), pa.array(whole(1)), pa.array(whole(2)),
-                     pa.array(whole(3).astype("i4")), pa.array(np.concatenate([x[4] for x in parts]).astype("i4"))],
+                    [pa.array(np.concatenate([x[0] for x in parts]).view("i8")), pa.array(columns[0]), pa.array(columns[1]),
+                     pa.array(columns[2].astype("i4")), pa.array(np.concatenate([x[4] for x in parts]).astype("i4"))],
                     ["token", "sid", "comp", "n", "place"],
                 )
 
@@ -222,54 +241,55 @@ def _poster(frequent, percent: int, known: bool) -> Callable:
 POSTINGS = "token long, sid long, comp long, n int, place int"
 
 
-def _filter_tokens(tokens) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = tokens.value
-        for batch in batches:
-            if batch.num_rows and len(last):
-                found = batch.column("token").to_numpy()
-                yield batch.filter(pa.array(last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found))
-
-    return run
-
-
 def _with_components(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
 
 
 def _candidates(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b, comp_a, comp_b, shared) of sets of different components whose prefixes and bounds allow a link."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    counts = sets.select("low").mapInArrow(_counter(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(F.col("n") > FREQUENT), "frequent")
+    context = docs.sparkSession.sparkContext
+    # One pass over all stored shingles tells how many components' roots hold each, and whether sets of different
+    # components do. Crowds of near copies make no shingle frequent.
+    each = sets.select("sid", "comp", "low").mapInArrow(_exploder(), "token long, comp long")
+    counts = each.groupBy("token").agg(F.sum(F.col("comp").bitwiseAND(F.lit(1))).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    apart = F.shiftright("least", 1) != F.shiftright("most", 1)
+    counts = written(counts.where(apart).select("token", "n"), "shared")
     frequent = context.broadcast(np.sort(np.array(_frequent(counts), "i8").view("u8")))
-    posted = written(sets.select("sid", "comp", "n", "low").mapInArrow(_poster(frequent, percent, False), POSTINGS), "postings")
-    short = sets.join(posted.where("place < 0").select("sid"), "sid", "left_semi")
+    shared = counts.select("token")
+    rows = sets.select("sid", "comp", "n", "low")
+    many = shared.count() > BROADCAST_ROWS
+    known = None if many else context.broadcast(np.sort(np.array([r.token for r in shared.toLocalIterator()], "i8").view("u8")))
+    posted = written(rows.mapInArrow(_poster(frequent, known, percent, False), POSTINGS), "postings")
+    short = sets.join(posted.where("place < 0").select("sid"), "sid", "left_semi").select("sid", "comp", "n", "doc_id", "digest")
+    posted = posted.where("place >= 0")
     if short.limit(1).count():
-        full = whole_sets(docs, short.select("sid", "doc_id", "digest"), words)
-        more = short.select("sid", "comp", "n").join(full.withColumnRenamed("tokens", "low"), "sid").select("sid", "comp", "n", "low")
-        posted = posted.where("place >= 0").unionByName(written(more.mapInArrow(_poster(frequent, percent, True), POSTINGS), "postings"))
-    shared = posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    shared = written(shared, "shared")
-    n_shared = shared.count()
-    if n_shared <= BROADCAST_ROWS:
-        known = context.broadcast(np.sort(np.array([r.token for r in shared.toLocalIterator()], "i8")))
-        lists = posted.mapInArrow(_filter_tokens(known), POSTINGS)
-    else:
-        lists = posted.join(shared, "token", "left_semi")
+        # Prefixes that go beyond what is stored: all their shingles count as shared, for every set.
+        short = written(short, "short")
+        full = short.select("sid", "comp", "n").join(whole_sets(docs, short, words).withColumnRenamed("tokens", "low"), "sid").select("sid", "comp", "n", "low")
+        more = written(full.mapInArrow(_poster(frequent, None, percent, True), POSTINGS), "postings")
+        others = rows.join(short.select("sid"), "sid", "left_anti").mapInArrow(_poster(frequent, None, percent, False), POSTINGS)
+        met = more.select("token").distinct()
+        if not many:
+            met = met.join(shared, "token", "left_anti")
+        small = met.count() <= BROADCAST_ROWS
+        posted = (posted if not many else posted.limit(0)).unionByName(others.join(F.broadcast(met) if small else met, "token", "left_semi"))
+        posted = posted.unionByName(more)
+        if many:
+            posted = posted.unionByName(others.join(shared.join(met, "token", "left_anti"), "token", "left_semi"))
+    elif many:
+        posted = posted.join(shared, "token", "left_semi")
+    lists = posted.dropDuplicates(["token", "sid"])
     # Blocks: sets that can link are in the same size class or in neighbouring ones.
     step = math.log(100 / percent) * (1 + 1e-9)
     lists = lists.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")).withColumn("at", F.floor(F.log2(F.col("place") + 1.0)).cast("int"))
     lists = written(lists, "lists")
+    # A shingle at places i and j bounds the intersection by the larger set less |i - j|: blocks, then pairs, too far apart are skipped.
     key = ["token", "comp", "size", "at"]
-    blocks = lists.groupBy(*key).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place"))
-    a, b = (blocks.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "size", "at", "least", "most", "place")]) for x in "ab")
-    most = 1 + F.least(F.col("most_a") - F.col("place_a") - 1, F.col("most_b") - F.col("place_b") - 1)
-    need = F.lit(percent) * (F.col("least_a") + F.col("least_b"))
-    met = a.join(b, "token").where(
-        (F.col("comp_a") < F.col("comp_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & ((100 + percent) * most >= need)
-    )
+    blocks = lists.groupBy(*key).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("from"), F.max("place").alias("to"))
+    a, b = (blocks.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "size", "at", "least", "most", "from", "to")]) for x in "ab")
+    apart = F.greatest(F.lit(0), F.col("from_a") - F.col("to_b"), F.col("from_b") - F.col("to_a"))
+    able = (100 + percent) * (F.greatest("most_a", "most_b") - apart) >= percent * (F.col("least_a") + F.col("least_b"))
+    met = a.join(b, "token").where((F.col("comp_a") < F.col("comp_b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1) & able)
     one = lists.select("token", *[F.col(c).alias(f"{c}_a") for c in ("comp", "size", "at")], F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
     two = lists.select("token", *[F.col(c).alias(f"{c}_b") for c in ("comp", "size", "at")], F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
     pairs = (
@@ -277,20 +297,27 @@ def _candidates(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> D
         .join(one, ["token", "comp_a", "size_a", "at_a"])
         .join(two, ["token", "comp_b", "size_b", "at_b"])
     )
-    bound = 1 + F.least(F.col("n_a") - F.col("p_a") - 1, F.col("n_b") - F.col("p_b") - 1)
-    good = _similar_sizes(F.col("n_a"), F.col("n_b"), percent) & ((100 + percent) * bound >= percent * (F.col("n_a") + F.col("n_b")))
-    return written(pairs.where(good).groupBy("a", "b", "comp_a", "comp_b").agg(F.count("*").alias("shared")), "candidates")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    near = (100 + percent) * (F.greatest(n_a, n_b) - F.abs(F.col("p_a") - F.col("p_b"))) >= percent * (n_a + n_b)
+    met = pairs.where(_similar_sizes(n_a, n_b, percent) & near).groupBy("a", "b", "comp_a", "comp_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    # Of common shingles, those up to the end of the shorter reaching prefix are in both; the others are beyond it in that set.
+    beyond = lambda n: F.floor((n * percent + 99) / 100) - 1
+    enough = (100 + percent) * (F.col("shared") + F.greatest(beyond(n_a), beyond(n_b))) >= percent * (n_a + n_b)
+    return written(met.where(enough).drop("n_a", "n_b"), "candidates")
 
 
 def _leaders(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Written (sid, leader, added, removed) for each set that links with the leader of one of its keys."""
     step = math.log(100 / percent)
     size = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    keyed = written(sets.select("sid", "n", size.alias("size"), F.posexplode("mins").alias("_", "value")).drop("_"), "keys")
+    keyed = sets.select("sid", "n", size.alias("size"), F.size("mins").alias("keys"), F.explode("mins").alias("value"))
     first = keyed.groupBy("value", "size").agg(F.min(F.struct("sid", "n")).alias("f"), F.count("*").alias("times")).where("times > 1")
     met = keyed.join(first.select("value", "size", F.col("f.sid").alias("leader"), F.col("f.n").alias("leader_n")), ["value", "size"])
-    pairs = met.where((F.col("sid") != F.col("leader")) & _similar_sizes(F.col("n"), F.col("leader_n"), percent))
-    pairs = written(pairs.groupBy("sid", "leader").agg(F.count("*").alias("times")), "leaders")
+    met = met.where((F.col("sid") != F.col("leader")) & _similar_sizes(F.col("n"), F.col("leader_n"), percent))
+    # The leader of most of a set's keys, if that is half of them.
+    likely = met.groupBy("sid", "leader", "keys").agg(F.count("*").alias("times")).where("2 * times >= keys")
+    pairs = likely.groupBy("sid").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("m")).select("sid", (-F.col("m.leader")).alias("leader"))
+    pairs = written(pairs, "leaders")
     needed = pairs.select("sid").unionByName(pairs.select(F.col("leader").alias("sid"))).distinct()
     tokens = whole_sets(docs, sets.select("sid", "doc_id", "digest").join(needed, "sid"), words)
     rows = pairs.join(tokens, "sid").join(tokens.select(F.col("sid").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader")

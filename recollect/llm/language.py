@@ -168,8 +168,8 @@ def _examples(idf: np.ndarray, labels: list[str]) -> Callable:
     return make
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns, lang_pred and score for each row of ``docs`` (text); ``und`` and 0 without letters."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, lang_pred and score for each row of ``docs``; ``und`` and 0 where ``text`` has no letter."""
     fields = [docs.schema[c] for c in keep]
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns + made, [*keep, "lang_pred", "score"])
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,6 +211,6 @@ def confident(docs: DataFrame, times: float = 1.5) -> DataFrame:
     """
     model = fit(docs)
     least = min(times / max(1, len(model.labels)), 1.0)
-    renamed = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c in ("lang_pred", "score")})
-    kept = predict(renamed, model, renamed.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({f"_{c}": c for c in docs.columns if c in ("lang_pred", "score")})
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever they are called, no name clashes
+    found = predict(docs.toDF(*names), model, names, names[docs.columns.index("text")])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(names).toDF(*docs.columns)
