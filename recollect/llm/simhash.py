@@ -137,7 +137,8 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = _ordered(docs).withColumn("h", F.xxhash64("text"))
     down = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("h"))
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).select("bucket", "top.*")
-    heads = firsts.join(rows.select("bucket", "id", "h", "text"), ["bucket", "id", "h"]).dropDuplicates(["bucket"])
+    heads = rows.select("bucket", "id", "h", "text").join(F.broadcast(firsts), ["bucket", "id", "h"])  # a row a bucket
+    heads = heads.groupBy("bucket").agg(F.max("text").alias("text"))
     order = Window.orderBy(F.desc("bucket"))  # as many rows as buckets
     numbered = firsts.select("bucket", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("of"))
     heads = numbered.join(heads, "bucket").select(F.col("of").alias("bucket"), F.col("text").alias("head"))
