@@ -215,7 +215,7 @@ def _of_dimension(rows: DataFrame, asking: DataFrame, dim: int, most2: float, k:
         last = None if width is None else first + width
         routed = queries.mapInArrow(_router(dim, pivots, meta, most2, first, last), ROUTED)
         asked = routed.groupBy("block", "chunk").agg(F.collect_list(F.struct("query_id", "q", "kth")).alias("asked"))
-        pairs = asked.join(index.select("block", "ids", "vectors"), "block").select("ids", "vectors", "asked")
+        pairs = asked.join(index.select("block", "ids", "vectors").hint("merge"), "block").select("ids", "vectors", "asked")
         scored = pairs.mapInArrow(_scorer(dim, k), SCORED)
         found = best(scored if found is None else found.unionByName(scored), k)
         if width is None:
