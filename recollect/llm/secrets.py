@@ -1,10 +1,11 @@
 """Secrets in texts and who owns them, in DataFrame operations only.
 
 Base patterns give spans of assignments, access keys and hexadecimal keys. The method adds to them: the
-value of each span, and each long opaque word that mixes letters and digits, is hashed; over the whole
-corpus the hashes' distinct repositories and owners are counted. A value that one or two owners hold and
-that looks live is owner-specific: its occurrences anywhere are ``live`` spans. A value that many owners
-hold is a copied example.
+value of each span, and each long opaque word that mixes letters and digits, as a whole and cut at /, is hashed
+(= and . end a word, but for = as padding); over the whole corpus the hashes' distinct repositories and owners are counted, wherever a
+value stands between other characters than letters, digits, +, _ and -. A value that one or two owners hold
+and that looks live is owner-specific, whether a base pattern meets it or not: its occurrences anywhere are
+``live`` spans. A value that many owners hold is a copied example.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ HINTS = {
     "hex": r"[0-9a-f]{24}",
     "opaque": r"[A-Za-z0-9+/_=-]{16}",
 }
-OPAQUE = r"[A-Za-z0-9+/_=-]+"
+OPAQUE = r"[A-Za-z0-9+/_-]+=*"  # NAME=VALUE is two words
+PIECE = r"[A-Za-z0-9+_-]+"  # what =, / and . leave of a word
 OPAQUE_LENGTH = 16
+LEAST = min(least for *_, least in KINDS)
 #: Words that stand in examples.
 PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your|test|1234567"
 OWNERS = 2
 DISTINCT_CHARACTERS = 8
+BROADCAST_ROWS = 500_000  # values, at most about 100 MB
 SPAN = "struct<kind:string,ord:int,start:int,`end`:int,vstart:int,vend:int,value:string>"
 
 
@@ -59,47 +63,84 @@ def _found(text: Column, kind: str, order: int, pattern: str, group: int, least:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row`` (a number of its own), ``base`` (spans of the base kinds) and ``opaque`` (spans of words)."""
+    """``docs`` with ``row`` (a number of its own), ``base`` (spans of the base kinds) and ``opaque`` (spans of words and their pieces)."""
     text = F.col("text")
     found = [_found(text, kind, i, pattern, group, least) for i, (kind, pattern, group, least) in enumerate(KINDS)]
     opaque = F.filter(
-        _found(text, "opaque", len(KINDS), OPAQUE, 0, OPAQUE_LENGTH),
+        F.array_union(*[_found(text, "opaque", len(KINDS), pattern, 0, OPAQUE_LENGTH) for pattern in (OPAQUE, PIECE)]),
         lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"),
     )
     base = F.array_sort(F.concat(*found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
     return docs.withColumns({"base": base, "opaque": opaque, "row": F.monotonically_increasing_id()})
 
 
+def _lively(value: Column) -> Column:
+    return (
+        (~value.rlike(PLACEHOLDERS)) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARACTERS)
+    )
+
+
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value_hash, known, repositories, owners and live for candidates (value, known, repository, owner).
+    """value_hash, known, repositories, owners and live for candidates (value_hash, known, lively, repository, owner).
 
     Counts of distinct repositories and owners are over the whole table, first by (value, repository,
     owner), so that a value copied everywhere is reduced before its rows meet.
     """
-    value = F.col("value")
-    each = candidates.groupBy(F.sha2(value, 256).alias("value_hash"), "repository", "owner").agg(
-        F.max("known").alias("known"),
-        F.max(
-            (~value.rlike(PLACEHOLDERS)) & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-            & (F.size(F.array_distinct(F.split(value, ""))) >= DISTINCT_CHARACTERS)
-        ).alias("lively"),
-    )
+    each = candidates.groupBy("value_hash", "repository", "owner").agg(F.max("known").alias("known"), F.max("lively").alias("lively"))
     counted = each.groupBy("value_hash").agg(
         F.max("known").alias("known"), F.max("lively").alias("lively"),
         F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"),
     )
-    live = F.col("known") & F.col("lively") & (F.col("owners") <= OWNERS)
-    return counted.select("value_hash", "known", "repositories", "owners", live.alias("live"))
+    return counted.select("value_hash", "known", "repositories", "owners", (F.col("lively") & (F.col("owners") <= OWNERS)).alias("live"))
+
+
+def _places(text: Column, value: Column) -> Column:
+    """Where ``value`` stands in ``text`` and no piece goes on at its ends: an array of starts, overlapping ones too."""
+    edge = PIECE.removesuffix("+")
+    ahead = F.concat(F.lit(rf"(?<!{edge})(?=\Q"), value, F.lit(rf"\E(?!{edge}))"))
+    lengths = F.transform(F.split(text, ahead, -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"] + n)).alias("out"))
+    later = F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), start, step, lambda state: state["out"])
+    # An empty match at the very start doesn't split.
+    return F.when(F.regexp_like(text, F.concat(F.lit("^"), ahead)), F.concat(F.array(F.lit(0)), later)).otherwise(later)
+
+
+def elsewhere(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Written (value_hash, repository, owner, known, lively, mark, places): every place of the candidates' values in ``texts``.
+
+    Each text's distinct pieces are met with each value's longest piece; a value of more than one piece is then
+    looked for in the text. Places (starts, and the value's length) are only of values that look live, by the
+    text's mark; for others, mark and places are null and one row stands for a repository and an owner.
+    Opaque words without =, / and . are whole pieces, which the scan has met everywhere.
+    """
+    values = candidates.where(F.col("known") | F.col("value").rlike("[=/.]")).groupBy("value").agg(F.max("known").alias("known"))
+    pieces = F.array_sort(F.split("value", "[=/.]+"), lambda a, b: F.length(b) - F.length(a))
+    values = values.select("value", "known", _lively(F.col("value")).alias("lively"), F.get(pieces, 0).alias("piece")).where("piece <> ''")
+    values = written(values, "secret-values")
+    if values.count() <= BROADCAST_ROWS:
+        values = F.broadcast(values)
+    words = texts.select("mark", "repository", "owner", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))).alias("piece"))
+    value = F.col("value")
+    met = words.join(values, "piece").where((value == F.col("piece")) | F.contains("text", "value"))
+    look = F.col("lively") | (value != F.col("piece"))
+    met = met.select("mark", "repository", "owner", "value", "known", "lively", F.when(look, _places(F.col("text"), value)).alias("starts"))
+    met = met.where("starts IS NULL OR size(starts) > 0")
+    places = F.when(F.col("lively"), F.struct("starts", F.length("value").alias("length")))
+    key = [F.sha2("value", 256).alias("value_hash"), "repository", "owner", "known", "lively", F.when(F.col("lively"), F.col("mark")).alias("mark")]
+    return written(met.select(*key, places.alias("places")).distinct(), "secret-places")
 
 
 def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
     """Spans of all secrets of ``docs`` (doc_id, text): a row for each document, and the ownership table.
 
     The first frame has doc_id, mark (md5 of the text), base and live (arrays of spans, start and end in code
-    points), and example, where its base spans stand whose value many owners hold. A null or empty text has no
-    spans. Rows stand alone, also where a doc_id is null or repeated; a null repository or owner counts as
-    none. An empty table gives no rows; other columns are left alone. The scan is written to the shared
-    folder without the texts; what is joined and shuffled after that is candidates only.
+    points), and example, where its base spans stand whose value many owners hold. Dots at a value's end are
+    no part of it. A null or empty text has no spans. Rows stand alone, also where a doc_id is null or
+    repeated; a null repository or owner counts as none. An empty table gives no rows; other columns are left
+    alone. The scan is written to the shared folder without the texts; what is joined and shuffled after that
+    is candidates only.
     """
     text = text_or_empty()
     texts = docs.select(F.col("doc_id"), text.alias("text"), F.md5(text).alias("mark"), repository.alias("repository"), owner.alias("owner"))
@@ -107,21 +148,35 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[Da
     each = scanned.where((F.size("base") > 0) | (F.size("opaque") > 0)).select(
         "row", "repository", "owner", F.explode(F.concat("base", "opaque")).alias("span")
     )
-    candidates = each.select(
-        "row", "repository", "owner", "span", F.col("span.value").alias("value"), (F.col("span.kind") != "opaque").alias("known")
-    )
-    owned = written(ownership(candidates), "secret-owners")
-    judged = candidates.withColumn("value_hash", F.sha2("value", 256)).join(owned.where("known").select("value_hash", "owners", "live"), "value_hash")
-    live = F.struct(F.lit("live").alias("kind"), F.lit(len(KINDS)).alias("ord"), F.col("span.vstart").alias("start"), F.col("span.vend").alias("end"))
+    value = F.col("span.value")
+    bare = F.regexp_replace(value, r"\.+$", "")
+    value = F.when(F.length(bare) >= LEAST, bare).otherwise(value)
+    candidates = each.select("row", "repository", "owner", "span", value.alias("value"), (F.col("span.kind") != "opaque").alias("known"))
+    candidates = candidates.withColumns({"value_hash": F.sha2("value", 256), "lively": _lively(F.col("value"))})
+    places = elsewhere(texts, candidates)
+    counted = ["value_hash", "known", "lively", "repository", "owner"]
+    owned = written(ownership(candidates.select(*counted).unionByName(places.select(*counted))), "secret-owners")
+    # A longer word around a copied example, such as a path to it, isn't live for the example's sake.
+    inner = candidates.where(~F.col("known") & F.col("lively") & F.col("value").contains("/")).select(F.col("value_hash").alias("outer"), F.explode(F.split("value", "[=/]+")).alias("piece"))
+    inner = inner.distinct().withColumn("value_hash", F.sha2("piece", 256)).join(owned.where(F.col("known") & (F.col("owners") > OWNERS)), "value_hash", "left_semi")
+    around = inner.select(F.col("outer").alias("value_hash"), F.lit(True).alias("around")).distinct()
+    owned = owned.join(around, "value_hash", "left").withColumn("live", F.col("live") & (F.col("known") | F.col("around").isNull())).drop("around")
+    owned = written(owned, "secret-judged")
+    told = owned.where(F.col("live") | (F.col("known") & (F.col("owners") > OWNERS))).select("value_hash", "owners", "live")
+    judged = candidates.join(told, "value_hash")
+    span = lambda start, end: F.struct(F.lit("live").alias("kind"), F.lit(len(KINDS)).alias("ord"), start.alias("start"), end.alias("end"))
+    start = F.col("span.vstart")
     by_row = judged.groupBy("row").agg(
-        F.array_sort(F.collect_set(F.when(F.col("live"), live))).alias("live"),
+        F.array_sort(F.collect_set(F.when(F.col("live"), span(start, start + F.length("value"))))).alias("live"),
         F.array_sort(F.collect_set(F.when(F.col("known") & (F.col("owners") > OWNERS), F.struct("span.start", "span.end")))).alias("example"),
     )
+    at = places.where("mark IS NOT NULL").select("mark", "value_hash", "places").distinct().join(owned.where("live").select("value_hash"), "value_hash")
+    at = at.select("mark", F.explode("places.starts").alias("start"), F.col("places.length").alias("length"))
+    by_mark = at.groupBy("mark").agg(F.collect_set(span(F.col("start"), F.col("start") + F.col("length"))).alias("more"))
     no_spans = F.array().cast("array<struct<kind:string,ord:int,start:int,`end`:int>>")
     none = F.array().cast("array<struct<start:int,`end`:int>>")
-    out = scanned.join(by_row, "row", "left").select(
-        "doc_id", "mark", "base", F.coalesce("live", no_spans).alias("live"), F.coalesce("example", none).alias("example")
-    )
+    live = F.array_sort(F.array_union(F.coalesce("live", no_spans), F.coalesce("more", no_spans)))
+    out = scanned.join(by_row, "row", "left").join(by_mark, "mark", "left").select("doc_id", "mark", "base", live.alias("live"), F.coalesce("example", none).alias("example"))
     return out, owned
 
 

@@ -61,6 +61,30 @@ def test_redaction(docs):
     assert not any(LIVE in (t or "") for t in texts) and "é [SECRET] und" in texts and texts.count("password=example12345") == 2
 
 
+def test_secrets_that_no_base_pattern_meets_and_other_places(spark):
+    bare, short, dotted, slashed, copied = "ghp_Zk83hQpLm29XcVbN71", "k9Xw2Lq7vB", "q8Zt.M4nvX1.c7Kd", "wJ7rXU/K7MDENG9/bPxRfiCY5z==", "hT6yPq2WnB"
+    texts = [
+        (f"key {bare}!", "a"), (f"x/{bare}", "a"),  # no base pattern anywhere
+        (f"password={short}. Then", "a"), (f"{short} OTHER={short}/x.{short} z{short} {short}9", "a"),
+        (f"secret: {dotted}", "a"), (f"path/{dotted} {dotted}.", "b"), (f"é {slashed}", "b"), (f"KEY={slashed}", "b"),
+        (f"token={copied}", "a"), (f"UP={copied}", "b"), (f"see its/path/{copied}.", "c"),  # three owners, one of them by the base pattern
+        (None, "a"),
+    ]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    found, owned = find_secrets(docs, F.col("source"), F.col("source"))
+    by = {r.value_hash: (r.known, r.owners, r.live) for r in owned.collect()}
+    want = {bare: (False, 1, True), short: (True, 1, True), dotted: (True, 2, True), slashed: (False, 1, True), copied: (True, 3, False)}
+    assert {v: by[sha256(v.encode()).hexdigest()] for v in want} == want
+    spans = {r.doc_id: {(s.start, s.end) for s in r.live} for r in found.collect()}
+    edge = "[A-Za-z0-9+_-]"
+    for i, (text, _) in enumerate(texts):
+        every = {m.span(1) for v in want if want[v][2] for m in re.finditer(f"(?<!{edge})(?=({re.escape(v)})(?!{edge}))", text or "")}
+        assert every <= spans[i] and (every or not spans[i])
+    clean = {r.doc_id: r.text for r in redact(docs, F.col("source"), F.col("source")).collect()}
+    assert not any(v in (t or "") for i, t in clean.items() for v in (bare, dotted, slashed)) and clean[3] == f"[SECRET] OTHER=[SECRET]/x.[SECRET] z{short} {short}9"
+    assert all(clean[i] == texts[i][0] for i in (8, 9, 10, 11))
+
+
 def test_secrets_of_an_empty_table(docs):
     assert secret_report(docs.limit(0), F.col("source"), F.col("source")).collect() == []
 
