@@ -159,9 +159,10 @@ def fingerprint_report(docs: DataFrame, every: int = 100, radius: int = RADIUS)
     """Fingerprints of all rows of ``docs`` (doc_id, text) and of their edited texts.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hexadecimal digits; those of
-    a text without words are 0), near_edited, near_next, and n_within: for rows whose doc_id is divisible by
-    ``every``, how many rows (itself among them) have fingerprints within ``radius`` bits, else null. A null
-    text is empty. Rows stand alone, also where a doc_id is null or repeated; an empty table gives no rows;
+    a text without words are 0), near_edited, near_next, and n_within and within: for rows whose doc_id is
+    divisible by ``every``, how many rows (itself among them) have fingerprints within ``radius`` bits, and
+    these fingerprints in order, else null. The partners are the rows of the result with such a fingerprint;
+    listed so, a group of copies is one entry. A null text is empty. Rows stand alone, also where a doc_id is null or repeated; an empty table gives no rows;
     other columns are left alone.
     """
     halves = edited(docs)
@@ -188,7 +189,7 @@ def fingerprint_report(docs: DataFrame, every: int = 100, radius: int = RADIUS)
     linked = rows.withColumn("following", F.lead("fingerprint").over(down)).join(F.broadcast(heads), "bucket")
     counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = rows.where(F.col("doc_id") % every == 0)
-    near = within_radius(asked, counts, radius).join(counts, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n"))
+    near = within_radius(asked, counts, radius).join(counts, "fingerprint").withColumnRenamed("fingerprint", "fingerprint_b").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n"), F.collect_list("fingerprint_b").alias("near"))
     out = linked.join(near, "fingerprint", "left")
     hexa = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select(
@@ -196,4 +197,5 @@ def fingerprint_report(docs: DataFrame, every: int = 100, radius: int = RADIUS)
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.coalesce("following", "head")).alias("near_next"),
         F.when(F.col("doc_id") % every == 0, F.col("n")).alias("n_within"),
+        F.when(F.col("doc_id") % every == 0, F.array_sort(F.transform("near", hexa))).alias("within"),
     )

@@ -127,6 +127,20 @@ def test_fingerprints(docs):
             assert r.n_within is None
 
 
+def test_partners_within_the_radius(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {0: words, 1: words, 2: [*words[:-1], "other"], 3: words[::-1], 4: [*words[:200], "x", *words[201:]]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    rows = fingerprint_report(docs, every=2).collect()
+    for r in rows:
+        near = {x.doc_id for x in rows if bits(r.fingerprint, x.fingerprint) <= 3}
+        if r.doc_id % 2:
+            assert r.within is None
+        else:
+            assert {x.doc_id for x in rows if x.fingerprint in r.within} == near and r.within == sorted(set(r.within)) and r.n_within == len(near)
+    assert {0, 1} <= {x.doc_id for r in rows if r.doc_id == 0 for x in rows if x.fingerprint in r.within}
+
+
 def test_fingerprints_of_repeats_nulls_and_nothing(docs):
     assert fingerprint_report(docs).count() == len(TEXTS)
     assert fingerprint_report(docs.limit(0)).collect() == []
