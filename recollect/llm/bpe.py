@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import bounded_batches, text_or_empty
+from recollect.llm.common import sliced, text_or_empty
 from recollect.llm.word_cache import KEPT_LENGTH, KEPT_WORDS, WordCache
 
 NONE = 1 << 30
@@ -184,7 +184,6 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     empty text has no ids and decodes to an empty text. Each row has its own result, also where a doc_id is
     null or repeated; an empty table gives no rows; other columns are left alone. No shuffle.
     """
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     schema = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return texts.mapInArrow(_coder(path, digests), f"doc_id long, n_tokens long, {schema}")
+    return texts.mapInArrow(sliced(_coder(path, digests)), f"doc_id long, n_tokens long, {schema}")

@@ -1,41 +1,75 @@
-"""What the operators share: the cluster's shared folder, tables written to it, and batch bounds."""
+"""What the operators share: the cluster's shared folder, tables written to it, and bounded batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in a local test, a new temporary folder is taken and remembered.
+    Only in a local session where that is unset, as in a test, a new temporary folder is taken and
+    remembered; on a cluster that would be another folder on each machine, so there it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = f"file://{tempfile.mkdtemp(prefix='recollect-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, or in the scratch folder of the operator that runs."""
+    return f"{_scratch.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is dropped at the end.
+
+    Only what is written after the end may be read later.
+    """
+    folder = shared_path(spark, label)
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        drop(spark, folder)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store through Hadoop's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def outside(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder itself: for what outlives the scratch folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """The same rows, from a table in the shared folder: they outlive executors and cut the lineage.
 
     Once the table is there, nothing needs the shuffle files that made it; Spark is told to drop them.
     """
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -45,9 +79,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of at most ``rows`` rows in this session, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows. Spark bounds a batch's bytes itself."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def sliced(run: Callable, rows: int = BATCH_ROWS) -> Callable:
+    """``run``, given its batches in parts of at most ``rows`` rows."""
+    return lambda batches: run(slices(batches, rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import bounded_batches
+from recollect.llm.common import sliced
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -128,14 +128,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     Labels, their counts and document frequencies are over all rows; weights are fitted on at most
     ``sample`` of them, as many for each language as there are, by the least hashes of their texts.
     """
-    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(sizes)
     df = np.zeros(FEATURES)
     if not labels:
         return Model([], df, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    for r in rows.select("text").mapInArrow(_document_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(sliced(_document_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r.feature] = r.n
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
     quota = max(1, sample // len(labels))
@@ -143,7 +142,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name]))])
     drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).orderBy(F.xxhash64("text", F.lit(3)), "lang").limit(sample)
-    for r in drawn.mapInArrow(_examples(idf, labels), "label int, at array<int>, value array<float>").toLocalIterator():
+    for r in drawn.mapInArrow(sliced(_examples(idf, labels)), "label int, at array<int>, value array<float>").toLocalIterator():
         examples.append((np.array(r.at), np.array(r.value), r.label))
     back, used = examples[::KEPT_BACK], [x for i, x in enumerate(examples) if i % KEPT_BACK] or examples
     weights, bias = train(used, len(labels))
@@ -172,7 +171,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """``keep`` columns, lang_pred and score for each row of ``docs``; ``und`` and 0 where ``text`` has no letter."""
     fields = [docs.schema[c] for c in keep]
     spark = docs.sparkSession
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # FEATURES rows by the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +182,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             yield pa.RecordBatch.from_arrays(columns + made, [*keep, "lang_pred", "score"])
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(sliced(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import bounded_batches, text_or_empty, written
+from recollect.llm.common import sliced, text_or_empty, written
 from recollect.llm.word_ids import word_ids
 
 SHORT = 32
@@ -113,9 +113,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024)
     left alone. sequence_id is unique, not gapless. Each text is encoded once; the pieces (not the ids)
     are written to the shared folder, as which bins a worker filled must not change in a second run.
     """
-    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    pieces = written(texts.mapInArrow(_packer(tokenizer, end_id, capacity), PIECES), "pieces")
+    pieces = written(texts.mapInArrow(sliced(_packer(tokenizer, end_id, capacity)), PIECES), "pieces")
     left = pieces.where("sequence_id IS NULL")
     counts = left.groupBy("class", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)

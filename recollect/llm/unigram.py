@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import bounded_batches, text_or_empty
+from recollect.llm.common import sliced, text_or_empty
 from recollect.llm.word_cache import WordCache
 
 SPACE = "▁"
@@ -130,6 +130,5 @@ def count_tokens(docs: DataFrame, model: str) -> DataFrame:
     A null or empty text has 0 tokens and score 0. Each row has its own result, also where a doc_id is
     null or repeated; an empty table gives no rows; other columns are left alone. No shuffle.
     """
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return texts.mapInArrow(_counter(model), "doc_id long, n_tokens long, score double")
+    return texts.mapInArrow(sliced(_counter(model)), "doc_id long, n_tokens long, score double")
