@@ -93,12 +93,30 @@ def relocate_report(spark, sf_dir):
     return artifacts.relocate_report(rows, files, copies).select("id", "outcome", "reason")
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'guard_rejected' ELSE 'rebound' END AS status FROM documents WHERE doc_id % 2 = 0")
+_MOVES = """
+    WITH m AS (SELECT doc_id AS id, n * 10 + doc_id % 3 AS seq, CASE WHEN doc_id % 4 = 0 AND n < 2 THEN 'gone' ELSE 'a/' || doc_id END AS expected, 'b' || n AS location
+        FROM documents, (SELECT unnest([1, 2, 3]) AS n) WHERE doc_id % 2 = 0),
+    o AS (SELECT *, CASE WHEN expected = 'gone' THEN 'guard_rejected' WHEN row_number() OVER (PARTITION BY id, expected = 'gone' ORDER BY seq) = 1 THEN 'rebound' ELSE 'conflict' END AS status FROM m)
+"""
+
+
+def _moves(spark, sf_dir):
+    """Three moves for each second artifact, some with a location that isn't the present one."""
+    d, n = F.col("id"), F.col("n")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("a/"), "doc_id").alias("location"))
+    asked = rows.where(d % 2 == 0).withColumn("n", F.explode(F.lit([1, 2, 3])))
+    expected = F.when((d % 4 == 0) & (n < 2), "gone").otherwise(F.col("location"))
+    return artifacts.rebind_locations(rows, asked.select((n * 10 + d % 3).alias("seq"), "id", expected.alias("expected_location"), F.concat(F.lit("b"), n).alias("location")))
+
+
+@query(f"{_MOVES} SELECT seq, id, status FROM o")
 def rebind_locations(spark, sf_dir):
-    d = F.col("doc_id")
-    rows = read(spark, sf_dir, "documents").select(d.alias("id"), F.concat(F.lit("a/"), d).alias("location"))
-    moves = rows.where(F.col("id") % 2 == 0).select("id", F.when(F.col("id") % 4 == 0, "gone").otherwise(F.col("location")).alias("expected_location"), F.lit("b").alias("location"))
-    return artifacts.rebind_locations(rows, moves)[1]
+    return _moves(spark, sf_dir)[1]
+
+
+@query(f"{_MOVES} SELECT doc_id AS id, coalesce(location, 'a/' || doc_id) AS location FROM documents LEFT JOIN (SELECT id, location FROM o WHERE status = 'rebound') ON id = doc_id")
+def rebound_artifacts(spark, sf_dir):
+    return _moves(spark, sf_dir)[0]
 
 
 @query("""

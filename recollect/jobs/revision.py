@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.jobs.registry import query
 from recollect.operators import revise
-from recollect.sources.derived import CHAINS, MEMORIES, chains, memories, read
+from recollect.sources.derived import CHAINS, MEMORIES, TASK_STATE, chains, memories, read, task_state_ops
 
 AT = "2024-02-01 12:00:00"
 
@@ -138,18 +138,52 @@ def version_conflicts(spark, sf_dir):
     return revise.version_conflicts(_requests(spark, sf_dir).withColumnRenamed("prior_id", "id"), chains(spark, sf_dir))
 
 
-@query("""
-    WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
-    w AS (SELECT conv_id, turn FROM r WHERE n = 1)
-    SELECT 'm' || doc_id AS id, CASE WHEN turn IS NULL THEN '{"a":"' || source || '","b":"1"}' ELSE '{"a":"' || source || '","b":"' || turn || '","c":"x"}' END AS attrs,
-        doc_id % 3 + 1 + (turn IS NOT NULL)::BIGINT AS version, CASE WHEN turn IS NOT NULL THEN 'ok' END AS status FROM documents LEFT JOIN w ON conv_id = doc_id
+_ANNOTATED = """
+    WITH m AS (SELECT 'm' || doc_id AS id, 'org/' || doc_id % 2 AS scope, CASE doc_id % 6 WHEN 4 THEN NULL WHEN 5 THEN '[1]' ELSE '{"a":"' || source || '","b":1,"o":{"p":[' || doc_id || ',null]}}' END AS attrs,
+        doc_id % 3 + 1 AS version, CAST(0.5 AS DOUBLE) AS confidence, doc_id FROM documents),
+    r AS (SELECT conv_id * 100 + turn AS seq, CASE WHEN conv_id % 11 = 0 THEN 'zz' ELSE 'm' END || conv_id AS id, 'org/' || CASE WHEN turn % 5 = 4 THEN 'x' ELSE '' END || conv_id % 2 AS scope, CASE WHEN turn % 3 = 0 THEN 1 END AS expected, turn,
+        CASE WHEN turn % 4 = 3 THEN NULL ELSE '{"b":' || turn || ',"t":true,"z":null,"o":{"q":1.5}' || CASE WHEN turn % 6 = 5 THEN ',"l":"' || repeat('x', 5000) || '"' ELSE '' END || '}' END AS attrs FROM conversations),
+    c AS (SELECT r.seq, r.id, r.turn, m.version, r.attrs, CASE WHEN m.id IS NULL THEN 'not_found' WHEN r.scope <> m.scope THEN 'scope_denied' WHEN expected <> m.version THEN 'version_conflict' WHEN turn % 12 = 5 THEN 'attrs_too_large' END AS reason
+        FROM r LEFT JOIN m USING (id)),
+    o AS (SELECT *, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY reason IS NOT NULL, seq) = 1 THEN 'ok' ELSE 'conflict' END) AS status FROM c)
+"""
+
+
+def _annotated(spark, sf_dir):
+    """Documents as memories with attrs of every JSON type; turns of conversations as requests, some of them bad."""
+    d, turn, conv = F.col("doc_id"), F.col("turn"), F.col("conv_id")
+    attrs = F.when(d % 6 == 5, "[1]").when(d % 6 != 4, F.concat(F.lit('{"a":"'), "source", F.lit('","b":1,"o":{"p":['), d, F.lit(",null]}}")))
+    rows = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("m"), d).alias("id"), F.concat(F.lit("org/"), d % 2).alias("scope"), attrs.alias("attrs"), (d % 3 + 1).alias("version"), F.lit(0.5).alias("confidence")
+    )
+    long = F.when(turn % 6 == 5, F.concat(F.lit(',"l":"'), F.repeat(F.lit("x"), F.lit(5000)), F.lit('"'))).otherwise("")
+    asked = read(spark, sf_dir, "conversations").select(
+        (conv * 100 + turn).alias("seq"), F.concat(F.when(conv % 11 == 0, "zz").otherwise("m"), conv).alias("id"),
+        F.concat(F.lit("org/"), F.when(turn % 5 == 4, "x").otherwise(""), conv % 2).alias("scope"), F.when(turn % 3 == 0, 1).alias("expected_version"),
+        F.when(turn % 4 != 3, F.concat(F.lit('{"b":'), turn, F.lit(',"t":true,"z":null,"o":{"q":1.5}'), long, F.lit("}"))).alias("attrs"),
+        F.when(turn % 2 == 0, 0.75).alias("confidence"), F.lit(None).cast("string").alias("provenance_source"), F.lit(None).cast("string").alias("provenance_kind"), (turn % 4 != 3).alias("bump_version"),
+    )
+    return revise.apply_annotations(asked, rows, F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query(f"""{_ANNOTATED}
+    SELECT m.id, m.scope, CASE WHEN w.attrs IS NULL THEN m.attrs WHEN doc_id % 6 >= 4 THEN w.attrs
+            ELSE (json_object('a', m.attrs->>'a', 'b', turn)::VARCHAR)[:-2] || ',"o":{{"q":1.5}},"t":true,"z":null}}' END AS attrs,
+        m.version + CASE WHEN w.turn % 4 <> 3 THEN 1 ELSE 0 END AS version, CASE WHEN w.turn % 2 = 0 THEN CAST(0.75 AS DOUBLE) ELSE confidence END AS confidence
+    FROM m LEFT JOIN (SELECT id, turn, attrs FROM o WHERE status = 'ok') w USING (id)
 """)
 def apply_annotations(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.concat(F.lit('{"a":"'), "source", F.lit('","b":"1"}')).alias("attrs"), (F.col("doc_id") % 3 + 1).alias("version"))
-    asked = read(spark, sf_dir, "conversations").select(
-        F.col("turn").alias("seq"), F.concat(F.lit("m"), "conv_id").alias("id"), F.concat(F.lit('{"c":"x","b":"'), "turn", F.lit('"}')).alias("attrs"), F.lit(True).alias("bump_version")
-    )
-    return revise.apply_annotations(asked, rows)
+    return _annotated(spark, sf_dir)[0]
+
+
+@query(f"{_ANNOTATED} SELECT seq, id, status FROM o")
+def annotation_outcomes(spark, sf_dir):
+    return _annotated(spark, sf_dir)[1]
+
+
+@query(f"{_ANNOTATED} SELECT id AS memory_id, 'annotate' AS kind, version + CASE WHEN turn % 4 <> 3 THEN 1 ELSE 0 END AS version, turn % 4 <> 3 AS bump FROM o WHERE status = 'ok'")
+def annotation_events(spark, sf_dir):
+    return _annotated(spark, sf_dir)[2].select("memory_id", "kind", "version", "bump")
 
 
 @query("""
@@ -176,11 +210,6 @@ def apply_ops(spark, sf_dir):
     return revise.op_outcomes(ops).select("batch_id", "idx", "status", "applied")
 
 
-@query()
+@query(TASK_STATE)
 def fold_task_state(spark, sf_dir):
-    e = F.col("event_id")
-    ops = read(spark, sf_dir, "events").select(
-        F.concat(F.lit("org/u"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("s"), "user_id").alias("slot"), e.alias("seq"),
-        F.when(e % 13 == 0, "[]").otherwise(F.col("props")).alias("body"), F.when(e % 3 == 0, e % 4).alias("expected_version"), (e % 7 == 0).alias("create_only"),
-    )
-    return revise.fold_task_state(ops)
+    return revise.fold_task_state(task_state_ops(spark, sf_dir))

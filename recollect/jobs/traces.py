@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.jobs.registry import query
 from recollect.operators import traces
-from recollect.sources.derived import TRACES, read, trace_events
+from recollect.sources.derived import TASK_STATE, TRACES, read, task_state_ops, trace_events
 from recollect.streaming import traces as streams
 
 
@@ -89,8 +89,8 @@ def _stream(spark, sf_dir):
     raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
     return raw.select(
         "event_id", F.concat(F.lit("u"), F.col("user_id")).alias("trace_id"), F.concat(F.lit("org/u"), F.col("event_id") % 3).alias("scope"),
-        F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "inject").otherwise("outcome").alias("kind"),
-        F.concat(F.lit("m"), F.get_json_object("props", "$.k")).alias("memory_id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("props").alias("body"), "user_id",
+        F.when(F.col("event_type") == "view", "search").when(F.col("event_type") == "click", "inject").when(F.col("event_type") == "signup", "write").otherwise("outcome").alias("kind"),
+        F.concat(F.lit("m"), F.get_json_object("props", "$.k")).alias("memory_id"), F.col("ts").cast("timestamp").alias("created_at"),
     )
 
 
@@ -102,17 +102,17 @@ def ingest_trace_stream(spark, sf_dir):
     return streams.run_available(streams.ingest_stream(_stream(spark, sf_dir)))
 
 
-@query()
+@query(TASK_STATE)
 def task_state_stream(spark, sf_dir):
-    e = F.col("event_id")
-    ops = _stream(spark, sf_dir).select(
-        F.concat(F.lit("org/u"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("s"), "user_id").alias("slot"), e.alias("seq"),
-        F.when(e % 13 == 0, "[]").otherwise(F.col("body")).alias("body"), F.when(e % 3 == 0, e % 4).alias("expected_version"), (e % 7 == 0).alias("create_only"),
-    )
-    return streams.run_available(streams.task_state_stream(ops))
+    raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    return streams.run_available(streams.task_state_stream(task_state_ops(spark, sf_dir, raw)))
 
 
-@query()
+@query("""
+    SELECT 'm' || CAST(json_extract_string(props, '$.k') AS VARCHAR) AS memory_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) FILTER (WHERE event_type = 'view') AS searches,
+        count(*) FILTER (WHERE event_type = 'click') AS injects, count(*) FILTER (WHERE event_type IN ('purchase', 'error')) AS outcomes FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL
+""")
 def usage_windows_stream(spark, sf_dir):
     """Windows that the watermark has closed; the last ones stay open until later events come."""
     out = streams.run_available(traces.usage_windows(_stream(spark, sf_dir)))

@@ -40,13 +40,18 @@ def relocate_report(artifacts: DataFrame, sources: DataFrame, copies: DataFrame)
 
 
 def rebind_locations(artifacts: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(artifacts, outcomes) of moves (id, expected_location, location): a location changes where it is still the expected one."""
-    won = moves.select("id", F.col("expected_location").alias("location"), F.col("location").alias("_to"))
-    hit = artifacts.join(won, ["id", "location"], "left")
-    changed = hit.withColumn("location", F.coalesce("_to", "location")).drop("_to").select(artifacts.columns)
+    """(artifacts, outcomes) of moves (seq, id, expected_location, location): a location changes where it is still the expected one.
+
+    Of several good moves of an artifact the one of the lowest seq wins, the rest are ``conflict``.
+    """
     found = moves.join(artifacts.select("id", F.col("location").alias("_at")), "id", "left")
-    ok = F.coalesce(F.col("_at") == F.col("expected_location"), F.lit(False))
-    return changed, found.select("id", F.when(ok, "rebound").otherwise("guard_rejected").alias("status"))
+    good = F.coalesce(F.col("_at") == F.col("expected_location"), F.lit(False))
+    order = Window.partitionBy("id", good).orderBy("seq", "location")
+    status = F.when(~good, "guard_rejected").when(F.row_number().over(order) == 1, "rebound").otherwise("conflict")
+    outcomes = found.withColumn("status", status)
+    won = outcomes.where("status = 'rebound'").select("id", F.col("location").alias("_to"))
+    changed = artifacts.join(won, "id", "left").withColumn("location", F.coalesce("_to", "location")).select(artifacts.columns)
+    return changed, outcomes.select("seq", "id", "status")
 
 
 def ingest_spans(spans: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ clock: every function takes ``now``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,25 +132,39 @@ def apply_hard_erases(memories: DataFrame, edges: DataFrame, ids: DataFrame) ->
     return memories.join(gone, "id", "left_anti"), purged.drop("_s", "_o"), events
 
 
-def apply_annotations(requests: DataFrame, memories: DataFrame, attrs_bytes: int = 4096) -> DataFrame:
-    """``memories`` (id, attrs: JSON object, version) after shallow merges: request keys win; status says what happened.
+def _merged(old: Column, new: Column) -> Column:
+    """A JSON object with the keys of both, those of ``new`` first; ``new`` itself where one of them is no object."""
+    a, b = (F.from_json(c, "map<string,variant>") for c in (old, new))  # variants keep numbers, objects and nulls as they are
+    both = F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both), by_key)))
+    return F.when(new.isNull(), old).when(a.isNull() | b.isNull(), new).otherwise(text)
+
+
+def apply_annotations(requests: DataFrame, memories: DataFrame, now: Column, attrs_bytes: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, outcomes, events) of annotations (seq, id, scope, expected_version?, attrs?, confidence?, provenance_source?, provenance_kind?, bump_version?).
 
-    The lowest seq of a row wins. Values stay the JSON texts that they were.
+    attrs are merged key by key, at the top only, and come out with sorted keys; request keys win, whatever
+    their values (null stays null). What a request leaves null stays as it is. The row must exist in the
+    request's scope and have the expected version, and merged attrs must fit; of several good requests for a
+    row the lowest seq wins, the rest conflict. bump_version (by default true) advances the version. Columns
+    that ``memories`` lacks aren't added, others are kept. An event tells each change.
     """
-    first = Window.partitionBy("id").orderBy("seq")
-    won = requests.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("id", F.col("attrs").alias("_attrs"), F.coalesce("bump_version", F.lit(True)).alias("_bump"))
-    as_map = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>"))
-    old, new = as_map("attrs"), as_map("_attrs")
-    merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
-    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged))))
-    rows = memories.join(won, "id", "left")
-    asked = F.col("_bump").isNotNull()
-    fits = F.octet_length(text) <= attrs_bytes
-    return rows.select(
-        "id", F.when(asked & fits, text).otherwise(F.col("attrs")).alias("attrs"),
-        (F.col("version") + F.when(asked & fits & F.col("_bump"), 1).otherwise(0)).alias("version"),
-        F.when(~asked, None).when(fits, "ok").otherwise("attrs_too_large").alias("status"),
+    own = memories.select("id", F.col("scope").alias("_scope"), F.col("version").alias("_version"), F.col("attrs").alias("_attrs"))
+    rows = requests.join(own, "id", "left").withColumn("_merged", _merged(F.col("_attrs"), F.col("attrs")))
+    reason = (
+        F.when(F.col("_version").isNull(), "not_found").when(F.col("scope") != F.col("_scope"), "scope_denied")
+        .when(F.col("expected_version") != F.col("_version"), "version_conflict").when(F.octet_length("_merged") > attrs_bytes, "attrs_too_large")
     )
+    outcomes = _single_winner(rows.withColumn("reason", reason))
+    bump = F.coalesce("bump_version", F.lit(True))
+    won = outcomes.where("status = 'ok'").withColumn("_new_version", F.col("_version") + F.when(bump, 1).otherwise(0))
+    given = {"attrs": "_merged", "version": "_new_version", **{c: c for c in ("confidence", "provenance_source", "provenance_kind")}}
+    given = {c: source for c, source in given.items() if c in memories.columns}
+    changes = won.select("id", *[F.col(source).alias(f"_to_{c}") for c, source in given.items()])
+    changed = memories.join(changes, "id", "left").select(*[F.coalesce(f"_to_{c}", c).alias(c) if c in given else c for c in memories.columns])
+    events = won.select("scope", F.col("id").alias("memory_id"), F.lit("annotate").alias("kind"), now.alias("at_sys"), F.col("_new_version").alias("version"), bump.alias("bump"))
+    return changed, outcomes.select("seq", "id", "status"), events
 
 
 def version_conflicts(requests: DataFrame, memories: DataFrame) -> DataFrame:
@@ -216,20 +233,31 @@ def fold_task_state(ops: DataFrame) -> DataFrame:
 
     A slot's writes are one ordered fold: create_only succeeds on a fresh slot alone, an expected version
     must be the current one, others always advance it; bodies must be JSON objects of at most 8192 bytes.
+    Slots are dealt out and sorted by Spark and pass by one write at a time: a task holds one slot's version,
+    however long its log. An order is one task's work, so a hot slot is one task.
     """
     good = F.coalesce(F.trim("body").startswith("{") & (F.octet_length("body") <= 8192), F.lit(False))
-    rows = ops.select("scope", "slot", F.struct("seq", good.alias("good"), F.col("expected_version").alias("expected"), F.coalesce("create_only", F.lit(False)).alias("fresh")).alias("o"))
-    log = rows.groupBy("scope", "slot").agg(F.array_sort(F.collect_list("o")).alias("log"))
-    empty = F.array().cast("array<struct<seq:bigint,status:string,version:bigint>>")
-
-    def step(state: Column, o: Column) -> Column:
-        status = (
-            F.when(~o["good"], "invalid_body").when(o["fresh"] & (state["v"] > 0), "exists")
-            .when(o["expected"].isNotNull() & (o["expected"] != state["v"]), "version_conflict").otherwise("ok")
-        )
-        v = state["v"] + F.when(status == "ok", 1).otherwise(0)
-        one = F.struct(o["seq"].cast("long").alias("seq"), status.alias("status"), v.cast("long").alias("version"))
-        return F.struct(v.cast("long").alias("v"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    folded = F.aggregate("log", F.struct(F.lit(0).cast("long").alias("v"), empty.alias("out")), step, lambda s: s["out"])
-    return log.select("scope", "slot", F.explode(folded).alias("o")).select("scope", "slot", "o.*")
+    rows = ops.select("scope", "slot", "seq", good.alias("good"), "expected_version", F.coalesce("create_only", F.lit(False)).alias("create_only"))
+    dealt = rows.repartition("scope", "slot").sortWithinPartitions("scope", "slot", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, version = None, 0
+        for batch in batches:
+            statuses, versions = [], []
+            for *key, good, expected, fresh in zip(*(batch.column(c).to_pylist() for c in ("scope", "slot", "good", "expected_version", "create_only"))):
+                if key != slot:
+                    slot, version = key, 0
+                if not good:
+                    status = "invalid_body"
+                elif fresh and version > 0:
+                    status = "exists"
+                elif expected is not None and expected != version:
+                    status = "version_conflict"
+                else:
+                    status, version = "ok", version + 1
+                statuses.append(status)
+                versions.append(version)
+            columns = [*(batch.column(c) for c in ("scope", "slot", "seq")), pa.array(statuses, pa.string()), pa.array(versions, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["scope", "slot", "seq", "status", "version"])
+
+    return dealt.mapInArrow(fold, "scope string, slot string, seq long, status string, version long")

@@ -137,3 +137,28 @@ EDGES = """
         UNION ALL SELECT DISTINCT 'n' || n_nationkey, 'applies_to', 'r' || n_regionkey FROM nation
         UNION ALL SELECT DISTINCT 'p' || l_partkey, 'contradicts', 's' || l_suppkey FROM lineitem
     )"""
+
+
+def task_state_ops(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Compare-and-set writes: a user's events are writes of a slot, some with expected versions, some odd."""
+    e = F.col("event_id")
+    events = read(spark, sf_dir, "events") if events is None else events
+    return events.select(
+        F.concat(F.lit("org/u"), F.col("user_id") % 10).alias("scope"), F.concat(F.lit("s"), "user_id").alias("slot"), e.alias("seq"),
+        F.when(e % 13 == 0, "[]").otherwise(F.col("props")).alias("body"), F.when(e % 3 == 0, e % 4).alias("expected_version"), (e % 7 == 0).alias("create_only"),
+    )
+
+
+_STATUS = "CASE WHEN NOT o.good THEN 'invalid_body' WHEN o.fresh AND f.version > 0 THEN 'exists' WHEN o.expected <> f.version THEN 'version_conflict' ELSE 'ok' END"
+TASK_STATE = f"""
+    WITH RECURSIVE ops AS (
+        SELECT 'org/u' || (user_id % 10) AS scope, 's' || user_id AS slot, event_id AS seq, event_id % 13 <> 0 AND props LIKE '{{%' AS good,
+            CASE WHEN event_id % 3 = 0 THEN event_id % 4 END AS expected, event_id % 7 = 0 AS fresh, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
+        FROM events
+    ), f AS (
+        SELECT DISTINCT scope, slot, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS i FROM ops
+        UNION ALL
+        SELECT o.scope, o.slot, o.seq, {_STATUS}, f.version + CASE WHEN {_STATUS} = 'ok' THEN 1 ELSE 0 END, o.i
+        FROM f JOIN ops o ON o.slot = f.slot AND o.i = f.i + 1
+    )
+    SELECT scope, slot, seq, status, version FROM f WHERE i > 0"""

@@ -203,6 +203,36 @@ def test_task_state_stream_is_the_batch_fold(spark, tmp_path):
     assert [r[3] for r in got] == ["ok", "invalid_body", "ok", "version_conflict", "exists"]
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_streams_are_the_batch_results_in_any_frames(spark, tmp_path, batch):
+    """Rows of a trace or a slot come unsorted, from several files, in frames of any size, over one trigger or several."""
+    import random
+
+    draw = random.Random(batch)
+    rows = [(i, f"t{draw.randrange(4)}", draw.choice(["a", "b", None]), "search", "m", datetime(2024, 1, 1, draw.randrange(2), draw.randrange(3)), "") for i in range(60)]
+    draw.shuffle(rows)
+    events = spark.createDataFrame(rows, streams.EVENT)
+    ops = events.selectExpr("trace_id AS scope", "'s' AS slot", "event_id AS seq", "'{}' AS body", "IF(event_id % 3 = 0, event_id % 5, NULL) AS expected_version", "event_id % 7 = 0 AS create_only")
+    want = {r.trace_id: r.s for r in events.where("scope IS NOT NULL").groupBy("trace_id").agg(F.min_by("scope", F.struct("created_at", "event_id")).alias("s")).collect()}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, batch)
+    try:
+        events.repartition(5).write.parquet(str(tmp_path / "in"))
+        got = streams.run_available(streams.ingest_stream(streams.trace_stream(spark, str(tmp_path / "in")))).collect()
+        assert len(got) == 60
+        scope = {r[0]: r[2] for r in rows}
+        assert all((r.status == "ok") == (scope[r.event_id] == want[r.trace_id]) for r in got)
+        ops.repartition(5).write.parquet(str(tmp_path / "ops"))
+        stream = spark.readStream.schema(streams.STATE_OP).parquet(str(tmp_path / "ops"))
+        assert sorted(map(tuple, streams.run_available(streams.task_state_stream(stream)).collect())) == sorted(map(tuple, revise.fold_task_state(ops).collect()))
+        # File by file: a later trigger keeps to the scope that an earlier one has set.
+        stream = streams.trace_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        owners = {(r.trace_id, scope[r.event_id]) for r in streams.run_available(streams.ingest_stream(stream, "3 hours")).collect() if r.status == "ok"}
+        assert len(owners) == len({trace for trace, _ in owners}) == 4
+    finally:
+        spark.conf.unset(size)
+
+
 def test_scenario_violations(spark):
     scenarios = spark.createDataFrame([("s",), ("s",)], "scenario string")
     gold = spark.createDataFrame([("s", "k")], "scenario string, key string")
