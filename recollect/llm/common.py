@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
+BROADCAST_ROWS = 250_000  # of ids, numbers and digests: at most 25 MB
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
@@ -91,6 +92,11 @@ def sliced(run: Callable, rows: int = BATCH_ROWS) -> Callable:
     return lambda batches: run(slices(batches, rows))
 
 
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, to be broadcast if it has at most ``rows`` rows; else Spark joins it by shuffles."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

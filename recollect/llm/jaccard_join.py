@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import outside, scratch, slices, sliced, text_or_empty, written
+from recollect.llm.common import checked, outside, scratch, slices, sliced, text_or_empty, written
 from recollect.llm.components import components
 from recollect.llm.shingles import shingle_sets
 
@@ -35,7 +35,6 @@ STORED = 1.25  # prefixes are stored this many times as long, for frequent shing
 FREQUENT = 40  # shingles in more groups than this go last in the order ...
 MOST_FREQUENT = 200_000  # ... or in more than a multiple of it, so that these are at most so many (3 MB)
 BLOOM_BITS = 26  # a fixed 8 MB
-BROADCAST_ROWS = 250_000  # ids and numbers, at most 25 MB
 MEMBERS = 256  # in a chunk of a group ...
 CHUNK_BYTES = 1_000_000  # ... and bytes of their deltas, but for a chunk of one
 COLUMNS = 4096
@@ -87,11 +86,6 @@ def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    """To be broadcast, if it has few rows."""
-    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
-
-
 def _tokens_of(words: int, kept: list[str]) -> Callable:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +101,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     ``wanted`` tells the text by doc_id and mark. Where rows repeat with their doc_ids, so do their sets.
     """
     kept = [c for c in wanted.columns if c not in ("doc_id", "mark")]
-    small = _checked(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}))
+    small = checked(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}))
     texts = _keyed_texts(docs)
     met = texts.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     types = {f.name: f.dataType.simpleString() for f in wanted.schema}
@@ -142,13 +136,14 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _groups(docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     """Written (sid, leader, n, leader_n, plus, delta) of each set that is in the group of another; no leader is."""
     each = heads.select("sid", "n", F.size("mins").alias("keys"), F.explode("mins").alias("value"))
-    popular = each.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
+    # Sums of hot keys are written before they are joined, so that Spark can split a hot key's rows in the join.
+    popular = written(each.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), "popular")
     keyed = written(each.join(popular, "value"), "keys")
     score = keyed.groupBy("sid").agg(F.sum("times").alias("score"))
     scored = written(keyed.select("sid", "n", "keys", "value").join(score, "sid"), "scores")
     no = -F.col("sid")
     first = scored.groupBy("value").agg(F.max(F.struct("score", no.alias("no"), "n")).alias("f")).select("value", "f.*")
-    first = first.select("value", (-F.col("no")).alias("leader"), F.col("score").alias("leader_score"), F.col("n").alias("leader_n"))
+    first = written(first.select("value", (-F.col("no")).alias("leader"), F.col("score").alias("leader_score"), F.col("n").alias("leader_n")), "first")
     votes = scored.join(first, "value").groupBy("sid", "leader").agg(F.count("*").alias("votes"), *(F.first(c).alias(c) for c in ("n", "keys", "leader_score", "leader_n")))
     best = votes.groupBy("sid").agg(F.max(F.struct("votes", "leader_score", (-F.col("leader")).alias("no"), "n", "keys", "leader_n")).alias("m"))
     near = (F.col("sid") != F.col("leader")) & (200 * F.col("votes") >= LOOSE * F.col("keys"))
@@ -543,9 +538,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = docs.toDF(*names)
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     key = doc_id.cast("long").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.coalesce(text, F.lit("")))) == F.col("m"))
-    out = rows.join(_checked(judged), key, "left_anti")
+    out = rows.join(checked(judged), key, "left_anti")
     repeated = judged.where("stays")
     if repeated.limit(1).count():
-        again = rows.join(_checked(repeated), key)
+        again = rows.join(checked(repeated), key)
         out = out.unionByName(again.dropDuplicates(["id", "m"]).select(names))
     return out.toDF(*docs.columns)

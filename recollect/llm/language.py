@@ -9,13 +9,12 @@ is kept back to set the temperature that divides the scores before they become p
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +28,6 @@ SAMPLE = 3000
 KEPT_BACK = 5  # one in so many
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
-LETTER = re.compile(r"[^\W\d_]")
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], "u4")
 
 
@@ -70,7 +68,7 @@ class Model:
         return values @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not LETTER.search(text):
+        if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         p = softmax(self.scores(text) / self.temperature)
         best = int(p.argmax())
@@ -126,24 +124,29 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the languages in ``labelled`` (text, lang; rows where either is null or empty don't count).
 
     Labels, their counts and document frequencies are over all rows; weights are fitted on at most
-    ``sample`` of them, as many for each language as there are, by the least hashes of their texts.
+    ``sample`` different texts, as many of each language as there are, by the least hashes of the texts:
+    copies of one text count once.
     """
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts")).collect()}
     labels = sorted(sizes)
     df = np.zeros(FEATURES)
     if not labels:
         return Model([], df, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     for r in rows.select("text").mapInArrow(sliced(_document_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r.feature] = r.n
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
+    idf = np.log((1 + sum(r.n for r in sizes.values())) / (1 + df)) + 1
     quota = max(1, sample // len(labels))
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name]))])
-    drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).orderBy(F.xxhash64("text", F.lit(3)), "lang").limit(sample)
-    for r in drawn.mapInArrow(sliced(_examples(idf, labels)), "label int, at array<int>, value array<float>").toLocalIterator():
-        examples.append((np.array(r.at), np.array(r.value), r.label))
+    odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name].texts))])
+    drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).distinct().withColumn("h", F.xxhash64("text", F.lit(3)))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= quota)
+    found = drawn.mapInArrow(sliced(_examples(idf, labels)), "h long, label int, at array<int>, value array<float>").toArrow()  # at most ``sample`` rows
+    for batch in found.sort_by([("h", "ascending"), ("label", "ascending")]).to_batches():
+        ends = batch.column("at").offsets.to_numpy()
+        at, value = batch.column("at").values.to_numpy(), batch.column("value").values.to_numpy()
+        examples += [(at[a:b], value[a:b], label) for a, b, label in zip(ends, ends[1:], batch.column("label").to_pylist())]
     back, used = examples[::KEPT_BACK], [x for i, x in enumerate(examples) if i % KEPT_BACK] or examples
     weights, bias = train(used, len(labels))
     scores = np.array([values @ weights[at] + bias for at, values, _ in back]).reshape(-1, len(labels))
@@ -157,11 +160,12 @@ def _examples(idf: np.ndarray, labels: list[str]) -> Callable:
             found = [weighed(counts_of(text), idf) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("h"),
                     pa.array([labels.index(x) for x in batch.column("lang").to_pylist()], pa.int32()),
                     pa.array([at.astype("i4") for at, _ in found], pa.list_(pa.int32())),
                     pa.array([values.astype("f4") for _, values in found], pa.list_(pa.float32())),
                 ],
-                ["label", "at", "value"],
+                ["h", "label", "at", "value"],
             )
 
     return make

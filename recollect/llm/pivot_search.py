@@ -2,13 +2,13 @@
 
 Inner products become distances: with M the greatest norm, a candidate x gains the coordinate
 sqrt(M^2 - |x|^2) and a query the coordinate 0, and then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x. Each candidate
-is keyed by its nearest pivot and its distance from it; distances fall into annuli, and an annulus is
-stored as blocks of a bounded number of rows with their exact least and greatest distances. By the triangle
-inequality a block's best score for a query has an upper bound; a query visits blocks in order of that
-bound, in rounds, and stops where it falls under the k-th score that it has.
+is keyed by its nearest pivot and its distance from it; distances fall into annuli with exact least and
+greatest distances, and an annulus is stored as blocks of a bounded number of rows, however many there are.
+By the triangle inequality an annulus's best score for a query has an upper bound; a query visits annuli in
+order of that bound, in rounds, and stops where it falls under the k-th score that it has.
 
 Pivots and the annuli's edges are fitted on a bounded sample; every row is indexed, and they decide only
-how much is pruned.
+how much is pruned. The annuli are ``PIVOTS`` x ``RINGS`` at most, which is all that goes through the driver.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import written
+from recollect.llm.common import slices, written
 
 SAMPLE_ROWS = 2048
 PIVOTS = 32
 RINGS = 8
 BLOCK_ROWS = 2048
-MOST_BLOCKS = 100_000
 CHUNK_QUERIES = 256
 ROUNDS = (1, 6, None)
 SCALE = 1024
@@ -36,11 +35,11 @@ EXACT = float(1 << 53)
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, x (floor(1024 * component) as longs) and norm2 of the rows that take part."""
+    """vec_id, dim, x (floor(1024 * component) as longs), norm2 and asks of the rows that take part."""
     v = F.transform("embedding", lambda c: c.cast("double"))
     good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     x = F.transform(v, lambda c: F.floor(c * SCALE).cast("long"))
-    rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("x"))
+    rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), x.alias("x"), "asks")
     return rows.withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c))
 
 
@@ -82,50 +81,42 @@ def _keyer(dim: int, pivots: np.ndarray, edges: np.ndarray, most2: float) -> Cal
             pivot, dist = d.argmin(1), d.min(1)
             ring = (edges[pivot] < dist[:, None]).sum(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("x"), pa.array(pivot.astype("i4")), pa.array(ring.astype("i4")), pa.array(dist)],
-                ["vec_id", "x", "pivot", "ring", "dist"],
+                [*(batch.column(c) for c in ("row", "vec_id", "x")), pa.array((pivot * RINGS + ring).astype("i4")), pa.array(dist)],
+                ["row", "vec_id", "x", "annulus", "dist"],
             )
 
     return key
 
 
-KEYED = "vec_id long, x array<long>, pivot int, ring int, dist double"
+KEYED = "row long, vec_id long, x array<long>, annulus int, dist double"
 
 
-def build_index(rows: DataFrame, dim: int, pivots: np.ndarray, edges: np.ndarray, most2: float) -> DataFrame:
-    """The written index: a row for each block with pivot, ring, low, high, ids and vectors.
+def build_index(rows: DataFrame, dim: int, pivots: np.ndarray, edges: np.ndarray, most2: float) -> tuple[DataFrame, list[tuple]]:
+    """The written index, a row for each block with annulus, rows, ids and vectors; and (annulus, low, high) of the annuli.
 
-    An annulus of more than a block's rows (a hot vector's, say) is dealt into several by vec_id's hash.
+    An annulus of more than a block's rows (a hot vector's, say) is dealt into several by a hash.
     """
-    keyed = written(rows.select("vec_id", "x").mapInArrow(_keyer(dim, pivots, edges, most2), KEYED), "pivot-keys")
-    counts = keyed.groupBy("pivot", "ring").agg(F.count("*").alias("n")).collect()  # pivots x rings at most
-    size = max(BLOCK_ROWS, sum(r.n for r in counts) // MOST_BLOCKS)
+    keyed = written(rows.select("row", "vec_id", "x").mapInArrow(_keyer(dim, pivots, edges, most2), KEYED), "pivot-keys")
+    annuli = keyed.groupBy("annulus").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")).orderBy("annulus").collect()
     parts = [1] * (PIVOTS * RINGS)
-    for r in counts:
-        parts[r.pivot * RINGS + r.ring] = -(-r.n // size)
-    of_annulus = F.get(F.lit(parts), F.col("pivot") * RINGS + F.col("ring"))
-    part = F.pmod(F.xxhash64("vec_id", F.lit(11)), of_annulus.cast("long"))
-    blocks = keyed.withColumn("part", part).groupBy("pivot", "ring", "part").agg(
-        F.min("dist").alias("low"), F.max("dist").alias("high"), F.collect_list(F.struct("vec_id", "x")).alias("rows")
-    )
-    return written(
-        blocks.select(
-            F.concat_ws(".", "pivot", "ring", "part").alias("block"), "pivot", "low", "high",
-            F.transform("rows", lambda r: r["vec_id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("vectors"),
-        ),
-        "pivot-blocks",
+    for r in annuli:
+        parts[r.annulus] = -(-r.n // BLOCK_ROWS)
+    part = F.pmod(F.xxhash64("row", F.lit(11)), F.get(F.lit(parts), F.col("annulus")).cast("long"))
+    blocks = keyed.groupBy("annulus", part.alias("part")).agg(F.collect_list(F.struct("row", "vec_id", "x")).alias("rows"))
+    index = blocks.select(
+        "annulus", F.transform("rows", lambda r: r["row"]).alias("rows"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
+        F.flatten(F.transform("rows", lambda r: r["x"])).alias("vectors"),
     )
+    return written(index, "pivot-blocks"), [(r.annulus, r.low, r.high) for r in annuli]
 
 
-def _router(dim: int, pivots: np.ndarray, meta: list[tuple], most2: float, first: int, last: int | None) -> Callable:
-    """Rows (block, chunk, query, q, kth) for the blocks at places ``first`` to ``last`` of a query's order that its bound allows."""
-    names = np.array([m[0] for m in meta], object)
-    pivot, low, high = (np.array([m[i] for m in meta]) for i in (1, 2, 3))
+def _router(dim: int, pivots: np.ndarray, annuli: list[tuple], most2: float, first: int, last: int | None) -> Callable:
+    """Rows (annulus, chunk, row, query_id, q, kth) for the annuli at places ``first`` to ``last`` of a query's order that its bound allows."""
+    names = np.array([a[0] for a in annuli], "i4")
+    pivot, low, high = names // RINGS, np.array([a[1] for a in annuli]), np.array([a[2] for a in annuli])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             q = _matrix(batch.column("q"), dim).astype("f8")
             d = _distances(q, pivots, most2, True)[:, pivot]
             gap = np.maximum(np.maximum(low - d, d - high), 0)
@@ -137,25 +128,24 @@ def _router(dim: int, pivots: np.ndarray, meta: list[tuple], most2: float, first
             keep = np.take_along_axis(bound, order, 1) >= np.where(np.isnan(kth), -np.inf, kth)[:, None]
             at, place = np.nonzero(keep)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[order[at, place]], pa.string()), *(batch.column(c).take(take) for c in ("chunk", "query_id", "q", "kth"))],
-                ["block", "chunk", "query_id", "q", "kth"],
-            )
+            kept = ("chunk", "row", "query_id", "q", "kth")
+            yield pa.RecordBatch.from_arrays([pa.array(names[order[at, place]]), *(batch.column(c).take(take) for c in kept)], ["annulus", *kept])
 
     return route
 
 
-ROUTED = "block string, chunk int, query_id long, q array<long>, kth double"
+ROUTED = "annulus int, chunk int, row long, query_id long, q array<long>, kth double"
 
 
 def _scorer(dim: int, k: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
+                rows = batch.column("rows")[i].values.to_numpy(zero_copy_only=False)
                 ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
                 x = batch.column("vectors")[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)
                 asked = batch.column("asked")[i].values
-                query = asked.field("query_id").to_numpy(zero_copy_only=False)
+                query, own = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("query_id", "row"))
                 q = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 kth = asked.field("kth").to_numpy(zero_copy_only=False).astype("f8")
                 if float(np.abs(x).max()) * float(np.abs(q).max()) * dim < EXACT:
@@ -164,7 +154,7 @@ def _scorer(dim: int, k: int) -> Callable:
                     scores = q @ x.T
                 out: list[tuple] = []
                 for j, row in enumerate(scores):
-                    able = np.flatnonzero((ids != query[j]) & ((row >= kth[j]) | np.isnan(kth[j])))
+                    able = np.flatnonzero((rows != own[j]) & ((row >= kth[j]) | np.isnan(kth[j])))
                     if len(able) > k:
                         able = able[np.lexsort((ids[able], -row[able]))[:k]]
                     out.append((np.full(len(able), query[j]), ids[able], row[able]))
@@ -186,13 +176,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     ``vectors`` has vec_id and embedding; ``is_query`` says which rows are queries. Vectors that are null or
     empty, hold null or non-finite components, or have no vec_id take no part, and a query is scored
-    against vectors of its own dimension. Candidates of the query's own vec_id are left out; of rows that
-    share a query's vec_id, the one of the least vector asks. Repeated candidates count each. Ties go to
+    against vectors of its own dimension. Of rows that share a query's vec_id, the one of the least vector
+    asks; all rows but this one are its candidates, and repeated ones count each. Ties go to
     the smaller vec_id. No queries, or no candidates, give no rows; other columns are left alone.
     """
     spark = vectors.sparkSession
-    rows = written(quantised(vectors.select("vec_id", "embedding")), "pivot-vectors")
-    asking = quantised(vectors.where(is_query)).groupBy("vec_id").agg(F.min(F.struct("dim", "x")).alias("m")).select(F.col("vec_id").alias("query_id"), "m.*")
+    rows = quantised(vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pivot-vectors")
+    asking = rows.where("asks").groupBy("vec_id").agg(F.min(F.struct("dim", "x", "row")).alias("m")).select(F.col("vec_id").alias("query_id"), "m.*")
     asking = written(asking.withColumnRenamed("x", "q"), "pivot-queries")
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shapes = rows.groupBy("dim").agg(F.max("norm2").alias("most2"), F.count("*").alias("n")).collect()  # a row a dimension
@@ -204,23 +195,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 def _of_dimension(rows: DataFrame, asking: DataFrame, dim: int, most2: float, k: int) -> DataFrame:
     most2 = float(most2)
     pivots, edges = fit(rows, dim, most2)
-    index = build_index(rows, dim, pivots, edges, most2)
-    meta = [tuple(r) for r in index.select("block", "pivot", "low", "high").collect()]  # at most MOST_BLOCKS and the annuli
+    index, annuli = build_index(rows, dim, pivots, edges, most2)
     chunks = max(1, -(-asking.count() // CHUNK_QUERIES))
-    queries = asking.select(F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "query_id", "q", F.lit(None).cast("double").alias("kth"))
+    queries = asking.select(F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "row", "query_id", "q", F.lit(None).cast("double").alias("kth"))
     found = None
     first = 0
     for width in ROUNDS:
         last = None if width is None else first + width
-        routed = queries.mapInArrow(_router(dim, pivots, meta, most2, first, last), ROUTED)
-        asked = routed.groupBy("block", "chunk").agg(F.collect_list(F.struct("query_id", "q", "kth")).alias("asked"))
-        pairs = asked.join(index.select("block", "ids", "vectors").hint("merge"), "block").select("ids", "vectors", "asked")
+        routed = queries.mapInArrow(_router(dim, pivots, annuli, most2, first, last), ROUTED)
+        asked = routed.groupBy("annulus", "chunk").agg(F.collect_list(F.struct("row", "query_id", "q", "kth")).alias("asked"))
+        pairs = asked.join(index.hint("merge"), "annulus").select("rows", "ids", "vectors", "asked")
         scored = pairs.mapInArrow(_scorer(dim, k), SCORED)
         found = best(scored if found is None else found.unionByName(scored), k)
         if width is None:
             return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         found = written(found.select("query_id", "vec_id", "score"), "pivot-found")
         kth = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
-        queries = queries.drop("kth").join(kth, "query_id", "left").select("chunk", "query_id", "q", "kth")
+        queries = queries.drop("kth").join(kth, "query_id", "left").select("chunk", "row", "query_id", "q", "kth")
         first = last
     raise AssertionError("the last round takes all blocks")

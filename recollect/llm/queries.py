@@ -87,9 +87,13 @@ SQL: dict[str, str] = {
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), n AS (
+            SELECT *, row_number() OVER () AS no FROM v WHERE vec_id IS NOT NULL AND len(x) > 0
+        ), q AS (
+            SELECT * FROM n WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x, no) = 1
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)
+            FROM q JOIN n c ON c.no <> q.no AND len(q.x) = len(c.x)
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 10

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import text_or_empty, written
+from recollect.llm.common import outside, text_or_empty, written
 
 #: Kind, pattern, group of the value, least characters of the value, in order of the kinds.
 KINDS = (
@@ -37,6 +37,7 @@ PLACEHOLDERS = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|your|test|12
 OWNERS = 2
 DISTINCT_CHARACTERS = 8
 BROADCAST_ROWS = 500_000  # values, at most about 100 MB
+SPAN_ROWS = 1_000_000  # spans of 8 bytes, and 8 for each text: at most about 20 MB
 SPAN = "struct<kind:string,ord:int,start:int,`end`:int,vstart:int,vend:int,value:string>"
 
 
@@ -206,26 +207,34 @@ def secret_report(docs: DataFrame, repository: Column, owner: Column) -> DataFra
 def redact(docs: DataFrame, repository: Column, owner: Column, put: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``put`` in the place of every secret, and n_chars to match; copied examples stay.
 
-    All rows and columns stay; texts without secrets, null ones among them, stay as they are.
+    All rows and columns stay, whatever these are called; texts without secrets, null ones among them, stay
+    as they are. An empty table gives no rows. Texts aren't shuffled while the texts with secrets are few
+    enough to be told to all tasks (``SPAN_ROWS`` of their spans); beyond that they are joined by digest.
     """
     found, _ = find_secrets(docs, repository, owner)
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
     secret = F.concat(F.array_except(F.transform("base", place), "example"), F.transform("live", place))
-    spans = found.withColumn("_spans", F.array_sort(secret)).where(F.size("_spans") > 0)
-    spans = spans.groupBy(F.col("mark").alias("_mark")).agg(F.first("_spans").alias("_spans"))  # one text, one list
+    spans = found.select("mark", F.array_sort(secret).alias("spans")).where(F.size("spans") > 0)
+    spans = written(spans.groupBy("mark").agg(F.first("spans").alias("spans")), "secret-spans", outside(docs.sparkSession, "secret-spans"))  # one text, one list
+    few = (spans.agg(F.sum(F.size("spans") + 8)).first()[0] or 0) <= SPAN_ROWS
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever they are called, no name clashes
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    text = at["text"]
 
     def step(state: Column, s: Column) -> Column:
         apart = s["start"] >= state["at"]
-        before = F.substr("text", state["at"] + 1, s["start"] - state["at"])
+        before = F.substr(text, state["at"] + 1, s["start"] - state["at"])
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(apart, F.concat(state["out"], before, F.lit(put))).otherwise(state["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda state: F.concat(state["out"], F.substr("text", state["at"] + 1, F.length("text")))
-    clean = F.when(F.col("_spans").isNotNull(), F.aggregate("_spans", start, step, rest)).otherwise(F.col("text"))
-    joined = docs.withColumn("_mark", F.md5(text_or_empty())).join(spans, "_mark", "left").withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    rest = lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text)))
+    hit = F.col("spans").isNotNull()
+    rows = docs.toDF(*names).withColumn("mark", F.md5(text_or_empty(text)))
+    joined = rows.join(F.broadcast(spans) if few else spans, "mark", "left").withColumn(text, F.when(hit, F.aggregate("spans", start, step, rest)).otherwise(F.col(text)))
+    if "n_chars" in at:
+        n_chars = at["n_chars"]
+        joined = joined.withColumn(n_chars, F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
+    return joined.select(names).toDF(*docs.columns)

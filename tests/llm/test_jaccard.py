@@ -81,7 +81,7 @@ def test_components_are_the_brute_force_ones(spark, seed, words, percent):
 def test_all_frequent_shingles_and_no_broadcasts(spark, monkeypatch):
     """Prefixes that go beyond what is stored, and the ways beyond the broadcasts' bounds."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", 1)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "checked", lambda small: small)
     monkeypatch.setattr(jaccard_join, "STORED", 1.0)
     rows = corpus(3, 120)
     assert got_of(spark, rows, 4, 85) == sorted(plain_components(rows, 4, 85), key=str)

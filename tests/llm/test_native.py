@@ -127,6 +127,23 @@ def test_fingerprints(docs):
             assert r.n_within is None
 
 
+def test_fingerprints_are_the_plain_votes(spark):
+    """Each bit by itself, from the hashes of the terms alone."""
+    from pyspark.sql import functions as F
+
+    from recollect.llm.simhash import fingerprints, shingles, terms
+
+    texts = ["", "one two", "a b c d e f g", "a b c d e a b c d e a b c d e", "x " * 70, "É é, ½ q.r", " ".join(f"w{i % 13}" for i in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    hashed = {r.k: r.h for r in df.select("k", shingles(terms(F.col("t"))).alias("h")).collect()}
+    for i, text in enumerate(texts):
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        assert len(hashed[i]) == (max(1, len(words) - 4) if words else 0) and len(set(hashed[i])) == len({tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set())
+    for r in fingerprints(df, ["k"], "t").collect():
+        votes = [sum(1 if h >> b & 1 else -1 for h in hashed[r.k]) for b in range(64)]
+        assert r.fingerprint & ((1 << 64) - 1) == sum(1 << b for b, v in enumerate(votes) if v > 0)
+
+
 def test_partners_within_the_radius(spark):
     words = [f"w{i}" for i in range(400)]
     texts = {0: words, 1: words, 2: [*words[:-1], "other"], 3: words[::-1], 4: [*words[:200], "x", *words[201:]]}

@@ -187,3 +187,24 @@ def test_unigram_query_shape(docs):
     rows = count_tokens(docs, PIECES).collect()
     assert len(rows) == len(ROWS) and all(r.n_tokens == 0 and r.score == 0 for r in rows if r.doc_id in (1, 2))
     assert count_tokens(docs.limit(0), PIECES).collect() == []
+
+
+def test_unigram_scores_are_those_of_the_best_segmentation(unigram):
+    """Score and count against every segmentation of short words, and against the library's pieces of any text."""
+    library, _ = unigram
+    scores = dict(read_pieces(PIECES))
+    small = UnigramCounter((("a", -1.0), ("ab", -1.5), ("b", -2.0), ("bc", -1.25), ("▁", -0.5), ("▁a", -1.0), ("c", -3.0)))
+    pieces = {"a": -1.0, "ab": -1.5, "b": -2.0, "bc": -1.25, "▁": -0.5, "▁a": -1.0, "c": -3.0}
+
+    def best(word):
+        if not word:
+            return 0.0
+        found = [pieces[word[:n]] + best(word[n:]) for n in range(1, len(word) + 1) if word[:n] in pieces]
+        return max(found, default=float("-inf"))
+
+    for word in ("abc", "aabbcc", "cab", "a", "bcbcab"):
+        assert small.texts([word])[0][1] == pytest.approx(best("▁" + word))
+    for text in ("The quick brown fox", "tokenisation of long words", "don't  stop"):
+        n, score = UnigramCounter(read_pieces(PIECES)).texts([text])[0]
+        found = library.encode(text, add_special_tokens=False).tokens
+        assert n == len(found) and score == pytest.approx(sum(scores[x] for x in found))
