@@ -14,8 +14,8 @@ _HITS = f"{MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS (SELECT h.*, te
 
 
 def _hits(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    return asked, lexical.bm25_search(asked, rows, visible, 8, "any").join(rows.select("id", "text", "version"), "id")
+    asked, rows = _asked(spark, sf_dir)
+    return asked, lexical.bm25_search(asked, rows, 8, "any").join(rows.select("id", "text", "version"), "id")
 
 
 _P = """
@@ -241,9 +241,9 @@ def passage_gold(spark, sf_dir):
     SELECT query_id AS probe, CASE WHEN expected = 0 THEN n = 0 ELSE found = expected END AS hit, CASE WHEN expected = 0 THEN 1.0::DOUBLE ELSE round(found / expected::DOUBLE, 6) END AS recall FROM s
 """)
 def run_probes(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
+    asked, rows = _asked(spark, sf_dir)
     passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("probe"), F.col("text").alias("query"))
-    out = evaluate.run_probes(asked, rows, visible, evaluate.passage_gold(passages, rows), 8)
+    out = evaluate.run_probes(asked, rows, evaluate.passage_gold(passages, rows), 8)
     return out.select("probe", "hit", F.round("recall", 6).alias("recall"))
 
 

@@ -110,8 +110,8 @@ _PAIRS = "pairs AS (SELECT 'm' || doc_id AS subject, 'contradicts' AS predicate,
     SELECT query_id, id, coalesce(rank1, direct + n) AS rank1, round(coalesce(score, 1 / (60.0::DOUBLE + direct + n)), 6) AS score, rank1 IS NULL AS expanded, array_to_string(f, ',') AS "from" FROM p WHERE rank1 IS NOT NULL OR n <= 32
 """)
 def graph_expand(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    hits = lexical.bm25_search(asked, rows, visible, 8, "any")
+    asked, rows = _asked(spark, sf_dir)
+    hits = lexical.bm25_search(asked, rows, 8, "any")
     n = read(spark, sf_dir, "documents").count()
     d = F.col("doc_id")
     pairs = read(spark, sf_dir, "documents").where(d % 2 == 0).select(F.concat(F.lit("m"), d).alias("subject"), F.lit("contradicts").alias("predicate"), F.concat(F.lit("m"), d * 7 % n).alias("object"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from recollect.functions.text import QUERY_STOP_WORDS
 from recollect.jobs.registry import query
 from recollect.operators import fusion, lexical, vectors
-from recollect.operators.lenses import as_of_join
 from recollect.sources.derived import MEMORIES, PROBES, memories, probes, read
 
 _FOLD = "lower(strip_accents({}))"
@@ -36,14 +35,13 @@ def _top(source: str, k: int, where: str = "TRUE") -> str:
 
 
 def _asked(spark, sf_dir):
-    rows, asked = memories(spark, sf_dir), probes(spark, sf_dir)
-    return asked, rows, as_of_join(asked, rows).select("query_id", "id")
+    return probes(spark, sf_dir), memories(spark, sf_dir)
 
 
 @query(f"WITH {MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank1 FROM ({_top('scored SEMI JOIN visible USING (query_id, id)', 8, 'matched = n_terms')})")
 def bm25_search(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    return lexical.bm25_search(asked, rows, visible, 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+    asked, rows = _asked(spark, sf_dir)
+    return lexical.bm25_search(asked, rows, 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
 
 
 @query(f"WITH {MEMORIES}, {PROBES}, {bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank1 FROM ({_top('scored', 20)})")
@@ -134,12 +132,11 @@ _HYBRID = f"""
 
 @query(_HYBRID)
 def hybrid_search(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
+    asked, _ = _asked(spark, sf_dir)
     v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = asked.join(v.withColumnRenamed("vec_id", "query_id"), "query_id", "inner")
     rows = memories(spark, sf_dir, embeddings=True)
-    visible = visible.join(asked.select("query_id"), "query_id", "left_semi")
-    return fusion.search(asked, rows, visible, 8).select("query_id", "id", F.round("score", 9).alias("score"), "rank1", "bm25", "vector")
+    return fusion.search(asked, rows, 8).select("query_id", "id", F.round("score", 9).alias("score"), "rank1", "bm25", "vector")
 
 
 @query("""
@@ -179,15 +176,15 @@ _HARD = f"""
 
 @query(f"{_HARD} SELECT query_id, id, rank1, round(score, 6) AS score, round(pre_score, 6) AS pre_score FROM hits")
 def hard_recall(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    out = fusion.hard_recall(asked, rows, visible)
+    asked, rows = _asked(spark, sf_dir)
+    out = fusion.hard_recall(asked, rows)
     return out.select("query_id", "id", "rank1", F.round("score", 6).alias("score"), F.round("pre_score", 6).alias("pre_score"))
 
 
 @query(f"{_HARD}, p AS (SELECT query_id, count(*) AS n, max(pre_score) AS best FROM hits GROUP BY query_id) SELECT query_id, coalesce(n, 0) AS n_hits, round(best, 6) AS best, coalesce(n, 0) < 1 OR coalesce(best, 0) < 2.0 AS abstained FROM probes LEFT JOIN p USING (query_id)")
 def abstain(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    hits = fusion.hard_recall(asked, rows, visible)
+    asked, rows = _asked(spark, sf_dir)
+    hits = fusion.hard_recall(asked, rows)
     return fusion.abstain(asked, hits, 1, 2.0, "pre_score").withColumn("best", F.round("best", 6))
 
 
@@ -200,8 +197,8 @@ def abstain(spark, sf_dir):
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank1, place.a AS round FROM m QUALIFY rank1 <= 6
 """)
 def iterative_requery(spark, sf_dir):
-    asked, rows, visible = _asked(spark, sf_dir)
-    return fusion.iterative_requery(asked, rows, visible, 6)
+    asked, rows = _asked(spark, sf_dir)
+    return fusion.iterative_requery(asked, rows, 6)
 
 
 @query(f"""

@@ -174,11 +174,11 @@ def passage_gold(passages: DataFrame, memories: DataFrame) -> DataFrame:
     return both.where(F.contains("text", F.col("query"))).select("probe", F.col("id").alias("key"))
 
 
-def run_probes(probes: DataFrame, memories: DataFrame, visible: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """(probe, n_hits, found, expected, hit, recall) of probes (query_id, query) searched among ``visible`` and held against ``gold`` (probe, key)."""
+def run_probes(probes: DataFrame, memories: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """(probe, n_hits, found, expected, hit, recall) of probes (query_id, query, lenses) searched and held against ``gold`` (probe, key)."""
     from recollect.operators.lexical import bm25_search
 
-    hits = bm25_search(probes, memories, visible, k, "any").select(F.col("query_id").alias("probe"), "rank1", F.col("id").alias("key"))
+    hits = bm25_search(probes, memories, k, "any").select(F.col("query_id").alias("probe"), "rank1", F.col("id").alias("key"))
     empty = F.array().cast("array<string>")
     keys = gold.groupBy("probe").agg(F.collect_set("key").alias("expect"))
     rows = probes.select(F.col("query_id").alias("probe")).join(keys, "probe", "left").withColumns({"expect": F.coalesce("expect", empty), "forbid": empty})

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import QUERY_STOP_WORDS
-from recollect.operators.lexical import bm25_scores, top_k_per_query
+from recollect.operators.lenses import lens_of
+from recollect.operators.lexical import bm25_search
 from recollect.operators.vectors import knn_search
 
 RRF_K = 60
@@ -25,18 +26,17 @@ def rrf_fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return fused.withColumn("rank1", F.row_number().over(order)).drop("first")
 
 
-def search(queries: DataFrame, memories: DataFrame, visible: DataFrame, limit: int = 8, match: str = "all") -> DataFrame:
+def search(queries: DataFrame, memories: DataFrame, limit: int = 8, match: str = "all") -> DataFrame:
     """Hits of each query by the channels that it has: text (query), vector (embedding), or both by fusion.
 
-    ``visible`` (query_id, id) is what the query's scope and lenses allow, and is held to in both channels.
+    What the query's scope and lenses allow (see ``lenses.seen``) is held to in both channels.
     Returns query_id, id, score, rank1, bm25 and vector (which channels found it). Queries with neither
     give nothing; see ``search_reason``.
     """
     limit = min(limit, CHANNEL)
     width = max(CHANNEL, limit)
-    lexical = bm25_scores(queries.where(F.trim("query") != ""), memories, match).join(visible, ["query_id", "id"], "left_semi")
-    lexical = top_k_per_query(lexical, width).select("query_id", "id", "score", "rank1", F.lit(0).alias("list_no"))
-    near = visible_knn(queries, memories, visible, width).select("query_id", "id", "score", "rank1", F.lit(1).alias("list_no"))
+    lexical = bm25_search(queries.where(F.trim("query") != ""), memories, width, match).select("query_id", "id", "score", "rank1", F.lit(0).alias("list_no"))
+    near = knn_search(queries, memories, width).select("query_id", "id", "score", "rank1", F.lit(1).alias("list_no"))
     both = lexical.unionByName(near)
     fused = rrf_fuse(both)
     alone = queries.select("query_id", ((F.trim("query") != "") & F.col("embedding").isNotNull()).alias("hybrid"))
@@ -48,17 +48,6 @@ def search(queries: DataFrame, memories: DataFrame, visible: DataFrame, limit: i
     )
 
 
-def visible_knn(queries: DataFrame, memories: DataFrame, visible: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours among what each query may see: visible pairs are scored, never all pairs."""
-    from recollect.operators.vectors import unit
-
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", unit(F.col("embedding")).alias("q"))
-    rows = memories.where(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("x"))
-    dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = visible.join(asked, "query_id").join(rows, "id").where(F.size("q") == F.size("x")).select("query_id", "id", dot.alias("score"))
-    return top_k_per_query(scored, k)
-
-
 def search_reason(query: Column, embedding: Column, lexical_only: bool = False) -> Column:
     """Which channels serve a query, or ``invalid``."""
     text, vector = F.trim(F.coalesce(query, F.lit(""))) != "", embedding.isNotNull()
@@ -86,17 +75,15 @@ def rewrite_queries(queries: DataFrame, most: int = 3) -> DataFrame:
     return with_variants.select("query_id", F.posexplode(F.slice("variants", 1, most)).alias("pass", "query"))
 
 
-def hard_recall(queries: DataFrame, memories: DataFrame, visible: DataFrame, limit: int = 8, passes: int = 3) -> DataFrame:
+def hard_recall(queries: DataFrame, memories: DataFrame, limit: int = 8, passes: int = 3) -> DataFrame:
     """Hits over a query's rewritten passes, fused by rank; ``pre_score`` is the best score before fusion.
 
     The fused score stands only where more than one pass found anything.
     """
     variants = rewrite_queries(queries, passes)
     key = F.concat_ws("#", "query_id", "pass")
-    asked = variants.select("query_id", "pass", key.alias("k"), "query")
-    seen = asked.join(visible, "query_id").select(F.col("k").alias("query_id"), "id")
-    scored = bm25_scores(asked.select(F.col("k").alias("query_id"), "query"), memories, "all").join(seen, ["query_id", "id"], "left_semi")
-    found = top_k_per_query(scored, CHANNEL).withColumnRenamed("query_id", "k").join(asked.select("k", "query_id", "pass"), "k")
+    asked = variants.join(queries.select("query_id", *lens_of(queries)), "query_id").withColumn("k", key)
+    found = bm25_search(asked.drop("query_id").withColumnRenamed("k", "query_id"), memories, CHANNEL).withColumnRenamed("query_id", "k").join(asked.select("k", "query_id", "pass"), "k")
     width = F.when(F.col("pass") == 0, limit).otherwise(min(limit + 4, CHANNEL))
     found = found.where(F.col("rank1") <= width)
     fused = rrf_fuse(found.select("query_id", F.col("pass").alias("list_no"), "rank1", "id")).where(F.col("rank1") <= limit)
@@ -120,13 +107,13 @@ def attach_entities(hits: DataFrame, memories: DataFrame) -> DataFrame:
     return out.withColumn("graph", F.coalesce(F.size("entity_links") > 0, F.lit(False)))
 
 
-def iterative_requery(queries: DataFrame, memories: DataFrame, visible: DataFrame, k: int) -> DataFrame:
+def iterative_requery(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """Two rounds: the second adds to the query the first four long words, sorted, of the top hit; ranks of round one first."""
-    first = top_k_per_query(bm25_scores(queries, memories, "any").join(visible, ["query_id", "id"], "left_semi"), k)
+    first = bm25_search(queries, memories, k, "any")
     words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 4)))
     top = first.where("rank1 = 1").join(memories.select("id", "text"), "id").select("query_id", F.array_join(F.slice(words, 1, 4), " ").alias("extra"))
-    again = queries.join(top, "query_id").select("query_id", F.concat_ws(" ", "query", "extra").alias("query"))
-    second = top_k_per_query(bm25_scores(again, memories, "any").join(visible, ["query_id", "id"], "left_semi"), k)
+    again = queries.join(top, "query_id").select("query_id", *lens_of(queries), F.concat_ws(" ", "query", "extra").alias("query"))
+    second = bm25_search(again, memories, k, "any")
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     best = both.groupBy("query_id", "id").agg(F.min(F.struct("round", "rank1")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at", "id")
@@ -141,8 +128,5 @@ def channel_signals(hits: DataFrame, has_vector: Column, has_text: Column) -> Da
 
 def find_candidates(queries: DataFrame, memories: DataFrame, now: Column, limit: int = 8) -> DataFrame:
     """Open rows of a query's scope that its text may revise: a search at ``now`` without other lenses."""
-    from recollect.operators.lenses import as_of_join
-
     asked = queries.select("query_id", "query", "scope", "scope_match").withColumn("as_of", now)
-    visible = as_of_join(asked, memories).select("query_id", "id")
-    return top_k_per_query(bm25_scores(asked, memories, "any").join(visible, ["query_id", "id"], "left_semi"), limit)
+    return bm25_search(asked, memories, limit, "any")

@@ -56,6 +56,36 @@ def as_of_join(requests: DataFrame, memories: DataFrame) -> DataFrame:
     return seen.withColumn("query_id", F.col("_query_id")).select("query_id", *memories.columns)
 
 
+LENS = ("scope", "scope_match", "as_of", "known_as_of", "sys_as_of")
+TIMES = ("valid_from", "valid_until", "known_at", "sys_created", "sys_closed")
+
+
+def lens_of(queries: DataFrame) -> list[str]:
+    """The columns of ``queries`` that say what they may see."""
+    return [c for c in LENS if c in queries.columns]
+
+
+def seen(pairs: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, id and others) that the scopes and lenses of ``queries`` allow.
+
+    ``queries`` has query_id and any of scope, scope_match, as_of, known_as_of and sys_as_of; what is null or
+    missing allows all. Pairs are tested one by one, so that a query that may see every memory costs no more
+    than its hits do.
+    """
+    lens = lens_of(queries)
+    if not lens:
+        return pairs
+    own = memories.select("id", "scope", *[c for c in TIMES if c in memories.columns])
+    rows = pairs.join(own, "id").join(queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in lens]), "query_id")
+    if "scope" in lens:
+        match = F.coalesce("_scope_match", F.lit("prefix")) if "scope_match" in lens else F.lit("prefix")
+        rows = rows.where(F.col("_scope").isNull() | scope_match(F.col("scope"), F.col("_scope"), match))
+    for name, test in (("as_of", valid_at), ("known_as_of", known_by), ("sys_as_of", in_system_at)):
+        if name in lens:
+            rows = rows.where(F.col(f"_{name}").isNull() | test(F.col(f"_{name}")))
+    return rows.select(pairs.columns)
+
+
 def scope_prefix_join(memories: DataFrame, scopes: DataFrame) -> DataFrame:
     """(asked, id) for each asked scope and each memory at or under it."""
     above = memories.select("id", F.explode(ancestors(F.col("scope"))).alias("asked"))

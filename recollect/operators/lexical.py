@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import analyze
+from recollect.operators.lenses import seen
+from recollect.sources.shared import saved
 
 K1, B = 1.2, 0.75
+MARK, MARKS = " ", 256  # no term starts with a space
 
 
 def build_postings(memories: DataFrame) -> DataFrame:
@@ -42,15 +45,22 @@ def bm25_scores(queries: DataFrame, memories: DataFrame, match: str = "all") ->
     """(query_id, id, score) of texts that hold all (or any) of a query's terms.
 
     Only terms that some query has become postings: the text's tokens are filtered by them before any
-    shuffle. Statistics are over the whole table, whatever lens the caller applies to the hits.
+    shuffle. Statistics are over the whole table, whatever lens the caller applies to the hits. Each text is
+    analysed once: its length rides along with a mark instead of a term, one of many, so that no key is hot;
+    the hits that remain are written.
     """
     asked = query_terms(queries)
     words = asked.select("term").distinct()
     tokens = memories.select("id", analyze(F.col("text")).alias("tokens"))
-    exploded = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    hits = exploded.join(words, "term").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    length = F.size("tokens")
+    mark = lambda n: F.concat(F.lit(MARK), n.cast("string"))
+    exploded = tokens.select("id", length.alias("length"), F.explode(F.concat(F.array(mark(F.pmod(F.xxhash64("id"), F.lit(MARKS)))), "tokens")).alias("term"))
+    wanted = words.unionByName(words.sparkSession.range(MARKS).select(mark(F.col("id")).alias("term")))
+    counted = exploded.join(wanted, "term").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    counted = saved(counted, "hits")
+    hits = counted.where(~F.startswith("term", F.lit(MARK)))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(memories)
+    stats = counted.where(F.startswith("term", F.lit(MARK))).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm
     scored = hits.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("weight"))
@@ -68,9 +78,9 @@ def top_k_per_query(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return scored.withColumn("rank1", F.row_number().over(order)).where(F.col("rank1") <= k)
 
 
-def bm25_search(queries: DataFrame, memories: DataFrame, visible: DataFrame, k: int = 8, match: str = "all") -> DataFrame:
-    """The ``k`` best hits of each query among ``visible`` (query_id, id) pairs."""
-    return top_k_per_query(bm25_scores(queries, memories, match).join(visible, ["query_id", "id"], "left_semi"), k)
+def bm25_search(queries: DataFrame, memories: DataFrame, k: int = 8, match: str = "all") -> DataFrame:
+    """The ``k`` best hits of each query among what its scope and lenses allow (see ``lenses.seen``)."""
+    return top_k_per_query(seen(bm25_scores(queries, memories, match), queries, memories), k)
 
 
 def label_scores(hits: DataFrame) -> DataFrame:

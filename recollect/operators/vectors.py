@@ -6,14 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.operators.lenses import TIMES, lens_of
 from recollect.operators.lexical import top_k_per_query
 from recollect.operators.validation import vector_reason
+from recollect.sources.shared import saved
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-QUERY_BYTES = 256 << 20
+QUERY_BYTES = 32 << 20
+BLOCK_ROWS = 2048
+NEVER = np.iinfo("i8").min
 
 
 def _hash_texts(texts: pd.Series, dim: int) -> list[list[float]]:
@@ -60,45 +65,109 @@ def unit(embedding: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
+class _Lens:
+    """What each query of a block may see of a batch of memories."""
+
+    def __init__(self, queries: pa.Table):
+        self.n = queries.num_rows
+        self.times = {c: self._time(queries.column(c)) for c in ("as_of", "known_as_of", "sys_as_of") if c in queries.column_names}
+        self.scopes: dict[str, list[int]] = {}
+        self.exact = np.zeros(self.n, bool)
+        self.free = np.ones(self.n, bool)
+        if "scope" in queries.column_names:
+            for i, scope in enumerate(queries.column("scope").to_pylist()):
+                if scope is not None:
+                    self.free[i] = False
+                    self.scopes.setdefault(scope, []).append(i)
+        if "scope_match" in queries.column_names:
+            self.exact = np.array([m == "exact" for m in queries.column("scope_match").to_pylist()], bool)
+
+    @staticmethod
+    def _time(column) -> np.ndarray:
+        """Microseconds; the least number where there is none."""
+        values = column.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(NEVER)
+        return values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.combine_chunks().to_numpy(zero_copy_only=False)
+
+    def mask(self, batch: pa.RecordBatch) -> np.ndarray:
+        allowed = np.ones((self.n, batch.num_rows), bool)
+        if not self.free.all():
+            codes = batch.column("scope").dictionary_encode()
+            table = np.zeros((self.n, len(codes.dictionary) + 1), bool)
+            for c, scope in enumerate(codes.dictionary.to_pylist()):
+                parts = scope.split("/")
+                for depth in range(1, len(parts) + 1):
+                    for i in self.scopes.get("/".join(parts[:depth]), ()):
+                        table[i, c] = depth == len(parts) or not self.exact[i]
+            table[self.free] = True
+            allowed &= table[:, codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)]
+        time = {c: self._time(batch.column(c)) for c in TIMES if c in batch.schema.names}
+        tests = {
+            "as_of": lambda t: (time["valid_from"] != NEVER) & (time["valid_from"] <= t) & ((time["valid_until"] == NEVER) | (time["valid_until"] > t)),
+            "known_as_of": lambda t: (time["known_at"] != NEVER) & (time["known_at"] <= t),
+            "sys_as_of": lambda t: (created(time) != NEVER) & (created(time) <= t) & ((time["sys_closed"] == NEVER) | (time["sys_closed"] > t)),
+        }
+        created = lambda time: np.where(time["sys_created"] == NEVER, time["known_at"], time["sys_created"])
+        for name, at in self.times.items():
+            at = at[:, None]
+            allowed &= (at == NEVER) | tests[name](at)
+        return allowed
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, lens: _Lens, k: int):
+    """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(low, BLOCK_ROWS)
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(batch.num_rows, -1)
+                length = np.sqrt((x * x).sum(1, keepdims=True))
+                scores = q @ (x / np.where(length > 0, length, 1)).T
+                ranked = np.where(lens.mask(batch), np.round(scores, 9), -np.inf)
+                least = np.partition(ranked, -k, 1)[:, -k] if ranked.shape[1] > k else np.full(len(q), -np.inf)
+                names = np.array(batch.column("id").to_pylist(), object)
+                rows, columns = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
+                order = np.lexsort((names[columns], -ranked[rows, columns], rows))
+                place = np.arange(len(order)) - np.searchsorted(rows, rows[order])
+                order = order[place < k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows[order]]), pa.array(names[columns[order]], pa.string()), pa.array(scores[rows[order], columns[order]])], ["query_id", "id", "score"]
+                )
+
+    return near
+
+
 def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank1): each query's ``k`` nearest by cosine, exact, with score 1 - distance.
 
-    Queries go out in blocks of a checked size, and each block of memories keeps its own ``k`` best, so
-    that what is shuffled is ``k`` rows a query and task. More queries than a block make more passes.
+    A query sees what its scope and lenses allow, if it has any (see ``lenses.seen``): a mask over each block of
+    scores. Queries go out in blocks of at most ``QUERY_BYTES``, and each batch of memories keeps its own ``k``
+    best, so that what is shuffled is ``k`` rows a query and batch. More queries than a block make more
+    passes. Vectors without values, or of another dimension than most queries, take no part.
     """
     spark = queries.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    shape = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n, dim = shape.n, shape.dim or 1
-    blocks = max(1, -(-n * dim * 8 // QUERY_BYTES))
-    rows = memories.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select("id", "embedding")
+    lens = lens_of(queries)
+    asked = saved(queries.where(F.size("embedding") > 0).select("query_id", "embedding", *lens), "asked")
+    dims = {r.dim: r.n for r in asked.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    dim = max(dims, key=lambda d: (dims[d], d), default=1)
+    asked = asked.where(F.size("embedding") == dim)
+    blocks = max(1, -(-dims.get(dim, 0) * dim * 8 // QUERY_BYTES))
+    times = [c for c in TIMES if c in memories.columns] if lens else []
+    rows = memories.where(F.size("embedding") == dim).select("id", "embedding", *["scope"] * bool(lens), *times)
+    kind = asked.schema["query_id"].dataType.simpleString()
     best = None
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        matrix = np.array([r.embedding for r in part], "f8").reshape(-1, dim)
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        matrix = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
         norms = np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        shared = spark.sparkContext.broadcast(([r.query_id for r in part], matrix / np.where(norms > 0, norms, 1)))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                x = np.array(batch["embedding"].tolist(), "f8")
-                length = np.sqrt((x * x).sum(1, keepdims=True))
-                scores = q @ (x / np.where(length > 0, length, 1)).T
-                names = batch["id"].to_numpy()
-                keep = min(k, len(names))
-                at = [np.lexsort((names, -np.round(s, 9)))[:keep] for s in scores]
-                yield pd.DataFrame(
-                    {
-                        "query_id": np.repeat(np.array(ids), keep), "id": np.concatenate([names[i] for i in at]),
-                        "score": np.concatenate([s[i] for s, i in zip(scores, at)]),
-                    }
-                )
-
-        found = rows.mapInPandas(near, f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double")
+        ids = np.array(part.column("query_id").to_pylist(), None if kind != "string" else object)
+        shared = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 0, norms, 1), _Lens(part)))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, lens = shared.value
+            yield from _nearest(ids, q, lens, k)(batches) if len(ids) else ()
+
+        found = rows.mapInArrow(near, f"query_id {kind}, id string, score double")
         best = found if best is None else best.unionByName(found)
     return top_k_per_query(best, k)
 
