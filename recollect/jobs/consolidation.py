@@ -25,14 +25,17 @@ def _small(spark, sf_dir):
 
 
 _PAIRS = f"""
-    t AS (SELECT id, n, 'org/' || string_split(scope, '/')[3] AS scope, text, valid_from, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(STOP_WORDS)}))) AS tokens FROM memories WHERE n % 5 <> 4),
-    x AS (SELECT id, scope, unnest(tokens) AS token FROM t),
+    t AS (SELECT id, n, 'org/' || string_split(scope, '/')[3] AS scope, text, valid_from, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({_quoted(STOP_WORDS)})))) AS tokens FROM memories WHERE n % 5 <> 4),
+    s AS (SELECT *, first_value(id) OVER w AS rep FROM t WHERE len(tokens) > 0 WINDOW w AS (PARTITION BY scope, tokens ORDER BY strlen(text) DESC, valid_from DESC, id DESC)),
+    r AS (SELECT * FROM s WHERE id = rep), x AS (SELECT id, scope, unnest(tokens) AS token FROM r),
     c AS (SELECT a.id AS ia, b.id AS ib, count(*) AS common FROM x a JOIN x b ON a.token = b.token AND a.scope = b.scope AND a.id < b.id GROUP BY a.id, b.id),
     j AS (SELECT a.*, b.id AS id_b, b.text AS text_b, b.valid_from AS from_b, common / (len(a.tokens) + len(b.tokens) - common)::DOUBLE AS jaccard FROM c JOIN t a ON a.id = ia JOIN t b ON b.id = ib),
-    p AS (SELECT *, strlen(text) > strlen(text_b) OR (strlen(text) = strlen(text_b) AND (valid_from > from_b OR (valid_from = from_b AND id > id_b))) AS k FROM j WHERE jaccard >= 0.6)"""
+    p AS (SELECT scope, CASE WHEN k THEN id ELSE id_b END AS keep, CASE WHEN k THEN id_b ELSE id END AS drop, jaccard, CASE WHEN valid_from > from_b OR (valid_from = from_b AND id > id_b) THEN id ELSE id_b END AS earlier
+        FROM (SELECT *, strlen(text) > strlen(text_b) OR (strlen(text) = strlen(text_b) AND (valid_from > from_b OR (valid_from = from_b AND id > id_b))) AS k FROM j WHERE jaccard >= 0.6)
+        UNION ALL SELECT s.scope, s.rep, s.id, 1.0, CASE WHEN s.valid_from > r.valid_from OR (s.valid_from = r.valid_from AND s.id > s.rep) THEN s.id ELSE s.rep END FROM s JOIN r ON r.id = s.rep WHERE s.id <> s.rep)"""
 
 
-@query(f"WITH {MEMORIES}, {_PAIRS} SELECT CASE WHEN k THEN id ELSE id_b END AS keep, CASE WHEN k THEN id_b ELSE id END AS drop, round(jaccard, 6) AS jaccard FROM p")
+@query(f"WITH {MEMORIES}, {_PAIRS} SELECT keep, drop, round(jaccard, 6) AS jaccard FROM p")
 def near_duplicates(spark, sf_dir):
     return consolidate.near_duplicates(_small(spark, sf_dir)).select("keep", "drop", F.round("jaccard", 6).alias("jaccard"))
 
@@ -54,7 +57,14 @@ def possible_conflict(spark, sf_dir):
     return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", contradicts(a, F.col("b")).alias("conflict"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {MEMORIES}, {_PAIRS}, o AS MATERIALIZED (SELECT scope || '|semantic' AS grp, row_number() OVER (PARTITION BY scope ORDER BY earlier, keep, drop) AS pos, keep, drop FROM p),
+    f AS (SELECT grp, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS dropped FROM (SELECT DISTINCT grp FROM o)
+        UNION ALL SELECT f.grp, o.pos, CASE WHEN list_contains(kept, drop) OR list_contains(dropped, keep) OR list_contains(dropped, drop) THEN kept ELSE list_append(kept, keep) END,
+            CASE WHEN list_contains(kept, drop) OR list_contains(dropped, keep) OR list_contains(dropped, drop) THEN dropped ELSE list_append(dropped, drop) END FROM f JOIN o ON o.grp = f.grp AND o.pos = f.pos + 1),
+    l AS (SELECT grp, kept, dropped FROM f QUALIFY row_number() OVER (PARTITION BY grp ORDER BY pos DESC) = 1), u AS (SELECT grp, unnest(kept) AS keep, unnest(dropped) AS drop FROM l)
+    SELECT u.grp AS "group", pos, u.keep, u.drop FROM u JOIN o ON o.grp = u.grp AND o.keep = u.keep AND o.drop = u.drop
+""")
 def select_proposals(spark, sf_dir):
     pairs = consolidate.near_duplicates(_small(spark, sf_dir))
     order = Window.partitionBy("group").orderBy("earlier", "keep", "drop")

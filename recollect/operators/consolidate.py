@@ -2,67 +2,88 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.functions.text import collapsed, contradicts, preview, similarity_tokens
+from recollect.functions.text import collapsed, negates, preview, similarity_tokens, value_tokens
 from recollect.sources.shared import saved
 
 
 def near_duplicates(memories: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(keep, drop, jaccard, conflict) of pairs of one scope and category whose token sets are that similar.
+    """(keep, drop, jaccard, conflict, earlier) of pairs of one scope and category whose token sets are that similar.
 
+    Rows of one scope, category and token set are a class; its first row in the order of keeping stands for
+    it. Pairs are between the classes' first rows, and of each first row with every other row of its class:
+    every similar pair of rows follows from these, and a crowd of copies gives as many pairs as it has rows.
     The longer text (in bytes) is kept; ties keep the row that is listed first, by valid_from and id
-    descending. Rows of category uncertainty take no part. Prefix filter: in one order of tokens, rare ones
-    first, two similar sets share one of their first tokens. Sets of one scope, category and token set are
-    one row until the pairs are verified, so a crowd of copies makes no crowd of candidates.
+    descending. Rows of category uncertainty, or without tokens, take no part. Prefix filter: in one order of
+    tokens, rare ones first, two similar sets share one of their first tokens, in places that leave enough
+    tokens after them, and their sizes are in the same class or neighbouring ones. What is joined are tokens,
+    sizes and flags, never texts.
     """
-    rows = memories.where("category <> 'uncertainty'").select("id", "scope", "category", "text", "valid_from", F.array_sort(similarity_tokens(F.col("text"))).alias("tokens"))
-    rows = saved(rows.where(F.size("tokens") > 0).withColumn("set", F.xxhash64("scope", "category", "tokens")), "token-sets")
-    sets = rows.groupBy("set").agg(F.first("scope").alias("scope"), F.first("category").alias("category"), F.first("tokens").alias("tokens"))
-    df = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    spread = sets.select("set", "scope", "category", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
-    ordered = spread.groupBy("set", "scope", "category", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    length = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    prefixes = ordered.select("set", "scope", "category", "n", F.explode(F.slice("o", F.lit(1), length)).alias("p")).select("set", "scope", "category", "n", F.col("p.token").alias("token"))
-    b = prefixes.select(F.col("set").alias("set_b"), "scope", "category", F.col("n").alias("n_b"), "token")
-    met = prefixes.withColumnRenamed("set", "set_a").join(b, ["scope", "category", "token"])
-    met = met.where((F.col("set_a") < F.col("set_b")) & (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9)).select("set_a", "set_b").distinct()
-    t = sets.select("set", "tokens")
-    both = met.join(t.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(t.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
+    rows = memories.where("category <> 'uncertainty'").select(
+        "id", "scope", "category", "valid_from", F.octet_length("text").alias("bytes"), negates(F.col("text")).alias("neg"), value_tokens(F.col("text")).alias("vals"),
+        F.array_sort(similarity_tokens(F.col("text"))).alias("tokens"),
+    )
+    identity = F.sha2(F.concat_ws("\u0000", "scope", "category", F.array_join("tokens", " ")), 256)
+    rows = saved(rows.where(F.size("tokens") > 0).withColumn("set", identity), "token-sets")
+    standing = F.struct("bytes", "valid_from", "id", "neg", "vals")
+    sets = rows.groupBy("set").agg(F.first("scope").alias("scope"), F.first("category").alias("category"), F.first("tokens").alias("tokens"), F.max(standing).alias("row"))
+    sets = saved(sets, "sets")
+    spread = sets.select("set", F.explode("tokens").alias("token"))
+    df = spread.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = spread.join(df, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    n = F.size("o")
+    length = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
+    prefixes = ordered.join(sets.select("set", "scope", "category"), "set").select("set", "scope", "category", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "p"))
+    kind = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / threshold) * (1 + 1e-9))).cast("int")
+    prefixes = saved(prefixes.select("set", "scope", "category", "n", "at", F.col("p.token").alias("token"), kind.alias("kind")), "prefixes")
+    b = prefixes.select(F.col("set").alias("set_b"), "scope", "category", F.col("n").alias("n_b"), F.col("at").alias("at_b"), "token", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)).alias("kind"))
+    met = prefixes.withColumnRenamed("set", "set_a").join(b, ["scope", "category", "token", "kind"])
+    most = F.least("at", "at_b") + F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    able = (F.least("n", "n_b") >= threshold * F.greatest("n", "n_b") - 1e-9) & ((1 + threshold) * most >= threshold * (F.col("n") + F.col("n_b")) - 1e-9)
+    met = met.where((F.col("set_a") < F.col("set_b")) & able).select("set_a", "set_b").distinct()
+    side = lambda x: sets.select(F.col("set").alias(f"set_{x}"), F.col("tokens").alias(f"t{x}"), F.col("row").alias(x))
+    both = met.join(side("a"), "set_a").join(side("b"), "set_b")
     common = F.size(F.array_intersect("ta", "tb"))
-    score = common / (F.size("ta") + F.size("tb") - common)
-    similar = both.select("set_a", "set_b", score.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    similar = similar.unionByName(sets.select(F.col("set").alias("set_a"), F.col("set").alias("set_b"), F.lit(1.0).alias("jaccard")))
-    slim = lambda x: rows.select(F.col("set").alias(f"set_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "text", "valid_from")])
-    pairs = similar.join(slim("a"), "set_a").join(slim("b"), "set_b").where((F.col("set_a") != F.col("set_b")) | (F.col("id_a") < F.col("id_b")))
-    length_a, length_b = F.octet_length("text_a"), F.octet_length("text_b")
-    first = F.struct("valid_from_a", "id_a") > F.struct("valid_from_b", "id_b")
-    keep_a = (length_a > length_b) | ((length_a == length_b) & first)
-    return pairs.select(
-        F.when(keep_a, F.col("id_a")).otherwise(F.col("id_b")).alias("keep"), F.when(keep_a, F.col("id_b")).otherwise(F.col("id_a")).alias("drop"), "jaccard",
-        contradicts(F.col("text_a"), F.col("text_b")).alias("conflict"), F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("earlier"),
+    similar = both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    member = rows.select("set", F.struct("bytes", "valid_from", "id", "neg", "vals").alias("b"))
+    copies = sets.select("set", F.col("row").alias("a")).join(member, "set").where(F.col("a.id") != F.col("b.id")).select("a", "b", F.lit(1.0).alias("jaccard"))
+    listed = lambda x: F.struct(f"{x}.valid_from", f"{x}.id")
+    order = lambda x: F.struct(f"{x}.bytes", f"{x}.valid_from", f"{x}.id")
+    keep_a = order("a") > order("b")
+    differ = (F.size("a.vals") > 0) & (F.size("b.vals") > 0) & (F.col("a.vals") != F.col("b.vals"))
+    return similar.unionByName(copies).select(
+        F.when(keep_a, F.col("a.id")).otherwise(F.col("b.id")).alias("keep"), F.when(keep_a, F.col("b.id")).otherwise(F.col("a.id")).alias("drop"), "jaccard",
+        ((F.col("a.neg") != F.col("b.neg")) | differ).alias("conflict"), F.when(listed("a") > listed("b"), F.col("a.id")).otherwise(F.col("b.id")).alias("earlier"),
     )
 
 
 def select_proposals(pairs: DataFrame) -> DataFrame:
     """``pairs`` (group, pos, keep, drop) that stand in order: a dropped row is dropped once, a kept row is never dropped, nor the reverse.
 
-    The choice depends on all earlier ones of a group, so a group is folded in one place, on pairs alone.
+    Rounds over all groups at once: a pair that comes before all open pairs that it can't stand beside is
+    taken, and open pairs that can't stand beside a taken one go. Each round is a join a column on the least
+    positions, and is written; a chain of pairs each of which waits for the last takes a round a link.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, dropped, out = set(), set(), []
-        for row in rows.sort_values("pos").itertuples(index=False):
-            if row.drop in kept or row.keep in dropped or row.drop in dropped:
-                continue
-            kept.add(row.keep)
-            dropped.add(row.drop)
-            out.append((row.group, row.pos, row.keep, row.drop))
-        return pd.DataFrame(out, columns=["group", "pos", "keep", "drop"])
-
-    return pairs.groupBy("group").applyInPandas(choose, "group string, pos long, keep string, drop string")
+    left = saved(pairs.select("group", "pos", "keep", "drop"), "open")
+    out = None
+    while left.limit(1).count():
+        dropped = left.groupBy("group", F.col("drop").alias("id")).agg(F.min("pos").alias("d"))
+        kept = left.groupBy("group", F.col("keep").alias("id")).agg(F.min("pos").alias("k"))
+        least = dropped.join(kept, ["group", "id"], "full")
+        at = lambda side: least.select("group", F.col("id").alias(side), F.col("d").alias(f"{side}_d"), F.col("k").alias(f"{side}_k"))
+        rows = left.join(at("keep"), ["group", "keep"]).join(at("drop"), ["group", "drop"])
+        first = (F.col("pos") <= F.col("drop_d")) & (F.col("drop_k").isNull() | (F.col("pos") < F.col("drop_k"))) & (F.col("keep_d").isNull() | (F.col("pos") < F.col("keep_d")))
+        taken = saved(rows.where(first).select("group", "pos", "keep", "drop"), "taken")
+        out = taken if out is None else out.unionByName(taken)
+        gone, stays = taken.select("group", F.col("drop").alias("id")), taken.select("group", F.col("keep").alias("id"))
+        for bad, side in ((gone.unionByName(stays), "drop"), (gone, "keep")):
+            left = left.join(bad.withColumnRenamed("id", side).distinct(), ["group", side], "left_anti")
+        left = saved(left.select("group", "pos", "keep", "drop"), "open")
+    return left if out is None else out
 
 
 def age_out(memories: DataFrame, now: Column, days: int | None) -> DataFrame:
