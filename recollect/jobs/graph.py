@@ -10,16 +10,47 @@ from recollect.operators import graph, lexical
 from recollect.sources.derived import EDGES, MEMORIES, PROBES, edges, memories, read
 
 
-@query(f"""
-    WITH RECURSIVE {EDGES}, steps AS (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges WHERE predicate = 'contradicts'),
-    l0 AS (SELECT DISTINCT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 0),
-    l1 AS (SELECT seed, b AS node, min(seed || '>' || b) AS path FROM l0 JOIN steps ON a = seed AND b <> seed GROUP BY seed, b),
-    l2 AS (SELECT l.seed, s.b AS node, min(path || '>' || s.b) AS path FROM l1 l JOIN steps s ON s.a = l.node WHERE s.b <> l.seed AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.seed = l.seed AND x.node = s.b) GROUP BY l.seed, s.b)
-    SELECT seed, seed AS node, 0 AS depth, seed AS path FROM l0 UNION ALL SELECT seed, node, 1, path FROM l1 UNION ALL SELECT seed, node, 2, path FROM l2
-""")
+VISITED, MOST_EDGES = 24, 40
+
+
+def _level(n: int) -> str:
+    """One level of the walk, from the frontier f{n - 1} and the nodes n{n - 1} seen so far."""
+    return f"""
+    a{n} AS (SELECT seed, s.b, scanned + row_number() OVER (PARTITION BY seed ORDER BY rank, s.id, s.b) AS pos, scanned, seen, list_append(path, s.id) AS path FROM f{n - 1} JOIN steps s ON s.a = node),
+    b{n} AS (SELECT seed, b AS node, min(pos) AS pos FROM a{n} WHERE pos <= {MOST_EDGES} AND NOT EXISTS (SELECT 1 FROM n{n - 1} x WHERE x.seed = a{n}.seed AND x.node = b) GROUP BY seed, b),
+    c{n} AS (SELECT b{n}.seed, node, b{n}.pos, path, seen, row_number() OVER (PARTITION BY b{n}.seed ORDER BY b{n}.pos) AS rank FROM b{n} JOIN a{n} ON a{n}.seed = b{n}.seed AND a{n}.pos = b{n}.pos),
+    d{n} AS (SELECT * FROM c{n} WHERE rank <= {VISITED} - seen),
+    e{n} AS (SELECT seed, max(pos) AS pos, max(scanned) AS before, max(seen) AS seen, (SELECT count(*) FROM d{n} d WHERE d.seed = a{n}.seed) AS found, (SELECT max(pos) FROM d{n} d WHERE d.seed = a{n}.seed) AS last FROM a{n} GROUP BY seed),
+    g{n} AS (SELECT seed, seen + found AS seen, least(pos, {MOST_EDGES}) AS scanned, pos >= {MOST_EDGES} AS by_edges, seen + found >= {VISITED} AND least(pos, {MOST_EDGES}) > coalesce(last, before) AS by_visited FROM e{n}),
+    f{n} AS (SELECT d.seed, d.node, d.path, d.rank, g.scanned, g.seen FROM d{n} d JOIN g{n} g USING (seed) WHERE NOT by_edges AND NOT by_visited),
+    n{n} AS (SELECT seed, node, depth, path FROM n{n - 1} UNION ALL SELECT seed, node, {n}, path FROM d{n})"""
+
+
+_WALK = f"""
+    WITH {EDGES}, named AS (SELECT *, subject || '|' || predicate || '|' || object AS id FROM edges),
+    moves AS (SELECT subject AS a, object AS b, id FROM named UNION SELECT object, subject, id FROM named WHERE predicate = 'contradicts'),
+    steps AS (SELECT * FROM moves QUALIFY row_number() OVER (PARTITION BY a ORDER BY id, b) <= {MOST_EDGES} + 1),
+    f0 AS (SELECT DISTINCT 'p' || p_partkey AS seed, 'p' || p_partkey AS node, CAST([] AS VARCHAR[]) AS path, 1 AS rank, 0 AS scanned, 1 AS seen FROM part),
+    n0 AS (SELECT seed, node, 0 AS depth, path FROM f0), {_level(1)}, {_level(2)}"""
+
+
+def _walk(spark, sf_dir):
+    seeds = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    return graph.traverse(edges(spark, sf_dir), seeds, 2, "out", VISITED, MOST_EDGES)
+
+
+@query(f"{_WALK} SELECT seed, node, depth, array_to_string(path, '>') AS path FROM n2")
 def traverse(spark, sf_dir):
-    seeds = read(spark, sf_dir, "part").where(F.col("p_partkey") % 20 == 0).select(F.concat(F.lit("p"), "p_partkey").alias("id")).distinct()
-    return graph.traverse(edges(spark, sf_dir), seeds, depth=2)
+    return _walk(spark, sf_dir)[0].withColumn("path", F.array_join("path", ">"))
+
+
+@query(f"""{_WALK},
+    m AS (SELECT seed, 'depth' AS mark FROM f2 WHERE node IN (SELECT a FROM steps) UNION SELECT seed, 'edges' FROM g1 WHERE by_edges UNION SELECT seed, 'edges' FROM g2 WHERE by_edges UNION SELECT seed, 'visited' FROM g1 WHERE by_visited UNION SELECT seed, 'visited' FROM g2 WHERE by_visited)
+    SELECT f0.seed, greatest(1, coalesce(g1.seen, 1), coalesce(g2.seen, 1)) AS visited, greatest(coalesce(g1.scanned, 0), coalesce(g2.scanned, 0)) AS edges_scanned, (SELECT max(depth) FROM n2 WHERE n2.seed = f0.seed) AS depth_reached,
+        coalesce((SELECT string_agg(mark, ',' ORDER BY mark) FROM m WHERE m.seed = f0.seed), '') AS truncated FROM f0 LEFT JOIN g1 ON g1.seed = f0.seed LEFT JOIN g2 ON g2.seed = f0.seed
+""")
+def traverse_stats(spark, sf_dir):
+    return _walk(spark, sf_dir)[1].withColumn("truncated", F.array_join("truncated", ","))
 
 
 _REGISTRY = ", ".join(f"('{p}', {list(s)}, {list(o)}, {str(r).lower()})" for p, s, o, _, r in graph.PREDICATES)
@@ -98,25 +129,67 @@ def list_edges(spark, sf_dir):
     return graph.list_edges(rows, F.lit("n3"), "depends_on").select("subject", "object")
 
 
-_PAIRS = "pairs AS (SELECT 'm' || doc_id AS subject, 'contradicts' AS predicate, 'm' || (doc_id * 7 % (SELECT count(*) FROM documents)) AS object FROM documents WHERE doc_id % 2 = 0)"
+_PAIRS = """pairs AS (SELECT 'm' || doc_id AS subject, 'contradicts' AS predicate, 'm' || (doc_id * 7 % (SELECT count(*) FROM documents)) AS object, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id % 100) AS valid_from,
+        CASE WHEN doc_id % 9 = 0 THEN TIMESTAMP '2024-01-04 00:00:00' END AS valid_until FROM documents WHERE doc_id % 2 = 0
+        UNION ALL SELECT 'm' || doc_id, 'supports', 'm' || (doc_id % 30), TIMESTAMP '2024-01-01 00:00:00', NULL FROM documents WHERE doc_id % 3 = 0)"""
 
 
-@query(f"""
-    WITH {MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}), {_PAIRS},
-    steps AS (SELECT subject AS a, object AS b, predicate FROM pairs WHERE subject <> object UNION SELECT object, subject, predicate FROM pairs WHERE subject <> object),
-    found AS (SELECT query_id, b AS id, min(rank1) AS seed_rank, list_sort(list_distinct(list(a)))[1:3] AS f FROM hits JOIN steps ON a = id GROUP BY query_id, b),
-    j AS (SELECT coalesce(h.query_id, f.query_id) AS query_id, coalesce(h.id, f.id) AS id, rank1, score, seed_rank, f FROM hits h FULL JOIN found f ON h.query_id = f.query_id AND h.id = f.id),
-    p AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank1 IS NULL ORDER BY seed_rank, id) AS n, coalesce(max(rank1) OVER (PARTITION BY query_id), 0) AS direct FROM j)
-    SELECT query_id, id, coalesce(rank1, direct + n) AS rank1, round(coalesce(score, 1 / (60.0::DOUBLE + direct + n)), 6) AS score, rank1 IS NULL AS expanded, array_to_string(f, ',') AS "from" FROM p WHERE rank1 IS NOT NULL OR n <= 32
-""")
-def graph_expand(spark, sf_dir):
+def _spread(n: int) -> str:
+    """One level of expansion from the frontier f{n - 1}; c{n} has all candidates so far."""
+    before = f"AND NOT EXISTS (SELECT 1 FROM c{n - 1} x WHERE x.query_id = a.query_id AND x.id = a.id)" if n > 1 else ""
+    return f"""
+    a{n} AS (SELECT f.query_id, s.b AS id, f.origin, s.predicate, f.found, f.scanned + row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank, s.id, s.b) AS pos, {n} AS depth
+        FROM f{n - 1} f JOIN steps s ON s.a = f.node JOIN probes p USING (query_id) WHERE valid_from <= as_of AND (valid_until IS NULL OR valid_until > as_of)),
+    w{n} AS (SELECT * FROM a{n} WHERE pos <= 256),
+    b{n} AS (SELECT a.query_id, a.id, min(pos) AS pos, arg_min(origin, pos) AS origin, max(found) AS found, row_number() OVER (PARTITION BY a.query_id ORDER BY min(pos)) AS rank FROM w{n} a
+        WHERE NOT EXISTS (SELECT 1 FROM hits x WHERE x.query_id = a.query_id AND x.id = a.id) {before} GROUP BY a.query_id, a.id),
+    g{n} AS (SELECT query_id, least(max(pos), 256) AS scanned, least(coalesce((SELECT max(rank + b.found) FROM b{n} b WHERE b.query_id = a{n}.query_id), max(found)), 32) AS found, max(pos) >= 256 AS by_edges,
+        coalesce((SELECT max(rank + b.found) FROM b{n} b WHERE b.query_id = a{n}.query_id), 0) > 32 AS by_candidates FROM a{n} GROUP BY query_id),
+    c{n} AS (SELECT query_id, id, {n} AS depth, pos FROM b{n} WHERE rank + found <= 32 {f"UNION ALL SELECT * FROM c{n - 1}" if n > 1 else ""}),
+    f{n} AS (SELECT b.query_id, b.id AS node, b.origin, b.rank, g.scanned, g.found FROM b{n} b JOIN g{n} g USING (query_id) WHERE b.rank + b.found <= 32 AND NOT by_edges AND NOT by_candidates)"""
+
+
+_EXPANDED = f"""
+    WITH {MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}), {_PAIRS}, named AS (SELECT *, subject || '|' || predicate || '|' || object AS id FROM pairs),
+    steps AS (SELECT DISTINCT * FROM (SELECT subject AS a, object AS b, predicate, id, valid_from, valid_until FROM named UNION ALL SELECT object, subject, predicate, id, valid_from, valid_until FROM named) WHERE a <> b),
+    f0 AS (SELECT query_id, id AS node, id AS origin, rank1 AS rank, 0 AS scanned, 0 AS found FROM hits WHERE rank1 <= 8), {_spread(1)}, {_spread(2)},
+    met AS (SELECT query_id, id, origin, predicate, pos, depth FROM w1 UNION ALL SELECT query_id, id, origin, predicate, pos, depth FROM w2),
+    o AS (SELECT query_id, id, array_to_string(list(origin ORDER BY p)[1:3], ',') AS f FROM (SELECT query_id, id, origin, min(pos) AS p FROM met GROUP BY ALL) GROUP BY query_id, id),
+    v AS (SELECT query_id, id, array_to_string(list(predicate ORDER BY p)[1:3], ',') AS via FROM (SELECT query_id, id, predicate, min(pos) AS p FROM met GROUP BY ALL) GROUP BY query_id, id),
+    led AS (SELECT query_id, id, min(depth) AS depth, any_value(f) AS f, any_value(via) AS via FROM met JOIN o USING (query_id, id) JOIN v USING (query_id, id) GROUP BY query_id, id),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, pos) + (SELECT max(rank1) FROM hits h WHERE h.query_id = c2.query_id) AS rank1 FROM c2 SEMI JOIN visible USING (query_id, id)),
+    rows_ AS (SELECT query_id, id, rank1, score, false AS expanded FROM hits UNION ALL SELECT query_id, id, rank1, 1 / (60.0::DOUBLE + rank1), true FROM kept)"""
+
+
+def _expanded(spark, sf_dir):
     asked, rows = _asked(spark, sf_dir)
     hits = lexical.bm25_search(asked, rows, 8, "any")
-    n = read(spark, sf_dir, "documents").count()
-    d = F.col("doc_id")
-    pairs = read(spark, sf_dir, "documents").where(d % 2 == 0).select(F.concat(F.lit("m"), d).alias("subject"), F.lit("contradicts").alias("predicate"), F.concat(F.lit("m"), d * 7 % n).alias("object"))
-    out = graph.graph_expand(hits, pairs)
-    return out.select("query_id", "id", "rank1", F.round("score", 6).alias("score"), "expanded", F.array_join("from", ",").alias("from"))
+    docs = read(spark, sf_dir, "documents")
+    n, d = docs.count(), F.col("doc_id")
+    m = lambda c: F.concat(F.lit("m"), c)
+    none = F.lit(None).cast("timestamp_ntz")
+    began = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    pairs = docs.where(d % 2 == 0).select(
+        m(d).alias("subject"), F.lit("contradicts").alias("predicate"), m(d * 7 % n).alias("object"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id % 100 AS INT), 0, 0)").alias("valid_from"),
+        F.when(d % 9 == 0, F.lit("2024-01-04 00:00:00").cast("timestamp_ntz")).alias("valid_until"),
+    )
+    hubs = docs.where(d % 3 == 0).select(m(d).alias("subject"), F.lit("supports").alias("predicate"), m(d % 30).alias("object"), began.alias("valid_from"), none.alias("valid_until"))
+    return graph.graph_expand(hits, pairs.unionByName(hubs), asked, rows, depth=2)
+
+
+@query(f"{_EXPANDED} SELECT query_id, id, rank1, round(score, 6) AS score, expanded, f AS \"from\", via, depth FROM rows_ LEFT JOIN led USING (query_id, id)")
+def graph_expand(spark, sf_dir):
+    out = _expanded(spark, sf_dir)[0]
+    return out.withColumns({"score": F.round("score", 6), "from": F.array_join("from", ","), "via": F.array_join("via", ",")})
+
+
+@query(f"""{_EXPANDED},
+    t AS (SELECT query_id, 'depth' AS mark FROM f2 WHERE node IN (SELECT a FROM steps) UNION SELECT query_id, 'edges' FROM g1 WHERE by_edges UNION SELECT query_id, 'edges' FROM g2 WHERE by_edges UNION SELECT query_id, 'candidates' FROM g1 WHERE by_candidates UNION SELECT query_id, 'candidates' FROM g2 WHERE by_candidates)
+    SELECT query_id, count(*) AS seeds, coalesce(greatest((SELECT scanned FROM g1 WHERE g1.query_id = f0.query_id), (SELECT scanned FROM g2 WHERE g2.query_id = f0.query_id)), 0) AS edges_scanned, (SELECT count(*) FROM c2 WHERE c2.query_id = f0.query_id) AS candidates_found,
+        (SELECT count(*) FROM kept WHERE kept.query_id = f0.query_id) AS candidates_added, coalesce((SELECT string_agg(mark, ',' ORDER BY mark) FROM t WHERE t.query_id = f0.query_id), '') AS truncated FROM f0 GROUP BY query_id
+""")
+def expansion_stats(spark, sf_dir):
+    return _expanded(spark, sf_dir)[1].withColumn("truncated", F.array_join("truncated", ","))
 
 
 @query("""

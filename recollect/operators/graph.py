@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.operators.lenses import lens_of, seen, valid_at
 from recollect.sources.shared import saved
 
 #: Predicate, kinds of its subject, kinds of its object, symmetric, reserved.
@@ -96,58 +97,144 @@ def list_edges(edges: DataFrame, endpoint: Column | None = None, predicate: str
     return rows.orderBy(F.desc("valid_from"), "subject", "object").limit(limit)
 
 
-def _steps(edges: DataFrame, direction: str) -> DataFrame:
-    """(a, b) moves along edges; symmetric predicates go both ways."""
-    out = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"), "predicate")
-    back = edges.select(F.col("object").alias("a"), F.col("subject").alias("b"), "predicate")
+def _steps(edges: DataFrame, direction: str, most: int | None = None) -> DataFrame:
+    """(a, b, predicate, id) moves along edges; symmetric predicates go both ways. ``most`` keeps a node's first ones by id."""
+    own = edges if "id" in edges.columns else edges.withColumn("id", F.concat_ws("|", "subject", "predicate", "object"))
+    out = own.select(F.col("subject").alias("a"), F.col("object").alias("b"), "predicate", "id")
+    back = own.select(F.col("object").alias("a"), F.col("subject").alias("b"), "predicate", "id")
     if direction == "in":
         out, back = back, out
     if direction != "both":
         back = back.where(F.col("predicate").isin(*SYMMETRIC))
-    return out.unionByName(back).where("a <> b").distinct()
-
-
-def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "out", most_neighbours: int | None = None) -> DataFrame:
-    """(seed, node, depth, path) of nodes within ``depth`` of each seed: the shortest path, the first in order among equals.
-
-    One join and one anti join a level, each level written. ``most_neighbours`` bounds how many neighbours of
-    a node are followed (the first in order), which is how an edge budget is set for hubs; none by default.
+    moves = out.unionByName(back).where("a <> b").distinct()
+    if most:
+        moves = moves.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("id", "b"))).where(F.col("_n") <= most).drop("_n")
+    return moves
+
+
+def traverse(
+    edges: DataFrame, seeds: DataFrame, depth: int = 2, direction: str = "out", visited: int = 128, most_edges: int = 256,
+    predicates: tuple[str, ...] | None = None, states: tuple[str, ...] = ("active",),
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, stats) of a breadth-first walk from each seed (id) on its own.
+
+    nodes has seed, node, depth and path: the ids of the edges that led there first. A level's edges are
+    taken in order of where they start (the order in which these nodes were found), then of their ids. Budgets
+    hold for a seed: ``depth`` (8 at most), ``visited`` nodes with the seed itself (4096 at most) and
+    ``most_edges`` scanned (8192 at most), those to nodes seen before included. stats has seed, visited,
+    edges_scanned, depth_reached and truncated: in order, ``depth`` if the last level's nodes have edges that
+    weren't taken, ``edges`` if that many were scanned, ``visited`` if edges were left when that many nodes
+    were seen. A seed that meets one of the last two goes no deeper. ``edges`` has subject, predicate, object
+    and, if there, id and state; edges from a node to itself don't count. Since budgets bound what a seed
+    can meet, no more of a hub's edges than the budget are joined. Each level is a join and an anti join,
+    and is written.
     """
-    steps = _steps(edges, direction)
-    if most_neighbours:
-        order = Window.partitionBy("a").orderBy("predicate", "b")
-        steps = steps.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_neighbours).drop("_n")
-    steps = saved(steps, "steps")
-    frontier = saved(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.col("id").alias("path")), "level")
-    seen = frontier
+    depth, visited, most_edges = min(depth, 8), max(1, min(visited, 4096)), max(1, min(most_edges, 8192))
+    if "state" in edges.columns:
+        edges = edges.where(F.col("state").isin(*states))
+    if predicates:
+        edges = edges.where(F.col("predicate").isin(*predicates))
+    steps = saved(_steps(edges, direction, most_edges + 1), "steps").withColumnRenamed("a", "node")
+    first = seeds.select(F.col("id").alias("seed")).distinct()
+    none = F.array().cast("array<string>")
+    frontier = first.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), none.alias("path"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("scanned"), F.lit(1).cast("long").alias("seen"))
+    frontier = nodes = saved(frontier, "level")
+    told = first.select("seed", F.lit(1).cast("long").alias("seen"), F.lit(0).cast("long").alias("scanned"), F.lit(None).cast("string").alias("mark"))
     for level in range(1, depth + 1):
-        ahead = frontier.join(steps.withColumnRenamed("a", "node"), "node").select("seed", F.col("b").alias("node"), F.concat("path", F.lit(">"), "b").alias("path"))
-        fresh = ahead.groupBy("seed", "node").agg(F.min("path").alias("path")).join(seen, ["seed", "node"], "left_anti")
-        frontier = saved(fresh.select("seed", "node", F.lit(level).alias("depth"), "path"), "level")
-        seen = seen.unionByName(frontier)
-    return seen
-
-
-def graph_expand(hits: DataFrame, edges: DataFrame, seeds: int = 8, most: int = 32) -> DataFrame:
-    """``hits`` (query_id, id, rank1, score) with what one step along memory edges adds.
-
-    The first ``seeds`` hits of a query are expanded, both ways. Direct hits gain provenance (from, via) and
-    keep place and score; new rows follow in order of their best seed, then id, with a rank's score.
+        order = Window.partitionBy("seed").orderBy("rank", "id", "b")
+        ahead = frontier.select("seed", "node", "path", "rank", "scanned", "seen").join(steps, "node").withColumn("pos", F.col("scanned") + F.row_number().over(order))
+        ahead = saved(ahead.select("seed", "b", "pos", "scanned", "seen", F.concat("path", F.array("id")).alias("path")), "ahead")
+        within = ahead.where(F.col("pos") <= most_edges)
+        fresh = within.groupBy("seed", F.col("b").alias("node")).agg(F.min(F.struct("pos", "path", "seen")).alias("f"))
+        fresh = fresh.join(nodes.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "f.*")
+        fresh = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("pos"))).where(F.col("rank") <= visited - F.col("seen"))
+        fresh = saved(fresh, "fresh")
+        found = fresh.groupBy("seed").agg(F.count("*").alias("found"), F.max("pos").alias("last"))
+        per = ahead.groupBy("seed").agg(F.max("pos").alias("pos"), F.max("scanned").alias("before"), F.max("seen").alias("seen")).join(found, "seed", "left")
+        total = F.col("seen") + F.coalesce("found", F.lit(0))
+        upto = F.least("pos", F.lit(most_edges))
+        full = (total >= visited) & (upto > F.coalesce("last", "before"))
+        marks = F.array_compact(F.array(F.when(F.col("pos") >= most_edges, "edges"), F.when(full, "visited")))
+        per = saved(per.select("seed", total.alias("seen"), upto.cast("long").alias("scanned"), marks.alias("marks")), "per-seed")
+        told = told.unionByName(per.select("seed", "seen", "scanned", F.explode_outer("marks").alias("mark")))
+        reached = fresh.select("seed", "node", F.lit(level).alias("depth"), "path", "rank").join(per, "seed")
+        reached = saved(reached, "level")
+        nodes = nodes.unionByName(reached.drop("marks"))
+        frontier = reached.where(F.size("marks") == 0).drop("marks")
+    cut = frontier.join(steps.select("node").distinct(), "node", "left_semi").select("seed").distinct().withColumns({"seen": F.lit(0).cast("long"), "scanned": F.lit(0).cast("long"), "mark": F.lit("depth")})
+    stats = told.unionByName(cut).groupBy("seed").agg(F.max("seen").alias("visited"), F.max("scanned").alias("edges_scanned"), F.array_sort(F.collect_set("mark")).alias("truncated"))
+    deepest = nodes.groupBy("seed").agg(F.max("depth").alias("depth_reached"))
+    return nodes.select("seed", "node", "depth", "path"), stats.join(deepest, "seed").select("seed", "visited", "edges_scanned", "depth_reached", "truncated")
+
+
+def graph_expand(
+    hits: DataFrame, edges: DataFrame, queries: DataFrame, memories: DataFrame, depth: int = 1, seeds: int = 8, most: int = 32, most_edges: int = 256
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, stats): ``hits`` (query_id, id, rank1, score) with what a walk along active memory edges adds.
+
+    The first ``seeds`` hits of a query (16 at most) are expanded both ways, ``depth`` steps (2 at most), along
+    edges that are valid at the query's as_of, if the edges have times. Edges are scanned in the order of
+    ``traverse``. Direct hits keep place and score and only gain from (the seeds that lead there), via
+    (predicates; three of each, in order of discovery) and the least depth. Others are candidates, ``most`` (64
+    at most) a query; those that the query's scope and lenses allow follow the direct hits by depth, then
+    discovery, with a rank's score. stats has query_id, seeds, edges_scanned, candidates_found,
+    candidates_added and truncated: ``candidates``, ``depth`` (the last level has edges that weren't taken)
+    and ``edges`` (``most_edges`` were scanned). A query that meets another limit than the depth goes no deeper.
     """
-    steps = _steps(edges, "both")
-    start = hits.where(F.col("rank1") <= seeds).select("query_id", F.col("id").alias("a"), F.col("rank1").alias("seed_rank"))
-    found = start.join(steps, "a").groupBy("query_id", F.col("b").alias("id")).agg(
-        F.min("seed_rank").alias("seed_rank"), F.slice(F.array_sort(F.collect_set("a")), 1, 3).alias("from"), F.slice(F.array_sort(F.collect_set("predicate")), 1, 3).alias("via")
+    depth, seeds, most = min(depth, 2), min(seeds, 16), min(most, 64)
+    if "state" in edges.columns:
+        edges = edges.where("state = 'active'")
+    timed = "valid_from" in edges.columns and "as_of" in queries.columns
+    steps = _steps(edges, "both", None if timed else most_edges + 1).withColumnRenamed("a", "node")
+    if timed:
+        own = edges if "id" in edges.columns else edges.withColumn("id", F.concat_ws("|", "subject", "predicate", "object"))
+        steps = steps.join(own.select("id", "valid_from", "valid_until"), "id")
+    steps = saved(steps, "steps")
+    hits = saved(hits.select("query_id", "id", "rank1", "score"), "hits")
+    frontier = saved(
+        hits.where(F.col("rank1") <= seeds).select("query_id", F.col("id").alias("node"), F.col("id").alias("origin"), F.col("rank1").cast("long").alias("rank"), F.lit(0).cast("long").alias("scanned"), F.lit(0).cast("long").alias("found")),
+        "level",
     )
-    rows = hits.join(found, ["query_id", "id"], "full").withColumn("expanded", F.col("rank1").isNull())
-    fresh = Window.partitionBy("query_id", "expanded").orderBy("seed_rank", "id")
-    n_direct = F.coalesce(F.max("rank1").over(Window.partitionBy("query_id")), F.lit(0))
-    placed = rows.withColumn("_n", F.row_number().over(fresh)).withColumn("_direct", n_direct).where(~F.col("expanded") | (F.col("_n") <= most))
-    rank = F.when(F.col("expanded"), F.col("_direct") + F.col("_n")).otherwise(F.col("rank1"))
-    return placed.select(
-        "query_id", "id", rank.alias("rank1"), F.when(F.col("expanded"), 1 / (60.0 + rank)).otherwise(F.col("score")).alias("score"), "expanded", "from", "via",
-        F.when(F.col("from").isNotNull(), 1).alias("depth"),
-    )
+    start = frontier.groupBy("query_id").agg(F.count("*").alias("seeds"))
+    told = start.select("query_id", F.lit(0).cast("long").alias("scanned"), F.lit(None).cast("string").alias("mark"))
+    met = candidates = None
+    for level in range(1, depth + 1):
+        ahead = frontier.join(steps, "node")
+        if timed:
+            ahead = ahead.join(queries.select("query_id", "as_of"), "query_id").where(valid_at(F.col("as_of")))
+        order = Window.partitionBy("query_id").orderBy("rank", "id", "b")
+        ahead = ahead.withColumn("pos", F.col("scanned") + F.row_number().over(order))
+        ahead = saved(ahead.select("query_id", "node", "origin", F.col("b").alias("id"), "predicate", "pos", "scanned", "found", F.lit(level).alias("depth")), "ahead")
+        within = ahead.where(F.col("pos") <= most_edges)
+        met = within.select("query_id", "id", "origin", "predicate", "pos", "depth") if met is None else met.unionByName(within.select("query_id", "id", "origin", "predicate", "pos", "depth"))
+        fresh = within.groupBy("query_id", "id").agg(F.min(F.struct("pos", "origin", "found")).alias("f")).select("query_id", "id", "f.*").join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        if candidates is not None:
+            fresh = fresh.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        fresh = saved(fresh.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")).cast("long")), "fresh")
+        over = fresh.groupBy("query_id").agg(F.max(F.col("rank") + F.col("found")).alias("all"))
+        per = ahead.groupBy("query_id").agg(F.max("pos").alias("pos"), F.max("found").alias("before")).join(over, "query_id", "left")
+        marks = F.array_compact(F.array(F.when(F.col("all") > most, "candidates"), F.when(F.col("pos") >= most_edges, "edges")))
+        per = saved(per.select("query_id", F.least("pos", F.lit(most_edges)).cast("long").alias("scanned"), F.least(F.coalesce("all", "before"), F.lit(most)).alias("found"), marks.alias("marks")), "per-query")
+        told = told.unionByName(per.select("query_id", "scanned", F.explode_outer("marks").alias("mark")))
+        kept = fresh.where(F.col("rank") + F.col("found") <= most)
+        taken = kept.select("query_id", "id", F.lit(level).alias("depth"), "pos")
+        candidates = taken if candidates is None else candidates.unionByName(taken)
+        frontier = saved(kept.select("query_id", F.col("id").alias("node"), "origin", "rank").join(per, "query_id").where(F.size("marks") == 0).drop("marks"), "level")
+    firsts = lambda c: met.groupBy("query_id", "id", c).agg(F.min("pos").alias("p")).groupBy("query_id", "id").agg(F.slice(F.array_sort(F.collect_list(F.struct("p", c))), 1, 3).alias("l"))
+    of = lambda c, name: firsts(c).select("query_id", "id", F.transform("l", lambda x: x[c]).alias(name))
+    led = met.groupBy("query_id", "id").agg(F.min("depth").alias("depth")).join(of("origin", "from"), ["query_id", "id"]).join(of("predicate", "via"), ["query_id", "id"])
+    direct = hits.join(led, ["query_id", "id"], "left").select("query_id", "id", "rank1", "score", F.lit(False).alias("expanded"), "from", "via", "depth")
+    allowed = seen(candidates, queries, memories)
+    if not lens_of(queries):
+        allowed = allowed.join(memories.select("id"), "id", "left_semi")
+    placed = allowed.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "pos"))).join(hits.groupBy("query_id").agg(F.max("rank1").alias("direct")), "query_id")
+    rank = F.col("direct") + F.col("n")
+    added = placed.drop("depth").join(led, ["query_id", "id"]).select("query_id", "id", rank.alias("rank1"), (1 / (60.0 + rank)).alias("score"), F.lit(True).alias("expanded"), "from", "via", "depth")
+    cut = frontier.join(steps.select("node").distinct(), "node", "left_semi").select("query_id").distinct().select("query_id", F.lit(0).cast("long").alias("scanned"), F.lit("depth").alias("mark"))
+    stats = told.unionByName(cut).groupBy("query_id").agg(F.max("scanned").alias("edges_scanned"), F.array_sort(F.collect_set("mark")).alias("truncated"))
+    for rows, name in ((candidates, "candidates_found"), (added, "candidates_added")):
+        stats = stats.join(rows.groupBy("query_id").agg(F.count("*").alias(name)), "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return direct.unionByName(added), stats.join(start, "query_id").select("query_id", "seeds", "edges_scanned", "candidates_found", "candidates_added", "truncated")
 
 
 def upsert_entities(entities: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

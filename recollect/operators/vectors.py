@@ -113,7 +113,7 @@ class _Lens:
         return allowed
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, lens: _Lens, k: int):
+def _nearest(ids: pa.Array, q: np.ndarray, lens: _Lens, k: int):
     """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _nearest(ids: np.ndarray, q: np.ndarray, lens: _Lens, k: int):
                 place = np.arange(len(order)) - np.searchsorted(rows, rows[order])
                 order = order[place < k]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows[order]]), pa.array(names[columns[order]], pa.string()), pa.array(scores[rows[order], columns[order]])], ["query_id", "id", "score"]
+                    [ids.take(pa.array(rows[order])), pa.array(names[columns[order]], pa.string()), pa.array(scores[rows[order], columns[order]])], ["query_id", "id", "score"]
                 )
 
     return near
@@ -160,8 +160,7 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         matrix = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
         norms = np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        ids = np.array(part.column("query_id").to_pylist(), None if kind != "string" else object)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 0, norms, 1), _Lens(part)))
+        shared = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), matrix / np.where(norms > 0, norms, 1), _Lens(part)))
 
         def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, lens = shared.value

@@ -54,6 +54,40 @@ def test_prefix_join_is_the_theta_join(memories, spark):
     assert got == [("org", x) for x in "abcd"] + [("org/a", x) for x in "abd"]
 
 
+def test_neighbours_under_lenses_are_brute_force(spark):
+    import random
+
+    draw = random.Random(6)
+    time = lambda: draw.choice([None, day(draw.randrange(1, 9))])
+    schema = "id string, scope string, embedding array<float>, valid_from timestamp_ntz, valid_until timestamp_ntz, known_at timestamp_ntz, sys_created timestamp_ntz, sys_closed timestamp_ntz"
+    scopes = ["org", "org/a", "org/a/x", "org/ab", None]
+    rows = [(f"m{i}", draw.choice(scopes), draw.choice([None, [], [1.0] * 3, *[[draw.choice([0.0, 1.0, 2.0]) for _ in range(4)]] * 5]), time(), time(), time(), time(), time()) for i in range(120)]
+    asked = [(i, draw.choice(scopes), draw.choice(["prefix", "exact"]), [draw.choice([0.0, 1.0, 3.0]) for _ in range(4)], time(), time(), time()) for i in range(30)] + [(99, None, "prefix", None, None, None, None)]
+    memories = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame(asked, "query_id int, scope string, scope_match string, embedding array<float>, as_of timestamp_ntz, known_as_of timestamp_ntz, sys_as_of timestamp_ntz")
+
+    def cosine(x, y):
+        a, b = math.sqrt(sum(v * v for v in x)), math.sqrt(sum(v * v for v in y))
+        return sum(v * w for v, w in zip(x, y)) / (a * b) if a and b else 0.0
+
+    def allowed(q, m):
+        _, scope, match, _, at, known, system = q
+        inside = scope is None or m[1] is not None and (m[1] == scope or match == "prefix" and m[1].startswith(scope + "/"))
+        created = m[6] or m[5]
+        valid = at is None or m[3] is not None and m[3] <= at and (m[4] is None or m[4] > at)
+        known_by = known is None or m[5] is not None and m[5] <= known
+        return inside and valid and known_by and (system is None or created is not None and created <= system and (m[7] is None or m[7] > system))
+
+    want = set()
+    for q in asked[:-1]:
+        found = sorted((-round(cosine(q[3], m[2]), 9), m[0]) for m in rows if m[2] and len(m[2]) == 4 and allowed(q, m))[:5]
+        want |= {(q[0], i, n + 1) for n, (_, i) in enumerate(found)}
+    assert {(r.query_id, r.id, r.rank1) for r in vectors.knn_search(queries, memories, 5).collect()} == want
+    pairs = spark.createDataFrame([(q[0], m[0]) for q in asked for m in rows], "query_id int, id string")
+    got = {tuple(r) for r in lenses.seen(pairs, queries, memories).collect()}
+    assert got == {(q[0], m[0]) for q in asked for m in rows if allowed(q, m)}
+
+
 def test_bm25_regimes(memories, spark):
     asked = spark.createDataFrame([(1, "cache timeout"), (2, "nomi scope denied 42"), (3, "absent")], "query_id int, query string")
     found = {(r.query_id, r.id): r.score for r in lexical.bm25_scores(asked, memories).collect()}
@@ -109,22 +143,48 @@ def test_supersede_has_one_winner(memories, spark):
 
 
 def test_annotations_merge_shallowly(spark):
-    rows = spark.createDataFrame([("a", '{"x":"1","y":"2"}', 1), ("b", None, 1)], "id string, attrs string, version long")
-    asked = spark.createDataFrame([(1, "a", '{"y":"3"}', False), (2, "b", '{"z":"1"}', None)], "seq int, id string, attrs string, bump_version boolean")
-    got = {r.id: (r.attrs, r.version) for r in revise.apply_annotations(asked, rows).collect()}
-    assert got == {"a": ('{"x":"1","y":"3"}', 1), "b": ('{"z":"1"}', 2)}
+    """Values keep their JSON types; guards, unknown rows and second requests each have their outcome."""
+    rows = spark.createDataFrame(
+        [("a", "s", '{"x":1,"y":{"p":[1]},"k":true}', 1, 0.5, "extra"), ("b", "s", None, 1, 0.5, "extra"), ("c", "s", "[1]", 2, 0.5, "extra")],
+        "id string, scope string, attrs string, version long, confidence double, more string",
+    )
+    schema = "seq int, id string, scope string, expected_version long, attrs string, confidence double, provenance_source string, provenance_kind string, bump_version boolean"
+    asked = [
+        (1, "a", "s", None, '{"y":{"q":null},"z":null,"x":2.5}', None, None, None, False), (2, "b", "s", 1, '{"z":"1"}', 0.9, "me", None, None), (3, "a", "s", None, "{}", None, None, None, None),
+        (0, "a", "t", None, "{}", None, None, None, None), (5, "zz", "s", None, "{}", None, None, None, None), (6, "c", "s", 1, "{}", None, None, None, None), (7, "c", "s", 2, '{"l":"' + "x" * 5000 + '"}', None, None, None, None),
+    ]
+    changed, outcomes, events = revise.apply_annotations(spark.createDataFrame(asked, schema), rows, F.lit(day(9)))
+    assert changed.columns == rows.columns
+    got = {r.id: (r.attrs, r.version, r.confidence, r.more) for r in changed.collect()}
+    assert got == {"a": ('{"k":true,"x":2.5,"y":{"q":null},"z":null}', 1, 0.5, "extra"), "b": ('{"z":"1"}', 2, 0.9, "extra"), "c": ("[1]", 2, 0.5, "extra")}
+    assert {r.seq: r.status for r in outcomes.collect()} == {0: "scope_denied", 1: "ok", 2: "ok", 3: "conflict", 5: "not_found", 6: "version_conflict", 7: "attrs_too_large"}
+    assert sorted((r.memory_id, r.version, r.bump) for r in events.collect()) == [("a", 1, False), ("b", 2, True)]
 
 
 def test_traverse_meets_cycles_and_hubs(spark):
     edges = spark.createDataFrame([("a", "depends_on", "b"), ("b", "depends_on", "a"), ("b", "depends_on", "c"), ("d", "contradicts", "a")], "subject string, predicate string, object string")
-    got = {(r.node, r.depth, r.path) for r in graph.traverse(edges, spark.createDataFrame([("a",)], "id string"), 3).collect()}
-    assert got == {("a", 0, "a"), ("b", 1, "a>b"), ("d", 1, "a>d"), ("c", 2, "a>b>c")}
+    edges = edges.withColumns({"id": F.concat("subject", "object"), "state": F.lit("active")})
+    closed = edges.where("subject = 'b' AND object = 'c'").withColumns({"object": F.lit("z"), "id": F.lit("bz"), "state": F.lit("closed")})
+    edges, seed = edges.unionByName(closed), spark.createDataFrame([("a",)], "id string")
+    nodes, stats = graph.traverse(edges, seed, 3)
+    assert {(r.node, r.depth, ">".join(r.path)) for r in nodes.collect()} == {("a", 0, ""), ("b", 1, "ab"), ("d", 1, "da"), ("c", 2, "ab>bc")}
+    assert tuple(stats.first()) == ("a", 4, 5, 2, [])
+    cases = (({"depth": 1}, 3, ["depth"]), ({"visited": 2}, 2, ["visited"]), ({"most_edges": 2}, 3, ["edges"]), ({"states": ("active", "closed")}, 5, []), ({"predicates": ("contradicts",)}, 2, []), ({"direction": "in"}, 3, []))
+    for options, n, truncated in cases:
+        nodes, stats = graph.traverse(edges, seed, **{"depth": 3} | options)
+        assert (nodes.count(), stats.first().truncated) == (n, truncated), options
 
 
 def test_expansion_leaves_direct_hits_in_place(spark):
     hits = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.5)], "query_id int, id string, rank1 int, score double")
     edges = spark.createDataFrame([("a", "supports", "b"), ("a", "supports", "c")], "subject string, predicate string, object string")
-    got = {r.id: r for r in graph.graph_expand(hits, edges).collect()}
+    memories = spark.createDataFrame([("a", "org"), ("b", "org"), ("c", "org"), ("e", "else")], "id string, scope string")
+    queries = spark.createDataFrame([(1, "org")], "query_id int, scope string")
+    edges = edges.unionByName(spark.createDataFrame([("c", "supports", "e"), ("a", "supports", "e")], "subject string, predicate string, object string"))
+    out, stats = graph.graph_expand(hits, edges, queries, memories)
+    assert tuple(stats.first()) == (1, 2, 4, 2, 1, ["depth"])
+    got = {r.id: r for r in out.collect()}
+    assert "e" not in got and got["b"]["from"] == ["a"] and got["a"]["from"] == ["b"]
     assert (got["b"].rank1, got["b"].score, got["b"].expanded) == (2, 0.5, False) and got["c"].rank1 == 3 and got["c"].expanded
     assert got["c"].score == pytest.approx(1 / 63)
 
@@ -147,7 +207,10 @@ def test_near_duplicates_are_the_brute_force_ones(spark):
     sets = [{w for w in t.split() if len(w) > 2} for t in texts]
     want = {frozenset((f"m{i}", f"m{j}")) for i in range(7) for j in range(i) if sets[i] | sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6}
     got = consolidate.near_duplicates(rows).collect()
-    assert {frozenset((r.keep, r["drop"])) for r in got} == want
+    # Pairs of the classes' first rows, and of these with the others of their class, give all pairs.
+    classes = {f"m{i}": {f"m{j}" for j in range(7) if sets[j] == sets[i]} for i in range(7)}
+    pairs = {frozenset((x, y)) for r in got for x in classes[r.keep] for y in classes[r["drop"]] if x != y}
+    assert pairs == want and len(got) == 4 and {frozenset((r.keep, r["drop"])) for r in got} <= want
     assert all(r.conflict == ("m5" in (r.keep, r["drop"])) for r in got)
 
 
