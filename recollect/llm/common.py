@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 BROADCAST_ROWS = 250_000  # of ids, numbers and digests: at most 25 MB
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
@@ -71,15 +71,29 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or shared_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with during_writes(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def during_writes(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Settings of the jobs run inside, put back at the end: shuffle files go with their job, and what waits
+    between a task and its Python worker is at most ``rows`` rows at a time."""
+    own = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows. Spark bounds a batch's bytes itself."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import sliced
+from recollect.llm.common import during_writes, sliced
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
@@ -133,8 +133,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     df = np.zeros(FEATURES)
     if not labels:
         return Model([], df, np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    for r in rows.select("text").mapInArrow(sliced(_document_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        df[r.feature] = r.n
+    counted = rows.select("text").mapInArrow(sliced(_document_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    with during_writes(labelled.sparkSession):
+        found = counted.toArrow()  # FEATURES rows at most
+    df[found.column("feature").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + sum(r.n for r in sizes.values())) / (1 + df)) + 1
     quota = max(1, sample // len(labels))
     examples: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -142,7 +144,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     odds = F.create_map(*[F.lit(v) for name in labels for v in (name, min(1.0, 1.3 * quota / sizes[name].texts))])
     drawn = rows.where(draw < F.element_at(odds, F.col("lang"))).distinct().withColumn("h", F.xxhash64("text", F.lit(3)))
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("place") <= quota)
-    found = drawn.mapInArrow(sliced(_examples(idf, labels)), "h long, label int, at array<int>, value array<float>").toArrow()  # at most ``sample`` rows
+    found = drawn.mapInArrow(sliced(_examples(idf, labels)), "h long, label int, at array<int>, value array<float>")
+    with during_writes(labelled.sparkSession):
+        found = found.toArrow()  # at most ``sample`` rows
     for batch in found.sort_by([("h", "ascending"), ("label", "ascending")]).to_batches():
         ends = batch.column("at").offsets.to_numpy()
         at, value = batch.column("at").values.to_numpy(), batch.column("value").values.to_numpy()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.common import shared_path, sliced, text_or_empty
+from recollect.llm.common import during_writes, shared_path, sliced, text_or_empty
 from recollect.llm.word_ids import word_ids
 
 PART_SCHEMA = "part int, path string, dtype string, n_docs long, n_null long, n_ids long"
@@ -92,7 +92,8 @@ def write_token_files(
         .sortWithinPartitions(*key)
         .select("doc_id", "text")
     )
-    dealt.mapInArrow(sliced(_writer(folder, tokenizer, end_id)), PART_SCHEMA).write.parquet(f"{folder}/parts")
+    with during_writes(spark):
+        dealt.mapInArrow(sliced(_writer(folder, tokenizer, end_id)), PART_SCHEMA).write.parquet(f"{folder}/parts")
     # One row a part: the prefix sums of the counts are the driver's.
     rows, base_docs, base_ids = [], 0, 0
     for row in sorted(spark.read.schema(PART_SCHEMA).parquet(f"{folder}/parts").collect()):
