@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets that aren't widely copied examples replaced, and n_chars to match.
 
     Null and empty texts, and texts without secrets, stay as they are; so do repeated rows and all other
-    columns. An empty table gives no rows. A null source owns like any other.
+    columns. An empty table gives no rows. A null source is no owner.
     """
     return redact(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 

@@ -227,12 +227,12 @@ def _sections(spark, sf_dir):
     """A section for each document: its words, a requirement that it defines, one that it uses, and a link."""
     d = F.col("doc_id")
     req = lambda n: F.concat(F.lit("REQ-"), F.lpad((n % 1000).cast("string"), 3, "0"))
-    text = F.concat(F.substring("text", 1, 200), F.lit(" **"), req(d), F.lit("** after "), req(d * 3), F.lit(" see [it](d"), d * 5 % 1000, F.lit(")"))
+    text = F.concat("text", F.lit(" **"), req(d), F.lit("** after "), req(d * 3), F.lit(" see [it](d"), d * 5 % 1000, F.lit(")"))
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), d).alias("label"), text.alias("text"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("heading"))
 
 
 _SECTIONS = """
-    sections AS (SELECT 'd' || doc_id AS label, left(text, 200) || ' **REQ-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '** after REQ-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0') || ' see [it](d' || (doc_id * 5 % 1000) || ')' AS text,
+    sections AS (SELECT 'd' || doc_id AS label, text || ' **REQ-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '** after REQ-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0') || ' see [it](d' || (doc_id * 5 % 1000) || ')' AS text,
         array_to_string(list_slice(string_split(text, ' '), 2, 5), ' ') AS heading FROM documents),
     defs AS (SELECT req, min(label) AS object FROM (SELECT label, unnest(regexp_extract_all(text, '\\*\\*([A-Z]{2,5}-[0-9]{3})\\*\\*', 1)) AS req FROM sections) GROUP BY req),
     uses AS (SELECT label AS subject, unnest(regexp_extract_all(text, '\\b([A-Z]{2,5}-[0-9]{3})\\b', 1)) AS req FROM sections),

@@ -188,13 +188,13 @@ def annotation_events(spark, sf_dir):
 
 @query("""
     SELECT 'm' || k AS memory_id, event_id, kind, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS pos FROM (SELECT event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-        CASE event_type WHEN 'view' THEN 'assert' WHEN 'click' THEN 'annotate' WHEN 'purchase' THEN 'supersede' ELSE 'other' END AS kind FROM events) WHERE kind <> 'other' AND k % 2 = 0
+        CASE event_type WHEN 'view' THEN 'assert' WHEN 'click' THEN 'annotate' WHEN 'purchase' THEN 'supersede' ELSE 'other' END AS kind FROM events) WHERE kind <> 'other'
 """)
 def belief_events(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.when(F.col("event_type") == "view", "assert").when(F.col("event_type") == "click", "annotate").when(F.col("event_type") == "purchase", "supersede").otherwise("other")
     events = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("memory:m"), k).alias("memory_id"), kind.alias("kind"), F.col("ts").alias("at_sys"))
-    ids = events.where(F.regexp_extract("memory_id", r"(\d+)$", 1).cast("long") % 2 == 0).select(F.regexp_replace("memory_id", "^memory:", "").alias("id"))
+    ids = events.select(F.regexp_replace("memory_id", "^memory:", "").alias("id"))
     return revise.belief_events(events, ids, ("assert", "annotate", "supersede")).select("memory_id", "event_id", "kind", "pos")
 
 

@@ -302,8 +302,14 @@ def mine_probes(sections: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = edges.select("subject", "object").distinct()
     far = pairs.join(pairs.select(F.col("subject").alias("object"), F.col("object").alias("next")), "object").select("subject", F.col("next").alias("object")).distinct()
 
+    # Only words of queries are looked up, a row a word, so that no body is carried along a hub's links.
+    of_query = asked.select("label", F.explode("q").alias("word"))
+    held = bodies.select("object", F.explode("w").alias("word")).join(of_query.select("word").distinct(), "word", "left_semi")
+
     def gold(links: DataFrame, name: str) -> DataFrame:
-        met = asked.join(links.withColumnRenamed("subject", "label"), "label").join(bodies, "object").where((F.col("object") != F.col("label")) & ~F.arrays_overlap("q", "w"))
+        links = links.select(F.col("subject").alias("label"), "object").where("label <> object").join(asked.select("label"), "label", "left_semi").join(bodies.select("object"), "object", "left_semi")
+        shared = links.join(of_query, "label").join(held, ["object", "word"]).select("label", "object").distinct()
+        met = links.join(shared, ["label", "object"], "left_anti")
         return met.groupBy("label").agg(F.array_sort(F.collect_set("object")).alias(name))
 
     out = asked.join(gold(pairs, "g1"), "label", "left").join(gold(far, "g2"), "label", "left")
