@@ -9,6 +9,8 @@ keyed by their bits, and two fingerprints within the radius agree in one of the
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,7 @@ RADIUS = 3
 LANES = 0x0000000100000001
 NO_ID = -(1 << 63)
 BUCKET_ROWS = 4096
+RANGES = 512
 
 
 def terms(text: Column) -> Column:
@@ -72,60 +75,98 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / float(BITS)
 
 
-def _tables(fingerprint: Column, radius: int) -> Column:
-    """Keys of the permuted tables: (table, bits of its blocks). Of radius + 2 blocks, each two make a table."""
-    blocks = radius + 2
+def _signed(mask: int) -> int:
+    return mask - (1 << 64 if mask >> 63 else 0)
+
+
+def _blocks(blocks: int) -> list[int]:
+    """Masks of that many runs of bits."""
     edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << at for at in range(a, b)) for a, b in zip(edges, edges[1:])]
-    keys = []
-    for number, chosen in enumerate(combinations(masks, 2)):
-        mask = sum(chosen)
-        mask -= 1 << 64 if mask >> 63 else 0
-        keys.append(F.struct(F.lit(number).alias("table"), fingerprint.bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*keys)
+    return [sum(1 << at for at in range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
-def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+def block_count(n: int, radius: int) -> int:
+    """How many blocks for ``n`` fingerprints: ``radius`` of them may differ, the others make a key of at least log2(n) - 4 bits.
+
+    So a key of a table holds about 16 unrelated fingerprints at most, however many there are. More blocks
+    make longer keys and more tables.
+    """
+    blocks = radius + 2
+    while BITS * (blocks - radius) / blocks < math.log2(max(n, 2)) - 4 and blocks < 12:
+        blocks += 1
+    return blocks
+
+
+def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """All pairs (query, fingerprint, distance) of distinct fingerprints at most ``radius`` bits apart.
 
-    Both frames have a column ``fingerprint`` (nulls take no part; equal ones count once). The tables are
+    Both frames have a column ``fingerprint`` (nulls take no part; equal ones count once). Of ``blocks`` blocks
+    (see ``block_count``) each choice of all but ``radius`` makes a table, keyed by its blocks' bits. The tables are
     joined on their keys, and a pair is reported in the first table in which it meets, so that no pair
     needs to be made distinct. Equal fingerprints are pairs at distance 0.
     """
-    blocks = radius + 2
-    edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
+    one = lambda df: df.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
+    blocks = blocks or block_count(one(index).count(), radius)
+    masks = _blocks(blocks)
+    tables = list(combinations(range(blocks), blocks - radius))
 
     def tabled(df: DataFrame, name: str) -> DataFrame:
-        one = df.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
-        return one.select(F.col("fingerprint").alias(name), F.explode(_tables(F.col("fingerprint"), radius)).alias("key")).select(name, "key.*")
+        keys = [F.struct(F.lit(n).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(_signed(sum(masks[b] for b in chosen)))).alias("bits")) for n, chosen in enumerate(tables)]
+        return one(df).select(F.col("fingerprint").alias(name), F.explode(F.array(*keys)).alias("key")).select(name, "key.*")
 
     met = tabled(queries, "query").join(tabled(index, "fingerprint"), ["table", "bits"])
     differs = F.col("query").bitwiseXOR(F.col("fingerprint"))
-    equal = []
-    for a, b in zip(edges, edges[1:]):
-        mask = sum(1 << at for at in range(a, b))
-        equal.append(differs.bitwiseAND(F.lit(mask - (1 << 64 if mask >> 63 else 0))) == 0)
-    first = F.coalesce(*[F.when(equal[a] & equal[b], F.lit(n)) for n, (a, b) in enumerate(combinations(range(blocks), 2))])
+    first = F.coalesce(*[F.when(differs.bitwiseAND(F.lit(_signed(sum(masks[b] for b in chosen)))) == 0, F.lit(n)) for n, chosen in enumerate(tables)])
     return met.where((F.bit_count(differs) <= radius) & (first == F.col("table"))).select(
         "query", "fingerprint", F.bit_count(differs).cast("int").alias("distance")
     )
 
 
+def _ranges(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """(lowest id, highest id, slices) of ranges of ids in ascending order, from quantiles over all rows.
+
+    Rows without an id are the first range. An id that takes up a whole range is one of its own. A range is
+    cut into as many slices as it has rows by ``BUCKET_ROWS``.
+    """
+    real = F.when(F.col("id") != NO_ID, F.col("id"))
+    n, known = rows.agg(F.count("*"), F.count(real)).first()
+    parts = max(1, min(known // BUCKET_ROWS, RANGES))
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    low, high, edges = rows.agg(F.min(real), F.max(real), F.percentile_approx(real, shares, 10_000)).first()
+    slices = lambda count: max(1, -(-count // BUCKET_ROWS))
+    out = [(NO_ID, NO_ID, slices(n - known))]
+    if not known:
+        return out
+    times = Counter(edges if parts > 1 else [])
+    uppers = sorted({*times, *(e - 1 for e, k in times.items() if k > 1), high})
+    for upper in uppers:
+        if upper >= low:
+            out.append((low, upper, slices(known * times.get(upper, 1) // parts) if low == upper else slices(known // parts)))
+            low = upper + 1
+    return out
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
-    """Texts with ``id`` (null: lowest) and ``bucket``, a range of ids from quantiles over all rows."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    n = rows.count()
-    parts = max(1, min(n // BUCKET_ROWS, 4000))
-    edges = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    edges = sorted(set(edges)) if parts > 1 else []
+    """Texts with ``id`` (null: lowest), ``h`` (the text's hash) and ``bucket``: slices of ranges of ids, in ascending order of (id, h).
+
+    A range of several ids is sliced by id, evenly between its ends, and a range of one id by hash, so that a
+    hot id is split as well. Only rows equal in id and text stay together.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).withColumn("h", F.xxhash64("text"))
+    ranges = _ranges(rows)
 
     def place(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(F.col("id") > F.lit(edges[mid]), place(mid + 1, high)).otherwise(place(low, mid))
+        return F.when(F.col("id") > F.lit(ranges[mid][1]), place(mid + 1, high)).otherwise(place(low, mid))
 
-    return rows.withColumn("bucket", place(0, len(edges)))
+    of = lambda k: F.get(F.lit([float(x[k]) for x in ranges]), F.col("range"))
+    by_id = (F.col("id").cast("double") - of(0)) / (of(1) - of(0) + 1)
+    by_hash = F.col("h").cast("double") / float(1 << 64) + 0.5
+    share = F.when(of(0) == of(1), by_hash).otherwise(by_id)
+    part = F.greatest(F.least(F.floor(share * of(2)), of(2).cast("long") - 1), F.lit(0))
+    return rows.withColumn("range", place(0, len(ranges) - 1)).withColumn("bucket", F.shiftleft(F.col("range").cast("long"), 32) + part).drop("range")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -134,7 +175,7 @@ def edited(docs: DataFrame) -> DataFrame:
     The next row is the next one in descending doc_id (rows of one doc_id in descending order of their text's
     hash; null doc_ids last), and the first row's after the last. Texts are shuffled once, by ranges of ids.
     """
-    rows = _ordered(docs).withColumn("h", F.xxhash64("text"))
+    rows = _ordered(docs)
     down = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("h"))
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).select("bucket", "top.*")
     heads = rows.select("bucket", "id", "h", "text").join(F.broadcast(firsts), ["bucket", "id", "h"])  # a row a bucket

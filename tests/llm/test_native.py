@@ -165,7 +165,27 @@ def test_fingerprints_of_repeats_nulls_and_nothing(docs):
     assert len(one) == 1 and one[0].near_next == 1
 
 
-def test_radius_search_is_brute_force(spark):
+def test_hot_and_missing_ids_are_split(spark, monkeypatch):
+    """Neighbours are those of the plain order, whatever the ranges and slices."""
+    import random
+
+    from recollect.llm import simhash
+
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(simhash, "RANGES", 6)
+    draw = random.Random(9)
+    rows = [(draw.choice([None, 7, 7, 7, i, i * 1000, -i]), f"text {i} {draw.random()} some more words") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = simhash._ordered(docs).select("id", "h", "bucket", "text").collect()
+    ordered = sorted(placed, key=lambda r: (r.id, r.h))
+    assert [r.bucket for r in ordered] == sorted(r.bucket for r in placed) and len({r.bucket for r in placed if r.id == 7}) > 3 and len({r.bucket for r in placed}) > 12
+    down = [r.text for r in reversed(ordered)]
+    want = sorted(sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for t, after in zip(down, down[1:] + down[:1]))
+    assert sorted(r.edited_sha256 for r in fingerprint_report(docs).collect()) == want
+
+
+@pytest.mark.parametrize("blocks", [None, 6, 8])
+def test_radius_search_is_brute_force(spark, blocks):
     import random
 
     draw = random.Random(4)
@@ -173,7 +193,7 @@ def test_radius_search_is_brute_force(spark):
     some = start + [x ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(0, 6))) for x in start for _ in range(3)]
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in some]
     df = spark.createDataFrame(signed + [(None,)], "fingerprint long")
-    got = {(r["query"], r.fingerprint): r.distance for r in within_radius(df.limit(200), df, 3).collect()}
+    got = {(r["query"], r.fingerprint): r.distance for r in within_radius(df.limit(200), df, 3, blocks).collect()}
     asked = {x for x, in signed[:200]}
     want = {(a, b): bin((a ^ b) & ((1 << 64) - 1)).count("1") for a in asked for b, in signed}
     assert got == {k: d for k, d in want.items() if d <= 3}
