@@ -107,38 +107,47 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
 
+def opened(store, path: str):
+    """A file for reads at places: mapped into memory if the store is the local disk or mounted there."""
+    from pyarrow import fs
+
+    return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+
+
+def _documents(store, path: str, part: dict) -> Iterator[pa.RecordBatch]:
+    """The documents of a part; of each file only what READ_DOCS of them need is read at a time."""
+    import zlib
+
+    import numpy as np
+
+    with opened(store, f"{path}.ids") as ids, opened(store, f"{path}.off") as offsets, opened(store, f"{path}.doc") as docs:
+
+        def read(file, dtype: str, first: int, last: int):
+            width = np.dtype(dtype).itemsize
+            return np.frombuffer(file.read_at((last - first) * width, first * width), dtype)
+
+        for low in range(0, part["n_docs"], READ_DOCS):
+            high = min(low + READ_DOCS, part["n_docs"])
+            bounds = read(offsets, "<u8", low, high + 1).astype("i8")
+            crc = [zlib.crc32(read(ids, part["dtype"], a, b).astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": pa.array(read(docs, "<i8", low, high), pa.int64(), mask=np.arange(low, high) < part["n_null"]),
+                    "start": pa.array(bounds[:-1] + part["base_ids"]),
+                    "n_tokens": pa.array(np.diff(bounds)),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                }
+            )
+
+
 def _reader(folder: str) -> Callable:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        import numpy as np
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-
-        def mapped(path: str, dtype: str):
-            if isinstance(store, fs.LocalFileSystem):
-                return np.frombuffer(pa.memory_map(path).read_buffer(), dtype)
-            return np.frombuffer(store.open_input_file(path).read_buffer(), dtype)
-
         for batch in batches:
             for part in batch.to_pylist():
-                if not part["n_docs"]:
-                    continue
-                at = f"{root}/{part['path']}"
-                ids, offsets, docs = (mapped(f"{at}.{x}", t) for x, t in (("ids", part["dtype"]), ("off", "<u8"), ("doc", "<i8")))
-                for low in range(0, part["n_docs"], READ_DOCS):
-                    high = min(low + READ_DOCS, part["n_docs"])
-                    bounds = offsets[low : high + 1].astype("i8")
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": pa.array(docs[low:high], pa.int64(), mask=np.arange(low, high) < part["n_null"]),
-                            "start": pa.array(bounds[:-1] + part["base_ids"]),
-                            "n_tokens": pa.array(np.diff(bounds)),
-                            "ids_crc32": pa.array(crc, pa.int64()),
-                        }
-                    )
+                yield from _documents(store, f"{root}/{part['path']}", part)
 
     return read
 
@@ -146,7 +155,8 @@ def _reader(folder: str) -> Callable:
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document in the files: doc_id, start, n_tokens and the crc32 of its ids as u32.
 
-    ``start`` counts the ids of all documents before it. Each file is mapped by the task that reads it.
+    ``start`` counts the ids of all documents before it. Each file is mapped by the task that reads it, or
+    read by ranges where its store can't be mapped.
     """
     index = read_index(spark, folder)
     parts = max(1, index.count())

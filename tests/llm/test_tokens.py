@@ -208,3 +208,17 @@ def test_unigram_scores_are_those_of_the_best_segmentation(unigram):
         n, score = UnigramCounter(read_pieces(PIECES)).texts([text])[0]
         found = library.encode(text, add_special_tokens=False).tokens
         assert n == len(found) and score == pytest.approx(sum(scores[x] for x in found))
+
+
+def test_files_are_read_by_ranges_where_they_cannot_be_mapped(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from recollect.llm import token_files as files
+
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/files"
+    index = files.write_token_files(docs, folder, BYTES, 2, parts=2).collect()
+    monkeypatch.setattr(files, "READ_DOCS", 7)
+    remote = fs.SubTreeFileSystem(str(tmp_path / "files"), fs.LocalFileSystem())
+    got = [r for part in index for batch in files._documents(remote, part.path, part.asDict()) for r in batch.to_pylist()]
+    assert sorted(map(str, (tuple(r.values()) for r in got))) == sorted(map(str, map(tuple, files.read_token_files(spark, folder).collect()))) and len(got) == 41
