@@ -177,14 +177,35 @@ def extract_gold(spark, sf_dir):
     return evaluate.extract_gold(gold, rows.where("turn = 0").select("scenario", "text")).select("scenario", "idx", "op")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE p AS (SELECT conv_id AS scenario, turn AS p, text AS said FROM conversations), g AS (SELECT conv_id AS scenario, turn AS g, left(text, 40) AS want FROM conversations WHERE turn % 2 = 0),
+    o AS MATERIALIZED (SELECT scenario, g, p, row_number() OVER (PARTITION BY scenario ORDER BY g, p) AS i FROM g JOIN p USING (scenario) WHERE {_match_sql('want', 'said')}),
+    f AS (SELECT DISTINCT scenario, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ps FROM p
+        UNION ALL SELECT f.scenario, o.i, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN gs ELSE list_append(gs, g) END, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN ps ELSE list_append(ps, p) END
+        FROM f JOIN o ON o.scenario = f.scenario AND o.i = f.i + 1),
+    m AS (SELECT scenario, max(len(gs)) AS matched FROM f GROUP BY scenario), n AS (SELECT scenario, count(*) AS n_pred, (SELECT count(*) FROM g WHERE g.scenario = p.scenario) AS n_gold FROM p GROUP BY scenario)
+    SELECT scenario, matched, n_pred, n_gold, CASE WHEN n_pred = 0 THEN 1.0::DOUBLE ELSE matched / n_pred::DOUBLE END AS precision, CASE WHEN n_gold = 0 THEN 1.0::DOUBLE ELSE matched / n_gold::DOUBLE END AS recall FROM n JOIN m USING (scenario)
+""")
 def score_extraction(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("idx"), F.lit("put").alias("op"), "text")
     gold = rows.where("idx % 2 = 0").withColumn("text", F.substring("text", 1, 40))
     return evaluate.score_extraction(rows, gold)
 
 
-@query()
+def _packed_sql(source: str, cost: str) -> str:
+    """CTE packed (query_id, rank1, id, form, used) over hits: first whole cards in rank order, then stubs, each step with the room that is left."""
+    return f"""
+    c AS MATERIALIZED (SELECT query_id, rank1, id, {cost} AS cost, row_number() OVER (PARTITION BY query_id ORDER BY rank1) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM {source}),
+    f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST(4800 AS BIGINT) AS room, CAST([] AS BIGINT[]) AS cards, CAST([] AS BIGINT[]) AS stubs FROM c
+        UNION ALL SELECT f.query_id, i + 1, room - CASE WHEN len(cards) + len(stubs) >= 8 THEN 0 WHEN i < n AND cost <= room THEN cost WHEN i >= n AND NOT list_contains(cards, place) AND room >= 64 THEN 64 ELSE 0 END,
+            CASE WHEN len(cards) + len(stubs) < 8 AND i < n AND cost <= room THEN list_append(cards, place) ELSE cards END,
+            CASE WHEN len(cards) + len(stubs) < 8 AND i >= n AND NOT list_contains(cards, place) AND room >= 64 THEN list_append(stubs, place) ELSE stubs END
+        FROM f JOIN c ON c.query_id = f.query_id AND c.place = i % n + 1 WHERE i < 2 * n),
+    packed AS (SELECT c.query_id, rank1, id, CASE WHEN list_contains(cards, place) THEN 'card' ELSE 'stub' END AS form, CASE WHEN list_contains(cards, place) THEN cost ELSE 64 END AS used
+        FROM c JOIN f ON f.query_id = c.query_id AND f.i = 2 * n WHERE list_contains(cards, place) OR list_contains(stubs, place))"""
+
+
+@query(f"WITH RECURSIVE {_HITS}, {_packed_sql('hits', 'strlen(text)')} SELECT * FROM packed")
 def pack_context(spark, sf_dir):
     _, hits = _hits(spark, sf_dir)
     return packs.pack_context(hits)
@@ -200,7 +221,14 @@ def dispositions(spark, sf_dir):
     return packs.dispositions(hits, inventory, 3.0).select("query_id", "id", "rank1", "disposition")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_HITS}, able AS (SELECT * FROM hits WHERE rank1 % 3 <> 0 AND score >= 1), {_packed_sql('able', 'strlen(text) + 64')},
+    blocks AS (SELECT query_id, rank1, sha256(id || '|' || version || '|' || sha256(CASE WHEN form = 'card' THEN text ELSE '' END)) AS block_id FROM packed JOIN hits USING (query_id, id, rank1)),
+    per AS (SELECT query_id, count(*) AS n_blocks, sha256(string_agg(block_id, ',' ORDER BY rank1)) AS proposal_id FROM blocks GROUP BY query_id),
+    counts AS (SELECT query_id, count(*) AS n_hits, count(*) FILTER (WHERE rank1 % 3 <> 0 AND score >= 1) AS n_able FROM hits GROUP BY query_id)
+    SELECT query_id, n_hits, n_able, coalesce(n_blocks, 0) AS n_blocks, proposal_id,
+        CASE WHEN n_able = 0 THEN 'insufficient_evidence' WHEN n_blocks IS NULL THEN 'budget_exhausted' WHEN n_blocks < n_able THEN 'partial' ELSE 'ready' END AS status FROM counts LEFT JOIN per USING (query_id)
+""")
 def prepare_context(spark, sf_dir):
     _, hits = _hits(spark, sf_dir)
     inventory = hits.where("rank1 % 3 = 0").select("query_id", "id", "version")

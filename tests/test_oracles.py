@@ -10,14 +10,19 @@ import pytest
 from recollect.jobs import registry
 
 DATA = "/root/testdata/sf0.001"
+#: Also on ten times the rows: results that depend on frames, files or rounds.
+LARGER = "/root/testdata/sf0.01"
+LARGE = ("ingest_trace_stream", "task_state_stream", "usage_windows_stream", "fold_task_state", "near_duplicates", "select_proposals", "latency_percentiles", "traverse_stats", "graph_expand", "knn_search")
 
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    for path in glob.glob(f"{DATA}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    return con
+    found = {}
+    for data in (DATA, LARGER):
+        found[data] = duckdb.connect()
+        for path in glob.glob(f"{data}/*.parquet"):
+            found[data].execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    return found
 
 
 def plain(value):
@@ -35,13 +40,13 @@ def rows(columns, found):
     return sorted(tuple(plain(row[i]) for i in order) for row in found)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, DATA)
+@pytest.mark.parametrize("data, name", [(DATA, name) for name in sorted(registry.queries())] + [(LARGER, name) for name in LARGE])
+def test_query(spark, duck, data, name):
+    df = registry.queries()[name](spark, data)
     got = rows(df.columns, df.collect())
     sql = registry.oracle_sql().get(name)
     if sql:
-        found = duck.execute(sql)
+        found = duck[data].execute(sql)
         columns = [c[0] for c in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert got == rows(columns, found.fetchall())
