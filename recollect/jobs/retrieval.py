@@ -88,6 +88,13 @@ def knn_search_blocked(spark, sf_dir):
     return vectors.knn_search_blocked(asked, rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
 
 
+@query()
+def knn_recall(spark, sf_dir):
+    """Each query's recall of the approximate search, by the exact one."""
+    asked, rows = _vectors(spark, sf_dir)
+    return vectors.knn_recall(vectors.knn_search_blocked(asked, rows, 10), vectors.knn_search(asked, rows, 10))
+
+
 @query()
 def hash_embed(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", vectors.hash_embed(F.col("text"), 32).alias("v"))

@@ -48,18 +48,76 @@ def trace_bundles(spark, sf_dir):
     return traces.trace_bundles(trace_events(spark, sf_dir)).withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query(f"WITH {TRACES}, p AS (SELECT trace_id, arg_min(scope, (created_at, event_id)) AS scope, min(created_at) AS began FROM trace_events GROUP BY trace_id) SELECT scope, trace_id, row_number() OVER (PARTITION BY scope ORDER BY began DESC, trace_id) AS pos FROM p QUALIFY pos <= 32")
+_SINCE, _UNTIL = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
+
+
+@query(f"""
+    WITH {TRACES}, p AS (SELECT trace_id, arg_min(scope, (created_at, event_id)) AS scope, min(created_at) AS began FROM trace_events GROUP BY trace_id)
+    SELECT scope, trace_id, row_number() OVER (PARTITION BY scope ORDER BY began DESC, trace_id) AS pos FROM p WHERE began BETWEEN TIMESTAMP '{_SINCE}' AND TIMESTAMP '{_UNTIL}' QUALIFY pos <= 64
+""")
 def list_traces(spark, sf_dir):
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
     parents, _ = traces.ingest_traces(trace_events(spark, sf_dir))
-    return traces.list_traces(parents).select("scope", "trace_id", "pos")
+    return traces.list_traces(parents, 64, since=at(_SINCE), until=at(_UNTIL)).select("scope", "trace_id", "pos")
+
+
+_TOLD = """
+    told AS (SELECT *, list_extract(['helped', 'harmed', 'unknown', 'skipped'], event_id % 4 + 1) AS said, CASE event_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'auto' END AS evaluator, 's' || event_id % 5 AS session_id,
+        CASE WHEN event_id % 2 = 0 THEN [memory_id, 'h' || event_id % 5] ELSE ['p' || event_id % 7] END AS ids FROM trace_events)"""
+
+
+def _told(spark, sf_dir):
+    """Trace events with every outcome, evaluators, sessions, and ids in lists or in payloads."""
+    e = F.col("event_id")
+    return trace_events(spark, sf_dir).withColumns(
+        {"said": F.element_at(F.lit(["helped", "harmed", "unknown", "skipped"]), (e % 4 + 1).cast("int")), "evaluator": F.when(e % 3 == 0, "user").when(e % 3 == 1, "auto"), "session_id": F.concat(F.lit("s"), e % 5),
+         "memory_ids": F.when(e % 2 == 0, F.array("memory_id", F.concat(F.lit("memory:h"), e % 5))).otherwise(F.array().cast("array<string>")),
+         "payload": F.concat(F.lit('{"hits":[{"id":"memory:p'), e % 7, F.lit('"}]}'))}
+    )
 
 
 @query(f"""
-    WITH {TRACES}, l AS (SELECT memory_id, trace_id, arg_max(outcome, (created_at, event_id)) AS outcome FROM trace_events WHERE outcome IS NOT NULL GROUP BY memory_id, trace_id)
-    SELECT memory_id, count(*) FILTER (WHERE outcome = 'helped') AS helped, count(*) FILTER (WHERE outcome = 'harmed') AS harmed FROM l GROUP BY memory_id
+    WITH {TRACES}, {_TOLD}, l AS (SELECT memory_id, arg_max({{'o': said, 'e': evaluator}}, (created_at, event_id)) AS l FROM told WHERE kind = 'outcome' GROUP BY memory_id, trace_id)
+    SELECT memory_id, l.e AS evaluator, count(*) FILTER (WHERE l.o = 'helped') AS helped, count(*) FILTER (WHERE l.o = 'harmed') AS harmed, count(*) FILTER (WHERE l.o = 'unknown') AS unknown, count(*) FILTER (WHERE l.o = 'skipped') AS skipped FROM l GROUP BY ALL
 """)
 def outcome_stats(spark, sf_dir):
-    return traces.outcome_stats(trace_events(spark, sf_dir))
+    return traces.outcome_stats(_told(spark, sf_dir).withColumn("outcome", F.when(F.col("kind") == "outcome", F.col("said"))))
+
+
+@query(f"""
+    WITH {TRACES}, {_TOLD}, parents AS (SELECT trace_id FROM told GROUP BY trace_id HAVING min(created_at) BETWEEN TIMESTAMP '{_SINCE}' AND TIMESTAMP '{_UNTIL}' AND arg_min(session_id, (created_at, event_id)) = 's3'),
+    n AS (SELECT unnest(list_distinct(list_filter(ids, lambda x: x IS NOT NULL))) AS memory_id, trace_id, kind, outcome, created_at, event_id FROM told SEMI JOIN parents USING (trace_id)),
+    p AS (SELECT memory_id, trace_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, max(created_at) AS last_at, arg_max(outcome, (created_at, event_id)) FILTER (WHERE outcome IS NOT NULL) AS outcome FROM n GROUP BY memory_id, trace_id)
+    SELECT memory_id, trace_id, kinds, outcome, row_number() OVER (PARTITION BY memory_id ORDER BY last_at DESC, trace_id) AS pos FROM p QUALIFY pos <= 32
+""")
+def traces_of_session(spark, sf_dir):
+    """Traces of every named memory, of one session and between two times."""
+    events = _told(spark, sf_dir)
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    ids = traces.named_memories(events).select("memory_id")
+    out = traces.traces_for_memory(events, ids, since=at(_SINCE), until=at(_UNTIL), session_id="s3")
+    return out.select("memory_id", "trace_id", F.array_join("kinds", ",").alias("kinds"), "outcome", "pos")
+
+
+@query(f"""
+    WITH {TRACES}, g AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM trace_events WINDOW w AS (PARTITION BY memory_id ORDER BY created_at)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY memory_id ORDER BY created_at) AS no FROM g)
+    SELECT memory_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(created_at) + INTERVAL 12 HOURS, '%Y-%m-%d %H:%M:%S') AS "end", count(*) FILTER (WHERE kind = 'search') AS searches, count(*) FILTER (WHERE kind = 'inject') AS injects,
+        count(*) FILTER (WHERE kind = 'outcome') AS outcomes FROM s GROUP BY memory_id, no
+""")
+def usage_sessions(spark, sf_dir):
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return traces.usage_sessions(trace_events(spark, sf_dir), "12 hours").select("memory_id", at("start"), at("end"), "searches", "injects", "outcomes")
+
+
+@query(f"""
+    WITH {TRACES}, b AS (SELECT *, event_id // 1000 AS batch_no FROM trace_events), p AS (SELECT batch_no, max(created_at) AS most FROM b GROUP BY batch_no),
+    m AS (SELECT batch_no, max(most) OVER (ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS mark FROM p)
+    SELECT count(*) FILTER (WHERE coalesce(created_at < mark, false)) AS late, count(*) FILTER (WHERE NOT coalesce(created_at < mark, false)) AS in_time FROM b JOIN m USING (batch_no)
+""")
+def late_rows(spark, sf_dir):
+    events = trace_events(spark, sf_dir).withColumn("batch_no", F.floor(F.col("event_id") / 1000))
+    return traces.late_rows(events)
 
 
 @query(f"WITH {TRACES} SELECT memory_id, count(*) FILTER (WHERE kind = 'search') AS scanned, count(*) FILTER (WHERE kind = 'inject') AS used FROM trace_events GROUP BY memory_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -171,26 +172,44 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     return top_k_per_query(best, k)
 
 
-def knn_search_blocked(queries: DataFrame, memories: DataFrame, k: int, bits: int = 8, tables: int = 8, seed: int = 5) -> DataFrame:
-    """Approximate neighbours for large sides: vectors meet where the signs of ``bits`` random planes agree.
+def knn_search_blocked(queries: DataFrame, memories: DataFrame, k: int, bits: int = 6, tables: int = 10, probes: int = 1, seed: int = 5) -> DataFrame:
+    """Approximate neighbours: vectors meet where the signs of ``bits`` random planes agree, but for ``probes`` of them.
 
-    ``tables`` independent draws; candidates are scored exactly. Recall grows with tables and falls with bits.
+    ``tables`` independent draws; candidates are scored exactly, and queries that meet fewer than ``k`` are
+    searched exactly. Recall grows with tables and probes and falls with bits; ``knn_recall`` measures it. By
+    the defaults two vectors of cosine 0.6 meet with probability 0.996 and of cosine 0.3 with 0.93, so the bits are for
+    tables of up to some millions; larger ones with close neighbours take more.
     """
     draw = np.random.default_rng(seed)
-    dim = memories.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("d")).first().d
-    planes = draw.standard_normal((tables, bits, dim))
+    first = memories.where(F.size("embedding") > 0).select(F.size("embedding").alias("d")).first()
+    if first is None:
+        return knn_search(queries, memories, k)
+    planes = draw.standard_normal((tables, bits, first.d))
+    flips = [0, *(sum(1 << b for b in chosen) for r in range(1, probes + 1) for chosen in combinations(range(bits), r))]
 
-    def buckets(v: Column) -> Column:
+    def buckets(v: Column) -> list[Column]:
         keys = []
         for t in range(tables):
             bit = [F.when(F.aggregate(F.zip_with(v, F.lit(p.tolist()), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes[t])]
-            keys.append(F.struct(F.lit(t).alias("table"), sum(bit[1:], bit[0]).alias("bucket")))
-        return F.explode(F.array(*keys))
+            keys.append(sum(bit[1:], bit[0]))
+        return keys
 
-    def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-        rows = df.where(F.col("embedding").isNotNull()).select(key, unit(F.col("embedding")).alias(name))
-        return rows.select(key, name, buckets(F.col(name)).alias("b")).select(key, name, "b.*")
+    def keyed(df: DataFrame, key: str, name: str, near: list[int]) -> DataFrame:
+        rows = df.where(F.size("embedding") == first.d).select(key, unit(F.col("embedding")).alias(name))
+        rows = rows.select(key, name, F.posexplode(F.array(*buckets(F.col(name)))).alias("table", "own"))
+        return rows.select(key, name, "table", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(x)) for x in near])).alias("bucket"))
 
-    met = keyed(queries, "query_id", "q").join(keyed(memories, "id", "x"), ["table", "bucket"])
+    met = keyed(queries, "query_id", "q", flips).join(keyed(memories, "id", "x", [0]), ["table", "bucket"])
     dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top_k_per_query(met.groupBy("query_id", "id").agg(F.max(dot).alias("score")), k)
+    found = saved(top_k_per_query(met.groupBy("query_id", "id").agg(F.max(dot).alias("score")), k), "near")
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = queries.where(F.size("embedding") > 0).join(enough, "query_id", "left_anti")
+    if not few.limit(1).count():
+        return found
+    return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(knn_search(few, memories, k), allowMissingColumns=True)
+
+
+def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, recall): the share of a query's exact hits (query_id, id) that were found."""
+    met = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return met.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

@@ -124,8 +124,19 @@ def test_blocked_neighbours_find_most_of_the_exact_ones(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding")
     asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.id) for r in vectors.knn_search(asked, v, 5).collect()}
-    near = {(r.query_id, r.id) for r in vectors.knn_search_blocked(asked, v, 5, bits=4, tables=16).collect()}
-    assert len(exact & near) >= 0.8 * len(exact)
+    near = vectors.knn_search_blocked(asked, v, 5)
+    found = {(r.query_id, r.id) for r in near.collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    recall = [r.recall for r in vectors.knn_recall(near, vectors.knn_search(asked, v, 5)).collect()]
+    assert len(recall) == asked.count() and math.isclose(sum(recall) * 5, len(exact & found))
+    assert vectors.knn_search_blocked(asked, v.limit(3), 5).count() == 3 * asked.count()  # fewer than k: searched exactly
+
+
+def test_registered_blocked_search_reaches_its_recall(spark):
+    from recollect.jobs import registry
+
+    recall = [r.recall for r in registry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").collect()]
+    assert len(recall) == 20 and sum(recall) >= 0.9 * len(recall)
 
 
 def test_supersede_has_one_winner(memories, spark):
