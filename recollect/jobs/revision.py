@@ -44,6 +44,31 @@ def apply_keyed_puts(spark, sf_dir):
     return revise.keyed_put_outcomes(puts, slots)
 
 
+def _keyed(spark, sf_dir):
+    puts = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.concat(F.lit("org/"), "source").alias("scope"), F.concat("source", F.lit("-"), F.col("n_chars") % 7).alias("key"),
+        (F.col("n_chars") % 14).cast("string").alias("identity"), F.lit("semantic").alias("category"), "text",
+    )
+    slots = puts.where(F.col("key").endswith("-3")).select("scope", "key").distinct().select("scope", "key", F.lit("3").alias("identity"), F.lit(False).alias("erased"))
+    return revise.apply_keyed_puts(memories(spark, sf_dir), puts, slots, now())
+
+
+_KEYED = """
+    WITH p AS (SELECT doc_id AS seq, 'org/' || source AS scope, source || '-' || (n_chars % 7) AS key, CAST(n_chars % 14 AS VARCHAR) AS identity, text FROM documents),
+    c AS (SELECT * FROM p WHERE NOT ends_with(key, '-3') QUALIFY row_number() OVER (PARTITION BY scope, key ORDER BY seq) = 1)
+"""
+
+
+@query(f"{_KEYED} SELECT DISTINCT scope, key, '3' AS identity FROM p WHERE ends_with(key, '-3') UNION ALL SELECT scope, key, identity FROM c")
+def keyed_slots(spark, sf_dir):
+    return _keyed(spark, sf_dir)[1].select("scope", "key", "identity")
+
+
+@query(f"{_KEYED} SELECT scope, sha256(text) AS text, 1 AS version FROM c UNION ALL SELECT 'org/' || source || '/' || lang, sha256(text), doc_id % 3 + 1 FROM documents")
+def keyed_table(spark, sf_dir):
+    return _keyed(spark, sf_dir)[0].select("scope", F.sha2("text", 256).alias("text"), "version")
+
+
 _REQUESTS = """
     requests AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 'o' || l_orderkey AS prior_id, CASE WHEN l_partkey % 11 = 0 THEN 'org/x' ELSE scope END AS scope,
         CASE WHEN l_suppkey % 5 = 0 THEN version + 1 ELSE version END AS expected_version, CASE WHEN l_linenumber = 3 THEN TIMESTAMP '1990-01-01 00:00:00' END AS close_at, chains.*  EXCLUDE (scope)
@@ -210,6 +235,61 @@ def apply_ops(spark, sf_dir):
     return revise.op_outcomes(ops).select("batch_id", "idx", "status", "applied")
 
 
+_BATCHES = """
+    WITH m AS (SELECT 'm' || doc_id AS id, 'org/' || doc_id % 2 AS scope, text, doc_id % 3 + 1 AS version, doc_id % 13 = 0 AS closed FROM documents),
+    o AS (SELECT conv_id AS batch_id, turn AS idx, list_extract(['put', 'forget', 'supersede', 'noop', 'odd'], (conv_id + turn * turn) % 31 % 5 + 1) AS op, (conv_id // 3 + turn * 2) AS d, turn % 2 = 0 AS hard,
+        CASE WHEN turn % 7 = 6 THEN ' ' ELSE text END AS text FROM conversations),
+    t AS (SELECT o.* EXCLUDE (d), 'm' || d AS id, 'org/' || CASE WHEN (batch_id + idx) % 17 = 0 THEN 'x' ELSE '' END || d % 2 AS scope, CASE WHEN idx % 3 = 0 THEN d % 3 + CASE WHEN batch_id % 19 = 0 THEN 2 ELSE 1 END END AS expected FROM o),
+    r AS (SELECT t.*, m.version, op IN ('supersede', 'forget') AS targets, CASE WHEN op = 'odd' THEN 'unknown_op' WHEN op IN ('put', 'supersede') AND trim(t.text) = '' THEN 'empty_text' WHEN op IN ('supersede', 'forget') THEN
+        CASE WHEN m.id IS NULL THEN 'not_found' WHEN t.scope <> m.scope THEN 'scope_denied' WHEN expected <> m.version THEN 'version_conflict' WHEN closed THEN 'already_closed' END END AS why FROM t LEFT JOIN m USING (id)),
+    h AS (SELECT *, coalesce(why, CASE WHEN targets AND row_number() OVER (PARTITION BY id, targets, why IS NULL ORDER BY batch_id, idx) > 1 THEN 'conflict' END) AS reason FROM r),
+    f AS (SELECT *, min(CASE WHEN reason IS NOT NULL THEN idx END) OVER (PARTITION BY batch_id) AS first FROM h),
+    s AS (SELECT *, CASE WHEN first IS NULL OR idx < first THEN 'ok' WHEN idx = first THEN 'failed' ELSE 'not_attempted' END AS status FROM f),
+    a AS (SELECT *, CASE WHEN status = 'ok' THEN CASE WHEN op = 'forget' AND hard THEN 'hard_forget' WHEN op = 'forget' THEN 'soft_forget' ELSE op END END AS applied, 'b' || batch_id || '-' || idx AS new_id FROM s)
+"""
+
+
+def _batches(spark, sf_dir):
+    """Documents as memories; conversations as batches whose turns put, forget and supersede, some of them badly."""
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    closed = F.when(d % 13 == 0, now())
+    rows = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("m"), d).alias("id"), F.concat(F.lit("org/"), d % 2).alias("scope"), "text", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("valid_from"), closed.alias("valid_until"),
+        closed.alias("sys_closed"), none.alias("superseded_by"), none.alias("supersedes"), (d % 3 + 1).alias("version"),
+    )
+    c, t = F.col("conv_id"), F.col("turn")
+    n = F.floor(c / 3) + t * 2
+    ops = read(spark, sf_dir, "conversations").select(
+        c.alias("batch_id"), t.alias("idx"), F.element_at(F.lit(["put", "forget", "supersede", "noop", "odd"]), ((c + t * t) % 31 % 5 + 1).cast("int")).alias("op"), F.concat(F.lit("m"), n).alias("id"),
+        F.concat(F.lit("org/"), F.when((c + t) % 17 == 0, "x").otherwise(""), n % 2).alias("scope"), F.when(t % 7 == 6, " ").otherwise(F.col("text")).alias("text"),
+        F.when(t % 3 == 0, n % 3 + F.when(c % 19 == 0, 2).otherwise(1)).alias("expected_version"), (t % 2 == 0).alias("hard"),
+    )
+    return revise.apply_ops(rows, ops, now(), hard_allowed=True)
+
+
+@query(f"{_BATCHES} SELECT batch_id, idx, status, reason, applied FROM a")
+def batch_outcomes(spark, sf_dir):
+    return _batches(spark, sf_dir)[1]
+
+
+@query(f"""{_BATCHES}, w AS (SELECT id, applied, new_id FROM a WHERE targets AND applied IS NOT NULL)
+    SELECT m.id, scope, sha256(text) AS text, version + (applied IS NOT NULL)::BIGINT AS version, closed OR applied IS NOT NULL AS closed, CASE WHEN applied = 'supersede' THEN new_id END AS superseded_by, NULL AS supersedes
+    FROM m LEFT JOIN w USING (id) WHERE applied IS NULL OR applied <> 'hard_forget'
+    UNION ALL SELECT new_id, scope, sha256(text), 1, false, NULL, CASE WHEN op = 'supersede' THEN id END FROM a WHERE applied IN ('put', 'supersede')
+""")
+def batch_table(spark, sf_dir):
+    rows = _batches(spark, sf_dir)[0]
+    return rows.select("id", "scope", F.sha2("text", 256).alias("text"), "version", F.col("valid_until").isNotNull().alias("closed"), "superseded_by", "supersedes")
+
+
+@query(f"""{_BATCHES}
+    SELECT scope, new_id AS memory_id, 'assert' AS kind, 1 AS version FROM a WHERE applied IN ('put', 'supersede')
+    UNION ALL SELECT scope, id, CASE applied WHEN 'supersede' THEN 'supersede' WHEN 'soft_forget' THEN 'forget' ELSE 'erase' END, version + (applied <> 'hard_forget')::BIGINT FROM a WHERE targets AND applied IS NOT NULL
+""")
+def batch_events(spark, sf_dir):
+    return _batches(spark, sf_dir)[2].select("scope", "memory_id", "kind", "version")
+
+
 @query(TASK_STATE)
 def fold_task_state(spark, sf_dir):
     return revise.fold_task_state(task_state_ops(spark, sf_dir))

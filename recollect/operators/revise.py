@@ -46,6 +46,27 @@ def keyed_put_outcomes(puts: DataFrame, slots: DataFrame | None = None) -> DataF
     return rows.select("seq", "scope", "key", status.alias("status"), F.when(F.col("slot_identity").isNull(), F.col("first_seq")).alias("first_seq"))
 
 
+def apply_keyed_puts(memories: DataFrame, puts: DataFrame, slots: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, slots, outcomes) of keyed puts (seq, scope, key, identity, category, text): what is created gives a row and takes its key's slot."""
+    outcomes = keyed_put_outcomes(puts, slots)
+    made = puts.join(outcomes.where("status = 'created'").select("seq", "scope", "key"), ["seq", "scope", "key"], "left_semi")
+    first_version = [now.alias("valid_from"), now.alias("known_at"), now.alias("sys_created"), F.lit(1).cast("long").alias("version")]
+    rows = made.select(F.concat(F.lit("k"), F.sha2(F.concat_ws("\u0000", "scope", "key"), 256)).alias("id"), "scope", "category", "text", *first_version)
+    taken = made.select("scope", "key", "identity", F.lit(False).alias("erased"))
+    return memories.unionByName(rows, allowMissingColumns=True), slots.select("scope", "key", "identity", "erased").unionByName(taken), outcomes
+
+
+def revision_events(outcomes: DataFrame, kind: str, now: Column, key: str = "id") -> DataFrame:
+    """Journal rows (scope, memory_id, kind, at_sys, version) of the requests with status ok: supersede, forget; version is the one that the change made."""
+    won = outcomes.where("status = 'ok'")
+    return won.select("scope", F.col(key).alias("memory_id"), F.lit(kind).alias("kind"), now.alias("at_sys"), (F.col("expected_version") + 1).alias("version"))
+
+
+def erase_vectors(staged: DataFrame, ids: DataFrame) -> DataFrame:
+    """``staged`` vectors (id, generation, embedding, ...) less those of erased rows, of whatever generation."""
+    return staged.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 def request_identity(*columns: str) -> Column:
     """A digest of a whole request before defaults; nulls differ from empty texts."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
@@ -228,6 +249,46 @@ def op_outcomes(ops: DataFrame, hard_allowed: bool = False) -> DataFrame:
     return ops.withColumn("status", status).withColumn("applied", F.when(status == "ok", kind))
 
 
+def apply_ops(memories: DataFrame, ops: DataFrame, now: Column, hard_allowed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memories, outcomes, events) of ordered batches of ops (batch_id, idx, op, id?, scope, text?, expected_version?, hard?).
+
+    An op fails with a reason: unknown_op; empty_text of a put or supersede; of a supersede or forget, not_found,
+    scope_denied, version_conflict or already_closed, by the table as it is before all batches. Of the good
+    ones for a row, the one of the least (batch_id, idx) holds it and the rest fail as conflict, whether or
+    not that one is attempted. What follows a batch's first failure isn't attempted; see ``op_outcomes``.
+    The rest is applied as a set: puts and supersedes make first versions (ids b<batch>-<idx>), supersedes and
+    soft forgets close a row with its next version, hard forgets take it away. Each change has an event, a
+    supersede one for either row. Other columns of ``memories`` (id, scope, text, valid_from, valid_until,
+    sys_closed, superseded_by, supersedes, version) stay; those of new rows are null.
+    """
+    own = memories.select(F.col("id"), F.col("scope").alias("_scope"), F.col("version").alias("_version"), (F.col("valid_until").isNotNull() | F.col("sys_closed").isNotNull() | F.col("superseded_by").isNotNull()).alias("_closed"))
+    rows = ops.join(own, "id", "left")
+    writes, targets = F.col("op").isin("put", "supersede"), F.col("op").isin("supersede", "forget")
+    reason = (
+        F.when(~F.col("op").isin("put", "supersede", "forget", "noop") | F.col("op").isNull(), "unknown_op").when(writes & (F.trim(F.coalesce("text", F.lit(""))) == ""), "empty_text")
+        .when(targets & F.col("_version").isNull(), "not_found").when(targets & (F.col("scope") != F.col("_scope")), "scope_denied")
+        .when(targets & (F.col("expected_version") != F.col("_version")), "version_conflict").when(targets & F.col("_closed"), "already_closed")
+    )
+    rows = rows.withColumn("reason", reason)
+    holder = F.row_number().over(Window.partitionBy("id", targets, F.col("reason").isNull()).orderBy("batch_id", "idx")) == 1
+    rows = rows.withColumn("reason", F.when(targets & F.col("reason").isNull() & ~holder, "conflict").otherwise(F.col("reason")))
+    rows = op_outcomes(rows.withColumn("failed", F.col("reason").isNotNull()).withColumn("hard", F.coalesce("hard", F.lit(False))), hard_allowed)
+    rows = saved(rows.withColumn("new_id", F.when(writes, F.concat(F.lit("b"), "batch_id", F.lit("-"), "idx"))), "applied")
+    done = rows.where("status = 'ok' AND applied <> 'noop'")
+    changes = done.where(targets).select("id", F.col("applied").alias("_applied"), F.col("new_id").alias("_by"))
+    closes = F.col("_applied").isin("supersede", "soft_forget")
+    new = {"valid_until": now, "sys_closed": now, "version": F.col("version") + 1, "superseded_by": F.col("_by")}
+    left = memories.join(changes, "id", "left").where(F.col("_applied").isNull() | closes)
+    left = left.select(*[F.when(closes, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in memories.columns])
+    made = done.where(writes).select(
+        F.col("new_id").alias("id"), "scope", "text", now.alias("valid_from"), F.when(F.col("op") == "supersede", F.col("id")).alias("supersedes"), F.lit(1).cast("long").alias("version")
+    )
+    kinds = F.array_compact(F.array(F.when(writes, F.struct(F.col("new_id").alias("memory_id"), F.lit("assert").alias("kind"), F.lit(1).cast("long").alias("version"))), F.when(
+        targets, F.struct(F.col("id").alias("memory_id"), F.when(F.col("applied") == "supersede", "supersede").when(F.col("applied") == "soft_forget", "forget").otherwise("erase").alias("kind"), (F.col("_version") + F.when(F.col("applied") == "hard_forget", 0).otherwise(1)).alias("version")))))
+    events = done.select("scope", F.explode(kinds).alias("e")).select("scope", "e.*", now.alias("at_sys"))
+    return left.unionByName(made, allowMissingColumns=True), rows.select("batch_id", "idx", "status", "reason", "applied"), events
+
+
 def fold_task_state(ops: DataFrame) -> DataFrame:
     """(scope, slot, seq, status, version) of compare-and-set writes (scope, slot, seq, body, expected_version?, create_only?) in seq order.
 
