@@ -205,7 +205,10 @@ def history(memories: DataFrame, ids: DataFrame, steps: int = 64) -> DataFrame:
         hop, width = saved(pointer, "hops"), 1
         while width <= steps:
             ahead = found.join(hop.withColumnRenamed("a", "id"), "id").select("asked", F.col("b").alias("id"), (F.col("pos") + width).alias("pos"))
-            found = saved(found.unionByName(ahead), "chain")
+            ahead = saved(ahead, "chain")
+            if not ahead.limit(1).count():
+                break  # no asked row's chain is that long
+            found = found.unionByName(ahead)
             hop = saved(hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "hops")
             width *= 2
         return found.where((F.col("pos") > 0) & (F.col("pos") <= steps)).withColumn("pos", F.col("pos") * sign)
