@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import normalised, text_match
+from recollect.sources.derived import CATEGORIES
 from recollect.sources.shared import saved
 
 
@@ -166,14 +167,30 @@ def score_extraction(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.select("scenario", "matched", "n_pred", "n_gold", share("n_pred").alias("precision"), share("n_gold").alias("recall"))
 
 
-def validate_scenarios(scenarios: DataFrame, memories: DataFrame, probes: DataFrame) -> DataFrame:
-    """(scenario, violation): repeated ids, gold keys and probe names, and probes that expect unknown keys or, when they abstain, any."""
+def validate_scenarios(scenarios: DataFrame, memories: DataFrame, probes: DataFrame, patterns: tuple[str, ...] = ()) -> DataFrame:
+    """(scenario, violation): repeated ids, gold keys and probe names, and probes that expect unknown keys or, when they abstain, any.
+
+    Where the columns are there, also categories that aren't known and times (texts) that don't parse, of
+    memories and probes; and, without a scenario, each of ``patterns`` that no scenario's pattern is.
+    """
     twice = lambda df, keys, what: df.groupBy(*keys).count().where("count > 1").select("scenario", F.lit(what).alias("violation"))
     expected = probes.select("scenario", F.explode(F.concat("expect", "forbid")).alias("key"))
     unknown = expected.join(memories.select("scenario", "key"), ["scenario", "key"], "left_anti").select("scenario", F.lit("unknown_key").alias("violation"))
     idle = probes.where(F.col("abstain") & (F.size("expect") > 0)).select("scenario", F.lit("abstain_expects").alias("violation"))
     out = twice(scenarios, ["scenario"], "repeated_scenario").unionByName(twice(memories, ["scenario", "key"], "repeated_key")).unionByName(twice(probes, ["scenario", "probe"], "repeated_probe"))
-    return out.unionByName(unknown).unionByName(idle).distinct()
+    out = out.unionByName(unknown).unionByName(idle)
+    for rows in (memories, probes):
+        if "category" in rows.columns:
+            out = out.unionByName(rows.where(~F.col("category").isin(*CATEGORIES)).select("scenario", F.lit("unknown_category").alias("violation")))
+        for c in ("valid_from", "valid_until", "known_at", "as_of", "known_as_of", "sys_as_of"):
+            if c in rows.columns:
+                bad = F.col(c).isNotNull() & F.try_to_timestamp(c).isNull()
+                out = out.unionByName(rows.where(bad).select("scenario", F.lit(f"bad_{c}").alias("violation")))
+    if patterns:
+        named = scenarios.sparkSession.createDataFrame([(x,) for x in patterns], "pattern string")
+        missing = named.join(scenarios.select("pattern"), "pattern", "left_anti")
+        out = out.unionByName(missing.select(F.lit(None).cast(scenarios.schema["scenario"].dataType).alias("scenario"), F.concat(F.lit("no_exemplar:"), "pattern").alias("violation")))
+    return out.distinct()
 
 
 def passage_gold(passages: DataFrame, memories: DataFrame) -> DataFrame:

@@ -32,15 +32,27 @@ def registry(spark) -> DataFrame:
 
 
 def dangling_endpoints(edges: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """``edges`` (subject_kind, subject, object_kind, object, scope) with reason: an end that is missing or in another scope."""
-    ends = endpoints.select("kind", "id", "scope")
+    """``edges`` (subject_kind, subject, object_kind, object, scope) with reason: an end that is missing or in another scope.
+
+    If ``edges`` has subject_rev and object_rev and ``endpoints`` a version, a pinned revision must be one of
+    1 to that version, and only memories and entities may be pinned.
+    """
+    pinned = "version" in endpoints.columns
+    ends = endpoints.select("kind", "id", "scope", *["version"] * pinned)
     out = edges
     for side in ("subject", "object"):
-        out = out.join(
-            ends.select(F.col("kind").alias(f"{side}_kind"), F.col("id").alias(side), F.col("scope").alias(f"_{side}_scope")), [f"{side}_kind", side], "left"
-        )
-    bad = lambda side: F.when(F.col(f"_{side}_scope").isNull(), f"{side}_not_found").when(F.col(f"_{side}_scope") != F.col("scope"), f"{side}_scope_denied")
-    return out.withColumn("reason", F.coalesce(bad("subject"), bad("object"))).drop("_subject_scope", "_object_scope")
+        own = [F.col("kind").alias(f"{side}_kind"), F.col("id").alias(side), F.col("scope").alias(f"_{side}_scope"), *[F.col("version").alias(f"_{side}_version")] * pinned]
+        out = out.join(ends.select(*own), [f"{side}_kind", side], "left")
+
+    def bad(side: str) -> Column:
+        reason = F.when(F.col(f"_{side}_scope").isNull(), f"{side}_not_found").when(F.col(f"_{side}_scope") != F.col("scope"), f"{side}_scope_denied")
+        if pinned and f"{side}_rev" in edges.columns:
+            rev = F.col(f"{side}_rev")
+            reason = reason.when(rev.isNotNull() & ~F.col(f"{side}_kind").isin("memory", "entity"), f"{side}_not_pinnable")
+            reason = reason.when((rev < 1) | (rev > F.col(f"_{side}_version")), f"{side}_bad_revision")
+        return reason
+
+    return out.withColumn("reason", F.coalesce(bad("subject"), bad("object"))).drop(*[c for c in out.columns if c.startswith("_subject_") or c.startswith("_object_")])
 
 
 def validate_edges(edges: DataFrame) -> DataFrame:

@@ -313,3 +313,20 @@ def test_scenario_violations(spark):
     probes = spark.createDataFrame([("s", "p", ["k", "z"], [], False), ("s", "q", ["k"], [], True)], "scenario string, probe string, expect array<string>, forbid array<string>, abstain boolean")
     got = sorted(r.violation for r in evaluate.validate_scenarios(scenarios, gold, probes).collect())
     assert got == ["abstain_expects", "repeated_scenario", "unknown_key"]
+
+
+def test_scenario_categories_times_and_patterns(spark):
+    scenarios = spark.createDataFrame([("s", "drift")], "scenario string, pattern string")
+    gold = spark.createDataFrame([("s", "k", "semantic", "2024-01-01T00:00:00Z", None), ("s", "l", "odd", "soon", None)], "scenario string, key string, category string, valid_from string, valid_until string")
+    probes = spark.createDataFrame([("s", "p", ["k"], [], False, "never")], "scenario string, probe string, expect array<string>, forbid array<string>, abstain boolean, as_of string")
+    got = sorted((str(r.scenario), r.violation) for r in evaluate.validate_scenarios(scenarios, gold, probes, ("drift", "echo")).collect())
+    assert got == [("None", "no_exemplar:echo"), ("s", "bad_as_of"), ("s", "bad_valid_from"), ("s", "unknown_category")]
+
+
+def test_pinned_revisions(spark):
+    ends = spark.createDataFrame([("memory", "a", "s", 2), ("span", "b", "s", 1)], "kind string, id string, scope string, version long")
+    rows = [("memory", "a", r, "span", "b", q, "s") for r, q in ((None, None), (2, None), (3, None), (0, None), (1, 1))]
+    edges = spark.createDataFrame(rows, "subject_kind string, subject string, subject_rev long, object_kind string, object string, object_rev long, scope string")
+    got = graph.dangling_endpoints(edges, ends)
+    assert set(got.columns) == {*edges.columns, "reason"}
+    assert sorted(str(r.reason) for r in got.collect()) == ["None", "None", "object_not_pinnable", "subject_bad_revision", "subject_bad_revision"]
