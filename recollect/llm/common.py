@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -102,8 +103,22 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 
 def sliced(run: Callable, rows: int = BATCH_ROWS) -> Callable:
-    """``run``, given its batches in parts of at most ``rows`` rows."""
-    return lambda batches: run(slices(batches, rows))
+    """``run``, given its batches in parts of at most ``rows`` rows. At the end of a task its worker gives free memory back,
+    so that what waits idle beside later stages stays small."""
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(slices(batches, rows))
+        give_back()
+
+    return parts
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold without use to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

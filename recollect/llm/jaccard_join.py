@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import checked, outside, scratch, slices, sliced, text_or_empty, written
+from recollect.llm.common import checked, outside, scratch, sliced, text_or_empty, written
 from recollect.llm.components import components
 from recollect.llm.shingles import shingle_sets
 
@@ -120,7 +120,7 @@ def _tokens(cell) -> np.ndarray:
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verifies pairs of a set and its possible leader; what the similar ones add (first) and leave out."""
-    for batch in slices(batches, 64):
+    for batch in batches:
         rows = []
         for i in range(batch.num_rows):
             x, y = _tokens(batch.column("tokens")[i]), _tokens(batch.column("leader_tokens")[i])
@@ -155,7 +155,7 @@ def _groups(docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     tokens = whole_sets(docs, needed.join(heads.select("sid", "doc_id", "mark"), "sid"), words)
     of_leader = tokens.where("sid = leader").select("leader", F.col("tokens").alias("leader_tokens"))
     rows = tokens.where("sid <> leader").join(of_leader, "leader").select("sid", "leader", "tokens", "leader_tokens")
-    found = written(rows.mapInArrow(_deltas, DELTAS).dropDuplicates(["sid", "leader"]), "deltas")
+    found = written(rows.mapInArrow(sliced(_deltas, 64), DELTAS).dropDuplicates(["sid", "leader"]), "deltas")
     # Groups don't nest: who leads others is in no other group.
     return written(found.join(found.select(F.col("leader").alias("sid")).distinct(), "sid", "left_anti"), "groups")
 
@@ -412,7 +412,7 @@ def _linker(percent: int, inside: bool) -> Callable:
         return tuple(list(x) for x in zip(*out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        for batch in batches:
             columns: tuple[list, list, list] = ([], [], [])
             for i in range(batch.num_rows):
                 for column, more in zip(columns, found(batch, i)):
@@ -468,12 +468,12 @@ def _links(docs: DataFrame, heads: DataFrame, deltas: DataFrame, candidates: Dat
     if not counted:  # what is linked with the leader is connected
         open_ = open_ & (F.greatest("heavy_a", "heavy_b") > room)
     inside = a.join(base, "comp").join(b, "comp").where((F.col("chunk_a") <= F.col("chunk_b")) & open_)
-    inside = inside.select("members_a", "members_b", "base_n", (F.col("chunk_a") == F.col("chunk_b")).alias("same")).mapInArrow(_linker(percent, True), LINKS)
+    inside = inside.select("members_a", "members_b", "base_n", (F.col("chunk_a") == F.col("chunk_b")).alias("same")).mapInArrow(sliced(_linker(percent, True), 64), LINKS)
     bases = whole_sets(docs, alone.join(heads.select("sid", "doc_id", "mark"), "sid"), words).dropDuplicates(["sid"])
     side = lambda x: chunks.select(F.col("comp").alias(f"comp_{x}"), F.col("members").alias(f"members_{x}"))
     base_of = lambda x: bases.select(F.col("sid").alias(f"comp_{x}"), F.col("tokens").alias(f"base_{x}"))
     across = candidates.join(base_of("a"), "comp_a").join(side("a"), "comp_a").join(base_of("b"), "comp_b").join(side("b"), "comp_b")
-    across = across.select("members_a", "members_b", "base_a", "base_b").mapInArrow(_linker(percent, False), LINKS)
+    across = across.select("members_a", "members_b", "base_a", "base_b").mapInArrow(sliced(_linker(percent, False), 64), LINKS)
     found = written(inside.unionByName(across), "links")
     edges = found.where("b IS NOT NULL").select("a", "b").unionByName(follow.where("weight <= room").select(F.col("sid").alias("a"), F.col("comp").alias("b")))
     counts = found.where("b IS NULL").select(F.col("a").alias("sid"), "links").unionByName(_inner_links(members))

@@ -7,7 +7,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 ROLL = 0xD6E8FEB86659FD93
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
