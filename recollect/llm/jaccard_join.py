@@ -96,9 +96,9 @@ def _tokens_of(words: int, kept: list[str]) -> Callable:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Written ``wanted`` columns (sid among them) and tokens: the sets, computed anew from their texts.
+    """Written ``wanted`` columns (sid among them) and tokens: the sets, computed anew from their texts, once each.
 
-    ``wanted`` tells the text by doc_id and mark. Where rows repeat with their doc_ids, so do their sets.
+    ``wanted`` tells the text by doc_id and mark; where rows repeat with their doc_ids, one of them stands.
     """
     kept = [c for c in wanted.columns if c not in ("doc_id", "mark")]
     small = checked(wanted.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"}))
@@ -106,7 +106,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     met = texts.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     types = {f.name: f.dataType.simpleString() for f in wanted.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", tokens binary"
-    return written(met.select(*kept, "text").mapInArrow(sliced(_tokens_of(words, kept)), schema), "sets")
+    found = written(met.select(*kept, "text").mapInArrow(sliced(_tokens_of(words, kept)), schema), "sets")
+    rows, sets = found.agg(F.count("*"), F.count_distinct(*kept)).first()
+    return found if rows == sets else written(found.dropDuplicates(kept), "sets")
 
 
 # 2. Groups
@@ -155,7 +157,7 @@ def _groups(docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     tokens = whole_sets(docs, needed.join(heads.select("sid", "doc_id", "mark"), "sid"), words)
     of_leader = tokens.where("sid = leader").select("leader", F.col("tokens").alias("leader_tokens"))
     rows = tokens.where("sid <> leader").join(of_leader, "leader").select("sid", "leader", "tokens", "leader_tokens")
-    found = written(rows.mapInArrow(sliced(_deltas, 64), DELTAS).dropDuplicates(["sid", "leader"]), "deltas")
+    found = written(rows.mapInArrow(sliced(_deltas, 64), DELTAS), "deltas")
     # Groups don't nest: who leads others is in no other group.
     return written(found.join(found.select(F.col("leader").alias("sid")).distinct(), "sid", "left_anti"), "groups")
 
@@ -267,7 +269,7 @@ def _lists(docs: DataFrame, grouped: DataFrame, heads: DataFrame, words: int, pe
     rows = grouped.select("sid", "comp", "n", "low")
     short = written(rows.mapInArrow(sliced(_short(frequent, percent)), "sid long"), "short")
     wanted = short.join(heads.select("sid", "doc_id", "mark", "n"), "sid").join(grouped.select("sid", "comp"), "sid")
-    full = whole_sets(docs, wanted, words).withColumnRenamed("tokens", "low").dropDuplicates(["sid"])
+    full = whole_sets(docs, wanted, words).withColumnRenamed("tokens", "low")
     more = written(full.select("sid", "comp", "n", "low").mapInArrow(sliced(_poster(frequent, None, percent, True)), POSTINGS), "short-postings")
     bloom = context.broadcast(_bloom(counts.select("token").unionByName(more.select("token"))))
     posted = written(rows.mapInArrow(sliced(_poster(frequent, bloom, percent, False)), POSTINGS).unionByName(more), "postings")
@@ -469,7 +471,7 @@ def _links(docs: DataFrame, heads: DataFrame, deltas: DataFrame, candidates: Dat
         open_ = open_ & (F.greatest("heavy_a", "heavy_b") > room)
     inside = a.join(base, "comp").join(b, "comp").where((F.col("chunk_a") <= F.col("chunk_b")) & open_)
     inside = inside.select("members_a", "members_b", "base_n", (F.col("chunk_a") == F.col("chunk_b")).alias("same")).mapInArrow(sliced(_linker(percent, True), 64), LINKS)
-    bases = whole_sets(docs, alone.join(heads.select("sid", "doc_id", "mark"), "sid"), words).dropDuplicates(["sid"])
+    bases = whole_sets(docs, alone.join(heads.select("sid", "doc_id", "mark"), "sid"), words)
     side = lambda x: chunks.select(F.col("comp").alias(f"comp_{x}"), F.col("members").alias(f"members_{x}"))
     base_of = lambda x: bases.select(F.col("sid").alias(f"comp_{x}"), F.col("tokens").alias(f"base_{x}"))
     across = candidates.join(base_of("a"), "comp_a").join(side("a"), "comp_a").join(base_of("b"), "comp_b").join(side("b"), "comp_b")
