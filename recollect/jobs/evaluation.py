@@ -192,6 +192,25 @@ def score_extraction(spark, sf_dir):
     return evaluate.score_extraction(rows, gold)
 
 
+@query("""
+    WITH c AS (SELECT DISTINCT conv_id AS s FROM conversations), m AS (SELECT conv_id AS s, 'k' || turn % 5 AS key, list_extract(['episodic', 'semantic', 'odd'], turn % 3 + 1) AS category, CASE WHEN turn % 4 = 3 THEN 'soon' ELSE '2024-01-0' || (turn % 9 + 1) END AS since FROM conversations),
+    p AS (SELECT conv_id AS s, 'p' || turn // 2 AS probe, 'k' || turn % 7 AS key, turn % 6 = 5 AS abstain FROM conversations),
+    v AS (SELECT s, 'repeated_scenario' AS violation FROM c WHERE s % 10 = 0 UNION SELECT s, 'repeated_key' FROM m GROUP BY s, key HAVING count(*) > 1 UNION SELECT s, 'repeated_probe' FROM p GROUP BY s, probe HAVING count(*) > 1
+        UNION SELECT s, 'unknown_key' FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.s = p.s AND m.key = p.key) UNION SELECT s, 'abstain_expects' FROM p WHERE abstain UNION SELECT s, 'unknown_category' FROM m WHERE category = 'odd'
+        UNION SELECT s, 'bad_valid_from' FROM m WHERE since = 'soon' UNION SELECT NULL, 'no_exemplar:echo')
+    SELECT s AS scenario, violation FROM v
+""")
+def validate_scenarios(spark, sf_dir):
+    s, t = F.col("conv_id").alias("scenario"), F.col("turn")
+    rows = read(spark, sf_dir, "conversations")
+    scenarios = rows.select(s, F.lit("drift").alias("pattern")).distinct()
+    scenarios = scenarios.unionByName(scenarios.where("scenario % 10 = 0"))
+    key = lambda n: F.concat(F.lit("k"), t % n)
+    gold = rows.select(s, key(5).alias("key"), F.element_at(F.lit(["episodic", "semantic", "odd"]), (t % 3 + 1).cast("int")).alias("category"), F.when(t % 4 == 3, "soon").otherwise(F.concat(F.lit("2024-01-0"), t % 9 + 1)).alias("valid_from"))
+    probes = rows.select(s, F.concat(F.lit("p"), F.floor(t / 2)).alias("probe"), F.array(key(7)).alias("expect"), F.array().cast("array<string>").alias("forbid"), (t % 6 == 5).alias("abstain"))
+    return evaluate.validate_scenarios(scenarios, gold, probes, ("drift", "echo"))
+
+
 def _packed_sql(source: str, cost: str) -> str:
     """CTE packed (query_id, rank1, id, form, used) over hits: first whole cards in rank order, then stubs, each step with the room that is left."""
     return f"""

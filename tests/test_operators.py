@@ -22,7 +22,7 @@ def memories(spark):
     rows = [
         ("a", "org/a", "semantic", "the cache timeout is 30s", day(1), day(5), day(1), None, day(5), 1),
         ("b", "org/a/x", "semantic", "the cache timeout is 60s now", day(5), None, day(6), day(6), None, 2),
-        ("c", "org/ab", "episodic", "NOMI_SCOPE_DENIED_42 seen", day(2), None, day(2), day(2), None, 1),
+        ("c", "org/ab", "episodic", "ZETA_SCOPE_DENIED_42 seen", day(2), None, day(2), day(2), None, 1),
         ("d", "org/a", "uncertainty", "", day(2), None, day(2), day(2), None, 1),
     ]
     schema = "id string, scope string, category string, text string, valid_from timestamp_ntz, valid_until timestamp_ntz, known_at timestamp_ntz, sys_created timestamp_ntz, sys_closed timestamp_ntz, version long"
@@ -89,7 +89,7 @@ def test_neighbours_under_lenses_are_brute_force(spark):
 
 
 def test_bm25_regimes(memories, spark):
-    asked = spark.createDataFrame([(1, "cache timeout"), (2, "nomi scope denied 42"), (3, "absent")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "cache timeout"), (2, "zeta scope denied 42"), (3, "absent")], "query_id int, query string")
     found = {(r.query_id, r.id): r.score for r in lexical.bm25_scores(asked, memories).collect()}
     assert set(found) == {(1, "a"), (1, "b"), (2, "c")}
     assert found[1, "a"] == 0 and found[2, "c"] > 0  # in half of all texts: nothing; rare: something
