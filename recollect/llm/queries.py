@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.bpe import encode_decode
+from recollect.llm.byte_bpe import encode_decode_bytes
 from recollect.llm.common import table
+from recollect.llm.importance import resample
 from recollect.llm.jaccard_join import jaccard_components
 from recollect.llm.language import identify
 from recollect.llm.packing import pack
@@ -17,6 +19,7 @@ from recollect.llm.sharding import shard
 from recollect.llm.simhash import fingerprint_report
 from recollect.llm.token_files import token_files
 from recollect.llm.unigram import count_tokens
+from recollect.llm.whitening import whiten
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components, whitened."""
+    return whiten(table(spark, sf_dir, "embeddings"), wanted=16).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and its place in a draw of a tenth."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, least_words=20, share=10, seed=2024)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the byte-level BPE of many languages and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode_bytes(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -81,6 +100,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_top_k": op10_top_k,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 SQL: dict[str, str] = {
     "op10_top_k": """
@@ -98,4 +120,45 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op12_resampling": r"""
+        WITH crc AS (
+            SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS of
+            FROM range(256) r(b)
+        ), d AS (
+            SELECT doc_id, row_number() OVER () AS no,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), b AS (
+            SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+            FROM benchmark
+        ), dw AS (
+            SELECT no, unnest(words) AS word FROM d
+        ), spelt AS (
+            SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM b)
+        ), bytes AS (
+            SELECT word, list_transform(range(len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS x FROM spelt
+        ), hashed AS (
+            SELECT word, xor(list_reduce(list_prepend(4294967295, x), lambda c, y: xor(c >> 8, crc.of[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM bytes, crc
+        ), s AS (
+            SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY bucket
+        ), t AS (
+            SELECT bucket, count(*) AS n FROM b JOIN hashed USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (bucket)
+        ), weighed AS (
+            SELECT no, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY no
+        ), noisy AS (
+            SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+            FROM d LEFT JOIN weighed USING (no)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM noisy
+        )
+        SELECT doc_id, n_features, weight, score,
+            CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM noisy WHERE n_features >= 20) // 100 THEN place END AS rank
+        FROM placed
+    """,
 }
