@@ -121,6 +121,46 @@ def update_edges(spark, sf_dir):
     return graph.update_edges(rows, asked)[1]
 
 
+_JOURNAL = """
+    WITH e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'closed' WHEN c_custkey % 9 = 0 THEN 'purged' ELSE 'active' END AS state, CASE WHEN c_custkey % 4 = 0 THEN 'old' END AS state_reason, c_custkey % 3 + 1 AS version,
+        'asserted' AS epistemic, c_mktsegment AS evidence, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS valid_until FROM customer),
+    r AS (SELECT o_orderkey AS seq, o_custkey AS id, o_custkey % 3 + 1 + (o_orderkey % 7 = 0)::BIGINT AS expected, CASE o_orderkey % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'stale' END AS state, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS reason,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'inferred' END AS epistemic, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS evidence, CASE WHEN o_orderkey % 11 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' END AS valid_until FROM orders),
+    w AS (SELECT r.* FROM r JOIN e USING (id) WHERE expected = version AND e.state <> 'purged' AND NOT (r.state IS NOT NULL AND reason IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+    n AS (SELECT id, coalesce(w.state, e.state) AS state, CASE WHEN w.state IS NULL THEN e.state_reason ELSE w.reason END AS state_reason, version + 1 AS version, coalesce(w.epistemic, e.epistemic) AS epistemic,
+        coalesce(w.evidence, e.evidence) AS evidence, coalesce(w.valid_until, e.valid_until) AS valid_until FROM e JOIN w USING (id))
+"""
+
+
+def _journal(spark, sf_dir):
+    """Customers as edges; orders as changes of their states, epistemics, evidence and ends."""
+    c, k, o = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    rows = read(spark, sf_dir, "customer").select(
+        c.alias("id"), F.when(c % 4 == 0, "closed").when(c % 9 == 0, "purged").otherwise("active").alias("state"), F.when(c % 4 == 0, "old").alias("state_reason"), (c % 3 + 1).alias("version"),
+        F.lit("asserted").alias("epistemic"), F.col("c_mktsegment").alias("evidence"), F.when(c % 5 == 0, at("2024-02-01 00:00:00")).alias("valid_until"),
+    )
+    asked = read(spark, sf_dir, "orders").select(
+        k.alias("seq"), o.alias("id"), (o % 3 + 1 + F.when(k % 7 == 0, 1).otherwise(0)).alias("expected_version"), F.when(k % 4 == 0, "closed").when(k % 4 == 1, "stale").alias("state"),
+        F.when(k % 5 > 0, F.col("o_orderpriority")).alias("reason"), F.when(k % 2 == 0, "inferred").alias("epistemic"), F.when(k % 3 == 0, F.col("o_orderstatus")).alias("evidence"),
+        F.when(k % 11 == 0, at("2024-03-01 00:00:00")).alias("valid_until"),
+    )
+    return rows, *graph.update_edges(rows, asked, at("2024-04-01 00:00:00"))
+
+
+@query(f"{_JOURNAL} SELECT * FROM n UNION ALL SELECT * FROM e WHERE id NOT IN (SELECT id FROM n)")
+def updated_edges(spark, sf_dir):
+    return _journal(spark, sf_dir)[1]
+
+
+@query(f"{_JOURNAL} SELECT * FROM e UNION ALL SELECT * FROM n")
+def edges_at_version(spark, sf_dir):
+    """Every edge as it was at its first version, and every changed one as it is now."""
+    rows, changed, _, events = _journal(spark, sf_dir)
+    asked = rows.select("id", "version").unionByName(rows.select("id", (F.col("version") + 1).alias("version")))
+    return graph.edges_at_version(changed, events, asked)
+
+
 @query("SELECT 's' || s_suppkey AS subject, 'n' || s_nationkey AS object FROM supplier WHERE s_nationkey = 3 ORDER BY s_suppkey % 7 DESC, 's' || s_suppkey LIMIT 128")
 def list_edges(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier").select(

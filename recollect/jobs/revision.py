@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.jobs.registry import query
-from recollect.operators import revise
+from recollect.operators import lenses, revise
 from recollect.sources.derived import CHAINS, MEMORIES, TASK_STATE, chains, memories, read, task_state_ops
 
 AT = "2024-02-01 12:00:00"
@@ -290,6 +290,70 @@ def batch_events(spark, sf_dir):
     return _batches(spark, sf_dir)[2].select("scope", "memory_id", "kind", "version")
 
 
+LATER = "2024-03-02 12:00:00"
+_SEEN_LATER = f"""
+    seen AS (SELECT id, category, version, supersedes FROM every WHERE coalesce(sys_created, known_at) <= TIMESTAMP '{LATER}' AND (sys_closed IS NULL OR sys_closed > TIMESTAMP '{LATER}') AND known_at <= TIMESTAMP '{LATER}'
+        AND valid_from <= TIMESTAMP '{LATER}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{LATER}'))
+    SELECT * FROM seen
+"""
+
+
+def _seen_later(rows):
+    """What a request a month later sees under all three times."""
+    t = F.lit(LATER).cast("timestamp_ntz")
+    return lenses.as_of(lenses.known_as_of(lenses.sys_as_of(rows, t), t), t).select("id", "category", "version", "supersedes")
+
+
+def _linked_memories(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return memories(spark, sf_dir).drop("n").withColumns({"superseded_by": none, "supersedes": none})
+
+
+@query(f"""
+    WITH {MEMORIES}, r AS (SELECT conv_id * 1000 + turn AS seq, 'm' || conv_id AS id, conv_id % 3 + 1 AS expected, CASE WHEN turn % 2 = 1 THEN 'identity' END AS category, CASE WHEN turn % 3 = 2 THEN TIMESTAMP '{LATER}' + INTERVAL 1 DAY END AS known FROM conversations),
+    w AS (SELECT r.*, m.category AS prior FROM r JOIN memories m USING (id) WHERE valid_until IS NULL AND sys_closed IS NULL AND TIMESTAMP '{AT}' >= valid_from QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1),
+    every AS (SELECT id, m.category, version + (w.id IS NOT NULL)::BIGINT AS version, NULL AS supersedes, valid_from, CASE WHEN w.id IS NULL THEN valid_until ELSE TIMESTAMP '{AT}' END AS valid_until, known_at, sys_created,
+            CASE WHEN w.id IS NULL THEN sys_closed ELSE TIMESTAMP '{AT}' END AS sys_closed FROM memories m LEFT JOIN w USING (id)
+        UNION ALL SELECT id || '+' || seq, coalesce(category, prior), 1, id, TIMESTAMP '{AT}', NULL, coalesce(known, TIMESTAMP '{AT}'), TIMESTAMP '{AT}', NULL FROM w),
+    {_SEEN_LATER}
+""")
+def superseded_seen_later(spark, sf_dir):
+    """Memories after turns of conversations superseded them, as all time lenses show them a month later."""
+    rows = _linked_memories(spark, sf_dir)
+    c, t = F.col("conv_id"), F.col("turn")
+    at = F.lit(LATER).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    none = F.lit(None).cast("timestamp_ntz")
+    asked = read(spark, sf_dir, "conversations").select(
+        (c * 1000 + t).alias("seq"), F.concat(F.lit("m"), c).alias("prior_id"), (c % 3 + 1).alias("expected_version"), none.alias("close_at"), none.alias("new_valid_from"),
+        F.when(t % 3 == 2, at).alias("new_known_at"), F.when(t % 2 == 1, "identity").alias("category"), "text",
+    )
+    asked = asked.join(rows.select(F.col("id").alias("prior_id"), "scope"), "prior_id")
+    return _seen_later(revise.apply_supersedes(asked, rows, now())[0])
+
+
+@query(f"""
+    WITH {MEMORIES}, o AS (SELECT conv_id AS batch_id, turn AS idx, list_extract(['put', 'forget', 'supersede'], (conv_id + turn) % 3 + 1) AS op, 'm' || (conv_id * 3 + turn) AS id, CASE WHEN turn % 2 = 0 THEN 'procedural' END AS category FROM conversations WHERE trim(text) <> ''),
+    r AS (SELECT o.*, m.category AS prior, op <> 'put' AS targets, CASE WHEN op = 'put' THEN NULL WHEN m.id IS NULL THEN 'not_found' WHEN valid_until IS NOT NULL OR sys_closed IS NOT NULL THEN 'already_closed' END AS why FROM o LEFT JOIN memories m USING (id)),
+    h AS (SELECT *, coalesce(why, CASE WHEN targets AND row_number() OVER (PARTITION BY id, targets, why IS NULL ORDER BY batch_id, idx) > 1 THEN 'conflict' END) AS reason FROM r),
+    d AS (SELECT * FROM h QUALIFY coalesce(idx < min(CASE WHEN reason IS NOT NULL THEN idx END) OVER (PARTITION BY batch_id), true)),
+    w AS (SELECT id FROM d WHERE targets),
+    every AS (SELECT id, m.category, version + (w.id IS NOT NULL)::BIGINT AS version, NULL AS supersedes, valid_from, CASE WHEN w.id IS NULL THEN valid_until ELSE TIMESTAMP '{AT}' END AS valid_until, known_at, sys_created,
+            CASE WHEN w.id IS NULL THEN sys_closed ELSE TIMESTAMP '{AT}' END AS sys_closed FROM memories m LEFT JOIN w USING (id)
+        UNION ALL SELECT 'b' || batch_id || '-' || idx, CASE WHEN op = 'put' THEN category ELSE coalesce(category, prior) END, 1, CASE WHEN op = 'supersede' THEN id END, TIMESTAMP '{AT}', NULL, TIMESTAMP '{AT}', TIMESTAMP '{AT}', NULL FROM d WHERE op IN ('put', 'supersede')),
+    {_SEEN_LATER}
+""")
+def batches_seen_later(spark, sf_dir):
+    """Memories after batches of puts, forgets and supersedes, as all time lenses show them a month later."""
+    rows = _linked_memories(spark, sf_dir)
+    c, t = F.col("conv_id"), F.col("turn")
+    ops = read(spark, sf_dir, "conversations").where(F.trim("text") != "").select(
+        c.alias("batch_id"), t.alias("idx"), F.element_at(F.lit(["put", "forget", "supersede"]), ((c + t) % 3 + 1).cast("int")).alias("op"), F.concat(F.lit("m"), c * 3 + t).alias("id"),
+        F.when(t % 2 == 0, "procedural").alias("category"), "text", F.lit(None).cast("long").alias("expected_version"), F.lit(False).alias("hard"),
+    )
+    ops = ops.join(rows.select("id", "scope"), "id", "left").withColumn("scope", F.coalesce("scope", F.lit("org")))
+    return _seen_later(revise.apply_ops(rows, ops, now())[0])
+
+
 @query(TASK_STATE)
 def fold_task_state(spark, sf_dir):
     return revise.fold_task_state(task_state_ops(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect.jobs.registry import query
 from recollect.operators import traces
 from recollect.sources.derived import TASK_STATE, TRACES, read, task_state_ops, trace_events
+from recollect.streaming import keyed, late
 from recollect.streaming import traces as streams
 
 
@@ -175,3 +176,52 @@ def usage_windows_stream(spark, sf_dir):
     """Windows that the watermark has closed; the last ones stay open until later events come."""
     out = streams.run_available(traces.usage_windows(_stream(spark, sf_dir)))
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+TRIGGERS = 4
+
+
+@query(f"""
+    WITH e AS (SELECT event_id % {TRIGGERS} AS trigger, ts FROM events), p AS (SELECT trigger, max(ts) AS most FROM e GROUP BY trigger),
+    m AS (SELECT trigger, date_trunc('millisecond', max(most) OVER (ORDER BY trigger ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)) - INTERVAL 10 DAYS AS mark FROM p)
+    SELECT trigger, count(*) AS arrived, count(*) FILTER (WHERE coalesce(ts <= mark, false)) AS dropped FROM e JOIN m USING (trigger) GROUP BY trigger
+""")
+def late_stream_counts(spark, sf_dir):
+    """Rows that a stream of four triggers drops behind its watermark, as its listener counts them."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"))
+    stream = streams.in_turn(rows, F.col("event_id") % TRIGGERS, TRIGGERS)
+    _, counted = late.run_counted(late.in_time(stream, "10 days").select("event_id"))
+    return late.counts(spark, counted).where("arrived > 0").select("trigger", "arrived", "dropped")
+
+
+def _in_order(spark, sf_dir, rows):
+    """``rows`` with event_id as a stream of three triggers, in order of event_id."""
+    (most,) = read(spark, sf_dir, "events").agg(F.max("event_id")).first()
+    return streams.in_turn(rows, F.least(F.floor(F.col("event_id") * 3 / F.lit(max(most or 0, 1))), F.lit(2)), 3)
+
+
+@query("""
+    WITH e AS (SELECT event_id, CASE WHEN user_id % 13 = 0 THEN 'bad id ' ELSE 'u' END || user_id AS trace_id, 'org/u' || (event_id % 3) AS scope, event_type <> 'signup' AND user_id % 13 <> 0 AS good FROM events),
+    f AS (SELECT trace_id, arg_min(scope, event_id) AS own FROM e WHERE good GROUP BY trace_id)
+    SELECT event_id, trace_id, CASE WHEN NOT good THEN 'invalid' WHEN scope = own THEN 'ok' ELSE 'scope_denied' END AS status FROM e LEFT JOIN f USING (trace_id)
+""")
+def ingest_keyed_stream(spark, sf_dir):
+    """Events with bad ids and kinds over three triggers; a trace keeps the scope that an earlier trigger gave it."""
+    user, at = F.col("user_id"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(event_id AS DOUBLE))")
+    events = read(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.when(user % 13 == 0, "bad id ").otherwise("u"), user).alias("trace_id"), F.concat(F.lit("org/u"), F.col("event_id") % 3).alias("scope"),
+        F.when(F.col("event_type") == "signup", "odd").otherwise("search").alias("kind"), at.alias("created_at"),
+    )
+    with keyed.rocksdb(spark):
+        out = streams.run_available(keyed.keyed_ingest(_in_order(spark, sf_dir, events)))
+    return out.select("event_id", "trace_id", "status")
+
+
+@query(TASK_STATE)
+def task_state_keyed_stream(spark, sf_dir):
+    """The batch's writes over three triggers, whose slots' versions are keyed state."""
+    at = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(event_id AS DOUBLE))")
+    rows = task_state_ops(spark, sf_dir).withColumn("event_id", F.col("seq"))
+    ops = _in_order(spark, sf_dir, rows.withColumn("created_at", at))
+    with keyed.rocksdb(spark):
+        return streams.run_available(keyed.keyed_task_state(ops))

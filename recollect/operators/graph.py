@@ -21,6 +21,7 @@ PREDICATES = (
     ("attempted", ("memory",), ("memory",), False, False),
     ("resolved_by", ("memory",), ("memory",), False, False),
 )
+RESERVED = tuple(p for p, _, _, _, reserved in PREDICATES if reserved)
 SYMMETRIC = tuple(p for p, _, _, symmetric, _ in PREDICATES if symmetric)
 
 
@@ -80,23 +81,59 @@ def dedupe_edges(new: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).select(*new.columns, "status")
 
 
-def update_edges(edges: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, outcomes): compare-and-set changes (seq, id, expected_version, state, reason) of edges (id, state, version).
+#: What a change may set besides the state, and what an event keeps of the edge before it.
+CHANGEABLE = ("epistemic", "evidence", "valid_until")
+SNAPSHOT = ("version", "state", "state_reason", *CHANGEABLE)
 
-    Closed and stale need a reason; nothing reopens; purged can't be asked for.
+
+def update_edges(edges: DataFrame, requests: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, outcomes, events): compare-and-set changes (seq, id, expected_version, state?, reason?, epistemic?, evidence?, valid_until?) of edges (id, state, version).
+
+    What a request leaves null stays. Closed and stale need a reason; nothing reopens; purged can't be asked
+    for, and a purged edge doesn't change. Of several good requests for an edge the lowest seq wins, the rest
+    conflict. A state that changes sets state_reason, else it stays. Columns that ``edges`` lacks aren't added, but for state_reason. An event (id, version, prior, at_sys)
+    has the version that the change made and the edge before it as a struct; see ``edges_at_version``.
     """
+    if "state_reason" not in edges.columns:
+        edges = edges.withColumn("state_reason", F.lit(None).cast("string"))
     rows = requests.join(edges.select("id", F.col("state").alias("_state"), F.col("version").alias("_version")), "id", "left")
     why = (
         F.when(F.col("_version").isNull(), "not_found").when(F.col("expected_version") != F.col("_version"), "version_conflict")
-        .when(F.col("state") == "purged", "not_allowed").when((F.col("_state") != "active") & (F.col("state") == "active"), "cannot_reopen")
+        .when((F.col("state") == "purged") | (F.col("_state") == "purged"), "not_allowed").when((F.col("_state") != "active") & (F.col("state") == "active"), "cannot_reopen")
         .when(F.col("state").isin("closed", "stale") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "reason_required")
     )
     order = Window.partitionBy("id").orderBy(F.col("why").isNotNull(), "seq")
     outcomes = rows.withColumn("why", why).withColumn("status", F.when(F.col("why").isNotNull(), F.col("why")).when(F.row_number().over(order) == 1, "ok").otherwise("conflict"))
-    won = outcomes.where("status = 'ok'").select("id", F.col("state").alias("_new"), F.col("reason").alias("_reason"))
-    hit = F.col("_new").isNotNull()
-    changed = edges.join(won, "id", "left").withColumns({"state": F.coalesce("_new", "state"), "version": F.col("version") + F.when(hit, 1).otherwise(0), "state_reason": F.col("_reason")})
-    return changed.drop("_new", "_reason"), outcomes.select("seq", "id", "status")
+    given = [c for c in CHANGEABLE if c in requests.columns and c in edges.columns]
+    won = outcomes.where("status = 'ok'").select("id", F.lit(True).alias("_hit"), F.col("state").alias("_new"), F.col("reason").alias("_reason"), *[F.col(c).alias(f"_to_{c}") for c in given])
+    joined = edges.join(won, "id", "left")
+    hit, set_state = F.coalesce("_hit", F.lit(False)), F.col("_new").isNotNull()
+    new = {
+        "state": F.coalesce("_new", "state"), "version": F.col("version") + F.when(hit, 1).otherwise(0),
+        "state_reason": F.when(set_state, F.col("_reason")).otherwise(F.col("state_reason")), **{c: F.coalesce(f"_to_{c}", c) for c in given},
+    }
+    changed = joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in edges.columns])
+    prior = F.struct(*[c for c in SNAPSHOT if c in edges.columns])
+    at = F.lit(None).cast("timestamp_ntz") if now is None else now
+    events = joined.where(hit).select("id", (F.col("version") + 1).alias("version"), prior.alias("prior"), at.alias("at_sys"))
+    return changed, outcomes.select("seq", "id", "status"), events
+
+
+def edges_at_version(edges: DataFrame, events: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked edges (id, version) as they were at that version: ``edges`` with what the journal kept of them.
+
+    The journal (id, version, prior) has one event for each change, in any order, from any number of calls
+    of ``update_edges``. An edge's present version gives the edge itself; another one is the snapshot that the change away from it
+    kept, found by (id, version) alone, so that a long journal needs no fold. Versions that never were, or that the journal has lost, give no row.
+    """
+    own = asked.select("id", F.col("version").alias("_asked")).distinct()
+    rows = edges.join(own, "id")
+    present = rows.where(F.col("_asked") == F.col("version"))
+    kept = events.select("id", F.col("prior.version").alias("_asked"), F.col("prior").alias("_prior"))
+    before = rows.where(F.col("_asked") < F.col("version")).join(kept, ["id", "_asked"])
+    fields = set(events.schema["prior"].dataType.fieldNames())
+    before = before.select(*[F.col(f"_prior.{c}").alias(c) if c in fields else F.col(c) for c in edges.columns])
+    return present.select(edges.columns).unionByName(before)
 
 
 def list_edges(edges: DataFrame, endpoint: Column | None = None, predicate: str | None = None, state: str = "active", limit: int = 128) -> DataFrame:
@@ -139,14 +176,15 @@ def traverse(
     were seen. A seed that meets one of the last two goes no deeper. ``edges`` has subject, predicate, object
     and, if there, id and state; edges from a node to itself don't count. Since budgets bound what a seed
     can meet, no more of a hub's edges than the budget are joined. Each level is a join and an anti join,
-    and is written.
+    and is written. Predicates that the store alone keeps (``RESERVED``) aren't walked, and asking for one is an error.
     """
+    if set(predicates or ()) & set(RESERVED):
+        raise ValueError("foundation-maintained predicates are not traversable")
     depth, visited, most_edges = min(depth, 8), max(1, min(visited, 4096)), max(1, min(most_edges, 8192))
     if "state" in edges.columns:
         edges = edges.where(F.col("state").isin(*states))
-    if predicates:
-        edges = edges.where(F.col("predicate").isin(*predicates))
-    steps = saved(_steps(edges, direction, most_edges + 1), "steps").withColumnRenamed("a", "node")
+    allowed = F.col("predicate").isin(*predicates) if predicates else ~F.col("predicate").isin(*RESERVED)
+    steps = saved(_steps(edges.where(allowed), direction, most_edges + 1), "steps").withColumnRenamed("a", "node")
     first = seeds.select(F.col("id").alias("seed")).distinct()
     none = F.array().cast("array<string>")
     frontier = first.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), none.alias("path"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("scanned"), F.lit(1).cast("long").alias("seen"))

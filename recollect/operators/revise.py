@@ -79,10 +79,25 @@ def _single_winner(checked: DataFrame, key: str = "id") -> DataFrame:
     return checked.withColumn("status", F.when(F.col("reason").isNotNull(), F.col("reason")).when(first, "ok").otherwise("conflict"))
 
 
+def _of_row(memories: DataFrame, column: str) -> Column:
+    """A column of ``memories``, or null where it has none."""
+    return F.col(column) if column in memories.columns else F.lit(None).cast("string")
+
+
+def _first_versions(made: DataFrame, memories: DataFrame) -> DataFrame:
+    """``memories`` and the rows ``made``, which have category, known_at and sys_created only where ``memories`` has them."""
+    optional = [c for c in ("category", "known_at", "sys_created") if c not in memories.columns]
+    return memories.unionByName(made.drop(*optional), allowMissingColumns=True)
+
+
 def supersede_outcomes(requests: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     """``requests`` (seq, prior_id, scope, expected_version, close_at?, new_valid_from?) with status and close_time."""
+    return _judged(requests, memories, now).drop("_category")
+
+
+def _judged(requests: DataFrame, memories: DataFrame, now: Column) -> DataFrame:
     prior = memories.select(
-        F.col("id").alias("prior_id"), F.col("scope").alias("_scope"), F.col("version").alias("_version"), F.col("valid_from").alias("_from"),
+        _of_row(memories, "category").alias("_category"), F.col("id").alias("prior_id"), F.col("scope").alias("_scope"), F.col("version").alias("_version"), F.col("valid_from").alias("_from"),
         (F.col("valid_until").isNotNull() | F.col("sys_closed").isNotNull() | F.col("superseded_by").isNotNull()).alias("_closed"),
     )
     rows = requests.join(prior, "prior_id", "left").withColumn("close_time", F.coalesce("close_at", "new_valid_from", now))
@@ -95,8 +110,12 @@ def supersede_outcomes(requests: DataFrame, memories: DataFrame, now: Column) ->
 
 
 def apply_supersedes(requests: DataFrame, memories: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(memories, outcomes): closed priors with their next version, and first versions of what supersedes them."""
-    outcomes = supersede_outcomes(requests, memories, now)
+    """(memories, outcomes): closed priors with their next version, and first versions of what supersedes them.
+
+    A first version has the request's category and new_known_at, if it has them, else the prior's category and
+    ``now``; it is in the system from ``now`` on, so that known-time and system-time lenses see it.
+    """
+    outcomes = _judged(requests, memories, now)
     won = outcomes.where("status = 'ok'")
     new_id = F.concat("prior_id", F.lit("+"), F.col("seq"))
     closing = won.select(F.col("prior_id").alias("id"), F.col("close_time").alias("_close"), new_id.alias("_by"))
@@ -110,11 +129,12 @@ def apply_supersedes(requests: DataFrame, memories: DataFrame, now: Column) -> t
             for c in memories.columns
         ]
     )
+    given = lambda c, default: F.coalesce(c, default) if c in requests.columns else default
     made = won.select(
         new_id.alias("id"), "scope", "text", F.coalesce("new_valid_from", "close_time").alias("valid_from"), F.col("prior_id").alias("supersedes"),
-        F.lit(1).cast("long").alias("version"),
+        F.lit(1).cast("long").alias("version"), given("category", F.col("_category")).alias("category"), given("new_known_at", now).alias("known_at"), now.alias("sys_created"),
     )
-    return priors.unionByName(made, allowMissingColumns=True), outcomes
+    return _first_versions(made, priors), outcomes.drop("_category")
 
 
 def soft_forget_outcomes(requests: DataFrame, memories: DataFrame) -> DataFrame:
@@ -149,7 +169,7 @@ def apply_hard_erases(memories: DataFrame, edges: DataFrame, ids: DataFrame) ->
         gone.select(F.col("id").alias("object"), F.lit(True).alias("_o")), "object", "left"
     )
     touched = F.col("_s").isNotNull() | F.col("_o").isNotNull()
-    purged = ends.withColumn("state", F.when(touched, "purged").otherwise(F.col("state"))).withColumn("state_reason", F.when(touched, "endpoint_erased"))
+    purged = ends.withColumn("state", F.when(touched, "purged").otherwise(F.col("state"))).withColumn("state_reason", F.when(touched, "endpoint_erased").otherwise(_of_row(edges, "state_reason")))
     return memories.join(gone, "id", "left_anti"), purged.drop("_s", "_o"), events
 
 
@@ -238,7 +258,7 @@ def stale_edges(edges: DataFrame, closed: DataFrame) -> DataFrame:
         ids.select(F.col("id").alias("object"), F.lit(True).alias("_o")), "object", "left"
     )
     hit = (F.col("state") == "active") & (F.col("predicate") == "derived_from") & (F.col("_s").isNotNull() | F.col("_o").isNotNull())
-    return rows.withColumn("state_reason", F.when(hit, "endpoint_superseded")).withColumn("state", F.when(hit, "stale").otherwise(F.col("state"))).drop("_s", "_o")
+    return rows.withColumn("state_reason", F.when(hit, "endpoint_superseded").otherwise(_of_row(edges, "state_reason"))).withColumn("state", F.when(hit, "stale").otherwise(F.col("state"))).drop("_s", "_o")
 
 
 def op_outcomes(ops: DataFrame, hard_allowed: bool = False) -> DataFrame:
@@ -262,9 +282,13 @@ def apply_ops(memories: DataFrame, ops: DataFrame, now: Column, hard_allowed: bo
     The rest is applied as a set: puts and supersedes make first versions (ids b<batch>-<idx>), supersedes and
     soft forgets close a row with its next version, hard forgets take it away. Each change has an event, a
     supersede one for either row. Other columns of ``memories`` (id, scope, text, valid_from, valid_until,
-    sys_closed, superseded_by, supersedes, version) stay; those of new rows are null.
+    sys_closed, superseded_by, supersedes, version) stay; new rows have the op's category, by default that of
+    the superseded row, and are known and in the system from ``now`` on; what else they lack is null.
     """
-    own = memories.select(F.col("id"), F.col("scope").alias("_scope"), F.col("version").alias("_version"), (F.col("valid_until").isNotNull() | F.col("sys_closed").isNotNull() | F.col("superseded_by").isNotNull()).alias("_closed"))
+    own = memories.select(
+        F.col("id"), F.col("scope").alias("_scope"), F.col("version").alias("_version"), _of_row(memories, "category").alias("_category"),
+        (F.col("valid_until").isNotNull() | F.col("sys_closed").isNotNull() | F.col("superseded_by").isNotNull()).alias("_closed"),
+    )
     rows = ops.join(own, "id", "left")
     writes, targets = F.col("op").isin("put", "supersede"), F.col("op").isin("supersede", "forget")
     reason = (
@@ -283,13 +307,16 @@ def apply_ops(memories: DataFrame, ops: DataFrame, now: Column, hard_allowed: bo
     new = {"valid_until": now, "sys_closed": now, "version": F.col("version") + 1, "superseded_by": F.col("_by")}
     left = memories.join(changes, "id", "left").where(F.col("_applied").isNull() | closes)
     left = left.select(*[F.when(closes, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in memories.columns])
+    category = F.when(F.col("op") == "supersede", F.col("_category"))
+    category = F.coalesce("category", category) if "category" in ops.columns else category
     made = done.where(writes).select(
-        F.col("new_id").alias("id"), "scope", "text", now.alias("valid_from"), F.when(F.col("op") == "supersede", F.col("id")).alias("supersedes"), F.lit(1).cast("long").alias("version")
-    )
+        F.col("new_id").alias("id"), "scope", "text", now.alias("valid_from"), F.when(F.col("op") == "supersede", F.col("id")).alias("supersedes"), F.lit(1).cast("long").alias("version"),
+        category.alias("category"), now.alias("known_at"), now.alias("sys_created"),
+    )
     kinds = F.array_compact(F.array(F.when(writes, F.struct(F.col("new_id").alias("memory_id"), F.lit("assert").alias("kind"), F.lit(1).cast("long").alias("version"))), F.when(
         targets, F.struct(F.col("id").alias("memory_id"), F.when(F.col("applied") == "supersede", "supersede").when(F.col("applied") == "soft_forget", "forget").otherwise("erase").alias("kind"), (F.col("_version") + F.when(F.col("applied") == "hard_forget", 0).otherwise(1)).alias("version")))))
     events = done.select("scope", F.explode(kinds).alias("e")).select("scope", "e.*", now.alias("at_sys"))
-    return left.unionByName(made, allowMissingColumns=True), rows.select("batch_id", "idx", "status", "reason", "applied"), events
+    return _first_versions(made, left), rows.select("batch_id", "idx", "status", "reason", "applied"), events
 
 
 def fold_task_state(ops: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -82,3 +82,12 @@ def run_available(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def in_turn(rows: DataFrame, trigger: Column, triggers: int) -> DataFrame:
+    """A stream that brings the rows of trigger 0, 1, ... in that order, from a folder of the shared store with a file each."""
+    spark = rows.sparkSession
+    at = shared_path(spark, "in-turn")
+    for k in range(triggers):
+        rows.where(trigger == k).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
