@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import QUERY_STOP_WORDS
 from recollect.jobs.registry import query
-from recollect.operators import fusion, lexical, vectors
+from recollect.operators import fusion, lexical, neighbour_lists, vectors
 from recollect.sources.derived import MEMORIES, PROBES, memories, probes, read
+from recollect.sources.shared import saved
 
 _FOLD = "lower(strip_accents({}))"
 _TOKENS = "regexp_extract_all(lower(strip_accents({})), '\\p{{L}}+|\\p{{N}}+')"
@@ -82,17 +83,62 @@ def knn_search(spark, sf_dir):
     return vectors.knn_search(asked, rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
 
 
-@query()
+_NEAREST = """
+    SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank1 FROM s QUALIFY rank1 <= 10
+"""
+_MIXED = """
+    e AS (SELECT vec_id, 'm' || vec_id AS id, ['x', 'y', 'x/z'][vec_id % 3 + 1] AS scope, CAST(embedding AS DOUBLE[])[:CASE vec_id % 4 WHEN 0 THEN 16 WHEN 1 THEN 3 ELSE 64 END] AS embedding FROM embeddings WHERE vec_id % 50 <> 7)
+"""
+
+
+@query(f"""
+    WITH {_MIXED}, s AS (SELECT q.vec_id AS query_id, e.id, list_cosine_similarity(q.embedding, e.embedding) AS score FROM e q JOIN e ON q.vec_id % 30 < 2 AND len(q.embedding) = len(e.embedding)
+        AND (e.scope = q.scope OR starts_with(e.scope, q.scope || '/')))
+    {_NEAREST}
+""")
+def knn_search_mixed(spark, sf_dir):
+    """Vectors of three dimensions, searched by queries of all three in their own scopes."""
+    v = F.col("vec_id")
+    scope = F.element_at(F.lit(["x", "y", "x/z"]), (v % 3 + 1).cast("int"))
+    dim = F.when(v % 4 == 0, 16).when(v % 4 == 1, 3).otherwise(64)
+    rows = read(spark, sf_dir, "embeddings").where(v % 50 != 7).select(v, F.concat(F.lit("m"), v).alias("id"), scope.alias("scope"), F.slice("embedding", F.lit(1), dim).alias("embedding"))
+    asked = rows.where(v % 30 < 2).select(v.alias("query_id"), "embedding", "scope")
+    return vectors.knn_search(asked, rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+
+
+@query("""
+    WITH s AS (SELECT q.vec_id AS query_id, 'm' || e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score
+        FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0)
+    """ + _NEAREST)
 def knn_search_blocked(spark, sf_dir):
+    """By lists where there are enough vectors for them, else exact."""
     asked, rows = _vectors(spark, sf_dir)
-    return vectors.knn_search_blocked(asked, rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+    return neighbour_lists.knn_search_lists(asked, rows, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+
+
+CLUSTERS = 200
+
+
+def _clustered(spark, sf_dir):
+    """A vector for each document, near one of 200 centres: means of the embeddings, dealt by number."""
+    each = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % CLUSTERS).alias("centre"), F.posexplode("embedding").alias("i", "x"))
+    means = each.groupBy("centre", "i").agg(F.avg("x").alias("x")).groupBy("centre").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e"))
+    centres = means.select("centre", vectors.unit(F.transform("e", lambda c: c["x"])).alias("e"))
+    noise = lambda i: (F.pmod(F.xxhash64("doc_id", i), F.lit(2001)) - 1000) / 1000.0
+    near = F.transform("e", lambda x, i: x + noise(i) * 0.1)
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % CLUSTERS).alias("centre"))
+    rows = docs.join(F.broadcast(centres), "centre").select(F.concat(F.lit("m"), "doc_id").alias("id"), "doc_id", near.alias("embedding"))  # 200 rows
+    return rows.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "embedding"), rows.drop("doc_id")
 
 
 @query()
 def knn_recall(spark, sf_dir):
-    """Each query's recall of the approximate search, by the exact one."""
-    asked, rows = _vectors(spark, sf_dir)
-    return vectors.knn_recall(vectors.knn_search_blocked(asked, rows, 10), vectors.knn_search(asked, rows, 10))
+    """Each query's recall by lists on clustered vectors, against the exact search, and the share of all rows that it was scored against."""
+    asked, rows = _clustered(spark, sf_dir)
+    asked, rows = saved(asked, "asked"), saved(rows, "clustered")
+    lists = neighbour_lists.Lists(rows, rows.select(F.max(F.size("embedding"))).first()[0])
+    recall = vectors.knn_recall(lists.search(asked, 10), vectors.knn_search(asked, rows, 10))
+    return recall.join(lists.scored_pairs(asked), "query_id").select("query_id", "recall", (F.col("scored") / F.col("rows")).alias("share"))
 
 
 @query()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators.lenses import TIMES, lens_of
@@ -66,7 +65,7 @@ def unit(embedding: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-class _Lens:
+class Lens:
     """What each query of a block may see of a batch of memories."""
 
     def __init__(self, queries: pa.Table):
@@ -114,7 +113,7 @@ class _Lens:
         return allowed
 
 
-def _nearest(ids: pa.Array, q: np.ndarray, lens: _Lens, k: int):
+def _nearest(ids: pa.Array, q: np.ndarray, lens: Lens, k: int):
     """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,69 +143,39 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     A query sees what its scope and lenses allow, if it has any (see ``lenses.seen``): a mask over each block of
     scores. Queries go out in blocks of at most ``QUERY_BYTES``, and each batch of memories keeps its own ``k``
     best, so that what is shuffled is ``k`` rows a query and batch. More queries than a block make more
-    passes. Vectors without values, or of another dimension than most queries, take no part.
+    passes, and so do queries of several dimensions: a query meets the vectors of its own. Vectors without values take no part.
     """
-    spark = queries.sparkSession
     lens = lens_of(queries)
-    asked = saved(queries.where(F.size("embedding") > 0).select("query_id", "embedding", *lens), "asked")
-    dims = {r.dim: r.n for r in asked.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    dim = max(dims, key=lambda d: (dims[d], d), default=1)
-    asked = asked.where(F.size("embedding") == dim)
-    blocks = max(1, -(-dims.get(dim, 0) * dim * 8 // QUERY_BYTES))
+    asked = saved(queries.where(F.size("embedding") > 0).select("query_id", "embedding", F.size("embedding").alias("dim"), *lens), "asked")
     times = [c for c in TIMES if c in memories.columns] if lens else []
-    rows = memories.where(F.size("embedding") == dim).select("id", "embedding", *["scope"] * bool(lens), *times)
-    kind = asked.schema["query_id"].dataType.simpleString()
-    best = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        matrix = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
-        norms = np.sqrt((matrix * matrix).sum(1, keepdims=True))
-        shared = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), matrix / np.where(norms > 0, norms, 1), _Lens(part)))
-
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, lens = shared.value
-            yield from _nearest(ids, q, lens, k)(batches) if len(ids) else ()
-
-        found = rows.mapInArrow(near, f"query_id {kind}, id string, score double")
-        best = found if best is None else best.unionByName(found)
+    rows = memories.select("id", "embedding", *["scope"] * bool(lens), *times)
+    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double"
+    best = asked.sparkSession.createDataFrame([], kind)
+    dims = asked.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()  # a row a dimension
+    for dim, n in map(tuple, dims):
+        blocks = -(-n * dim * 8 // QUERY_BYTES)
+        own = rows.where(F.size("embedding") == dim)
+        for block in range(blocks):
+            part = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
+            best = best.unionByName(own.mapInArrow(_near_block(part, dim, k, asked.sparkSession), kind))
     return top_k_per_query(best, k)
 
 
-def knn_search_blocked(queries: DataFrame, memories: DataFrame, k: int, bits: int = 6, tables: int = 10, probes: int = 1, seed: int = 5) -> DataFrame:
-    """Approximate neighbours: vectors meet where the signs of ``bits`` random planes agree, but for ``probes`` of them.
+def units(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of length 1; zero stays zero."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+    norms = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(norms > 0, norms, 1)
 
-    ``tables`` independent draws; candidates are scored exactly, and queries that meet fewer than ``k`` are
-    searched exactly. Recall grows with tables and probes and falls with bits; ``knn_recall`` measures it. By
-    the defaults two vectors of cosine 0.6 meet with probability 0.996 and of cosine 0.3 with 0.93, so the bits are for
-    tables of up to some millions; larger ones with close neighbours take more.
-    """
-    draw = np.random.default_rng(seed)
-    first = memories.where(F.size("embedding") > 0).select(F.size("embedding").alias("d")).first()
-    if first is None:
-        return knn_search(queries, memories, k)
-    planes = draw.standard_normal((tables, bits, first.d))
-    flips = [0, *(sum(1 << b for b in chosen) for r in range(1, probes + 1) for chosen in combinations(range(bits), r))]
-
-    def buckets(v: Column) -> list[Column]:
-        keys = []
-        for t in range(tables):
-            bit = [F.when(F.aggregate(F.zip_with(v, F.lit(p.tolist()), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x) > 0, 1 << i).otherwise(0) for i, p in enumerate(planes[t])]
-            keys.append(sum(bit[1:], bit[0]))
-        return keys
-
-    def keyed(df: DataFrame, key: str, name: str, near: list[int]) -> DataFrame:
-        rows = df.where(F.size("embedding") == first.d).select(key, unit(F.col("embedding")).alias(name))
-        rows = rows.select(key, name, F.posexplode(F.array(*buckets(F.col(name)))).alias("table", "own"))
-        return rows.select(key, name, "table", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(x)) for x in near])).alias("bucket"))
-
-    met = keyed(queries, "query_id", "q", flips).join(keyed(memories, "id", "x", [0]), ["table", "bucket"])
-    dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    found = saved(top_k_per_query(met.groupBy("query_id", "id").agg(F.max(dot).alias("score")), k), "near")
-    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    few = queries.where(F.size("embedding") > 0).join(enough, "query_id", "left_anti")
-    if not few.limit(1).count():
-        return found
-    return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(knn_search(few, memories, k), allowMissingColumns=True)
+
+def _near_block(part: pa.Table, dim: int, k: int, spark: SparkSession) -> Callable:
+    shared = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), units(part.column("embedding").combine_chunks(), dim), Lens(part)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, lens = shared.value
+        yield from _nearest(ids, q, lens, k)(batches) if len(ids) else ()
+
+    return near
 
 
 def knn_recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.scopes import scope_match, scope_reason
 from recollect.functions.text import contradicts, text_match
-from recollect.operators import consolidate, evaluate, fusion, graph, ingest, lenses, lexical, packs, revise, vectors
+from recollect.operators import consolidate, evaluate, fusion, graph, ingest, lenses, lexical, neighbour_lists, packs, revise, vectors
 from recollect.sources import tables
 from recollect.streaming import traces as streams
 
@@ -120,23 +120,52 @@ def test_hash_embed(spark):
     assert math.isclose(sum(x * x for x in rows[0].v), 1, abs_tol=1e-6) and set(rows[1].v) == {0.0} == set(rows[2].v)
 
 
-def test_blocked_neighbours_find_most_of_the_exact_ones(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding")
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.id) for r in vectors.knn_search(asked, v, 5).collect()}
-    near = vectors.knn_search_blocked(asked, v, 5)
-    found = {(r.query_id, r.id) for r in near.collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+def clustered(spark, n, dim=16, centres=40):
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    middle = draw.standard_normal((centres, dim))
+    rows = [(f"m{i}", [float(x) for x in middle[i % centres] + 0.2 * draw.standard_normal(dim)]) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, embedding array<double>")
+
+
+def test_lists_find_most_of_the_exact_neighbours(spark):
+    v = clustered(spark, 4000)
+    v = v.withColumns({"scope": F.when(F.col("id").endswith("7"), "x").otherwise("y/z"), "valid_from": F.lit(day(1)).cast("timestamp_ntz"), "valid_until": F.when(F.col("id").endswith("5"), F.lit(day(5)).cast("timestamp_ntz"))})
+    asked = v.where("id LIKE '%00' OR id LIKE '%51'").select(F.col("id").alias("query_id"), "embedding", F.lit("y").alias("scope"), F.lit(day(9)).cast("timestamp_ntz").alias("as_of"))
+    exact = {(r.query_id, r.id): (r.rank1, round(r.score, 6)) for r in vectors.knn_search(asked, v, 5).collect()}
+    lists = neighbour_lists.Lists(v, 16)
+    near = lists.search(asked, 5)
+    found = {(r.query_id, r.id): round(r.score, 6) for r in near.collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and all(exact[key][1] == found[key] for key in exact.keys() & found.keys())
+    assert not any(i.endswith(("5", "7")) for _, i in found)  # under the lenses
+    pairs = lists.scored_pairs(asked).collect()
+    assert len(pairs) == asked.count() and all(r.rows == 4000 for r in pairs) and sum(r.scored for r in pairs) < 0.1 * 4000 * len(pairs)
     recall = [r.recall for r in vectors.knn_recall(near, vectors.knn_search(asked, v, 5)).collect()]
-    assert len(recall) == asked.count() and math.isclose(sum(recall) * 5, len(exact & found))
-    assert vectors.knn_search_blocked(asked, v.limit(3), 5).count() == 3 * asked.count()  # fewer than k: searched exactly
+    assert len(recall) == asked.count() and math.isclose(sum(recall) * 5, len(exact.keys() & found.keys()))
+    # The whole search: all lists give the exact answer, and what finds too few is searched exactly.
+    assert {(r.query_id, r.id): (r.rank1, round(r.score, 6)) for r in neighbour_lists.knn_search_lists(asked, v, 5, share=1.0, exact_rows=0).collect()} == exact
+    lonely = neighbour_lists.knn_search_lists(asked, v.limit(30), 5, exact_rows=0)
+    assert sorted((r.query_id, r.id, r.rank1) for r in lonely.collect()) == sorted((r.query_id, r.id, r.rank1) for r in vectors.knn_search(asked, v.limit(30), 5).collect())
+
+
+def test_lists_of_hot_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbour_lists, "BLOCK_ROWS", 32)
+    rows = [(f"h{i}", [1.0, 0.0]) for i in range(300)] + [(f"z{i}", [0.0, float(i)]) for i in range(3)] + [("n", None), ("e", []), ("d", [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, [0.5, 0.5, 0.5]), (4, None)], "query_id int, embedding array<double>")
+    got = neighbour_lists.knn_search_lists(asked, v, 4, exact_rows=0, share=1.0)
+    assert sorted((r.query_id, r.id, r.rank1) for r in got.collect()) == sorted((r.query_id, r.id, r.rank1) for r in vectors.knn_search(asked, v, 4).collect())
+    assert {r.query_id for r in got.collect()} == {1, 2, 3}  # each dimension has its own pass
+    assert neighbour_lists.knn_search_lists(asked, v.limit(0), 4).collect() == []
 
 
-def test_registered_blocked_search_reaches_its_recall(spark):
+def test_registered_search_by_lists_reaches_its_recall(spark):
     from recollect.jobs import registry
 
-    recall = [r.recall for r in registry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").collect()]
-    assert len(recall) == 20 and sum(recall) >= 0.9 * len(recall)
+    found = registry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").collect()
+    assert len(found) == 100 and sum(r.recall for r in found) >= 0.9 * len(found)
+    assert sum(r.share for r in found) < 0.1 * len(found)
 
 
 def test_supersede_has_one_winner(memories, spark):
