@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.text import QUERY_STOP_WORDS
 from recollect.jobs.registry import query
-from recollect.operators import fusion, lexical, neighbour_lists, vectors
+from recollect.operators import fusion, lenses, lexical, neighbour_lists, vectors
 from recollect.sources.derived import MEMORIES, PROBES, memories, probes, read
 from recollect.sources.shared import saved
 
@@ -47,8 +47,26 @@ def bm25_search(spark, sf_dir):
 
 @query(f"WITH {MEMORIES}, {PROBES}, {bm25_sql()} SELECT query_id, id, round(score, 6) AS score, rank1 FROM ({_top('scored', 20)})")
 def bm25_any(spark, sf_dir):
-    found = lexical.bm25_scores(probes(spark, sf_dir), memories(spark, sf_dir), "any")
-    return lexical.top_k_per_query(found, 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+    found = lexical.bm25_search(probes(spark, sf_dir).select("query_id", "query"), memories(spark, sf_dir), 20, "any")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
+
+
+_CATEGORIES = "CASE query_id % 3 WHEN 0 THEN ['semantic', 'identity'] WHEN 1 THEN ['episodic', 'procedural', 'uncertainty'] END"
+
+
+@query(f"""
+    WITH {MEMORIES}, p AS (SELECT item_id AS query_id, text AS query, {_CATEGORIES.replace('query_id', 'item_id')} AS categories, CASE WHEN item_id % 4 <> 3 THEN item_id % 4 + 1 END AS most FROM benchmark),
+    visible AS (SELECT query_id, id, most FROM p JOIN memories m ON (categories IS NULL OR list_contains(categories, category)) AND valid_from <= TIMESTAMP '2024-01-20 00:00:00' AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-01-20 00:00:00')),
+    {bm25_sql('p')}
+    SELECT query_id, id, round(score, 6) AS score, rank1 FROM (SELECT query_id, id, score, most, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank1 FROM scored JOIN visible USING (query_id, id)) WHERE rank1 <= coalesce(most, 8)
+""")
+def bm25_by_category(spark, sf_dir):
+    """Whole benchmark passages as queries, each with categories and a limit of its own, as of the present."""
+    n = F.col("item_id")
+    categories = F.when(n % 3 == 0, F.lit(["semantic", "identity"])).when(n % 3 == 1, F.lit(["episodic", "procedural", "uncertainty"]))
+    asked = read(spark, sf_dir, "benchmark").select(n.alias("query_id"), F.col("text").alias("query"), categories.alias("categories"), F.when(n % 4 != 3, n % 4 + 1).alias("limit"))
+    asked = lenses.at_present(asked, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return lexical.bm25_search(asked, memories(spark, sf_dir), 8, "any").select("query_id", "id", F.round("score", 6).alias("score"), "rank1")
 
 
 @query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents) SELECT doc_id, len(t) AS n_tokens, array_to_string(t[1:12], ' ') AS first_tokens FROM t")

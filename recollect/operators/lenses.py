@@ -5,6 +5,8 @@ Intervals are half open. Every lens takes its instant; nothing reads a clock.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,10 @@ def as_of_join(requests: DataFrame, memories: DataFrame) -> DataFrame:
     return seen.withColumn("query_id", F.col("_query_id")).select("query_id", *memories.columns)
 
 
-LENS = ("scope", "scope_match", "as_of", "known_as_of", "sys_as_of")
+LENS = ("scope", "scope_match", "as_of", "known_as_of", "sys_as_of", "categories")
 TIMES = ("valid_from", "valid_until", "known_at", "sys_created", "sys_closed")
+SEEN_BY = ("scope", "category", *TIMES)
+NEVER = np.iinfo("i8").min
 
 
 def lens_of(queries: DataFrame) -> list[str]:
@@ -65,21 +69,83 @@ def lens_of(queries: DataFrame) -> list[str]:
     return [c for c in LENS if c in queries.columns]
 
 
+def at_present(queries: DataFrame, now: Column) -> DataFrame:
+    """``queries`` whose as_of is ``now`` where they name none, whatever other lens they have: a request sees what is valid when it is made."""
+    given = [F.col("as_of")] if "as_of" in queries.columns else []
+    return queries.withColumn("as_of", F.coalesce(*given, now))
+
+
+class Lens:
+    """What each query of a block may see of a batch of memories."""
+
+    def __init__(self, queries: pa.Table):
+        self.n = queries.num_rows
+        self.times = {c: self._time(queries.column(c)) for c in ("as_of", "known_as_of", "sys_as_of") if c in queries.column_names}
+        self.scopes: dict[str, list[int]] = {}
+        self.exact = np.zeros(self.n, bool)
+        self.free = np.ones(self.n, bool)
+        if "scope" in queries.column_names:
+            for i, scope in enumerate(queries.column("scope").to_pylist()):
+                if scope is not None:
+                    self.free[i] = False
+                    self.scopes.setdefault(scope, []).append(i)
+        self.categories = queries.column("categories").to_pylist() if "categories" in queries.column_names else None
+        if "scope_match" in queries.column_names:
+            self.exact = np.array([m == "exact" for m in queries.column("scope_match").to_pylist()], bool)
+
+    @staticmethod
+    def _time(column) -> np.ndarray:
+        """Microseconds; the least number where there is none."""
+        values = column.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(NEVER)
+        return values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.combine_chunks().to_numpy(zero_copy_only=False)
+
+    def mask(self, batch: pa.RecordBatch) -> np.ndarray:
+        allowed = np.ones((self.n, batch.num_rows), bool)
+        if not self.free.all():
+            codes = batch.column("scope").dictionary_encode()
+            table = np.zeros((self.n, len(codes.dictionary) + 1), bool)
+            for c, scope in enumerate(codes.dictionary.to_pylist()):
+                parts = scope.split("/")
+                for depth in range(1, len(parts) + 1):
+                    for i in self.scopes.get("/".join(parts[:depth]), ()):
+                        table[i, c] = depth == len(parts) or not self.exact[i]
+            table[self.free] = True
+            allowed &= table[:, codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)]
+        if self.categories is not None:
+            codes = batch.column("category").dictionary_encode()
+            names = codes.dictionary.to_pylist()
+            table = np.array([[wanted is None or name in wanted for name in names] + [wanted is None] for wanted in self.categories], bool).reshape(self.n, -1)
+            allowed &= table[:, codes.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)]
+        time = {c: self._time(batch.column(c)) for c in TIMES if c in batch.schema.names}
+        tests = {
+            "as_of": lambda t: (time["valid_from"] != NEVER) & (time["valid_from"] <= t) & ((time["valid_until"] == NEVER) | (time["valid_until"] > t)),
+            "known_as_of": lambda t: (time["known_at"] != NEVER) & (time["known_at"] <= t),
+            "sys_as_of": lambda t: (created(time) != NEVER) & (created(time) <= t) & ((time["sys_closed"] == NEVER) | (time["sys_closed"] > t)),
+        }
+        created = lambda time: np.where(time["sys_created"] == NEVER, time["known_at"], time["sys_created"])
+        for name, at in self.times.items():
+            at = at[:, None]
+            allowed &= (at == NEVER) | tests[name](at)
+        return allowed
+
+
 def seen(pairs: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
     """``pairs`` (query_id, id and others) that the scopes and lenses of ``queries`` allow.
 
-    ``queries`` has query_id and any of scope, scope_match, as_of, known_as_of and sys_as_of; what is null or
-    missing allows all. Pairs are tested one by one, so that a query that may see every memory costs no more
+    ``queries`` has query_id and any of scope, scope_match, as_of, known_as_of, sys_as_of and categories (an
+    array; an empty one allows nothing); what is null or missing allows all. Pairs are tested one by one, so that a query that may see every memory costs no more
     than its hits do.
     """
     lens = lens_of(queries)
     if not lens:
         return pairs
-    own = memories.select("id", "scope", *[c for c in TIMES if c in memories.columns])
+    own = memories.select("id", *[c for c in SEEN_BY if c in memories.columns])
     rows = pairs.join(own, "id").join(queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in lens]), "query_id")
     if "scope" in lens:
         match = F.coalesce("_scope_match", F.lit("prefix")) if "scope_match" in lens else F.lit("prefix")
         rows = rows.where(F.col("_scope").isNull() | scope_match(F.col("scope"), F.col("_scope"), match))
+    if "categories" in lens:
+        rows = rows.where(F.col("_categories").isNull() | F.array_contains("_categories", F.col("category")))
     for name, test in (("as_of", valid_at), ("known_as_of", known_by), ("sys_as_of", in_system_at)):
         if name in lens:
             rows = rows.where(F.col(f"_{name}").isNull() | test(F.col(f"_{name}")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import analyze
-from recollect.operators.lenses import seen
+from recollect.operators.best_texts import best_texts
 from recollect.sources.shared import saved
 
 K1, B = 1.2, 0.75
@@ -41,15 +41,14 @@ def idf(n: Column, df: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(0.0))
 
 
-def bm25_scores(queries: DataFrame, memories: DataFrame, match: str = "all") -> DataFrame:
-    """(query_id, id, score) of texts that hold all (or any) of a query's terms.
+def term_weights(asked: DataFrame, memories: DataFrame) -> DataFrame:
+    """(term, id, weight) of every text that holds a term of ``asked`` (term): what it adds to a BM25 score.
 
     Only terms that some query has become postings: the text's tokens are filtered by them before any
     shuffle. Statistics are over the whole table, whatever lens the caller applies to the hits. Each text is
     analysed once: its length rides along with a mark instead of a term, one of many, so that no key is hot;
     the hits that remain are written.
     """
-    asked = query_terms(queries)
     words = asked.select("term").distinct()
     tokens = memories.select("id", analyze(F.col("text")).alias("tokens"))
     length = F.size("tokens")
@@ -63,7 +62,13 @@ def bm25_scores(queries: DataFrame, memories: DataFrame, match: str = "all") ->
     stats = counted.where(F.startswith("term", F.lit(MARK))).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / norm
-    scored = hits.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("weight"))
+    return hits.join(df, "term").join(F.broadcast(stats)).select("term", "id", weight.alias("weight"))
+
+
+def bm25_scores(queries: DataFrame, memories: DataFrame, match: str = "all") -> DataFrame:
+    """(query_id, id, score) of all texts that hold all (or any) of a query's terms, a row each. ``bm25_search`` has the best ones without."""
+    asked = query_terms(queries)
+    scored = term_weights(asked, memories)
     met = asked.join(scored, "term").groupBy("query_id", "id").agg(
         F.sum("weight").alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")
     )
@@ -78,9 +83,22 @@ def top_k_per_query(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return scored.withColumn("rank1", F.row_number().over(order)).where(F.col("rank1") <= k)
 
 
+def within_limits(ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """``ranked`` (query_id, rank1) up to each query's own limit, if ``queries`` has such a column; null is no limit of its own."""
+    if "limit" not in queries.columns:
+        return ranked
+    own = queries.select("query_id", F.col("limit").alias("_limit"))
+    return ranked.join(own, "query_id").where(F.col("_limit").isNull() | (F.col("rank1") <= F.col("_limit"))).drop("_limit")
+
+
 def bm25_search(queries: DataFrame, memories: DataFrame, k: int = 8, match: str = "all") -> DataFrame:
-    """The ``k`` best hits of each query among what its scope and lenses allow (see ``lenses.seen``)."""
-    return top_k_per_query(seen(bm25_scores(queries, memories, match), queries, memories), k)
+    """The ``k`` best hits of each query, or fewer by its own limit, among what its scope and lenses allow (see ``lenses.seen``).
+
+    No row is made for a match that can't be among them: see ``best_texts``.
+    """
+    asked = query_terms(queries)
+    found = best_texts(queries, asked, term_weights(asked, memories), memories, k, match)
+    return within_limits(top_k_per_query(found, k), queries)
 
 
 def label_scores(hits: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from recollect.operators.lenses import TIMES, lens_of
+from recollect.operators.lenses import SEEN_BY, Lens, lens_of
 from recollect.operators.lexical import top_k_per_query
-from recollect.operators.vectors import BLOCK_ROWS, Lens, knn_search, units
+from recollect.operators.vectors import BLOCK_ROWS, knn_search, units
 from recollect.sources.shared import saved
 
 SAMPLE_ROWS = 16_384
@@ -111,7 +111,7 @@ class Lists:
 
     def __init__(self, memories: DataFrame, dim: int, lists: int | None = None, seed: int = 5):
         self.dim = dim
-        self.kept = [c for c in ("id", "embedding", "scope", *TIMES) if c in memories.columns]
+        self.kept = [c for c in ("id", "embedding", *SEEN_BY) if c in memories.columns]
         rows = memories.where(F.size("embedding") == dim).select(self.kept)
         self.n = rows.count()
         self.centres = fit_lists(rows, dim, lists or list_count(self.n), seed) if self.n else np.zeros((0, dim))

@@ -10,15 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.lenses import TIMES, lens_of
-from recollect.operators.lexical import top_k_per_query
+from recollect.operators.lenses import SEEN_BY, Lens, lens_of
+from recollect.operators.lexical import top_k_per_query, within_limits
 from recollect.operators.validation import vector_reason
 from recollect.sources.shared import saved
 
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 QUERY_BYTES = 32 << 20
 BLOCK_ROWS = 2048
-NEVER = np.iinfo("i8").min
 
 
 def _hash_texts(texts: pd.Series, dim: int) -> list[list[float]]:
@@ -65,54 +64,6 @@ def unit(embedding: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-class Lens:
-    """What each query of a block may see of a batch of memories."""
-
-    def __init__(self, queries: pa.Table):
-        self.n = queries.num_rows
-        self.times = {c: self._time(queries.column(c)) for c in ("as_of", "known_as_of", "sys_as_of") if c in queries.column_names}
-        self.scopes: dict[str, list[int]] = {}
-        self.exact = np.zeros(self.n, bool)
-        self.free = np.ones(self.n, bool)
-        if "scope" in queries.column_names:
-            for i, scope in enumerate(queries.column("scope").to_pylist()):
-                if scope is not None:
-                    self.free[i] = False
-                    self.scopes.setdefault(scope, []).append(i)
-        if "scope_match" in queries.column_names:
-            self.exact = np.array([m == "exact" for m in queries.column("scope_match").to_pylist()], bool)
-
-    @staticmethod
-    def _time(column) -> np.ndarray:
-        """Microseconds; the least number where there is none."""
-        values = column.cast(pa.timestamp("us")).cast(pa.int64()).fill_null(NEVER)
-        return values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.combine_chunks().to_numpy(zero_copy_only=False)
-
-    def mask(self, batch: pa.RecordBatch) -> np.ndarray:
-        allowed = np.ones((self.n, batch.num_rows), bool)
-        if not self.free.all():
-            codes = batch.column("scope").dictionary_encode()
-            table = np.zeros((self.n, len(codes.dictionary) + 1), bool)
-            for c, scope in enumerate(codes.dictionary.to_pylist()):
-                parts = scope.split("/")
-                for depth in range(1, len(parts) + 1):
-                    for i in self.scopes.get("/".join(parts[:depth]), ()):
-                        table[i, c] = depth == len(parts) or not self.exact[i]
-            table[self.free] = True
-            allowed &= table[:, codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)]
-        time = {c: self._time(batch.column(c)) for c in TIMES if c in batch.schema.names}
-        tests = {
-            "as_of": lambda t: (time["valid_from"] != NEVER) & (time["valid_from"] <= t) & ((time["valid_until"] == NEVER) | (time["valid_until"] > t)),
-            "known_as_of": lambda t: (time["known_at"] != NEVER) & (time["known_at"] <= t),
-            "sys_as_of": lambda t: (created(time) != NEVER) & (created(time) <= t) & ((time["sys_closed"] == NEVER) | (time["sys_closed"] > t)),
-        }
-        created = lambda time: np.where(time["sys_created"] == NEVER, time["known_at"], time["sys_created"])
-        for name, at in self.times.items():
-            at = at[:, None]
-            allowed &= (at == NEVER) | tests[name](at)
-        return allowed
-
-
 def _nearest(ids: pa.Array, q: np.ndarray, lens: Lens, k: int):
     """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id."""
 
@@ -147,8 +98,7 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """
     lens = lens_of(queries)
     asked = saved(queries.where(F.size("embedding") > 0).select("query_id", "embedding", F.size("embedding").alias("dim"), *lens), "asked")
-    times = [c for c in TIMES if c in memories.columns] if lens else []
-    rows = memories.select("id", "embedding", *["scope"] * bool(lens), *times)
+    rows = memories.select("id", "embedding", *[c for c in SEEN_BY if lens and c in memories.columns])
     kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double"
     best = asked.sparkSession.createDataFrame([], kind)
     dims = asked.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect()  # a row a dimension
@@ -158,7 +108,7 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
         for block in range(blocks):
             part = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).toArrow()
             best = best.unionByName(own.mapInArrow(_near_block(part, dim, k, asked.sparkSession), kind))
-    return top_k_per_query(best, k)
+    return within_limits(top_k_per_query(best, k), queries)
 
 
 def units(column: pa.Array, dim: int) -> np.ndarray:
