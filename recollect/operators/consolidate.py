@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions.text import collapsed, negates, preview, similarity_tokens, value_tokens
+from recollect.operators.components import component_roots
 from recollect.sources.shared import saved
 
 
@@ -61,29 +64,65 @@ def near_duplicates(memories: DataFrame, threshold: float = 0.6) -> DataFrame:
     )
 
 
-def select_proposals(pairs: DataFrame) -> DataFrame:
+ROUNDS = 2
+
+
+def select_proposals(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``pairs`` (group, pos, keep, drop) that stand in order: a dropped row is dropped once, a kept row is never dropped, nor the reverse.
 
-    Rounds over all groups at once: a pair that comes before all open pairs that it can't stand beside is
-    taken, and open pairs that can't stand beside a taken one go. Each round is a join a column on the least
-    positions, and is written; a chain of pairs each of which waits for the last takes a round a link.
+    First ``rounds`` rounds over all groups at once: a pair that comes before all open pairs that it can't stand beside is
+    taken, and open pairs that can't stand beside a taken one go. What is open then is told apart into
+    components of pairs that share rows, and each component is one fold in order of pos: a chain in which
+    each pair waits for the last costs the rounds of its components, which grow with the logarithm of its length, and one task
+    of as many rows. Every step is written.
     """
     left = saved(pairs.select("group", "pos", "keep", "drop"), "open")
-    out = None
-    while left.limit(1).count():
-        dropped = left.groupBy("group", F.col("drop").alias("id")).agg(F.min("pos").alias("d"))
-        kept = left.groupBy("group", F.col("keep").alias("id")).agg(F.min("pos").alias("k"))
-        least = dropped.join(kept, ["group", "id"], "full")
-        at = lambda side: least.select("group", F.col("id").alias(side), F.col("d").alias(f"{side}_d"), F.col("k").alias(f"{side}_k"))
-        rows = left.join(at("keep"), ["group", "keep"]).join(at("drop"), ["group", "drop"])
-        first = (F.col("pos") <= F.col("drop_d")) & (F.col("drop_k").isNull() | (F.col("pos") < F.col("drop_k"))) & (F.col("keep_d").isNull() | (F.col("pos") < F.col("keep_d")))
-        taken = saved(rows.where(first).select("group", "pos", "keep", "drop"), "taken")
-        out = taken if out is None else out.unionByName(taken)
-        gone, stays = taken.select("group", F.col("drop").alias("id")), taken.select("group", F.col("keep").alias("id"))
-        for bad, side in ((gone.unionByName(stays), "drop"), (gone, "keep")):
-            left = left.join(bad.withColumnRenamed("id", side).distinct(), ["group", side], "left_anti")
-        left = saved(left.select("group", "pos", "keep", "drop"), "open")
-    return left if out is None else out
+    out = left.limit(0)
+    for _ in range(rounds):
+        if not left.limit(1).count():
+            return out
+        taken, left = _round(left)
+        out = out.unionByName(taken)
+    return out.unionByName(_folded(left)) if left.limit(1).count() else out
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    dropped = left.groupBy("group", F.col("drop").alias("id")).agg(F.min("pos").alias("d"))
+    kept = left.groupBy("group", F.col("keep").alias("id")).agg(F.min("pos").alias("k"))
+    least = dropped.join(kept, ["group", "id"], "full")
+    at = lambda side: least.select("group", F.col("id").alias(side), F.col("d").alias(f"{side}_d"), F.col("k").alias(f"{side}_k"))
+    rows = left.join(at("keep"), ["group", "keep"]).join(at("drop"), ["group", "drop"])
+    first = (F.col("pos") <= F.col("drop_d")) & (F.col("drop_k").isNull() | (F.col("pos") < F.col("drop_k"))) & (F.col("keep_d").isNull() | (F.col("pos") < F.col("keep_d")))
+    taken = saved(rows.where(first).select("group", "pos", "keep", "drop"), "taken")
+    gone, stays = taken.select("group", F.col("drop").alias("id")), taken.select("group", F.col("keep").alias("id"))
+    for bad, side in ((gone.unionByName(stays), "drop"), (gone, "keep")):
+        left = left.join(bad.withColumnRenamed("id", side).distinct(), ["group", side], "left_anti")
+    return taken, saved(left.select("group", "pos", "keep", "drop"), "open")
+
+
+def _folded(left: DataFrame) -> DataFrame:
+    """Pairs that stand, by a fold of each component. Rows meet by 64-bit hashes: one that repeats would only join two components."""
+    hashed = lambda side: F.xxhash64("group", side)
+    roots = component_roots(left.select(hashed("keep").alias("a"), hashed("drop").alias("b")))
+    rows = left.withColumn("node", hashed("keep")).join(roots, "node").select("root", "group", "pos", "keep", "drop")
+    dealt = rows.repartition("root").sortWithinPartitions("root", "group", "pos")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, kept, dropped = None, set(), set()
+        for batch in batches:
+            stands = []
+            for root, *ends in zip(*(batch.column(c).to_pylist() for c in ("root", "group", "keep", "drop"))):
+                if root != component:
+                    component, kept, dropped = root, set(), set()
+                keep, drop = (ends[0], ends[1]), (ends[0], ends[2])
+                good = drop not in dropped and drop not in kept and keep not in dropped
+                if good:
+                    kept.add(keep)
+                    dropped.add(drop)
+                stands.append(good)
+            yield batch.drop_columns(["root"]).filter(pa.array(stands, pa.bool_()))
+
+    return saved(dealt.mapInArrow(fold, left.schema), "folded")
 
 
 def age_out(memories: DataFrame, now: Column, days: int | None) -> DataFrame:
