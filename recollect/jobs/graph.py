@@ -8,6 +8,7 @@ from recollect.jobs.registry import query
 from recollect.jobs.retrieval import VISIBLE, _asked, _top, bm25_sql
 from recollect.operators import graph, lexical
 from recollect.sources.derived import EDGES, MEMORIES, PROBES, edges, memories, read
+from recollect.sources.shared import saved
 
 
 VISITED, MOST_EDGES = 24, 40
@@ -263,22 +264,35 @@ def link_derived_from(spark, sf_dir):
     return graph.link_derived_from(rows, own, of).select("event_id", "reason")
 
 
-def _sections(spark, sf_dir):
-    """A section for each document: its words, a requirement that it defines, one that it uses, and a link."""
+def _sections(spark, sf_dir, most_chars=1200):
+    """Sections of a Markdown document for each document: its sentences are lines, some of them headings, some with requirements and links."""
     d = F.col("doc_id")
     req = lambda n: F.concat(F.lit("REQ-"), F.lpad((n % 1000).cast("string"), 3, "0"))
-    text = F.concat("text", F.lit(" **"), req(d), F.lit("** after "), req(d * 3), F.lit(" see [it](d"), d * 5 % 1000, F.lit(")"))
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), d).alias("label"), text.alias("text"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("heading"))
-
-
-_SECTIONS = """
-    sections AS (SELECT 'd' || doc_id AS label, text || ' **REQ-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '** after REQ-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0') || ' see [it](d' || (doc_id * 5 % 1000) || ')' AS text,
-        array_to_string(list_slice(string_split(text, ' '), 2, 5), ' ') AS heading FROM documents),
-    defs AS (SELECT req, min(label) AS object FROM (SELECT label, unnest(regexp_extract_all(text, '\\*\\*([A-Z]{2,5}-[0-9]{3})\\*\\*', 1)) AS req FROM sections) GROUP BY req),
-    uses AS (SELECT label AS subject, unnest(regexp_extract_all(text, '\\b([A-Z]{2,5}-[0-9]{3})\\b', 1)) AS req FROM sections),
-    linked AS (SELECT label AS subject, unnest(regexp_extract_all(text, '\\[[^\\]]*\\]\\(([^)#\\s]+)\\)', 1)) AS object FROM sections),
+    tail = F.concat(F.lit(" **"), req(d), F.lit("** after "), req(d * 3), F.lit(" see [it](../docs/d"), d * 5 % 1000, F.lit(".md#part) or [that](d"), d * 7 % 500, F.lit(".txt)"))
+    line = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("## "), x)).when(i % 5 == 4, F.concat(F.lit("### "), x)).when(i % 4 == 1, F.concat(x, tail)).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", r"\. ", -1), line), "\n")
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), d).alias("doc"), text.alias("text"))
+    return graph.split_sections(docs, most_chars)
+
+
+def _sections_sql(most_chars=1200):
+    return rf"""
+    md AS (SELECT 'd' || doc_id AS doc, array_to_string(list_transform(string_split(text, '. '), lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN '## ' || x WHEN (i - 1) % 5 = 4 THEN '### ' || x WHEN (i - 1) % 4 = 1 THEN
+        x || ' **REQ-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '** after REQ-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0') || ' see [it](../docs/d' || (doc_id * 5 % 1000) || '.md#part) or [that](d' || (doc_id * 7 % 500) || '.txt)' ELSE x END), chr(10)) AS text FROM documents WHERE text IS NOT NULL),
+    ln AS (SELECT doc, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM md),
+    numbered AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') OR starts_with(line, '### ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY no) AS section FROM ln),
+    cut AS (SELECT doc, CAST(section AS BIGINT) AS section, substr(regexp_replace(string_agg(line, chr(10) ORDER BY no), '^\s+|\s+$', '', 'g'), 1, {most_chars}) AS text FROM numbered GROUP BY doc, section),
+    headed AS (SELECT *, regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^#+', ''), '^\s+|\s+$', '', 'g') AS heading FROM cut WHERE text <> ''),
+    slugged AS (SELECT *, CASE WHEN section = 0 THEN '00-preamble' ELSE substr(regexp_replace(lower(regexp_replace(heading, '[^A-Za-z0-9]+', '-', 'g')), '^-|-$', '', 'g'), 1, 40) END AS slug FROM headed),
+    sections AS (SELECT doc, section, doc || '::' || slug || CASE WHEN row_number() OVER same > 1 THEN '-' || row_number() OVER same ELSE '' END AS label, heading, text FROM slugged WINDOW same AS (PARTITION BY doc, slug ORDER BY section))"""
+
+
+_SECTIONS = rf"""{_sections_sql()},
+    defs AS (SELECT req, arg_min(label, (doc, section)) AS object FROM (SELECT doc, section, label, unnest(regexp_extract_all(text, '\*\*([A-Z]+-[0-9]+)', 1)) AS req FROM sections) WHERE length(req) = 7 GROUP BY req),
+    uses AS (SELECT label AS subject, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9-])(REQ-[0-9]+)', 1)) AS req FROM sections),
+    linked AS (SELECT label AS subject, regexp_extract(split_part(unnest(regexp_extract_all(text, '\]\(([^)]*)', 1)), '#', 1), '([^/]+)\.md$', 1) AS doc FROM sections),
     mined AS (SELECT DISTINCT subject, 'derived_from' AS predicate, object FROM uses JOIN defs USING (req) WHERE subject <> object
-        UNION ALL SELECT DISTINCT subject, 'depends_on', object FROM linked WHERE subject <> object AND object IN (SELECT label FROM sections))"""
+        UNION ALL SELECT DISTINCT subject, 'depends_on', label FROM linked JOIN sections USING (doc) WHERE section = 0 AND subject <> label)"""
 
 
 @query(f"WITH {_SECTIONS} SELECT * FROM mined")
@@ -286,26 +300,27 @@ def mine_edges(spark, sf_dir):
     return graph.mine_edges(_sections(spark, sf_dir))
 
 
-_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: length(w) > 3))"
+_STOP = ", ".join(f"'{w}'" for w in graph.HEADING_STOP_WORDS)
+_WORDS = f"list_distinct(list_filter(regexp_split_to_array(translate({{}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP})))"
 
 
 @query(f"""
-    WITH {_SECTIONS}, q AS (SELECT label, heading AS query, {_WORDS.format('heading')} AS q FROM sections), asked AS (SELECT * FROM q WHERE len(q) >= 2), b AS (SELECT label AS object, {_WORDS.format('text')} AS w FROM sections),
-    pairs AS (SELECT DISTINCT subject, object FROM mined), far AS (SELECT DISTINCT a.subject, b.object FROM pairs a JOIN pairs b ON a.object = b.subject),
-    g1 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN pairs ON subject = label JOIN b USING (object) WHERE object <> label AND NOT list_has_any(q, w) GROUP BY label),
-    g2 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN far ON subject = label JOIN b USING (object) WHERE object <> label AND NOT list_has_any(q, w) GROUP BY label)
-    SELECT label, query, array_to_string(coalesce(g1.g, g2.g, [label]), ',') AS gold, CASE WHEN g1.g IS NOT NULL THEN 1 WHEN g2.g IS NOT NULL THEN 2 ELSE 0 END AS min_depth FROM asked LEFT JOIN g1 USING (label) LEFT JOIN g2 USING (label)
+    WITH {_SECTIONS}, q AS (SELECT label, heading AS query, {_WORDS.format('heading')} AS q FROM sections), pairs AS (SELECT DISTINCT subject AS label, object FROM mined),
+    asked AS (SELECT * FROM q WHERE len(q) >= 2 AND label IN (SELECT label FROM pairs)), b AS (SELECT label AS object, {_WORDS.format('text')} AS w FROM sections),
+    far AS (SELECT DISTINCT a.label, b.object FROM pairs a JOIN pairs b ON a.object = b.label WHERE b.object <> a.label AND (a.label, b.object) NOT IN (SELECT (label, object) FROM pairs)),
+    t AS (SELECT label, list_sort(list(object)) AS g FROM pairs GROUP BY label),
+    g1 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN pairs USING (label) JOIN b USING (object) WHERE NOT list_has_any(q, w) GROUP BY label),
+    g2 AS (SELECT label, list_sort(list(object)) AS g FROM asked JOIN far USING (label) JOIN b USING (object) WHERE NOT list_has_any(q, w) GROUP BY label)
+    SELECT label || '::' || CASE WHEN g1.g IS NOT NULL THEN 'd1' WHEN g2.g IS NOT NULL THEN 'd2' ELSE 'lex' END AS name, query, array_to_string(coalesce(g1.g, g2.g, t.g), ',') AS gold,
+        CASE WHEN g1.g IS NULL AND g2.g IS NOT NULL THEN label || ',' || array_to_string(t.g, ',') ELSE label END AS seeds, CASE WHEN g1.g IS NOT NULL THEN 1 WHEN g2.g IS NOT NULL THEN 2 ELSE 0 END AS min_depth
+    FROM asked JOIN t USING (label) LEFT JOIN g1 USING (label) LEFT JOIN g2 USING (label)
 """)
 def mine_probes(spark, sf_dir):
-    sections = _sections(spark, sf_dir)
-    return graph.mine_probes(sections, graph.mine_edges(sections)).withColumn("gold", F.array_join("gold", ","))
+    sections = saved(_sections(spark, sf_dir), "sections")
+    probes = graph.mine_probes(sections, graph.mine_edges(sections))
+    return probes.select("name", "query", F.array_join("gold", ",").alias("gold"), F.array_join("seeds", ",").alias("seeds"), "min_depth")
 
 
-@query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents)
-    SELECT 'd' || doc_id AS doc, count(*) FILTER (WHERE no = 0) AS sections, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS chars FROM l GROUP BY doc_id
-""")
+@query(f"WITH {_sections_sql(1 << 30)} SELECT label, section, heading, md5(text) AS text FROM sections")
 def split_sections(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("doc"), "text")
-    cut = graph.split_sections(docs, 1 << 30)
-    return cut.groupBy("doc").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
+    return _sections(spark, sf_dir, 1 << 30).select("label", "section", "heading", F.md5("text").alias("text"))

@@ -315,53 +315,97 @@ def link_derived_from(links: DataFrame, memories: DataFrame, sources: DataFrame)
     return rows.withColumn("reason", reason).select(*links.columns, "reason")
 
 
+#: Words that tell nothing in a heading.
+HEADING_STOP_WORDS = (
+    "the", "and", "for", "with", "that", "this", "must", "shall", "from", "into", "when", "where",
+    "are", "is", "a", "an", "of", "to", "in", "on", "or", "not", "be", "by", "at", "as", "it",
+)
+PREAMBLE = "00-preamble"
+REQUIREMENT = r"[A-Z]{2,5}-[0-9]{3}(?![A-Za-z0-9-])"
+_stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def slug(heading: Column) -> Column:
+    """A heading's letters and digits in lower case, joined by single hyphens, 40 characters at most."""
+    joined = F.regexp_replace(F.lower(F.regexp_replace(heading, "[^A-Za-z0-9]+", "-")), "^-|-$", "")
+    return F.substring(joined, 1, 40)
+
+
+def split_sections(documents: DataFrame, most_chars: int = 1200) -> DataFrame:
+    """(doc, section, label, heading, text) of Markdown documents (doc, text), cut at headings of the second and third level.
+
+    What stands before the first of them is section 0, the preamble. A label is the document, two colons and the heading's
+    slug; a slug's second section in a document gets -2, and so on. The heading is the text's first line without its marks. Texts
+    are stripped, then cut to ``most_chars``; blank sections are left out.
+    """
+    lines = documents.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    opens = F.startswith("line", F.lit("## ")) | F.startswith("line", F.lit("### "))
+    number = F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("no"))
+    rows = lines.withColumn("section", number).groupBy("doc", "section").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
+    text = F.substring(_stripped(F.array_join(F.transform("l", lambda x: x["line"]), "\n")), 1, most_chars)
+    rows = rows.select("doc", F.col("section").cast("long").alias("section"), text.alias("text")).where("text <> ''")
+    heading = _stripped(F.regexp_replace(F.substring_index("text", "\n", 1), "^#+", ""))
+    rows = rows.withColumn("heading", heading).withColumn("slug", F.when(F.col("section") == 0, PREAMBLE).otherwise(slug(F.col("heading"))))
+    nth = F.row_number().over(Window.partitionBy("doc", "slug").orderBy("section"))
+    label = F.concat("doc", F.lit("::"), "slug", F.when(nth > 1, F.concat(F.lit("-"), nth)).otherwise(""))
+    return rows.withColumn("label", label).select("doc", "section", "label", "heading", "text")
+
+
 def mine_edges(sections: DataFrame) -> DataFrame:
-    """Edges of sections (label, text): ``derived_from`` the section that defines a requirement id in bold, ``depends_on`` a linked one.
+    """Edges of sections (doc, section, label, text): ``derived_from`` the section that defines a requirement that a text names, ``depends_on`` the preamble of a linked document.
 
-    Of several definitions the first label's stands; no self edges; each once.
+    A definition is a requirement id right after two asterisks; of several the first in order of (doc,
+    section) stands. A link's target counts up to its #, by the file's name without folders and .md. No self edges; each once.
     """
-    ids = lambda pattern, group: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
-    defines = sections.select("label", F.explode(ids(r"\*\*([A-Z]{2,5}-[0-9]{3})\*\*", 1)).alias("req"))
-    first = defines.groupBy("req").agg(F.min("label").alias("object"))
-    uses = sections.select(F.col("label").alias("subject"), F.explode(ids(r"\b([A-Z]{2,5}-[0-9]{3})\b", 1)).alias("req"))
+    found = lambda pattern, group: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
+    defines = sections.select("doc", "section", "label", F.explode(found(rf"(?<=\*\*)({REQUIREMENT})", 1)).alias("req"))
+    first = defines.groupBy("req").agg(F.min_by("label", F.struct("doc", "section")).alias("object"))
+    uses = sections.select(F.col("label").alias("subject"), F.explode(found(rf"(?<![A-Za-z0-9-])({REQUIREMENT})", 1)).alias("req"))
     derived = uses.join(first, "req").select("subject", F.lit("derived_from").alias("predicate"), "object")
-    links = sections.select(F.col("label").alias("subject"), F.explode(ids(r"\[[^\]]*\]\(([^)#\s]+)\)", 1)).alias("object"))
-    linked = links.join(sections.select(F.col("label").alias("object")).distinct(), "object").select("subject", F.lit("depends_on").alias("predicate"), "object")
+    links = sections.select(F.col("label").alias("subject"), F.explode(found(r"\]\(([^)]*)", 1)).alias("target"))
+    links = links.select("subject", F.regexp_extract(F.substring_index("target", "#", 1), r"([^/]+)\.md$", 1).alias("doc")).where("doc <> ''")
+    preambles = sections.where("section = 0").select("doc", F.col("label").alias("object"))
+    linked = links.join(preambles, "doc").select("subject", F.lit("depends_on").alias("predicate"), "object")
     return derived.unionByName(linked).where("subject <> object").distinct()
 
 
-def split_sections(documents: DataFrame, most_chars: int = 1200) -> DataFrame:
-    """(doc, section, label, heading, text) of Markdown documents (doc, text), cut at second and third level headings."""
-    lines = documents.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    opens = F.col("line").rlike("^###?\\s")
-    number = F.sum(F.when(opens, 1).otherwise(0)).over(Window.partitionBy("doc").orderBy("no"))
-    rows = lines.withColumn("section", number).groupBy("doc", "section").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    heading = F.when(F.col("section") > 0, F.trim(F.regexp_replace(F.element_at("l", 1)["line"], "^#+", "")))
-    return rows.select("doc", F.col("section").cast("long").alias("section"), F.concat_ws("#", "doc", "section").alias("label"), heading.alias("heading"), F.substring(F.trim(text), 1, most_chars).alias("text"))
+def telling_words(text: Column) -> Column:
+    """A text's distinct words of four letters or digits and more that aren't stop words."""
+    words = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", -1)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*HEADING_STOP_WORDS)))
 
 
 def mine_probes(sections: DataFrame, edges: DataFrame) -> DataFrame:
-    """(label, query, gold, min_depth): headings of two or more telling words, with linked sections that share no word of the query.
+    """(name, label, query, gold, seeds, min_depth) of sections (label, heading, text) with edges whose headings have two telling words or more.
 
-    Targets one step away come first, then two; without either the section itself is a lexical baseline.
+    Gold are the linked sections that share no telling word with the heading (kind d1, depth 1). Without any, these are the
+    sections one step farther, neither the section itself nor linked, that share none (d2, depth 2); without those all
+    linked ones (lex, depth 0), a baseline. Seeds are the section, and for d2 its targets too. The second
+    step is walked only from sections that need it, and words are looked up instead of texts carried along.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.length(w) > 3))
-    asked = sections.select("label", F.col("heading").alias("query"), words(F.col("heading")).alias("q")).where(F.size("q") >= 2)
-    bodies = sections.select(F.col("label").alias("object"), words(F.col("text")).alias("w"))
-    pairs = edges.select("subject", "object").distinct()
-    far = pairs.join(pairs.select(F.col("subject").alias("object"), F.col("object").alias("next")), "object").select("subject", F.col("next").alias("object")).distinct()
-
-    # Only words of queries are looked up, a row a word, so that no body is carried along a hub's links.
+    pairs = saved(edges.select(F.col("subject").alias("label"), "object").distinct(), "pairs")
+    asked = sections.select("label", F.col("heading").alias("query"), telling_words(F.col("heading")).alias("q")).where(F.size("q") >= 2)
+    asked = saved(asked.join(pairs.select("label").distinct(), "label", "left_semi"), "asked")
     of_query = asked.select("label", F.explode("q").alias("word"))
-    held = bodies.select("object", F.explode("w").alias("word")).join(of_query.select("word").distinct(), "word", "left_semi")
+    held = sections.select(F.col("label").alias("object"), F.explode(telling_words(F.col("text"))).alias("word"))
+    held = saved(held.join(of_query.select("word").distinct(), "word", "left_semi"), "held")
 
-    def gold(links: DataFrame, name: str) -> DataFrame:
-        links = links.select(F.col("subject").alias("label"), "object").where("label <> object").join(asked.select("label"), "label", "left_semi").join(bodies.select("object"), "object", "left_semi")
+    def apart(links: DataFrame, name: str) -> DataFrame:
+        """Links to sections without a word of the query, by label."""
         shared = links.join(of_query, "label").join(held, ["object", "word"]).select("label", "object").distinct()
-        met = links.join(shared, ["label", "object"], "left_anti")
-        return met.groupBy("label").agg(F.array_sort(F.collect_set("object")).alias(name))
-
-    out = asked.join(gold(pairs, "g1"), "label", "left").join(gold(far, "g2"), "label", "left")
-    depth = F.when(F.col("g1").isNotNull(), 1).when(F.col("g2").isNotNull(), 2).otherwise(0)
-    return out.select("label", "query", F.coalesce("g1", "g2", F.array("label")).alias("gold"), depth.alias("min_depth"))
+        return links.join(shared, ["label", "object"], "left_anti").groupBy("label").agg(F.array_sort(F.collect_set("object")).alias(name))
+
+    direct = pairs.join(asked.select("label"), "label", "left_semi")
+    first = saved(apart(direct, "g1"), "first")
+    rest = direct.join(first.select("label"), "label", "left_anti")
+    beyond = rest.join(pairs.select(F.col("label").alias("object"), F.col("object").alias("next")), "object")
+    beyond = beyond.select("label", F.col("next").alias("object")).where("label <> object").distinct().join(pairs, ["label", "object"], "left_anti")
+    targets = direct.groupBy("label").agg(F.array_sort(F.collect_set("object")).alias("targets"))
+    out = asked.join(targets, "label").join(first, "label", "left").join(apart(beyond, "g2"), "label", "left")
+    one, two = F.col("g1").isNotNull(), F.col("g2").isNotNull()
+    kind = F.when(one, "d1").when(two, "d2").otherwise("lex")
+    own = F.array("label")
+    return out.select(
+        F.concat("label", F.lit("::"), kind).alias("name"), "label", "query", F.coalesce("g1", "g2", "targets").alias("gold"),
+        F.when(~one & two, F.concat(own, "targets")).otherwise(own).alias("seeds"), F.when(one, 1).when(two, 2).otherwise(0).alias("min_depth"),
+    )
