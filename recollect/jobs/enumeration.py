@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.scopes import normalize_scope, scope_match, scope_reason
 from recollect.jobs.registry import query
-from recollect.operators import lenses, validation
+from recollect.operators import lenses, manifest, pages, validation
 from recollect.sources.derived import MEMORIES, PROBES, memories, probes, read
 
 AT = "2024-02-01 12:00:00"
@@ -115,7 +115,25 @@ def count_memories(spark, sf_dir):
     return lenses.count_memories(memories(spark, sf_dir).where(F.col("scope").startswith("org/src0/")))
 
 
-_TABLES = ("documents", "embeddings", "events", "orders", "pages")
+@query(f"""
+    WITH {MEMORIES}, r AS (SELECT n AS request_id, list_extract(['org', 'org/' || split_part(scope, '/', 2), scope], n % 3 + 1) AS scope, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 5 = 0 THEN 600 ELSE n % 7 + 1 END AS most,
+        CASE WHEN n % 4 > 0 THEN valid_from END AS after_from, CASE WHEN n % 4 > 0 THEN id || CASE WHEN n % 2 = 0 THEN '' ELSE '!' END END AS after_id FROM memories WHERE n % 4 < 3),
+    m AS (SELECT r.*, least(coalesce(most, 64), 512) AS size, m.id, row_number() OVER (PARTITION BY request_id ORDER BY m.valid_from DESC, m.id DESC) AS pos, count(*) OVER (PARTITION BY request_id) AS n_left
+        FROM r JOIN memories m ON (m.scope = r.scope OR starts_with(m.scope, r.scope || '/')) AND (after_id IS NULL OR m.valid_from < after_from OR (m.valid_from = after_from AND m.id < after_id)))
+    SELECT request_id, pos, id, n_left > size AS more FROM m WHERE pos <= size
+""")
+def list_pages(spark, sf_dir):
+    """A page for each of three quarters of the memories, of scopes at all levels, from cursors of rows that are there or aren't."""
+    n, rows = F.col("n"), memories(spark, sf_dir)
+    scope = F.element_at(F.array(F.lit("org"), F.concat(F.lit("org/"), F.element_at(F.split("scope", "/"), 2)), F.col("scope")), (n % 3 + 1).cast("int"))
+    asked = rows.where(n % 4 < 3).select(
+        n.alias("request_id"), scope.alias("scope"), F.when(n % 11 == 0, None).when(n % 5 == 0, 600).otherwise(n % 7 + 1).alias("limit"),
+        F.when(n % 4 > 0, F.col("valid_from")).alias("after_from"), F.when(n % 4 > 0, F.concat("id", F.when(n % 2 == 0, "").otherwise("!"))).alias("after_id"),
+    )
+    return pages.pages(rows, asked)
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in _TABLES))
@@ -123,6 +141,23 @@ def table_counts(spark, sf_dir):
     return lenses.table_counts({t: read(spark, sf_dir, t) for t in _TABLES})
 
 
+_CHANGED = {"documents": "changed", "orders": "rows_lost", "labels": "rows_added"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS stored_n, count(*) + {({'rows_lost': -1, 'rows_added': 1}).get(_CHANGED.get(t), 0)} AS found_n, '{_CHANGED.get(t, 'ok')}' AS status FROM {t}" for t in _TABLES
+))
+def compare_manifests(spark, sf_dir):
+    """All tables against copies of which one has a changed row, one a row less and one a row twice."""
+    stored = {t: read(spark, sf_dir, t) for t in _TABLES}
+    least = lambda t, c: stored[t].agg(F.min(c)).first()[0]
+    found = dict(stored)
+    found["documents"] = stored["documents"].withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") == least("documents", "doc_id"), 1).otherwise(0))
+    found["orders"] = stored["orders"].where(F.col("o_orderkey") != least("orders", "o_orderkey"))
+    found["labels"] = stored["labels"].unionByName(stored["labels"].where(F.col("doc_id") == least("labels", "doc_id")))
+    return manifest.compare_manifests(manifest.manifest(stored), manifest.manifest(found))
+
+
 @query("""
     WITH p AS (
         SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'org//x' ELSE 'org/' || source END AS scope, CASE WHEN doc_id % 4 = 0 THEN 'trace' ELSE 'semantic' END AS category,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollect.jobs.registry import query
 from recollect.jobs.retrieval import VISIBLE, _asked, _top, bm25_sql
 from recollect.operators import evaluate, lexical, packs
+from recollect.operators import text_gold as by_text
 from recollect.sources.derived import MEMORIES, PROBES, read
 
 _HITS = f"{MEMORIES}, {PROBES}, {VISIBLE}, {bm25_sql()}, hits AS (SELECT h.*, text, version FROM ({_top('scored SEMI JOIN visible USING (query_id, id)', 8)}) h JOIN memories USING (id))"
@@ -301,3 +302,36 @@ def run_probes(spark, sf_dir):
 def system_stats(spark, sf_dir):
     u = F.col("user_id")
     return evaluate.system_stats(read(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.col("value").alias("ms"), (u % 2 == 0).alias("passed"), (u % 3 == 0).alias("fact_hit")))
+
+
+_NORMAL = r"trim(regexp_replace(lower(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}\s]', '', 'g')), '\s+', ' ', 'g'))"
+_BY_TEXT = f"""
+    a AS (SELECT doc_id, {_NORMAL.format('text')} AS a FROM documents), b AS (SELECT item_id, {_NORMAL.format('text')} AS b FROM benchmark),
+    t AS (SELECT doc_id, 'b' || min(item_id) AS key FROM a JOIN b ON a <> '' AND (contains(a, b) OR contains(b, a)) GROUP BY doc_id)
+"""
+
+
+def _passages(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("b"), "item_id").alias("key"), "text")
+
+
+@query(f"WITH {_BY_TEXT} SELECT doc_id AS hit, key FROM t")
+def text_gold(spark, sf_dir):
+    """The first benchmark passage that each document contains, or is contained in."""
+    return by_text.text_gold(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("hit"), "text"), _passages(spark, sf_dir))
+
+
+@query(f"""
+    WITH {_BY_TEXT}, h AS (SELECT doc_id, doc_id // 10 AS probe, doc_id % 10 + 1 AS rank1, CASE WHEN doc_id % 3 = 0 THEN 'b' || doc_id % 40 ELSE key END AS key FROM documents LEFT JOIN t USING (doc_id)),
+    p AS (SELECT DISTINCT probe, 'b' || probe % 40 AS expect, 'b' || (probe + 1) % 40 AS forbid, probe % 11 = 0 AS abstain, CASE WHEN probe % 7 = 0 THEN 'multi_hop' ELSE 'exact' END AS tag FROM h),
+    g AS (SELECT probe, list(key) FILTER (WHERE key IS NOT NULL) AS keys FROM h WHERE rank1 <= 8 GROUP BY probe),
+    c AS (SELECT p.*, list_contains(coalesce(keys, []), expect) AS found, list_contains(coalesce(keys, []), forbid) AS leaked FROM p JOIN g USING (probe))
+    SELECT probe, tag = 'multi_hop' AS skipped, tag <> 'multi_hop' AND NOT leaked AND NOT abstain AND found AS hit, CASE WHEN tag <> 'multi_hop' AND found THEN 1.0::DOUBLE ELSE 0 END AS recall FROM c
+""")
+def score_by_text(spark, sf_dir):
+    """Runs of ten documents as hits, two of three without a key, scored against passages."""
+    d, p = F.col("doc_id"), F.col("probe")
+    b = lambda n: F.array(F.concat(F.lit("b"), n % 40))
+    hits = read(spark, sf_dir, "documents").select(F.floor(d / 10).alias("probe"), (d % 10 + 1).alias("rank1"), F.when(d % 3 == 0, F.concat(F.lit("b"), d % 40)).alias("key"), "text")
+    probes = hits.select("probe").distinct().select(p, b(p).alias("expect"), b(p + 1).alias("forbid"), (p % 11 == 0).alias("abstain"), F.when(p % 7 == 0, "multi_hop").otherwise("exact").alias("tag"))
+    return by_text.score_by_text(hits, probes, _passages(spark, sf_dir), 8).select("probe", "skipped", "hit", "recall")
