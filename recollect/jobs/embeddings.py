@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollect.jobs.registry import query
-from recollect.operators import artifacts, fusion, generations
+from recollect.operators import artifacts, embedders, fusion, generations, vectors
 from recollect.operators.vectors import hash_embed
 from recollect.sources.derived import MEMORIES, memories, read
 
@@ -149,3 +149,55 @@ def set_operations(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").alias("k"))
     a, b = (rows.where(F.col("event_type") == t).select("k").distinct() for t in ("view", "signup"))
     return a.unionByName(b).dropDuplicates().select(F.lit("union").alias("op"), "k").unionByName(a.join(b, "k", "left_anti").select(F.lit("missing").alias("op"), "k"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _hashed(source: str, key: str, text: str, dim: int) -> str:
+    """CTEs up to ``hashed`` (key, pos, value): the rows of the hashed vectors' places that aren't zero."""
+    return f"""
+    hw AS (SELECT {key} AS key, unnest({_WORDS.format(text)}) AS word FROM {source}), spelt AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM hw)),
+    fnv AS (SELECT word, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(len(h) // 2), lambda i: ((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::UHUGEINT)),
+        lambda c, b: xor(c, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS h FROM spelt),
+    signed AS (SELECT key, (h % {dim})::INTEGER AS pos, sum(CASE WHEN (h // 4294967296::UHUGEINT) % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS n FROM hw JOIN fnv USING (word) GROUP BY key, pos),
+    hashed AS (SELECT key, pos, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS value FROM signed WHERE n <> 0)"""
+
+
+@query(f"WITH {_hashed('documents', 'doc_id', 'text', 32)} SELECT key AS doc_id, pos, CAST(floor(value * 1000000) AS BIGINT) AS millionths FROM hashed")
+def hash_embed_values(spark, sf_dir):
+    """The hashed vectors of all documents by a plug-in, a row for each place that isn't zero."""
+    rows = embedders.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), embedders.HashEmbedder(32))
+    each = rows.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value <> 0")
+    return each.select("doc_id", "pos", F.floor(F.col("value").cast("double") * 1000000).alias("millionths"))
+
+
+@query("""
+    SELECT item_id AS query_id, CASE WHEN item_id % 5 = 1 THEN 'identity_mismatch' ELSE 'ok' END AS status,
+        CASE WHEN item_id % 5 = 1 THEN NULL WHEN item_id % 5 = 2 THEN 'knn' WHEN trim(text) = '' THEN 'invalid' ELSE 'hybrid' END AS channel FROM benchmark
+""")
+def embedded_queries(spark, sf_dir):
+    """Which channels serve passages as queries, once those with text alone are embedded and foreign vectors refused."""
+    n, hashing = F.col("item_id"), embedders.HashEmbedder(16)
+    brings = F.when(n % 5 < 3, F.lit([0.25] * 16).cast("array<float>"))
+    identity = F.when(n % 5 == 0, hashing.identity).when(n % 5 == 1, "other-model").when(n % 5 == 2, hashing.identity)
+    asked = read(spark, sf_dir, "benchmark").select(n.alias("query_id"), F.when(n % 5 == 2, "").otherwise(F.col("text")).alias("query"), brings.alias("embedding"), identity.alias("embedding_identity"))
+    rows = embedders.embedded_queries(asked, hashing)
+    channel = F.when(F.col("status") == "ok", fusion.search_reason(F.col("query"), F.col("embedding")))
+    return rows.select("query_id", "status", channel.alias("channel"))
+
+
+@query(f"""
+    WITH {_hashed("(SELECT 'm' || doc_id AS id, text FROM documents UNION ALL SELECT 'q' || item_id, text FROM benchmark)", 'id', 'text', 32)}, own AS (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY key)) AS norm FROM hashed WHERE key NOT LIKE 'm%' OR CAST(key[2:] AS BIGINT) % 9 <> 4),
+    s AS (SELECT q.key AS query, m.key AS id, sum(q.value * m.value) / (any_value(q.norm) * any_value(m.norm)) AS score FROM own q JOIN own m ON q.pos = m.pos AND q.key LIKE 'q%' AND m.key LIKE 'm%' GROUP BY ALL)
+    SELECT CAST(query[2:] AS BIGINT) AS query_id, round(max(score), 5) AS best, count(*) FILTER (WHERE CAST(id[2:] AS BIGINT) % 9 = 4) AS foreign FROM s GROUP BY query
+""")
+def search_embedded(spark, sf_dir):
+    """The best vector score of each passage that is searched as text alone; a ninth of the memories have vectors of another model."""
+    hashing, d = embedders.HashEmbedder(32), F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("m"), d).alias("id"), d, "text")
+    rows = embedders.embed(docs, hashing).withColumn("embedding_identity", F.when(d % 9 == 4, "other-model").otherwise(F.col("embedding_identity")))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    near = vectors.knn_search(embedders.embedded_queries(asked, hashing).drop("status", "embedding_identity"), embedders.of_identity(rows, hashing.identity), 1)
+    foreign = near.join(rows.where("embedding_identity = 'other-model'").select("id", F.lit(1).alias("foreign")), "id", "left")
+    return foreign.select("query_id", F.round("score", 5).alias("best"), F.coalesce("foreign", F.lit(0)).cast("long").alias("foreign"))
