@@ -60,15 +60,21 @@ def macro_precision_recall(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.count_if("invented").alias("invented"))
 
 
+MOST_STRATEGIES = 1000
+
+
 def expand_scores(hits: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(strategy, kind, recall, noise): recall over all hits, noise among the first ``k``, as means by strategy.
 
     Noise is a hit that is neither gold nor a seed. ``kind`` is overall, graph (min_depth over 0) or lexical.
     """
     per = hits.groupBy("strategy", "probe").agg(F.collect_set("key").alias("all"), F.collect_set(F.when(F.col("rank1") <= k, F.col("key"))).alias("top"))
-    strategies = hits.select("strategy").distinct()
+    names = [r.strategy for r in hits.select("strategy").distinct().limit(MOST_STRATEGIES + 1).collect()]
+    if len(names) > MOST_STRATEGIES:
+        raise ValueError(f"more than {MOST_STRATEGIES} strategies")
     empty = F.array().cast("array<string>")
-    rows = probes.crossJoin(F.broadcast(strategies)).join(per, ["strategy", "probe"], "left").withColumns({"all": F.coalesce("all", empty), "top": F.coalesce("top", empty)})
+    every = probes.withColumn("strategy", F.explode(F.lit(sorted(names)).cast("array<string>") if names else empty))
+    rows = every.join(per, ["strategy", "probe"], "left").withColumns({"all": F.coalesce("all", empty), "top": F.coalesce("top", empty)})
     scored = rows.select(
         "strategy", F.explode(F.array(F.lit("overall"), F.when(F.col("min_depth") > 0, "graph").otherwise("lexical"))).alias("kind"),
         (F.size(F.array_intersect("gold", "all")) / F.size("gold")).alias("recall"), F.size(F.array_except("top", F.array_union("gold", "seeds"))).alias("noise"),

@@ -30,7 +30,8 @@ def pack_context(hits: DataFrame, max_cards: int = 8, max_chars: int = 4800) ->
         return pd.DataFrame(out, columns=["query_id", "rank1", "id", "form", "used"])
 
     sized = hits.select("query_id", "rank1", "id", F.octet_length("text").alias("cost"))
-    return sized.groupBy("query_id").applyInPandas(fill, "query_id long, rank1 int, id string, form string, used long")
+    kind = {c: sized.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    return sized.groupBy("query_id").applyInPandas(fill, f"query_id {kind['query_id']}, rank1 int, id {kind['id']}, form string, used long")
 
 
 def pack_summary(queries: DataFrame, packed: DataFrame) -> DataFrame:

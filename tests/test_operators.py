@@ -232,6 +232,8 @@ def test_expansion_leaves_direct_hits_in_place(spark):
 def test_packing_defers_an_oversized_first_hit(spark):
     hits = spark.createDataFrame([(1, 1, "big", "x" * 500), (1, 2, "small", "y" * 50)], "query_id long, rank1 int, id string, text string")
     got = [(r.id, r.form) for r in packs.pack_context(hits, 8, 200).collect()]
+    named = packs.pack_context(hits.withColumn("query_id", F.concat(F.lit("q"), "query_id")), 8, 200)
+    assert [(r.id, r.form) for r in named.collect()] == got and {r.query_id[0] for r in named.collect()} == {"q"}
     assert got == [("small", "card"), ("big", "stub")]
 
 
