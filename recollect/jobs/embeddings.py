@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from recollect.jobs.registry import query
 from recollect.operators import artifacts, embedders, fusion, generations, vectors
 from recollect.operators.vectors import hash_embed
+from recollect.sources import tables
 from recollect.sources.derived import MEMORIES, memories, read
+from recollect.sources.shared import shared_path
 
 _ITEMS = """
     items AS (SELECT vec_id AS seq, 1 AS generation, CASE WHEN vec_id % 9 = 0 THEN 'x' || vec_id ELSE 'm' || (vec_id // 2) END AS id, vec_id % 7 = 0 AS short FROM embeddings),
@@ -201,3 +203,55 @@ def search_embedded(spark, sf_dir):
     near = vectors.knn_search(embedders.embedded_queries(asked, hashing).drop("status", "embedding_identity"), embedders.of_identity(rows, hashing.identity), 1)
     foreign = near.join(rows.where("embedding_identity = 'other-model'").select("id", F.lit(1).alias("foreign")), "id", "left")
     return foreign.select("query_id", F.round("score", 5).alias("best"), F.coalesce("foreign", F.lit(0)).cast("long").alias("foreign"))
+
+
+@query(f"""
+    WITH {MEMORIES}, {_hashed("(SELECT id, text FROM memories WHERE valid_until IS NULL AND (starts_with(scope, 'org/src0/') OR starts_with(scope, 'org/src1/')))", 'id', 'text', 16)}
+    SELECT 3 AS generation, key AS id, pos, CAST(floor(value * 1000000) AS BIGINT) AS millionths FROM hashed
+""")
+def reindex_values(spark, sf_dir):
+    """The vectors of a generation that is embedded anew, a row for each place that isn't zero."""
+    out = generations.reindex(memories(spark, sf_dir), lambda text: hash_embed(text, 16), ["org/src0", "org/src1"], 3)
+    each = out.select("generation", "id", F.posexplode("vector").alias("pos", "value")).where("value <> 0")
+    return each.select("generation", "id", "pos", F.floor(F.col("value").cast("double") * 1000000).alias("millionths"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS seq, c_nationkey AS family FROM customer), g AS (SELECT n_regionkey AS family, n_nationkey + 1 AS generation, n_nationkey % 7 = 3 AND n_regionkey = 1 AS building FROM nation),
+    s AS (SELECT max(generation) AS top, count(*) FILTER (WHERE building) AS building FROM g)
+    SELECT family, seq, CASE WHEN building = 0 AND seq = min(seq) OVER () THEN top + 1 END AS generation, CASE WHEN building = 0 AND seq = min(seq) OVER () THEN 'declared' ELSE 'already_building' END AS status
+    FROM (SELECT 'open' AS family, seq, top, 0 AS building FROM c, s) UNION ALL SELECT 'building', seq, NULL, 'already_building' FROM c
+""")
+def declare_generation(spark, sf_dir):
+    """Customers claim the next generation: where none is building the first gets it, where one is nobody does."""
+    n = F.col("n_nationkey")
+    claims = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"))
+    known = lambda status: read(spark, sf_dir, "nation").select((n + 1).alias("generation"), status.alias("status"))
+    idle = generations.declare_generation(known(F.lit("retired")), claims).withColumn("family", F.lit("open"))
+    busy = generations.declare_generation(known(F.when(n % 7 == 3, "building").otherwise("retired")), claims).withColumn("family", F.lit("building"))
+    return idle.unionByName(busy).select("family", "seq", F.col("generation").cast("long").alias("generation"), "status")
+
+
+@query(f"WITH {MEMORIES} SELECT g AS generation, 'm' || vec_id AS id FROM embeddings, (SELECT unnest([1, 2]) AS g) WHERE 'm' || vec_id NOT IN (SELECT id FROM memories WHERE category = 'identity')")
+def erase_vectors(spark, sf_dir):
+    """Staged vectors of two generations without those of erased memories."""
+    from recollect.operators.revise import erase_vectors as erase
+
+    staged = read(spark, sf_dir, "embeddings").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("generation"), F.concat(F.lit("m"), "vec_id").alias("id"), "embedding")
+    return erase(staged, memories(spark, sf_dir).where("category = 'identity'")).select("generation", "id")
+
+
+@query(f"""
+    WITH {MEMORIES} SELECT id, scope, category, md5(text) AS text, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(sys_closed, '%Y-%m-%d %H:%M:%S') AS sys_closed, version, 'e' || n % 3 AS entity_links FROM memories
+""")
+def read_memories(spark, sf_dir):
+    """The memory table with its full list of fields, written by scope roots and read back."""
+    path, rows = shared_path(spark, "memories"), memories(spark, sf_dir)
+    at = lambda c: F.col(c).cast("timestamp").alias(c)
+    full = rows.select(
+        "id", "category", "scope", F.struct("text", F.lit(None).cast("string").alias("attrs")).alias("content"), *[at(c) for c in ("valid_from", "valid_until", "known_at", "sys_created", "sys_closed")],
+        F.col("version").cast("long").alias("version"), F.array(F.concat(F.lit("e"), F.col("n") % 3)).alias("entity_links"),
+    )
+    tables.write_memories(full, path)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return tables.read_memories(spark, path).select("id", "scope", "category", F.md5("content.text").alias("text"), text("valid_from"), text("sys_closed"), "version", F.array_join("entity_links", ",").alias("entity_links"))

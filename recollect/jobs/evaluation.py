@@ -231,6 +231,15 @@ def pack_context(spark, sf_dir):
     return packs.pack_context(hits)
 
 
+@query(f"""
+    WITH RECURSIVE {_HITS}, {_packed_sql('hits', 'strlen(text)')}, per AS (SELECT query_id, count(*) AS cards, CAST(ceil(sum(used) / 4.0) AS BIGINT) AS est_tokens FROM packed GROUP BY query_id)
+    SELECT query_id, coalesce(cards, 0) AS cards, coalesce(est_tokens, 0) AS est_tokens, cards IS NULL AS abstained FROM probes LEFT JOIN per USING (query_id)
+""")
+def pack_summary(spark, sf_dir):
+    asked, hits = _hits(spark, sf_dir)
+    return packs.pack_summary(asked, packs.pack_context(hits))
+
+
 @query(f"""
     WITH {_HITS}, inv AS (SELECT query_id, id, CASE WHEN query_id % 2 = 0 THEN version END AS v FROM hits WHERE rank1 % 3 = 0)
     SELECT query_id, id, rank1, CASE WHEN inv.id IS NOT NULL THEN 'already_in_context' WHEN score < 3 THEN 'below_floor' ELSE 'candidate' END AS disposition FROM hits LEFT JOIN inv USING (query_id, id)

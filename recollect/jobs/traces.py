@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect.jobs.registry import query
 from recollect.operators import traces
 from recollect.sources.derived import TASK_STATE, TRACES, read, task_state_ops, trace_events
+from recollect.sources.shared import shared_path
 from recollect.streaming import keyed, late
 from recollect.streaming import traces as streams
 
@@ -225,3 +226,12 @@ def task_state_keyed_stream(spark, sf_dir):
     ops = _in_order(spark, sf_dir, rows.withColumn("created_at", at))
     with keyed.rocksdb(spark):
         return streams.run_available(keyed.keyed_task_state(ops))
+
+
+@query(f"WITH {TRACES} SELECT event_id, trace_id, scope, kind, memory_id, md5(props) AS payload FROM trace_events")
+def trace_stream(spark, sf_dir):
+    """Trace events that arrive in a folder, as a stream reads them."""
+    path = shared_path(spark, "events")
+    rows = trace_events(spark, sf_dir).select("event_id", "trace_id", "scope", "kind", "memory_id", F.col("created_at").cast("timestamp").alias("created_at"), F.col("props").alias("payload"))
+    rows.write.parquet(path)
+    return streams.run_available(streams.trace_stream(spark, path)).select("event_id", "trace_id", "scope", "kind", "memory_id", F.md5("payload").alias("payload"))

@@ -14,6 +14,15 @@ EVENT = "event_id long, trace_id string, scope string, kind string, created_at t
 OP = "scope string, slot string, seq long, body string, expected_version long, create_only boolean, created_at timestamp"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of keyed state is a worker to start in each trigger."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def minute(n):
     return DAY + timedelta(minutes=n)
 
