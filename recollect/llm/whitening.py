@@ -154,7 +154,8 @@ def whiten(vectors: DataFrame, wanted: int = COMPONENTS) -> DataFrame:
     (n * x - S) ** 2, exact, as a decimal), whitened, explained and identity_error. Rows whose vector is null, empty, or holds null or
     non-finite entries take no part. The fit counts each distinct vector once; every row is whitened,
     also where a vec_id is null or repeated. Vectors of each dimension have a fit of their own, and components without
-    variance (all, if vectors are one) no rows. An empty table gives none; other columns are left alone.
+    variance (all, if vectors are one) no rows. An entry that is finite but too large for a long of 64ths is an error. An empty
+    table gives none; other columns are left alone.
     """
     spark = vectors.sparkSession
     rows = quantised(vectors.select("vec_id", "embedding"))
