@@ -9,6 +9,7 @@ from recollect.functions.text import QUERY_STOP_WORDS
 from recollect.operators.lenses import lens_of
 from recollect.operators.lexical import bm25_search
 from recollect.operators.vectors import knn_search
+from recollect.sources.shared import saved
 
 RRF_K = 60
 CHANNEL = 32
@@ -37,7 +38,7 @@ def search(queries: DataFrame, memories: DataFrame, limit: int = 8, match: str =
     width = max(CHANNEL, limit)
     lexical = bm25_search(queries.where(F.trim("query") != ""), memories, width, match).select("query_id", "id", "score", "rank1", F.lit(0).alias("list_no"))
     near = knn_search(queries, memories, width).select("query_id", "id", "score", "rank1", F.lit(1).alias("list_no"))
-    both = lexical.unionByName(near)
+    both = saved(lexical.unionByName(near), "channels")  # ``width`` rows a query and channel, read twice
     fused = rrf_fuse(both)
     alone = queries.select("query_id", ((F.trim("query") != "") & F.col("embedding").isNotNull()).alias("hybrid"))
     scores = both.groupBy("query_id", "id").agg(F.max("score").alias("own"))
