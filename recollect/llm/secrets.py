@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import outside, text_or_empty, written
+from recollect.llm.arrays import bound, replaced, running
+from recollect.llm.common import checked, outside, text_or_empty, written
 
-#: Kind, pattern, group of the value, least characters of the value, in order of the kinds.
+#: Kind, pattern, group of the value, least characters of the value, in order of the kinds. A run of
+#: characters that is too short has no long enough match inside, so patterns of runs ask for the length at once.
 KINDS = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 #: Cheap patterns that hold wherever a kind has a match that is long enough.
 HINTS = {
@@ -27,50 +29,48 @@ HINTS = {
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
     "opaque": r"[A-Za-z0-9+/_=-]{16}",
+    "run": r"[A-Za-z0-9+/_.=-]{6}",
 }
 OPAQUE = r"[A-Za-z0-9+/_-]+=*"  # NAME=VALUE is two words
 PIECE = r"[A-Za-z0-9+_-]+"  # what =, / and . leave of a word
+EDGE = PIECE.removesuffix("+")
+RUN = r"[A-Za-z0-9+/_.=-]{6,}"  # the characters of all values: a value's places lie inside runs
 OPAQUE_LENGTH = 16
 LEAST = min(least for *_, least in KINDS)
 OWNERS = 2
 DISTINCT_CHARACTERS = 8
-BROADCAST_ROWS = 500_000  # values, at most about 100 MB
+BROADCAST_ROWS = 500_000  # values as three numbers and two marks: at most about 40 MB
 SPAN_ROWS = 1_000_000  # spans of 8 bytes, and 8 for each text: at most about 20 MB
 SPAN = "struct<kind:string,ord:int,start:int,`end`:int,vstart:int,vend:int,value:string>"
 
 
 def _found(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of a pattern's leftmost matches: lengths of the pieces between them and of the matches add up."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    """Spans of a pattern's leftmost matches: running sums of the lengths of matches and of what is between them."""
     between = F.transform(F.split(text, pattern, -1), F.length)
-    parts = F.arrays_zip(between.alias("gap"), whole.alias("whole"), value.alias("value"))
-    none = F.array().cast(f"array<{SPAN}>")
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + part["gap"]
-        end = start + F.coalesce(F.length(part["whole"]), F.lit(0))
-        one = F.struct(
-            F.lit(kind).alias("kind"), F.lit(order).alias("ord"), start.alias("start"), end.alias("end"),
-            (end - F.length(part["value"])).alias("vstart"), end.alias("vend"), part["value"].alias("value"),
-        )
-        keep = part["whole"].isNotNull() & (F.length(part["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(one))).otherwise(state["out"]).alias("out"))
+    def spans(whole: Column) -> Column:
+        ends = running(F.zip_with(between, whole, lambda gap, w: gap + F.length(w)))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        parts = F.filter(F.arrays_zip(ends.alias("end"), whole.alias("whole"), value.alias("value")), lambda p: F.length(p["value"]) >= least)
+        return F.transform(parts, lambda p: F.struct(
+            F.lit(kind).alias("kind"), F.lit(order).alias("ord"), (p["end"] - F.length(p["whole"])).alias("start"), p["end"].alias("end"),
+            (p["end"] - F.length(p["value"])).alias("vstart"), p["end"].alias("vend"), p["value"].alias("value"),
+        ))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(HINTS[kind]), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
+    found = bound(whole, spans)
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``row`` (a number of its own), ``base`` (spans of the base kinds) and ``opaque`` (spans of words and their pieces)."""
+    """``docs`` with ``base`` (spans of the base kinds) and ``opaque`` (spans of words and their pieces)."""
     text = F.col("text")
     found = [_found(text, kind, i, pattern, group, least) for i, (kind, pattern, group, least) in enumerate(KINDS)]
-    opaque = F.filter(
-        F.array_union(*[_found(text, "opaque", len(KINDS), pattern, 0, OPAQUE_LENGTH) for pattern in (OPAQUE, PIECE)]),
-        lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"),
-    )
+    words, pieces = (_found(text, "opaque", len(KINDS), pattern, 0, OPAQUE_LENGTH) for pattern in (OPAQUE, f"{EDGE}{{{OPAQUE_LENGTH},}}"))
+    words = F.filter(words, lambda s: s["value"].rlike("[=/]"))  # others are pieces
+    opaque = F.filter(F.concat(words, pieces), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     base = F.array_sort(F.concat(*found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["ord"] - b["ord"]))
-    return docs.withColumns({"base": base, "opaque": opaque, "row": F.monotonically_increasing_id()})
+    return docs.withColumns({"base": base, "opaque": opaque})
 
 
 def _lively(value: Column) -> Column:
@@ -94,39 +94,56 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def _places(text: Column, value: Column) -> Column:
     """Where ``value`` stands in ``text`` and no piece goes on at its ends: an array of starts, overlapping ones too."""
-    edge = PIECE.removesuffix("+")
-    ahead = F.concat(F.lit(rf"(?<!{edge})(?=\Q"), value, F.lit(rf"\E(?!{edge}))"))
+    ahead = F.concat(F.lit(rf"(?<!{EDGE})(?=\Q"), value, F.lit(rf"\E(?!{EDGE}))"))
     lengths = F.transform(F.split(text, ahead, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"] + n)).alias("out"))
-    later = F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), start, step, lambda state: state["out"])
+    later = bound(lengths, lambda n: running(F.slice(n, 1, F.size(n) - 1)))
     # An empty match at the very start doesn't split.
     return F.when(F.regexp_like(text, F.concat(F.lit("^"), ahead)), F.concat(F.array(F.lit(0)), later)).otherwise(later)
 
 
-def elsewhere(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Written (value_hash, repository, owner, known, lively, mark, places): every place of the candidates' values in ``texts``.
+def _pieces(text: str, least: int) -> Column:
+    """Distinct pieces of ``least`` characters or more."""
+    return F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"{EDGE}{{{least},}}"), F.lit(0))))
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with two hashes of 64 bits in the place of ``piece``."""
+    return df.withColumns({"h1": F.xxhash64("piece"), "h2": F.xxhash64(F.lit(1), "piece")}).drop("piece")
+
 
-    Each text's distinct pieces are met with each value's longest piece; a value of more than one piece is then
-    looked for in the text. Places (starts, and the value's length) are only of values that look live, by the
-    text's mark; for others, mark and places are null and one row stands for a repository and an owner.
-    Opaque words without =, / and . are whole pieces, which the scan has met everywhere.
+def elsewhere(texts: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every place of the candidates' values in ``texts``: written holders and places.
+
+    Holders (value_hash, known, lively, repository, owner) are of all values, places (mark, value_hash, start,
+    length) of those that look live. The distinct pieces of each text, as hashes, are met with each value's longest
+    piece. Texts with a value to look for, because it looks live or has more than one piece, are cut into runs
+    of the characters that values have, and each value is looked for in the runs that have its longest piece. So
+    neither a text nor a value is beside a piece in any row. Opaque words without =, / and . are whole
+    pieces, which the scan has met everywhere.
     """
     values = candidates.where(F.col("known") | F.col("value").rlike("[=/.]")).groupBy("value").agg(F.max("known").alias("known"))
     pieces = F.array_sort(F.split("value", "[=/.]+"), lambda a, b: F.length(b) - F.length(a))
     values = values.select("value", "known", _lively(F.col("value")).alias("lively"), F.get(pieces, 0).alias("piece")).where("piece <> ''")
-    values = written(values, "secret-values")
-    if values.count() <= BROADCAST_ROWS:
-        values = F.broadcast(values)
-    words = texts.select("mark", "repository", "owner", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)))).alias("piece"))
-    value = F.col("value")
-    met = words.join(values, "piece").where((value == F.col("piece")) | F.contains("text", "value"))
-    look = F.col("lively") | (value != F.col("piece"))
-    met = met.select("mark", "repository", "owner", "value", "known", "lively", F.when(look, _places(F.col("text"), value)).alias("starts"))
-    met = met.where("starts IS NULL OR size(starts) > 0")
-    places = F.when(F.col("lively"), F.struct("starts", F.length("value").alias("length")))
-    key = [F.sha2("value", 256).alias("value_hash"), "repository", "owner", "known", "lively", F.when(F.col("lively"), F.col("mark")).alias("mark")]
-    return written(met.select(*key, places.alias("places")).distinct(), "secret-places")
+    values = written(values.withColumn("number", F.monotonically_increasing_id()), "secret-values")
+    n, least = values.agg(F.count("*"), F.coalesce(F.min(F.length("piece")), F.lit(1))).first()
+    keys = _hashed(values.select("number", "piece", (F.col("lively") | (F.col("value") != F.col("piece"))).alias("look")))
+    words = texts.select("mark", "repository", "owner", _pieces("text", least).alias("piece"))
+    met = _hashed(words).join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, ["h1", "h2"])
+    met = written(met.distinct(), "secret-met")
+    asked = met.where("look").select("mark", "h1", "h2", "number").distinct()
+    sought = texts.join(checked(asked.select("mark").distinct()), "mark", "left_semi")
+    run = F.explode(_found(F.col("text"), "run", 0, RUN, 0, LEAST)).alias("run")
+    runs = written(sought.select("mark", run).select("mark", F.col("run.start").alias("at"), F.col("run.value").alias("run")).distinct(), "secret-runs")
+    pairs = _hashed(runs.select("mark", "at", _pieces("run", least).alias("piece"))).join(asked, ["mark", "h1", "h2"]).select("mark", "at", "number")
+    value = values.select("number", "value", "lively", F.sha2("value", 256).alias("value_hash"))
+    places = pairs.join(runs, ["mark", "at"]).join(value, "number")
+    places = places.select("mark", "number", "value_hash", "lively", F.length("value").alias("length"), "at", F.explode(_places(F.col("run"), F.col("value"))).alias("start"))
+    places = places.withColumn("start", F.col("at") + F.col("start")).drop("at")
+    places = written(places, "secret-places")
+    there = met.where("look").join(places.select("mark", "number").distinct(), ["mark", "number"], "left_semi")
+    holders = met.where("NOT look").unionByName(there).select("number", "repository", "owner").distinct()
+    holders = holders.join(values.select("number", "known", "lively", F.sha2("value", 256).alias("value_hash")), "number").drop("number")
+    return written(holders, "secret-holders"), places.where("lively").select("mark", "value_hash", "start", "length")
 
 
 def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
@@ -137,44 +154,42 @@ def find_secrets(docs: DataFrame, repository: Column, owner: Column) -> tuple[Da
     no part of it. A null or empty text has no spans. Rows stand alone, also where a doc_id is null or
     repeated; a null repository or owner counts as none. An empty table gives no rows; other columns are left
     alone. The scan is written to the shared folder without the texts; what is joined and shuffled after that
-    is candidates only.
+    is candidates, hashes of pieces, and runs of the texts that may have a value to look for. Equal texts are judged once.
     """
     text = text_or_empty()
     texts = docs.select(F.col("doc_id"), text.alias("text"), F.md5(text).alias("mark"), repository.alias("repository"), owner.alias("owner"))
     scanned = written(scan(texts).drop("text"), "secret-scan")
     each = scanned.where((F.size("base") > 0) | (F.size("opaque") > 0)).select(
-        "row", "repository", "owner", F.explode(F.concat("base", "opaque")).alias("span")
+        "mark", "repository", "owner", F.explode(F.concat("base", "opaque")).alias("span")
     )
     value = F.col("span.value")
     bare = F.regexp_replace(value, r"\.+$", "")
     value = F.when(F.length(bare) >= LEAST, bare).otherwise(value)
-    candidates = each.select("row", "repository", "owner", "span", value.alias("value"), (F.col("span.kind") != "opaque").alias("known"))
+    candidates = each.select("mark", "repository", "owner", "span", value.alias("value"), (F.col("span.kind") != "opaque").alias("known"))
     candidates = candidates.withColumns({"value_hash": F.sha2("value", 256), "lively": _lively(F.col("value"))})
-    places = elsewhere(texts, candidates)
+    holders, places = elsewhere(texts, candidates)
     counted = ["value_hash", "known", "lively", "repository", "owner"]
-    owned = written(ownership(candidates.select(*counted).unionByName(places.select(*counted))), "secret-owners")
+    owned = written(ownership(candidates.select(*counted).unionByName(holders.select(*counted))), "secret-owners")
     # A longer word around a copied example, such as a path to it, isn't live for the example's sake.
     inner = candidates.where(~F.col("known") & F.col("lively") & F.col("value").contains("/")).select(F.col("value_hash").alias("outer"), F.explode(F.split("value", "[=/]+")).alias("piece"))
     inner = inner.distinct().withColumn("value_hash", F.sha2("piece", 256)).join(owned.where(F.col("known") & (F.col("owners") > OWNERS)), "value_hash", "left_semi")
     around = inner.select(F.col("outer").alias("value_hash"), F.lit(True).alias("around")).distinct()
     owned = owned.join(around, "value_hash", "left").withColumn("live", F.col("live") & (F.col("known") | F.col("around").isNull())).drop("around")
     owned = written(owned, "secret-judged")
-    told = owned.where(F.col("live") | (F.col("known") & (F.col("owners") > OWNERS))).select("value_hash", "owners", "live")
-    judged = candidates.join(told, "value_hash")
-    span = lambda start, end: F.struct(F.lit("live").alias("kind"), F.lit(len(KINDS)).alias("ord"), start.alias("start"), end.alias("end"))
+    copied = F.col("known") & (F.col("owners") > OWNERS)
     start = F.col("span.vstart")
-    by_row = judged.groupBy("row").agg(
-        F.array_sort(F.collect_set(F.when(F.col("live"), span(start, start + F.length("value"))))).alias("live"),
-        F.array_sort(F.collect_set(F.when(F.col("known") & (F.col("owners") > OWNERS), F.struct("span.start", "span.end")))).alias("example"),
-    )
-    at = places.where("mark IS NOT NULL").select("mark", "value_hash", "places").distinct().join(owned.where("live").select("value_hash"), "value_hash")
-    at = at.select("mark", F.explode("places.starts").alias("start"), F.col("places.length").alias("length"))
-    by_mark = at.groupBy("mark").agg(F.collect_set(span(F.col("start"), F.col("start") + F.col("length"))).alias("more"))
+    spans = candidates.select("mark", "value_hash", "known", start.alias("start"), (start + F.length("value")).alias("end"), F.struct("span.start", "span.end").alias("whole"))
+    met = places.select("mark", "value_hash", F.lit(False).alias("known"), "start", (F.col("start") + F.col("length")).alias("end"))
+    spans = spans.unionByName(met, allowMissingColumns=True).distinct()
+    told = owned.where(F.col("live") | copied).select("value_hash", "owners", "live")
+    live = F.struct(F.lit("live").alias("kind"), F.lit(len(KINDS)).alias("ord"), "start", "end")
+    by_mark = spans.join(told, "value_hash").groupBy("mark").agg(
+        F.array_sort(F.collect_set(F.when(F.col("live"), live))).alias("live"), F.array_sort(F.collect_set(F.when(copied, F.col("whole")))).alias("example"),
+    )
     no_spans = F.array().cast("array<struct<kind:string,ord:int,start:int,`end`:int>>")
     none = F.array().cast("array<struct<start:int,`end`:int>>")
-    live = F.array_sort(F.array_union(F.coalesce("live", no_spans), F.coalesce("more", no_spans)))
-    out = scanned.join(by_row, "row", "left").join(by_mark, "mark", "left").select("doc_id", "mark", "base", live.alias("live"), F.coalesce("example", none).alias("example"))
-    return out, owned
+    out = scanned.select("doc_id", "mark", "base").join(by_mark, "mark", "left")
+    return out.select("doc_id", "mark", "base", F.coalesce("live", no_spans).alias("live"), F.coalesce("example", none).alias("example")), owned
 
 
 def spans_text(spans: Column) -> Column:
@@ -208,28 +223,18 @@ def redact(docs: DataFrame, repository: Column, owner: Column, put: str = "[SECR
     enough to be told to all tasks (``SPAN_ROWS`` of their spans); beyond that they are joined by digest.
     """
     found, _ = find_secrets(docs, repository, owner)
-    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
-    secret = F.concat(F.array_except(F.transform("base", place), "example"), F.transform("live", place))
+    place = lambda s: F.shiftleft(s["start"].cast("long"), 32).bitwiseOR(s["end"].cast("long"))
+    base, example, live = (F.transform(spans, place) for spans in ("base", "example", "live"))
+    secret = F.concat(F.array_except(base, example), live)
     spans = found.select("mark", F.array_sort(secret).alias("spans")).where(F.size("spans") > 0)
     spans = written(spans.groupBy("mark").agg(F.first("spans").alias("spans")), "secret-spans", outside(docs.sparkSession, "secret-spans"))  # one text, one list
     few = (spans.agg(F.sum(F.size("spans") + 8)).first()[0] or 0) <= SPAN_ROWS
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever they are called, no name clashes
     at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
     text = at["text"]
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        before = F.substr(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(state["out"], before, F.lit(put))).otherwise(state["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1, F.length(text)))
     hit = F.col("spans").isNotNull()
     rows = docs.toDF(*names).withColumn("mark", F.md5(text_or_empty(text)))
-    joined = rows.join(F.broadcast(spans) if few else spans, "mark", "left").withColumn(text, F.when(hit, F.aggregate("spans", start, step, rest)).otherwise(F.col(text)))
+    joined = rows.join(F.broadcast(spans) if few else spans, "mark", "left").withColumn(text, F.when(hit, replaced(F.col(text), F.col("spans"), put)).otherwise(F.col(text)))
     if "n_chars" in at:
         n_chars = at["n_chars"]
         joined = joined.withColumn(n_chars, F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))

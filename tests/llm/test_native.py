@@ -1,13 +1,17 @@
 """Sharding, secrets and SimHash against plain versions."""
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from hashlib import sha256
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.llm import secrets
+from recollect.llm.arrays import replaced, running
 from recollect.llm.secrets import find_secrets, redact, secret_report
 from recollect.llm.sharding import shard
 from recollect.llm.simhash import fingerprint_report, within_radius
@@ -85,6 +89,73 @@ def test_secrets_that_no_base_pattern_meets_and_other_places(spark):
     assert all(clean[i] == texts[i][0] for i in (8, 9, 10, 11))
 
 
+def plain_live(rows):
+    """The whole rule for (text, repository, owner), one value and one text after another: live (start, end) of each row."""
+    edge, found = "[A-Za-z0-9+_-]", []
+    for n, (text, *_) in enumerate(rows):
+        for kind, pattern, group, least in KINDS:
+            found += [(n, m.end() - len(m[group]), m[group], True) for m in pattern.finditer(text) if len(m[group]) >= least]
+        words = {(m.start(), m[0]) for p in (edge[:-1] + "/]+=*", edge + "+") for m in re.finditer(p.replace("-/]", "/-]"), text) if len(m[0]) >= 16}
+        found += [(n, a, v, False) for a, v in words if re.search("[0-9]", v) and re.search("[A-Za-z]", v)]
+    bare = lambda v: v.rstrip(".") if len(v.rstrip(".")) >= 6 else v
+    found = [(n, a, bare(v), known) for n, a, v, known in found]
+    lively = lambda v: bool(re.search("[0-9]", v) and re.search("[A-Za-z]", v) and len(set(v)) >= 8)
+    owners, live, everywhere = defaultdict(set), defaultdict(set), defaultdict(set)
+    known = {v for _, _, v, k in found if k}
+    for n, _, v, _ in found:
+        owners[v].add(rows[n][2])
+    for v in {v for _, _, v, k in found if k or re.search("[=/.]", v)}:
+        for n, (text, _, owner) in enumerate(rows):
+            for m in re.finditer(f"(?<!{edge})(?={re.escape(v)}(?!{edge}))", text) if v in text else ():
+                owners[v].add(owner)
+                everywhere[v].add((n, m.start()))
+    copied = {v for v in known if len(owners[v]) > 2}
+    for v in owners:
+        around = v not in known and "/" in v and copied & set(re.split("[=/]+", v))
+        if lively(v) and len(owners[v]) <= 2 and not around:
+            for n, a in everywhere[v] | {(n, a) for n, a, w, _ in found if w == v}:
+                live[n].add((a, a + len(v)))
+    return live
+
+
+def test_live_spans_of_a_table_by_the_plain_rule(spark, docs, monkeypatch):
+    given = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+    path = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.01/documents.parquet"
+    if os.path.exists(path):
+        given += [tuple(r) for r in spark.read.parquet(path).select("doc_id", "text", "source", "lang").collect()]
+    given = [(n, *r[1:]) for n, r in enumerate(given)]
+    table = spark.createDataFrame(given, "doc_id long, text string, source string, lang string")
+    want = plain_live([(t or "", None, s) for _, t, s, _ in given])
+    assert want
+    for few in (500_000, 0):  # told to all tasks, and joined by shuffles
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", few)
+        found, _ = find_secrets(table, F.col("source"), F.col("source"))
+        assert {r.doc_id: {(s.start, s.end) for s in r.live} for r in found.collect() if r.live} == want
+
+
+def test_secrets_of_a_very_long_text(spark):
+    words = [sha256(str(i).encode()).hexdigest()[:34].replace("a", "G") for i in range(290_000)]
+    text = "é" + " ".join(words)
+    long = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    (row,) = secret_report(long, F.col("source"), F.col("source")).collect()
+    assert len(text) > 10_000_000 and row.n_live > 280_000
+    assert f"live:{1 + 35 * 1000}:{35 + 35 * 1000}" in row.spans
+    (row,) = redact(long, F.col("source"), F.col("source")).collect()
+    clean = row.text.removeprefix("é").split(" ")
+    assert len(clean) == len(words) and all(c in (w, "[SECRET]") or "[SECRET]" in c for c, w in zip(clean, words)) and clean.count("[SECRET]") > 280_000
+
+
+def test_running_values_and_replaced_spans(spark):
+    numbers = [(list(range(n, 0, -1)),) for n in (0, 1, 31, 32, 33, 1024, 1025, 5000)]
+    for join, plain in ((lambda a, b: a + b, lambda a, b: a + b), (F.greatest, max)):
+        rows = spark.createDataFrame(numbers, "a array<int>").select("a", running(F.col("a"), join).alias("r")).collect()
+        assert all(r.r == list(accumulate(r.a, plain)) for r in rows)
+    text, spans = "é😀" + "ab\n" * 5000, [(0, 2), (1, 5), (5, 6), (4090, 8200), (8192, 8193), (15002, 15002)]
+    keys = F.array(*[F.lit(a << 32 | b) for a, b in spans])
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(replaced(F.col("t"), keys, "#")).collect()
+    assert got[0][0] == "##" + text[6:4090] + "#" + text[8200:] + "#"
+
+
 def test_secrets_of_an_empty_table(docs):
     assert secret_report(docs.limit(0), F.col("source"), F.col("source")).collect() == []
 
