@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import text_or_empty, written
+from recollect.llm.common import checked, text_or_empty, written
 
 WORDS = 5
 BITS = 64
@@ -169,30 +169,42 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return rows.withColumn("range", place(0, len(ranges) - 1)).withColumn("bucket", F.shiftleft(F.col("range").cast("long"), 32) + part).drop("range")
 
 
+def _heads(firsts: DataFrame) -> DataFrame:
+    """``firsts`` (a row a bucket) for the buckets whose last row they follow: the next higher bucket, after the lowest the highest.
+
+    Buckets are put in order inside their ranges; in one place only the ranges are, of which there are at most
+    about 2 x ``RANGES``.
+    """
+    firsts = firsts.withColumn("range", F.shiftright("bucket", 32))
+    ranges = firsts.groupBy("range").agg(F.min("bucket").alias("least"))
+    order = Window.orderBy(F.desc("range"))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.select("range", F.coalesce(F.lag("least").over(order), F.min("least").over(whole)).alias("beyond"))
+    above = F.lag("bucket").over(Window.partitionBy("range").orderBy(F.desc("bucket")))
+    linked = firsts.withColumn("above", above).join(F.broadcast(ranges), "range")
+    return linked.withColumn("of", F.coalesce("above", "beyond")).drop("range", "above", "beyond")
+
+
 def edited(docs: DataFrame) -> DataFrame:
     """Each row's text and its edited text, with bucket and id: its last half gives way to the next row's start.
 
     The next row is the next one in descending doc_id (rows of one doc_id in descending order of their text's
-    hash; null doc_ids last), and the first row's after the last. Texts are shuffled once, by ranges of ids.
+    hash; null doc_ids last), and the first row's after the last. Texts are shuffled once, by ranges of ids; the
+    first text of each bucket goes along to the bucket before it, as its last row.
     """
     rows = _ordered(docs)
-    down = Window.partitionBy("bucket").orderBy(F.desc("id"), F.desc("h"))
     firsts = rows.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).select("bucket", "top.*")
-    heads = rows.select("bucket", "id", "h", "text").join(F.broadcast(firsts), ["bucket", "id", "h"])  # a row a bucket
-    heads = heads.groupBy("bucket").agg(F.max("text").alias("text"))
-    order = Window.orderBy(F.desc("bucket"))  # as many rows as buckets
-    numbered = firsts.select("bucket", F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("of"))
-    heads = numbered.join(heads, "bucket").select(F.col("of").alias("bucket"), F.col("text").alias("head"))
-    ranked = rows.withColumn("following", F.lead("text").over(down)).withColumn("row", F.row_number().over(down))
+    firsts = written(_heads(firsts), "bucket-firsts")
+    heads = rows.select("bucket", "id", "h", "text").join(checked(firsts), ["bucket", "id", "h"])  # a row a bucket, but for repeated rows
+    heads = heads.groupBy("of").agg(F.max("text").alias("text"))
+    heads = heads.select(F.col("of").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(NO_ID).alias("id"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("head"))
+    every = rows.withColumn("head", F.lit(0)).unionByName(heads)
+    down = Window.partitionBy("bucket").orderBy("head", F.desc("id"), F.desc("h"))
+    ranked = every.withColumn("following", F.lead("text").over(down)).withColumn("row", F.row_number().over(down)).where("head = 0")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    return (
-        ranked.join(F.broadcast(heads), "bucket")
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .withColumn("following", F.coalesce("following", "head"))
-        .select(
-            "bucket", "row", "doc_id", "n_chars", "text",
-            F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("following", F.lit(1), half)).alias("edited"),
-        )
+    return ranked.withColumn("n_chars", F.length("text").cast("long")).select(
+        "bucket", "row", "doc_id", "n_chars", "text",
+        F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("following", F.lit(1), half)).alias("edited"),
     )
 
 
@@ -221,13 +233,8 @@ def fingerprint_report(docs: DataFrame, every: int = 100, radius: int = RADIUS)
         "fingerprints",
     )
     down = Window.partitionBy("bucket").orderBy("row")
-    order = Window.orderBy(F.desc("bucket"))  # as many rows as buckets
-    firsts = rows.where("row = 1").select("bucket", "fingerprint")
-    heads = firsts.select(
-        F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"),
-        F.col("fingerprint").alias("head"),
-    )
-    linked = rows.withColumn("following", F.lead("fingerprint").over(down)).join(F.broadcast(heads), "bucket")
+    heads = _heads(rows.where("row = 1").select("bucket", "fingerprint")).select(F.col("of").alias("bucket"), F.col("fingerprint").alias("head"))
+    linked = rows.withColumn("following", F.lead("fingerprint").over(down)).join(checked(heads), "bucket")
     counts = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
     asked = rows.where(F.col("doc_id") % every == 0)
     near = within_radius(asked, counts, radius).join(counts, "fingerprint").withColumnRenamed("fingerprint", "fingerprint_b").groupBy(F.col("query").alias("fingerprint")).agg(F.sum("n").alias("n"), F.collect_list("fingerprint_b").alias("near"))

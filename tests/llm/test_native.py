@@ -10,7 +10,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import secrets
+from recollect.llm import secrets, simhash
 from recollect.llm.arrays import replaced, running
 from recollect.llm.secrets import find_secrets, redact, secret_report
 from recollect.llm.sharding import shard
@@ -179,6 +179,20 @@ def bits(a, b):
     return bin(int(a, 16) ^ int(b, 16)).count("1")
 
 
+def test_next_texts_across_buckets_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(simhash, "RANGES", 4)
+    ids = [None, 2, 2, 2, 2, 2, 2, 2, 2, *range(10, 40, 3), 1000, 10**9]
+    rows = [(n, f"{k} word{k} " * (k % 5 + 1)) for k, n in enumerate(ids)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    ring = sorted(table.collect(), key=lambda r: (r.doc_id if r.doc_id is not None else -(1 << 63), r.h), reverse=True)
+    want = [r.text[: len(r.text) - len(r.text) // 2] + n.text[: len(r.text) // 2] for r, n in zip(ring, ring[1:] + ring[:1])]
+    got = simhash.edited(table.drop("h"))
+    assert got.select("bucket").distinct().count() > 6 and sorted(r.edited for r in got.collect()) == sorted(want)
+    report = fingerprint_report(table.drop("h")).select("doc_id", "edited_sha256").collect()
+    assert sorted(r.edited_sha256 for r in report) == sorted(sha256(w.encode()).hexdigest() for w in want)
+
+
 def test_fingerprints(docs):
     rows = fingerprint_report(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), every=3).collect()
     texts = {r.doc_id: r.text or "" for r in docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()}
