@@ -8,11 +8,17 @@ By the triangle inequality an annulus's best score for a query has an upper boun
 order of that bound, in rounds, and stops where it falls under the k-th score that it has.
 
 Pivots and the annuli's edges are fitted on a bounded sample; every row is indexed, and they decide only
-how much is pruned. The annuli are ``PIVOTS`` x ``RINGS`` at most, which is all that goes through the driver.
+how much is pruned. Pivots grow with the square root of the rows between ``PIVOTS``; the annuli are as many
+times ``RINGS``, which is all that goes through the driver.
+
+Chunks of queries meet blocks by (annulus, span, group): an annulus's blocks are dealt into spans of
+``BLOCKS_PER_KEY``, the chunks into groups of ``CHUNKS_PER_KEY``. Chunks go to each span of their annulus and
+blocks to each group, so that a key's work is bounded however many rows and queries an annulus has.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,10 +29,13 @@ from pyspark.sql import functions as F
 from recollect.llm.common import slices, written
 
 SAMPLE_ROWS = 2048
-PIVOTS = 32
+#: The least and the greatest number of pivots.
+PIVOTS = (32, 256)
 RINGS = 8
 BLOCK_ROWS = 2048
 CHUNK_QUERIES = 256
+BLOCKS_PER_KEY = 16
+CHUNKS_PER_KEY = 16
 ROUNDS = (1, 6, None)
 SCALE = 1024
 #: Room for rounding in distances, as a share of the largest one.
@@ -55,13 +64,18 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def fit(rows: DataFrame, dim: int, most2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots, and each pivot's annulus edges, from at most SAMPLE_ROWS rows of least hash."""
+def pivots_for(n: int) -> int:
+    """A sixty-fourth of the root of ``n`` rows, within PIVOTS."""
+    return min(max(PIVOTS[0], math.isqrt(n) // 64), PIVOTS[1])
+
+
+def fit(rows: DataFrame, dim: int, most2: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` pivots, and each pivot's annulus edges, from at most SAMPLE_ROWS rows of least hash."""
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("x").collect()
     sample = np.array([r.x for r in drawn], "f8").reshape(-1, dim)
     chosen = [0]
     far = _distances(sample, sample[:1], most2, False)[:, 0]
-    while len(chosen) < min(PIVOTS, len(sample)) and far.max() > 0:  # the row farthest from all pivots so far
+    while len(chosen) < min(most, len(sample)) and far.max() > 0:  # the row farthest from all pivots so far
         chosen.append(int(far.argmax()))
         far = np.minimum(far, _distances(sample, sample[chosen[-1:]], most2, False)[:, 0])
     pivots = sample[chosen]
@@ -92,22 +106,34 @@ KEYED = "row long, vec_id long, x array<long>, annulus int, dist double"
 
 
 def build_index(rows: DataFrame, dim: int, pivots: np.ndarray, edges: np.ndarray, most2: float) -> tuple[DataFrame, list[tuple]]:
-    """The written index, a row for each block with annulus, rows, ids and vectors; and (annulus, low, high) of the annuli.
+    """The written index, a row for each block with annulus, span, rows, ids and vectors; and (annulus, low, high, spans) of the annuli.
 
     An annulus of more than a block's rows (a hot vector's, say) is dealt into several by a hash.
     """
     keyed = written(rows.select("row", "vec_id", "x").mapInArrow(_keyer(dim, pivots, edges, most2), KEYED), "pivot-keys")
     annuli = keyed.groupBy("annulus").agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n")).orderBy("annulus").collect()
-    parts = [1] * (PIVOTS * RINGS)
+    parts = [1] * (len(pivots) * RINGS)
     for r in annuli:
         parts[r.annulus] = -(-r.n // BLOCK_ROWS)
     part = F.pmod(F.xxhash64("row", F.lit(11)), F.get(F.lit(parts), F.col("annulus")).cast("long"))
     blocks = keyed.groupBy("annulus", part.alias("part")).agg(F.collect_list(F.struct("row", "vec_id", "x")).alias("rows"))
     index = blocks.select(
-        "annulus", F.transform("rows", lambda r: r["row"]).alias("rows"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
+        "annulus", F.floor(F.col("part") / BLOCKS_PER_KEY).cast("int").alias("span"), F.transform("rows", lambda r: r["row"]).alias("rows"), F.transform("rows", lambda r: r["vec_id"]).alias("ids"),
         F.flatten(F.transform("rows", lambda r: r["x"])).alias("vectors"),
     )
-    return written(index, "pivot-blocks"), [(r.annulus, r.low, r.high) for r in annuli]
+    return written(index, "pivot-blocks"), [(r.annulus, r.low, r.high, -(-parts[r.annulus] // BLOCKS_PER_KEY)) for r in annuli]
+
+
+def met(asked: DataFrame, index: DataFrame, annuli: list[tuple], chunks: int) -> DataFrame:
+    """Each chunk of queries beside each block of its annulus, with the key (annulus, span, group) where they met."""
+    spans = [1] * (1 + max((a[0] for a in annuli), default=0))
+    for name, _, _, n in annuli:
+        spans[name] = n
+    each = F.sequence(F.lit(0), F.get(F.lit(spans), F.col("annulus")) - 1)
+    sent = asked.select("annulus", F.explode(each).alias("span"), F.floor(F.col("chunk") / CHUNKS_PER_KEY).cast("int").alias("group"), "asked")
+    groups = F.sequence(F.lit(0), F.lit(-(-chunks // CHUNKS_PER_KEY) - 1))
+    blocks = index.withColumn("group", F.explode(groups))
+    return sent.join(blocks.hint("merge"), ["annulus", "span", "group"])
 
 
 def _router(dim: int, pivots: np.ndarray, annuli: list[tuple], most2: float, first: int, last: int | None) -> Callable:
@@ -187,14 +213,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     asking = written(asking.withColumnRenamed("x", "q"), "pivot-queries")
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shapes = rows.groupBy("dim").agg(F.max("norm2").alias("most2"), F.count("*").alias("n")).collect()  # a row a dimension
-    for dim, most2, _ in sorted(map(tuple, shapes)):
-        out = out.unionByName(_of_dimension(rows.where(F.col("dim") == dim), asking.where(F.col("dim") == dim), dim, most2, k))
+    for dim, most2, n in sorted(map(tuple, shapes)):
+        out = out.unionByName(_of_dimension(rows.where(F.col("dim") == dim), asking.where(F.col("dim") == dim), dim, most2, n, k))
     return out
 
 
-def _of_dimension(rows: DataFrame, asking: DataFrame, dim: int, most2: float, k: int) -> DataFrame:
+def _of_dimension(rows: DataFrame, asking: DataFrame, dim: int, most2: float, n: int, k: int) -> DataFrame:
     most2 = float(most2)
-    pivots, edges = fit(rows, dim, most2)
+    pivots, edges = fit(rows, dim, most2, pivots_for(n))
     index, annuli = build_index(rows, dim, pivots, edges, most2)
     chunks = max(1, -(-asking.count() // CHUNK_QUERIES))
     queries = asking.select(F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk"), "row", "query_id", "q", F.lit(None).cast("double").alias("kth"))
@@ -204,7 +230,7 @@ def _of_dimension(rows: DataFrame, asking: DataFrame, dim: int, most2: float, k:
         last = None if width is None else first + width
         routed = queries.mapInArrow(_router(dim, pivots, annuli, most2, first, last), ROUTED)
         asked = routed.groupBy("annulus", "chunk").agg(F.collect_list(F.struct("row", "query_id", "q", "kth")).alias("asked"))
-        pairs = asked.join(index.hint("merge"), "annulus").select("rows", "ids", "vectors", "asked")
+        pairs = met(asked, index, annuli, chunks).select("rows", "ids", "vectors", "asked")
         scored = pairs.mapInArrow(_scorer(dim, k), SCORED)
         found = best(scored if found is None else found.unionByName(scored), k)
         if width is None:

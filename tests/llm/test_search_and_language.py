@@ -39,6 +39,35 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     assert got == plain(rows, 5, lambda i: i % 10 == 0)
 
 
+def test_top_k_of_a_hot_annulus_meets_in_bounded_keys(spark, monkeypatch):
+    """Two thirds of all rows are one vector: results stay whole, and no key has more blocks or chunks than it may."""
+    for name, value in {"BLOCK_ROWS": 16, "CHUNK_QUERIES": 2, "BLOCKS_PER_KEY": 3, "CHUNKS_PER_KEY": 2}.items():
+        monkeypatch.setattr(pivot_search, name, value)
+    seen, whole = [], pivot_search.met
+
+    def spy(asked, index, annuli, chunks):
+        pairs = whole(asked, index, annuli, chunks)
+        each = asked.select("annulus", "chunk").join(index.select("annulus"), "annulus").count()
+        per = pairs.groupBy("annulus", "span", "group").agg(F.count_distinct("ids").alias("blocks"), F.count_distinct("asked").alias("chunks"), F.count("*").alias("n")).collect()
+        seen.append((each, per))
+        return pairs
+
+    monkeypatch.setattr(pivot_search, "met", spy)
+    draw = np.random.default_rng(5)
+    hot = [float(c) for c in draw.standard_normal(6)]
+    rows = [(i, hot if i % 3 else [float(c) for c in draw.standard_normal(6)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df, F.col("vec_id") % 10 == 0, 4).collect()))
+    assert got == plain(rows, 4, lambda i: i % 10 == 0)
+    assert all(sum(r.n for r in per) == each for each, per in seen)
+    assert all(r.blocks <= 3 and r.chunks <= 2 for _, per in seen for r in per)
+    assert max(len({(r.span, r.group) for r in per}) for _, per in seen) > 4
+
+
+def test_pivots_grow_with_the_rows():
+    assert [pivot_search.pivots_for(n) for n in (0, 10**6, 10**8, 10**12)] == [32, 32, 156, 256]
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(df, F.col("vec_id") % 100 == 0, 10).collect()] == [(0, 1, 1, 1024 * 1024)]
