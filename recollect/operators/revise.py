@@ -217,24 +217,26 @@ def version_conflicts(requests: DataFrame, memories: DataFrame) -> DataFrame:
 def history(memories: DataFrame, ids: DataFrame, steps: int = 64) -> DataFrame:
     """(asked, id, pos) of each asked id's chain within ``steps`` each way: predecessors below 0, itself 0, successors above.
 
-    Pointers double: after r rounds a row knows the rows up to 2^r away, so 64 steps take 6 joins.
+    Pointers double: after r rounds a row knows the rows up to 2^r away, so 64 steps take 6 joins, which both
+    directions share. A round's pointers are written only while an asked row's chain goes on.
     """
-    def reach(link: str, sign: int) -> DataFrame:
-        pointer = memories.where(F.col(link).isNotNull()).select(F.col("id").alias("a"), F.col(link).alias("b"))
-        found = ids.select(F.col("id").alias("asked"), F.col("id"), F.lit(0).alias("pos"))
-        hop, width = saved(pointer, "hops"), 1
-        while width <= steps:
-            ahead = found.join(hop.withColumnRenamed("a", "id"), "id").select("asked", F.col("b").alias("id"), (F.col("pos") + width).alias("pos"))
-            ahead = saved(ahead, "chain")
-            if not ahead.limit(1).count():
-                break  # no asked row's chain is that long
-            found = found.unionByName(ahead)
-            hop = saved(hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), "hops")
-            width *= 2
-        return found.where((F.col("pos") > 0) & (F.col("pos") <= steps)).withColumn("pos", F.col("pos") * sign)
-
+    links = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("supersedes").alias("b")), F.struct(F.lit(1).alias("sign"), F.col("superseded_by").alias("b"))))
+    hop = memories.select(F.col("id").alias("a"), links.alias("l")).select("a", "l.sign", "l.b").where("b IS NOT NULL")
+    signs = F.explode(F.array(F.lit(-1), F.lit(1))).alias("sign")
+    found = ids.select(F.col("id").alias("asked"), "id", F.lit(0).alias("pos"), signs)
+    hop, width = saved(hop, "hops"), 1
+    while width <= steps:
+        ahead = found.join(hop.withColumnRenamed("a", "id"), ["id", "sign"]).select("asked", F.col("b").alias("id"), (F.col("pos") + width).alias("pos"), "sign")
+        ahead = saved(ahead, "chain")
+        if ahead.isEmpty():
+            break  # no asked row's chain is that long
+        found = found.unionByName(ahead)
+        width *= 2
+        if width <= steps:
+            hop = saved(hop.join(hop.select(F.col("a").alias("b"), F.col("b").alias("c"), "sign"), ["b", "sign"]).select("a", "sign", F.col("c").alias("b")), "hops")
     own = memories.join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("asked"), "id", F.lit(0).alias("pos"))
-    return own.unionByName(reach("supersedes", -1)).unionByName(reach("superseded_by", 1))
+    met = found.where((F.col("pos") > 0) & (F.col("pos") <= steps))
+    return own.unionByName(met.select("asked", "id", (F.col("pos") * F.col("sign")).alias("pos")))
 
 
 def belief_events(events: DataFrame, ids: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

@@ -75,3 +75,15 @@ def test_reserved_predicates_are_not_walked(spark):
     assert {r.node for r in graph.traverse(edges, seeds)[0].collect()} == {"a", "c"}
     with pytest.raises(ValueError):
         graph.traverse(edges, seeds, predicates=("supersedes",))
+
+
+def test_history_shares_rounds_between_directions(spark):
+    """Chains longer and shorter than the steps, an id that isn't there: plain walks give the same rows."""
+    size = 11
+    rows = [(f"c{i}", f"c{i - 1}" if i else None, f"c{i + 1}" if i < size - 1 else None) for i in range(size)] + [("lone", None, None)]
+    memories = spark.createDataFrame(rows, "id string, supersedes string, superseded_by string")
+    ids = spark.createDataFrame([("c0",), ("c5",), ("lone",), ("gone",)], "id string")
+    for steps in (0, 1, 3, 4, 64):
+        got = sorted(map(tuple, revise.history(memories, ids, steps).collect()))
+        assert got == sorted([(f"c{a}", f"c{b}", b - a) for a in (0, 5) for b in range(size) if abs(b - a) <= steps] + [("lone", "lone", 0)])
+    assert revise.history(memories.limit(0), ids).collect() == []
