@@ -141,7 +141,7 @@ def text_match(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_ANSWERS}, blocks AS (SELECT conv_id * 1000 + turn AS probe, 'b' || conv_id AS block_id, text FROM conversations), gold AS (SELECT conv_id * 1000 + turn AS probe, left(text, 60) AS text, turn % 4 = 3 AS forbidden FROM conversations),
+    WITH {_ANSWERS}, blocks AS (SELECT conv_id * 1000 + turn AS probe, 'b' || conv_id AS block_id, text FROM conversations), gold AS (SELECT conv_id * 1000 + turn AS probe, text, turn % 4 = 3 AS forbidden FROM conversations),
     r AS (SELECT a.probe, probe % 1000 = 1 AS want, abstained, CASE WHEN used LIKE '%,b1' AND used <> 'b1,b1' THEN 'b1' ELSE '' END AS fraud, CASE WHEN used <> '' AND NOT forbidden AND {_match_sql('g.text', 'b.text')} THEN 1 ELSE 0 END AS gold_supported,
         CASE WHEN forbidden THEN 0 ELSE 1 END AS n_gold, strlen(b.text) // 4 AS est_tokens, NOT forbidden AND {_match_sql('g.text', 'a.body')} AS asserts, forbidden AND {_match_sql('g.text', 'a.body')} AS bad
         FROM answers a JOIN blocks b USING (probe) JOIN gold g USING (probe))
@@ -152,15 +152,15 @@ def score_citations(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").withColumn("probe", F.col("conv_id") * 1000 + F.col("turn"))
     answers = evaluate.parse_citations(_answers(spark, sf_dir)).withColumn("expect_abstain", F.col("probe") % 1000 == 1)
     blocks = rows.select("probe", F.concat(F.lit("b"), "conv_id").alias("block_id"), "text")
-    gold = rows.select("probe", F.substring("text", 1, 60).alias("text"), (F.col("turn") % 4 == 3).alias("forbidden"))
+    gold = rows.select("probe", "text", (F.col("turn") % 4 == 3).alias("forbidden"))
     return evaluate.score_citations(answers, blocks, gold).drop("n_presented").withColumn("fraud", F.array_join("fraud", ","))
 
 
-@query(f"WITH b AS (SELECT conv_id AS probe, string_agg(text, ' ' ORDER BY turn, text) AS blob FROM conversations GROUP BY conv_id), f AS (SELECT conv_id + turn % 2 AS probe, left(text, 30) AS text FROM conversations) SELECT probe, count(*) FILTER (WHERE contains({_NORM.format('blob')}, {_NORM.format('f.text')})) AS leaks FROM b JOIN f USING (probe) GROUP BY probe")
+@query(f"WITH b AS (SELECT conv_id AS probe, string_agg(text, ' ' ORDER BY turn, text) AS blob FROM conversations GROUP BY conv_id), f AS (SELECT conv_id + turn % 2 AS probe, text FROM conversations) SELECT probe, count(*) FILTER (WHERE contains({_NORM.format('blob')}, {_NORM.format('f.text')})) AS leaks FROM b JOIN f USING (probe) GROUP BY probe")
 def leak_check(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations")
     blobs = rows.groupBy(F.col("conv_id").alias("probe")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("blob"))
-    return evaluate.leak_check(blobs, rows.select((F.col("conv_id") + F.col("turn") % 2).alias("probe"), F.substring("text", 1, 30).alias("text")))
+    return evaluate.leak_check(blobs, rows.select((F.col("conv_id") + F.col("turn") % 2).alias("probe"), "text"))
 
 
 _W = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 3))"
@@ -179,7 +179,7 @@ def extract_gold(spark, sf_dir):
 
 
 @query(f"""
-    WITH RECURSIVE p AS (SELECT conv_id AS scenario, turn AS p, text AS said FROM conversations), g AS (SELECT conv_id AS scenario, turn AS g, left(text, 40) AS want FROM conversations WHERE turn % 2 = 0),
+    WITH RECURSIVE p AS (SELECT conv_id AS scenario, turn AS p, text AS said FROM conversations), g AS (SELECT conv_id AS scenario, turn AS g, text AS want FROM conversations WHERE turn % 2 = 0),
     o AS MATERIALIZED (SELECT scenario, g, p, row_number() OVER (PARTITION BY scenario ORDER BY g, p) AS i FROM g JOIN p USING (scenario) WHERE {_match_sql('want', 'said')}),
     f AS (SELECT DISTINCT scenario, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ps FROM p
         UNION ALL SELECT f.scenario, o.i, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN gs ELSE list_append(gs, g) END, CASE WHEN list_contains(gs, g) OR list_contains(ps, p) THEN ps ELSE list_append(ps, p) END
@@ -189,7 +189,7 @@ def extract_gold(spark, sf_dir):
 """)
 def score_extraction(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("scenario"), F.col("turn").alias("idx"), F.lit("put").alias("op"), "text")
-    gold = rows.where("idx % 2 = 0").withColumn("text", F.substring("text", 1, 40))
+    gold = rows.where("idx % 2 = 0")
     return evaluate.score_extraction(rows, gold)
 
 
@@ -264,10 +264,10 @@ def prepare_context(spark, sf_dir):
     return packs.prepare_context(hits, inventory, 1.0)[1]
 
 
-@query(f"WITH {_HITS} SELECT query_id, string_agg(CASE WHEN rank1 % 2 = 0 THEN left(text, 80) ELSE '' END, chr(10) || chr(10) ORDER BY rank1) AS text FROM hits GROUP BY query_id")
+@query(f"WITH {_HITS} SELECT query_id, string_agg(CASE WHEN rank1 % 2 = 0 THEN text ELSE '' END, chr(10) || chr(10) ORDER BY rank1) AS text FROM hits GROUP BY query_id")
 def render_blocks(spark, sf_dir):
     _, hits = _hits(spark, sf_dir)
-    return packs.render_blocks(hits.select("query_id", "rank1", F.when(F.col("rank1") % 2 == 0, F.substring("text", 1, 80)).otherwise("").alias("excerpt")))
+    return packs.render_blocks(hits.select("query_id", "rank1", F.when(F.col("rank1") % 2 == 0, F.col("text")).otherwise("").alias("excerpt")))
 
 
 @query("""
