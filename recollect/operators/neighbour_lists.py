@@ -36,17 +36,29 @@ def list_count(n: int) -> int:
     return max(1, min(round(2 * math.sqrt(n)), MOST_LISTS))
 
 
-def fit_lists(rows: DataFrame, dim: int, lists: int, seed: int = 5) -> np.ndarray:
+def _drawn(rows: DataFrame, n: int | None) -> pa.Table:
+    """The ``SAMPLE_ROWS`` rows of least hash. Of many rows (``n`` of them) those are looked for among four times as many, by a bound of the hash."""
+    hashed = F.xxhash64("id")
+    least = lambda df: df.orderBy(hashed, "id").limit(SAMPLE_ROWS).select("embedding").toArrow()
+    if n and n > 8 * SAMPLE_ROWS:
+        some = least(rows.where(hashed < (1 << 64) * 4 * SAMPLE_ROWS // n - (1 << 63)))
+        if some.num_rows == SAMPLE_ROWS:
+            return some
+    return least(rows)
+
+
+def fit_lists(rows: DataFrame, dim: int, lists: int, seed: int = 5, n: int | None = None) -> np.ndarray:
     """Centroids of length 1 from at most ``SAMPLE_ROWS`` rows (id, embedding), those of least hash: spherical k-means.
 
-    They decide how good the search is, not which rows take part.
+    They decide how good the search is, not which rows take part. Similarities are made ``CHUNK_QUERIES`` rows at a time:
+    all at once they would take the driver memory by rows and lists.
     """
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("embedding").toArrow()
+    drawn = _drawn(rows, n)
     x = units(drawn.column("embedding").combine_chunks(), dim)
     draw = np.random.default_rng(seed)
     centres = x[np.sort(draw.choice(len(x), min(lists, len(x)), replace=False))]
     for _ in range(STEPS):
-        nearest = (x @ centres.T).argmax(1)
+        nearest = _nearest_list(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, nearest, x)
         length = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -54,11 +66,16 @@ def fit_lists(rows: DataFrame, dim: int, lists: int, seed: int = 5) -> np.ndarra
     return centres
 
 
+def _nearest_list(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    parts = [(x[low : low + CHUNK_QUERIES] @ centres.T).argmax(1) for low in range(0, len(x), CHUNK_QUERIES)]
+    return np.concatenate(parts) if parts else np.zeros(0, int)
+
+
 def _assigner(centres: np.ndarray, names: list[str]) -> Callable:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = units(batch.column("embedding"), centres.shape[1])
-            own = (x @ centres.T).argmax(1).astype("i4")
+            own = _nearest_list(x, centres).astype("i4")
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(own)], [*names, "list"])
 
@@ -67,7 +84,7 @@ def _assigner(centres: np.ndarray, names: list[str]) -> Callable:
 
 def _prober(centres: np.ndarray, probes: int, names: list[str]) -> Callable:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, CHUNK_QUERIES) for whole in batches for low in range(0, whole.num_rows, CHUNK_QUERIES)):
             near = units(batch.column("embedding"), centres.shape[1]) @ centres.T
             chosen = np.argsort(-near, 1, kind="stable")[:, :probes].astype("i4")
             take = pa.array(np.repeat(np.arange(batch.num_rows), chosen.shape[1]))
@@ -114,7 +131,7 @@ class Lists:
         self.kept = [c for c in ("id", "embedding", *SEEN_BY) if c in memories.columns]
         rows = memories.where(F.size("embedding") == dim).select(self.kept)
         self.n = rows.count()
-        self.centres = fit_lists(rows, dim, lists or list_count(self.n), seed) if self.n else np.zeros((0, dim))
+        self.centres = fit_lists(rows, dim, lists or list_count(self.n), seed, self.n) if self.n else np.zeros((0, dim))
         keyed = saved(rows.mapInArrow(_assigner(self.centres, self.kept), _listed(rows)), "listed") if self.n else None
         self.sizes = [0] * len(self.centres)  # at most MOST_LISTS
         if keyed is None:
