@@ -18,6 +18,8 @@ from recollect.sources.shared import saved
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 QUERY_BYTES = 32 << 20
 BLOCK_ROWS = 2048
+#: Queries that are scored at once: with as many rows as a block has, 8 MB of scores.
+CHUNK_QUERIES = 512
 
 
 def _hash_texts(texts: pd.Series, dim: int) -> list[list[float]]:
@@ -64,8 +66,8 @@ def unit(embedding: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def _nearest(ids: pa.Array, q: np.ndarray, lens: Lens, k: int):
-    """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id."""
+def _nearest(chunks: list[tuple[pa.Array, np.ndarray, Lens]], k: int) -> Callable:
+    """The ``k`` best of each batch for each query: by score rounded to 9 digits, then id. Scores are made a chunk of queries at a time."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,17 +75,19 @@ def _nearest(ids: pa.Array, q: np.ndarray, lens: Lens, k: int):
                 batch = whole.slice(low, BLOCK_ROWS)
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(batch.num_rows, -1)
                 length = np.sqrt((x * x).sum(1, keepdims=True))
-                scores = q @ (x / np.where(length > 0, length, 1)).T
-                ranked = np.where(lens.mask(batch), np.round(scores, 9), -np.inf)
-                least = np.partition(ranked, -k, 1)[:, -k] if ranked.shape[1] > k else np.full(len(q), -np.inf)
+                x /= np.where(length > 0, length, 1)
                 names = np.array(batch.column("id").to_pylist(), object)
-                rows, columns = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
-                order = np.lexsort((names[columns], -ranked[rows, columns], rows))
-                place = np.arange(len(order)) - np.searchsorted(rows, rows[order])
-                order = order[place < k]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows[order])), pa.array(names[columns[order]], pa.string()), pa.array(scores[rows[order], columns[order]])], ["query_id", "id", "score"]
-                )
+                for ids, q, lens in chunks:
+                    scores = q @ x.T
+                    ranked = np.where(lens.mask(batch), np.round(scores, 9), -np.inf)
+                    least = np.partition(ranked, -k, 1)[:, -k] if ranked.shape[1] > k else np.full(len(q), -np.inf)
+                    rows, columns = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
+                    order = np.lexsort((names[columns], -ranked[rows, columns], rows))
+                    place = np.arange(len(order)) - np.searchsorted(rows, rows[order])
+                    order = order[place < k]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(rows[order])), pa.array(names[columns[order]], pa.string()), pa.array(scores[rows[order], columns[order]])], ["query_id", "id", "score"]
+                    )
 
     return near
 
@@ -93,8 +97,8 @@ def knn_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
 
     A query sees what its scope and lenses allow, if it has any (see ``lenses.seen``): a mask over each block of
     scores. Queries go out in blocks of at most ``QUERY_BYTES``, and each batch of memories keeps its own ``k``
-    best, so that what is shuffled is ``k`` rows a query and batch. More queries than a block make more
-    passes, and so do queries of several dimensions: a query meets the vectors of its own. Vectors without values take no part.
+    best, so that what is shuffled is ``k`` rows a query and batch. A worker scores ``CHUNK_QUERIES`` of them at
+    a time, so that its memory doesn't grow with their number. More queries than a block make more passes, and so do queries of several dimensions: a query meets the vectors of its own. Vectors without values take no part.
     """
     lens = lens_of(queries)
     asked = saved(queries.where(F.size("embedding") > 0).select("query_id", "embedding", F.size("embedding").alias("dim"), *lens), "asked")
@@ -119,11 +123,13 @@ def units(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _near_block(part: pa.Table, dim: int, k: int, spark: SparkSession) -> Callable:
-    shared = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), units(part.column("embedding").combine_chunks(), dim), Lens(part)))
+    pieces = [part.slice(low, CHUNK_QUERIES).combine_chunks() for low in range(0, part.num_rows, CHUNK_QUERIES)]
+    piece = lambda p, c: pa.concat_arrays(p.column(c).chunks)
+    shared = spark.sparkContext.broadcast([(piece(p, "query_id"), units(piece(p, "embedding"), dim), Lens(p)) for p in pieces])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, lens = shared.value
-        yield from _nearest(ids, q, lens, k)(batches) if len(ids) else ()
+        chunks = shared.value
+        yield from _nearest(chunks, k)(batches) if chunks else ()
 
     return near
 
