@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +20,17 @@ QUERY_BYTES = 32 << 20
 BLOCK_ROWS = 2048
 #: Queries that are scored at once: with as many rows as a block has, 8 MB of scores.
 CHUNK_QUERIES = 512
+TEXT_ROWS = 256
+KNOWN_WORDS = 100_000
 
 
-def _hash_texts(texts: pd.Series, dim: int) -> list[list[float]]:
-    """Signed hashed bags of words at length 1: FNV-1a of each word picks a place, its bit 32 the sign."""
-    import re
-
-    known: dict[str, tuple[int, float]] = {}
+def _hash_vectors(texts: Iterable[str | None], dim: int, known: dict[str, tuple[int, float]]) -> np.ndarray:
+    """Signed hashed bags of words at length 1: FNV-1a of each word picks a place, its bit 32 the sign. ``known`` words, up to a bound, are kept."""
     split = re.compile(r"[^\w]+|_+")
     out = []
     for text in texts:
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         v = np.zeros(dim)
         for word in filter(None, split.split((text or "").lower())):
             if word not in known:
@@ -40,16 +41,24 @@ def _hash_texts(texts: pd.Series, dim: int) -> list[list[float]]:
             at, sign = known[word]
             v[at] += sign
         norm = np.sqrt(v @ v)
-        out.append((v / norm if norm else v).astype("f4").tolist())
-    return out
+        out.append((v / norm if norm else v).astype("f4"))
+    return np.array(out, "f4").reshape(-1, dim)
 
 
-def hash_embed(text: Column, dim: int) -> Column:
-    """A text's hashed vector of floats; a text without words has the zero vector."""
+def _hash_texts(texts: Iterable[str | None], dim: int) -> list[list[float]]:
+    return _hash_vectors(texts, dim, {}).tolist()
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(_hash_texts(texts, dim))
+
+def hash_embed(text: Column, dim: int) -> Column:
+    """A text's hashed vector of floats; a text without words has the zero vector. A worker has ``TEXT_ROWS`` texts at a time as Python's."""
+
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, tuple[int, float]] = {}
+        for texts in batches:
+            parts = [_hash_vectors(texts.slice(low, TEXT_ROWS).to_pylist(), dim, known) for low in range(0, len(texts), TEXT_ROWS)]
+            values = np.concatenate([np.zeros((0, dim), "f4"), *parts])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype="i4") * dim), pa.array(values.reshape(-1)))
 
     return embed(text)
 

@@ -45,3 +45,17 @@ def test_scores_are_made_a_chunk_of_queries_at_a_time(spark):
     scores[1::2, 1::2] = -2  # queries of scope a
     best = {(i, f"m{j}") for i, row in enumerate(np.argsort(-scores, 1)[:, :2]) for j in row}
     assert set(zip(found["query_id"].to_pylist(), found["id"].to_pylist())) == best
+
+
+def test_texts_are_hashed_a_part_at_a_time_with_a_bounded_cache(spark):
+    known = {}
+    before = vectors.KNOWN_WORDS
+    vectors.KNOWN_WORDS = 50
+    try:
+        found = vectors._hash_vectors([f"word{i} other{i}" for i in range(500)], 8, known)
+    finally:
+        vectors.KNOWN_WORDS = before
+    assert len(known) <= 52 and found.shape == (500, 8) and found[7].tolist() == vectors._hash_texts(["word7 other7"], 8)[0]
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("Text of "), "id")).alias("t"))
+    texts = [r.t for r in rows.orderBy("id").collect()]
+    assert [r.v for r in rows.select("id", vectors.hash_embed(F.col("t"), 4).alias("v")).orderBy("id").collect()] == vectors._hash_texts(texts, 4)
