@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +14,8 @@ from recollect.operators.fusion import search
 from recollect.operators.vectors import _hash_texts
 
 BATCH = 64
+#: Rows that a worker has as Python's objects at a time.
+PART_ROWS = 256
 EMBEDDED = "embedding array<float>, embedding_identity string"
 
 
@@ -34,7 +36,7 @@ class HashEmbedder:
         self.identity, self.dim = f"hash-fnv1a-{dim}", dim
 
     def open(self) -> Callable[[list[str]], list[list[float]]]:
-        return lambda texts: _hash_texts(pd.Series(texts), self.dim)
+        return lambda texts: _hash_texts(texts, self.dim)
 
 
 _open: dict[str, Callable] = {}
@@ -58,23 +60,23 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int =
     rows = rows.withColumn("embedding", F.col("embedding").cast("array<float>"))
     schema = StructType(rows.schema.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(embedder)
-        for frame in frames:
-            frame = frame.reset_index(drop=True)
-            wanted = frame.index[frame["embedding"].isna() & (frame[text].fillna("").str.strip() != "")]
-            vectors, identities = list(frame["embedding"]), list(frame["embedding_identity"])
+        for part in (whole.slice(low, PART_ROWS) for whole in batches for low in range(0, whole.num_rows, PART_ROWS)):
+            texts = part.column(text).to_pylist()
+            vectors, identities = part.column("embedding").to_pylist(), part.column("embedding_identity").to_pylist()
+            wanted = [i for i, t in enumerate(texts) if vectors[i] is None and (t or "").strip()]
             for low in range(0, len(wanted), batch):
-                at = wanted[low : low + batch].tolist()
-                found = model(frame.loc[at, text].tolist())
+                at = wanted[low : low + batch]
+                found = model([texts[i] for i in at])
                 if len(found) != len(at) or any(len(v) != embedder.dim for v in found):
                     raise ValueError(f"{embedder.identity} didn't give {len(at)} vectors of {embedder.dim}")
                 for i, vector in zip(at, found):
                     vectors[i], identities[i] = vector, embedder.identity
-            frame["embedding"], frame["embedding_identity"] = pd.Series(vectors, dtype=object), pd.Series(identities, dtype=object)
-            yield frame
+            made = {"embedding": pa.array(vectors, pa.list_(pa.float32())), "embedding_identity": pa.array(identities, pa.string())}
+            yield pa.RecordBatch.from_arrays([made.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def of_identity(rows: DataFrame, identity: str) -> DataFrame:

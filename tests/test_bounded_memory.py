@@ -59,3 +59,29 @@ def test_texts_are_hashed_a_part_at_a_time_with_a_bounded_cache(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("Text of "), "id")).alias("t"))
     texts = [r.t for r in rows.orderBy("id").collect()]
     assert [r.v for r in rows.select("id", vectors.hash_embed(F.col("t"), 4).alias("v")).orderBy("id").collect()] == vectors._hash_texts(texts, 4)
+
+
+def test_embedders_see_parts_of_a_batch(spark):
+    taken = []
+
+    class Embedder(embedders.HashEmbedder):
+        def open(self):
+            run = super().open()
+            return lambda texts: taken.append(len(texts)) or run(texts)
+
+    caught = {}
+
+    class Rows:
+        schema, columns = spark.createDataFrame([], "text string, embedding array<float>, embedding_identity string").schema, ["text", "embedding", "embedding_identity"]
+        withColumns = withColumn = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            caught["run"] = run
+
+    embedders._open.clear()
+    embedders.embed(Rows(), Embedder(4))
+    n = 3 * embedders.PART_ROWS
+    whole = pa.RecordBatch.from_arrays([pa.array(["a b"] * n), pa.nulls(n, pa.list_(pa.float32())), pa.nulls(n, pa.string())], ["text", "embedding", "embedding_identity"])
+    parts = list(caught["run"](iter([whole])))
+    assert [p.num_rows for p in parts] == [embedders.PART_ROWS] * 3 and sum(taken) == n and max(taken) <= embedders.BATCH
+    embedders._open.clear()
