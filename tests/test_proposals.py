@@ -65,3 +65,22 @@ def test_components(spark):
     got = {r.node: r.root for r in component_roots(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in want}
     assert component_roots(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sets_that_share_tokens_but_arent_similar_make_no_rows(spark):
+    import random
+
+    from recollect.operators.similar_sets import candidates
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    sets = [sorted(draw.sample(words, draw.choice((20, 30, 90, 140)))) for _ in range(300)]
+    sets += [sorted({*s, *draw.sample(words, 3)}) for s in sets[:40]] + [words, words[:240], words[:239], ["one"], ["one", "two"]]
+    rows = [(i, ("a", "b")[i % 2], "semantic", s) for i, s in enumerate(sets)] + [(1000, None, "semantic", ["one"])]
+    found = candidates(spark.createDataFrame(rows, "no long, scope string, category string, tokens array<string>"), 0.6)
+    met = [tuple(r) for r in found.collect()]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if i % 2 == j % 2 and len({*sets[i]} & {*sets[j]}) >= 0.6 * len({*sets[i]} | {*sets[j]}) - 1e-9}
+    assert alike <= set(met) and len(met) == len(set(met)) and len(met) < 3 * len(alike)
+    one, two = zip(*[(i, j) for i, j in alike])
+    assert max(one) >= 300 or max(two) >= 300
+    assert candidates(spark.createDataFrame(rows[:0], "no long, scope string, category string, tokens array<string>"), 0.6).collect() == []
