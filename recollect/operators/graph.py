@@ -175,8 +175,8 @@ def traverse(
     weren't taken, ``edges`` if that many were scanned, ``visited`` if edges were left when that many nodes
     were seen. A seed that meets one of the last two goes no deeper. ``edges`` has subject, predicate, object
     and, if there, id and state; edges from a node to itself don't count. Since budgets bound what a seed
-    can meet, no more of a hub's edges than the budget are joined. Each level is a join and an anti join,
-    and is written. Predicates that the store alone keeps (``RESERVED``) aren't walked, and asking for one is an error.
+    can meet, no more of a hub's edges than the budget are joined, and sums of degrees tell which of a level's
+    edges a seed's budget reaches before any edge is joined. Each level is two joins and an anti join, and is written. Predicates that the store alone keeps (``RESERVED``) aren't walked, and asking for one is an error.
     """
     if set(predicates or ()) & set(RESERVED):
         raise ValueError("foundation-maintained predicates are not traversable")
@@ -184,23 +184,26 @@ def traverse(
     if "state" in edges.columns:
         edges = edges.where(F.col("state").isin(*states))
     allowed = F.col("predicate").isin(*predicates) if predicates else ~F.col("predicate").isin(*RESERVED)
-    steps = saved(_steps(edges.where(allowed), direction, most_edges + 1), "steps").withColumnRenamed("a", "node")
+    moves = _steps(edges.where(allowed), direction).withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("id", "b")))
+    steps = saved(moves.where(F.col("nth") <= most_edges + 1).withColumnRenamed("a", "node"), "steps")
+    degrees = saved(steps.groupBy("node").agg(F.max("nth").alias("degree")), "degrees")
     first = seeds.select(F.col("id").alias("seed")).distinct()
     none = F.array().cast("array<string>")
     frontier = first.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), none.alias("path"), F.lit(1).alias("rank"), F.lit(0).cast("long").alias("scanned"), F.lit(1).cast("long").alias("seen"))
     frontier = nodes = saved(frontier, "level")
     told = first.select("seed", F.lit(1).cast("long").alias("seen"), F.lit(0).cast("long").alias("scanned"), F.lit(None).cast("string").alias("mark"))
     for level in range(1, depth + 1):
-        order = Window.partitionBy("seed").orderBy("rank", "id", "b")
-        ahead = frontier.select("seed", "node", "path", "rank", "scanned", "seen").join(steps, "node").withColumn("pos", F.col("scanned") + F.row_number().over(order))
-        ahead = saved(ahead.select("seed", "b", "pos", "scanned", "seen", F.concat("path", F.array("id")).alias("path")), "ahead")
-        within = ahead.where(F.col("pos") <= most_edges)
+        upto = F.sum("degree").over(Window.partitionBy("seed").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        heads = frontier.select("seed", "node", "path", "rank", "scanned", "seen").join(degrees, "node").withColumn("upto", F.col("scanned") + upto)
+        heads = saved(heads.withColumn("base", F.col("upto") - F.col("degree")), "heads")
+        within = heads.where(F.col("base") < most_edges).join(steps, "node").withColumn("pos", F.col("base") + F.col("nth")).where(F.col("pos") <= most_edges)
+        within = within.select("seed", "b", "pos", "seen", F.concat("path", F.array("id")).alias("path"))
         fresh = within.groupBy("seed", F.col("b").alias("node")).agg(F.min(F.struct("pos", "path", "seen")).alias("f"))
         fresh = fresh.join(nodes.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "f.*")
         fresh = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("pos"))).where(F.col("rank") <= visited - F.col("seen"))
         fresh = saved(fresh, "fresh")
         found = fresh.groupBy("seed").agg(F.count("*").alias("found"), F.max("pos").alias("last"))
-        per = ahead.groupBy("seed").agg(F.max("pos").alias("pos"), F.max("scanned").alias("before"), F.max("seen").alias("seen")).join(found, "seed", "left")
+        per = heads.groupBy("seed").agg(F.max("upto").alias("pos"), F.max("scanned").alias("before"), F.max("seen").alias("seen")).join(found, "seed", "left")
         total = F.col("seen") + F.coalesce("found", F.lit(0))
         upto = F.least("pos", F.lit(most_edges))
         full = (total >= visited) & (upto > F.coalesce("last", "before"))

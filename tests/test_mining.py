@@ -58,3 +58,26 @@ def test_probes_by_kind(spark):
         "s1::d1": ("Cache Eviction", ["s2", "s9"], ["s1"], 1), "s3::d2": ("Disk Layout", ["s5"], ["s3", "s4"], 2), "s8::lex": ("Query Planner", ["s9"], ["s8"], 0),
     }
     assert graph.mine_probes(sections, edges.where(F.lit(False))).collect() == []
+
+
+def test_a_walk_joins_no_edges_beyond_its_budget(spark, monkeypatch):
+    from recollect.operators import graph as g
+
+    sizes, keep = {}, g.saved
+
+    def spied(df, label):
+        out = keep(df, label)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(g, "saved", spied)
+    first = [("s", "supports", f"a{i:02}") for i in range(12)]
+    beyond = [(f"a{i:02}", "supports", f"b{j:02}") for i in range(12) for j in range(20)]
+    edges = spark.createDataFrame(first + beyond, "subject string, predicate string, object string")
+    nodes, stats = g.traverse(edges, spark.createDataFrame([("s",)], "id string"), 2, "out", 100, 40)
+    found = {(r.node, r.depth): r.path for r in nodes.collect()}
+    # 12 edges from the seed, 20 of a00, then 8 of a01, which lead to nodes that a00 has led to
+    assert set(found) == {("s", 0)} | {(f"a{i:02}", 1) for i in range(12)} | {(f"b{j:02}", 2) for j in range(20)}
+    assert all(found[f"b{j:02}", 2] == ["s|supports|a00", f"a00|supports|b{j:02}"] for j in range(20))
+    assert [tuple(r) for r in stats.collect()] == [("s", 33, 40, 2, ["edges"])]
+    assert max(n for label, n in sizes.items() if label != "steps") <= 40
