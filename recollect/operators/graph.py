@@ -359,15 +359,20 @@ def mine_edges(sections: DataFrame) -> DataFrame:
 
     A definition is a requirement id right after two asterisks; of several the first in order of (doc,
     section) stands. A link's target counts up to its #, by the file's name without folders and .md. No self edges; each once.
+    Sections are made once: what their texts name is written, without the texts.
     """
     found = lambda pattern, group: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))
-    defines = sections.select("doc", "section", "label", F.explode(found(rf"(?<=\*\*)({REQUIREMENT})", 1)).alias("req"))
+    named = sections.select(
+        "doc", "section", "label", found(rf"(?<=\*\*)({REQUIREMENT})", 1).alias("defines"), found(rf"(?<![A-Za-z0-9-])({REQUIREMENT})", 1).alias("uses"), found(r"\]\(([^)]*)", 1).alias("links")
+    )
+    named = saved(named, "named")
+    defines = named.select("doc", "section", "label", F.explode("defines").alias("req"))
     first = defines.groupBy("req").agg(F.min_by("label", F.struct("doc", "section")).alias("object"))
-    uses = sections.select(F.col("label").alias("subject"), F.explode(found(rf"(?<![A-Za-z0-9-])({REQUIREMENT})", 1)).alias("req"))
+    uses = named.select(F.col("label").alias("subject"), F.explode("uses").alias("req"))
     derived = uses.join(first, "req").select("subject", F.lit("derived_from").alias("predicate"), "object")
-    links = sections.select(F.col("label").alias("subject"), F.explode(found(r"\]\(([^)]*)", 1)).alias("target"))
+    links = named.select(F.col("label").alias("subject"), F.explode("links").alias("target"))
     links = links.select("subject", F.regexp_extract(F.substring_index("target", "#", 1), r"([^/]+)\.md$", 1).alias("doc")).where("doc <> ''")
-    preambles = sections.where("section = 0").select("doc", F.col("label").alias("object"))
+    preambles = named.where("section = 0").select("doc", F.col("label").alias("object"))
     linked = links.join(preambles, "doc").select("subject", F.lit("depends_on").alias("predicate"), "object")
     return derived.unionByName(linked).where("subject <> object").distinct()
 

@@ -81,3 +81,20 @@ def test_a_walk_joins_no_edges_beyond_its_budget(spark, monkeypatch):
     assert all(found[f"b{j:02}", 2] == ["s|supports|a00", f"a00|supports|b{j:02}"] for j in range(20))
     assert [tuple(r) for r in stats.collect()] == [("s", 33, 40, 2, ["edges"])]
     assert max(n for label, n in sizes.items() if label != "steps") <= 40
+
+
+def test_edges_are_mined_from_sections_that_are_made_once(spark):
+    from recollect.operators import graph as g
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        made.add(1)
+        return text
+
+    rows = [("a", 0, "a::00-preamble", "**REQ-001** here"), ("b", 0, "b::00-preamble", "see REQ-001 in [it](x/a.md#y)"), ("b", 1, "b::one", "nothing")]
+    sections = spark.createDataFrame(rows, "doc string, section long, label string, text string").select("doc", "section", "label", told("text").alias("text"))
+    got = {tuple(r) for r in g.mine_edges(sections).collect()}
+    assert got == {("b::00-preamble", "derived_from", "a::00-preamble"), ("b::00-preamble", "depends_on", "a::00-preamble")}
+    assert made.value == len(rows)
