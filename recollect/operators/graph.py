@@ -389,13 +389,14 @@ def mine_probes(sections: DataFrame, edges: DataFrame) -> DataFrame:
     Gold are the linked sections that share no telling word with the heading (kind d1, depth 1). Without any, these are the
     sections one step farther, neither the section itself nor linked, that share none (d2, depth 2); without those all
     linked ones (lex, depth 0), a baseline. Seeds are the section, and for d2 its targets too. The second
-    step is walked only from sections that need it, and words are looked up instead of texts carried along.
+    step is walked only from sections that need it, and words are looked up, of sections that some edge leads to, instead of texts carried along.
     """
     pairs = saved(edges.select(F.col("subject").alias("label"), "object").distinct(), "pairs")
     asked = sections.select("label", F.col("heading").alias("query"), telling_words(F.col("heading")).alias("q")).where(F.size("q") >= 2)
     asked = saved(asked.join(pairs.select("label").distinct(), "label", "left_semi"), "asked")
     of_query = asked.select("label", F.explode("q").alias("word"))
-    held = sections.select(F.col("label").alias("object"), F.explode(telling_words(F.col("text"))).alias("word"))
+    linked = sections.join(pairs.select(F.col("object").alias("label")).distinct(), "label", "left_semi")
+    held = linked.select(F.col("label").alias("object"), F.explode(telling_words(F.col("text"))).alias("word"))
     held = saved(held.join(of_query.select("word").distinct(), "word", "left_semi"), "held")
 
     def apart(links: DataFrame, name: str) -> DataFrame:

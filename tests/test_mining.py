@@ -98,3 +98,22 @@ def test_edges_are_mined_from_sections_that_are_made_once(spark):
     got = {tuple(r) for r in g.mine_edges(sections).collect()}
     assert got == {("b::00-preamble", "derived_from", "a::00-preamble"), ("b::00-preamble", "depends_on", "a::00-preamble")}
     assert made.value == len(rows)
+
+
+def test_only_words_of_linked_sections_are_held(spark, monkeypatch):
+    from recollect.operators import graph as g
+
+    sizes, keep = {}, g.saved
+
+    def spied(df, label):
+        out = keep(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(g, "saved", spied)
+    rows = [("a", "green leaves", "green leaves grow"), ("b", "other heading", "leaves fall")] + [(f"c{i}", "", "green leaves again") for i in range(30)]
+    sections = spark.createDataFrame(rows, "label string, heading string, text string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a")], "subject string, object string")
+    got = {r.label: (r["name"], r.gold, r.seeds) for r in g.mine_probes(sections, edges).collect()}
+    assert got == {"a": ("a::lex", ["b"], ["a"]), "b": ("b::d1", ["a"], ["b"])}
+    assert sizes["held"] <= 4
