@@ -1,6 +1,6 @@
 """Each query's best texts by weights of terms, without a row for every match.
 
-Texts go to the tasks as rows of their weighted terms, queries as a broadcast block. A batch of texts knows each term's
+Texts go to the tasks as rows of their weighted terms, or of their tokens, which the tasks weigh; queries go as a broadcast block. A batch of texts knows each term's
 greatest weight in it; a query whose greatest weights can't sum up to the k-th score that the task has found
 for it, or that lacks a term it must have, passes over the batch. What leaves a task is ``k`` rows a query at most.
 """
@@ -35,6 +35,9 @@ class _Block:
         self.names = coded.dictionary.to_pylist()
         self.flat = coded.indices.to_numpy(zero_copy_only=False)
         self.starts = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False))])
+        self.idf = np.zeros(len(self.names))
+        if "idf" in part.column_names:
+            self.idf[self.flat] = part.column("idf").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         self.lens = Lens(part)
 
 
@@ -51,7 +54,19 @@ def _postings(batch: pa.RecordBatch, number: dict[str, int], n_terms: int) -> tu
     return np.searchsorted(of[kept], np.arange(n_terms + 1)), rows[kept], weight[kept]
 
 
-def _finder(block, k: int, every: bool) -> Callable:
+def _weighed(batch: pa.RecordBatch, number: dict[str, int], idf: np.ndarray, factor: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of a batch of tokens, weighed here."""
+    tokens, n = batch.column("tokens"), batch.num_rows
+    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = tokens.flatten().dictionary_encode()
+    of = np.array([number.get(name, -1) for name in coded.dictionary.to_pylist()] or [-1])[coded.indices.to_numpy(zero_copy_only=False)]
+    kept = np.flatnonzero(of >= 0)
+    met, tf = np.unique(of[kept] * n + np.repeat(np.arange(n), lengths)[kept], return_counts=True)
+    term, rows = met // n, met % n
+    return np.searchsorted(term, np.arange(len(idf) + 1)), rows, idf[term] * factor(tf, lengths[rows])
+
+
+def _finder(block, k: int, every: bool, factor: Callable | None) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: _Block = block.value
         number, n = {name: i for i, name in enumerate(asked.names)}, len(asked.ids)
@@ -62,7 +77,7 @@ def _finder(block, k: int, every: bool) -> Callable:
         for whole in batches:
             for low in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(low, BATCH_ROWS)
-                starts, rows, weights = _postings(batch, number, len(asked.names))
+                starts, rows, weights = _weighed(batch, number, asked.idf, factor) if factor else _postings(batch, number, len(asked.names))
                 has = np.diff(starts) > 0
                 most = np.zeros(len(has))
                 most[has] = np.maximum.reduceat(weights, starts[:-1][has]) if has.any() else 0
@@ -105,18 +120,36 @@ def best_texts(queries: DataFrame, terms: DataFrame, weights: DataFrame, memorie
     Texts must be seen by a query's scope and lenses (see ``lenses.seen``). Queries go out in blocks of
     ``QUERY_ROWS``; each block is a pass over the weights.
     """
-    spark, lens = queries.sparkSession, lens_of(queries)
     weighted = weights.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("weighted"))  # a text's terms
-    if lens:
-        weighted = weighted.join(memories.select("id", *[c for c in SEEN_BY if c in memories.columns]), "id")
-    listed = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.first("n_terms").alias("n_terms"))
-    asked = saved(listed.join(queries.select("query_id", *lens), "query_id"), "asked")
+    if lens_of(queries):
+        weighted = weighted.join(memories.select("id", *_seen_by(memories)), "id")
+    return _passes(queries, terms, weighted, k, match)
+
+
+def best_of_tokens(queries: DataFrame, terms: DataFrame, factor: Callable, texts: DataFrame, k: int, match: str = "all") -> DataFrame:
+    """``best_texts`` without a table of weights: ``texts`` have tokens, and a text's are counted and weighed where it lies, so none is shuffled.
+
+    ``terms`` have idf too. A term is worth that times ``factor`` of its occurrences in a text and the number of the text's tokens (arrays).
+    """
+    rows = texts.select("id", "tokens", *(_seen_by(texts) if lens_of(queries) else []))
+    return _passes(queries, terms, rows, k, match, factor)
+
+
+def _seen_by(memories: DataFrame) -> list[str]:
+    return [c for c in SEEN_BY if c in memories.columns]
+
+
+def _passes(queries: DataFrame, terms: DataFrame, rows: DataFrame, k: int, match: str, factor: Callable | None = None) -> DataFrame:
+    spark = queries.sparkSession
+    idf = [F.collect_list("idf").alias("idf")] if factor else []
+    listed = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.first("n_terms").alias("n_terms"), *idf)
+    asked = saved(listed.join(queries.select("query_id", *lens_of(queries)), "query_id"), "asked")
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    weighted = saved(weighted, "weighted") if blocks > 1 else weighted
+    rows = saved(rows, "weighted") if blocks > 1 else rows
     kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double"
     out = None
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)) == block).toArrow()
-        found = weighted.mapInArrow(_finder(spark.sparkContext.broadcast(_Block(part)), k, match == "all"), kind)
+        found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(_Block(part)), k, match == "all", factor), kind)
         out = found if out is None else out.unionByName(found)
     return out

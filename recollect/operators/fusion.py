@@ -110,10 +110,10 @@ def attach_entities(hits: DataFrame, memories: DataFrame) -> DataFrame:
 
 def iterative_requery(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """Two rounds: the second adds to the query the first four long words, sorted, of the top hit; ranks of round one first."""
-    first = bm25_search(queries, memories, k, "any")
+    first = saved(bm25_search(queries, memories, k, "any"), "round-one")  # ``k`` rows a query, read twice
     words = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 4)))
     top = first.where("rank1 = 1").join(memories.select("id", "text"), "id").select("query_id", F.array_join(F.slice(words, 1, 4), " ").alias("extra"))
-    again = queries.join(top, "query_id").select("query_id", *lens_of(queries), F.concat_ws(" ", "query", "extra").alias("query"))
+    again = saved(queries.join(top, "query_id").select("query_id", *lens_of(queries), F.concat_ws(" ", "query", "extra").alias("query")), "asked-again")
     second = bm25_search(again, memories, k, "any")
     both = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
     best = both.groupBy("query_id", "id").agg(F.min(F.struct("round", "rank1")).alias("at"))

@@ -1,12 +1,13 @@
 """The bounded text search against all scores, ranked."""
 
+import math
 import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import best_texts, lenses, lexical
+from recollect.operators import best_texts, fusion, lenses, lexical
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -57,3 +58,17 @@ def test_as_of_is_now_by_default(spark):
     asked = spark.createDataFrame([(1, None), (2, datetime(2024, 1, 1))], "query_id int, as_of timestamp_ntz")
     assert [r.as_of for r in lenses.at_present(asked, now).orderBy("query_id").collect()] == [datetime(2024, 3, 1), datetime(2024, 1, 1)]
     assert [r.as_of for r in lenses.at_present(asked.select("query_id"), now).collect()] == [datetime(2024, 3, 1)] * 2
+
+
+def test_no_text_is_shuffled_and_null_texts_count(spark):
+    rows = spark.createDataFrame([("a", "red green"), ("b", "blue"), ("c", "blue blue"), ("d", None)], "id string, text string")
+    found = lexical.bm25_search(spark.createDataFrame([(1, "Green")], "query_id int, query string"), rows, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.rindex("Exchange")  # the window's, over what the tasks found
+    (hit,) = found.collect()
+    assert hit.id == "a" and hit.score == pytest.approx(math.log((4 - 1 + 0.5) / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / (5 / 3))))
+
+
+def test_a_second_round_doesnt_search_the_first_again(spark, table, queries):
+    out = fusion.iterative_requery(queries.drop("categories", "limit"), table, 4)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
