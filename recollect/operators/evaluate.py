@@ -200,12 +200,15 @@ def validate_scenarios(scenarios: DataFrame, memories: DataFrame, probes: DataFr
 
 
 def passage_gold(passages: DataFrame, memories: DataFrame) -> DataFrame:
-    """(probe, key) of memories that hold a passage (probe, query) verbatim: only texts with all of its words are searched."""
-    from recollect.operators.lexical import bm25_scores
-
-    near = bm25_scores(passages.select(F.col("probe").alias("query_id"), "query"), memories, "all").select(F.col("query_id").alias("probe"), "id")
-    both = near.join(passages.select("probe", "query"), "probe").join(memories.select("id", "text"), "id")
-    return both.where(F.contains("text", F.col("query"))).select("probe", F.col("id").alias("key"))
+    """(probe, key) of memories that hold a passage (probe, query) verbatim, from within a word too; an empty passage is in every text."""
+    from recollect.operators.text_gold import contained
+
+    digest = F.sha2("query", 256)
+    needles = passages.where("query IS NOT NULL").select(digest.alias("needle"), F.col("query").alias("text")).distinct()
+    hays = memories.where("text IS NOT NULL").select(F.col("id").alias("hay"), "text")
+    found = contained(needles, hays).join(passages.select("probe", digest.alias("needle")), "needle").select("probe", F.col("hay").alias("key"))
+    empty = passages.where("query = ''").select("probe").crossJoin(hays.select(F.col("hay").alias("key")))  # such pairs are the result
+    return found.unionByName(empty)
 
 
 def run_probes(probes: DataFrame, memories: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.operators.evaluate import score_probes
-from recollect.sources.shared import saved
+from recollect.sources.shared import SHORT_ROWS, saved, short
 
 GRAM = 3
+#: Texts of needles that may be broadcast.
+MOST_BYTES = 20_000_000
 
 
 def normalised_text(text: Column) -> Column:
@@ -28,24 +30,30 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
-    """(needle, hay) of ``needles`` (needle, text) and ``hays`` (hay, text) whose text has the needle's somewhere; blank needles are left out."""
+    """(needle, hay) of ``needles`` (needle, text) and ``hays`` (hay, text) whose text has the needle's somewhere; blank needles are left out.
+
+    Two passes over the hays: one counts marks, one tests the texts that hold an anchor where they lie. Only if the needles
+    are over ``MOST_BYTES`` or there are very many, pairs of ids are shuffled and texts joined to them.
+    """
     words, text = F.split("text", " "), F.col("text")
     many = F.size(words) > 2
-    word = lambda w: F.concat(F.lit("w"), w)
-    gram = lambda g: F.concat(F.lit("g"), g)
-    short = F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))
-    marks = F.when(many, F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), word)).otherwise(F.transform(short, gram))
+    short_marks = F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))
+    marks = F.when(many, F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(short_marks)
     needles = saved(needles.where("text <> ''"), "needles")
-    marked = needles.select("needle", F.explode(F.array_distinct(marks)).alias("mark"))
-    held = F.transform(words, word)
-    if needles.where(~many).limit(1).count():
-        held = F.concat(held, *[F.transform(_grams(text, n), gram) for n in range(1, GRAM + 1)])
-    in_hays = hays.select("hay", F.explode(F.array_distinct(held)).alias("mark")).join(marked.select("mark").distinct(), "mark", "left_semi")
-    in_hays = saved(in_hays, "marks")
-    anchor = marked.join(in_hays.groupBy("mark").agg(F.count("*").alias("df")), "mark").groupBy("needle").agg(F.min(F.struct("df", "mark")).alias("m"))
-    met = anchor.select("needle", F.col("m.mark").alias("mark")).join(in_hays, "mark").select("needle", "hay")
-    both = met.join(needles.withColumnRenamed("text", "n_text"), "needle").join(hays.withColumnRenamed("text", "h_text"), "hay")
-    return both.where(F.contains("h_text", "n_text")).select("needle", "hay")
+    marked = saved(needles.select("needle", F.explode(F.array_distinct(marks)).alias("mark")), "needle-marks")
+    grams = [r.n for r in needles.where(~many).select(F.least(F.length(text), F.lit(GRAM)).alias("n")).distinct().collect()]  # at most three
+    held = F.array_distinct(F.concat(words, *[_grams(text, n) for n in sorted(grams)]))
+    in_hays = lambda *kept: hays.select("hay", *kept, F.explode(held).alias("mark"))
+    met = in_hays().select("mark").join(short(saved(marked.select("mark").distinct(), "marks")), "mark")
+    counted = saved(met.groupBy("mark").agg(F.count("*").alias("df")), "mark-counts")
+    anchor = marked.join(counted, "mark").groupBy("needle").agg(F.min(F.struct("df", "mark")).alias("m")).select("needle", F.col("m.mark").alias("mark"))
+    size = needles.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    with_text = needles.withColumnRenamed("text", "n_text")
+    if size.n <= SHORT_ROWS and (size.bytes or 0) <= MOST_BYTES:
+        anchored = saved(anchor.join(with_text, "needle"), "anchors")
+        return in_hays("text").join(F.broadcast(anchored), "mark").where(F.contains("text", F.col("n_text"))).select("needle", "hay")
+    both = in_hays().join(anchor, "mark").select("needle", "hay").join(with_text, "needle").join(hays, "hay")
+    return both.where(F.contains("text", F.col("n_text"))).select("needle", "hay")
 
 
 def text_gold(hits: DataFrame, gold: DataFrame) -> DataFrame:

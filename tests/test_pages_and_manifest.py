@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions.sql import register
-from recollect.operators import manifest, pages, text_gold
+from recollect.operators import evaluate, manifest, pages, text_gold
 
 DAY = datetime(2024, 1, 1)
 
@@ -43,6 +43,15 @@ def test_texts_are_told_by_containment(spark):
     assert text_gold.text_gold(df.limit(0), gold).collect() == [] == text_gold.text_gold(df, gold.limit(0)).collect()
 
 
+def test_passages_are_found_within_words(spark, monkeypatch):
+    passages = spark.createDataFrame([(1, "ello wor"), (2, ""), (3, None), (4, "Hello  world"), (5, "o"), (6, "ello wor"), (7, "b c d e")], "probe int, query string")
+    memories = spark.createDataFrame([("a", "say hello world"), ("b", "Hello  world"), ("c", None), ("d", "ab c d ef")], "id string, text string")
+    want = [(1, "a"), (2, "a"), (2, "b"), (2, "d"), (4, "b"), (5, "a"), (5, "b"), (6, "a"), (7, "d")]
+    for most in (text_gold.MOST_BYTES, 0):
+        monkeypatch.setattr(text_gold, "MOST_BYTES", most)
+        assert sorted(tuple(r) for r in evaluate.passage_gold(passages, memories).collect()) == want
+
+
 def test_containment_is_brute_force(spark):
     draw = random.Random(1)
     text = lambda n: " ".join("".join(draw.choices("abc", k=draw.randrange(1, 4))) for _ in range(n))
