@@ -59,19 +59,23 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
 def text_gold(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """(hit, key) of ``hits`` (hit, text) that contain the text of ``gold`` (ord, key, text) or are contained in it, normalised; the first by (ord, key) counts.
 
-    A hit whose text is blank has no key; gold whose text is blank is contained in every other hit.
+    A hit whose text is blank has no key; gold whose text is blank is contained in every other hit. Hits over the length of
+    the longest gold aren't looked for in any.
     """
     digest = F.sha2("text", 256)
-    hits = saved(hits.select("hit", normalised_text(F.col("text")).alias("text")).where("text <> ''").withColumn("digest", digest), "hit-texts")
+    hits = hits.select("hit", normalised_text(F.col("text")).alias("text")).where("text <> ''")
+    hits = saved(hits.withColumn("row", F.monotonically_increasing_id()), "hit-texts")  # fixed where it is written
     gold = gold.select(F.struct("ord", "key").alias("first"), normalised_text(F.col("text")).alias("text"))
     blank = gold.where("text = ''").agg(F.min("first").alias("blank"))  # one row
     firsts = saved(gold.where("text <> ''").groupBy("text").agg(F.min("first").alias("first")).withColumn("digest", digest), "gold-texts")
-    hay = lambda df: df.select(F.col("digest").alias("hay"), "text").distinct()
-    needle = lambda df: df.select(F.col("digest").alias("needle"), "text").distinct()
-    inside = contained(needle(firsts), hay(hits)).select(F.col("hay").alias("hit_digest"), F.col("needle").alias("digest"))
-    around = contained(needle(hits), hay(firsts)).select(F.col("needle").alias("hit_digest"), F.col("hay").alias("digest"))
-    told = inside.unionByName(around).join(firsts.select("digest", "first"), "digest").groupBy(F.col("hit_digest").alias("digest")).agg(F.min("first").alias("first"))
-    rows = hits.select("hit", "digest").join(told, "digest", "left").join(F.broadcast(blank), F.lit(True), "left")
+    longest = firsts.select(F.max(F.length("text"))).first()[0] or 0
+    small = saved(hits.where(F.length("text") <= longest).withColumn("digest", digest), "small-hits")
+    inside = contained(firsts.select(F.col("digest").alias("needle"), "text"), hits.select(F.col("row").alias("hay"), "text"))
+    inside = inside.select(F.col("hay").alias("row"), F.col("needle").alias("digest")).join(firsts.select("digest", "first"), "digest").select("row", "first")
+    around = contained(small.select(F.col("digest").alias("needle"), "text").distinct(), firsts.select(F.col("first").alias("hay"), "text"))
+    around = around.groupBy(F.col("needle").alias("digest")).agg(F.min("hay").alias("first")).join(small.select("row", "digest"), "digest").select("row", "first")
+    told = inside.unionByName(around).groupBy("row").agg(F.min("first").alias("first"))
+    rows = hits.select("row", "hit").join(told, "row", "left").join(F.broadcast(blank), F.lit(True), "left")
     return rows.withColumn("first", F.array_min(F.array_compact(F.array("first", "blank")))).where("first IS NOT NULL").select("hit", F.col("first.key").alias("key"))
 
 

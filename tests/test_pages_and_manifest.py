@@ -43,6 +43,15 @@ def test_texts_are_told_by_containment(spark):
     assert text_gold.text_gold(df.limit(0), gold).collect() == [] == text_gold.text_gold(df, gold.limit(0)).collect()
 
 
+def test_long_hits_are_looked_for_in_no_gold(spark, monkeypatch):
+    asked, plain = [], text_gold.contained
+    monkeypatch.setattr(text_gold, "contained", lambda needles, hays: (asked.append(needles.count()), plain(needles, hays))[1])
+    gold = spark.createDataFrame([(1, "one", "a red cache")], "ord long, key string, text string")
+    hits = spark.createDataFrame([(1, "red"), (2, "a long text about a red cache"), (3, "RED!"), (2, "a red cache")], "hit int, text string")
+    assert sorted(tuple(r) for r in text_gold.text_gold(hits, gold).collect()) == [(1, "one"), (2, "one"), (2, "one"), (3, "one")]
+    assert asked == [1, 2]  # of four hits
+
+
 def test_passages_are_found_within_words(spark, monkeypatch):
     passages = spark.createDataFrame([(1, "ello wor"), (2, ""), (3, None), (4, "Hello  world"), (5, "o"), (6, "ello wor"), (7, "b c d e")], "probe int, query string")
     memories = spark.createDataFrame([("a", "say hello world"), ("b", "Hello  world"), ("c", None), ("d", "ab c d ef")], "id string, text string")
