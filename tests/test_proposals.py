@@ -34,6 +34,20 @@ def test_proposals_are_the_plain_fold(spark):
     assert consolidate.select_proposals(frame(spark, pairs).limit(0)).collect() == []
 
 
+def test_proposals_are_numbered_by_ranges(spark, monkeypatch):
+    draw = random.Random(6)
+    pairs = [(draw.choice("aaaab"), f"m{draw.randrange(9)}", f"m{draw.randrange(99)}", f"m{i}") for i in range(500)]
+    tables, plain_saved = {}, consolidate.saved
+    monkeypatch.setattr(consolidate, "saved", lambda df, label: tables.setdefault(label, plain_saved(df, label)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in consolidate.numbered(spark.createDataFrame(pairs, "group string, earlier string, keep string, drop string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(g, n + 1, k, d) for g in "ab" for n, (_, _, k, d) in enumerate(sorted(p for p in pairs if p[0] == g))}
+    assert tables["ranges"].where("group = 'a'").select("part").distinct().count() > 2
+
+
 def test_a_long_chain_takes_few_jobs(spark):
     n = 100_000
     chain = spark.range(n).selectExpr("'g' AS group", "id AS pos", "concat('m', id) AS keep", "concat('m', id + 1) AS drop")
