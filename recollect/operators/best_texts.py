@@ -1,6 +1,6 @@
 """Each query's best texts by weights of terms, without a row for every match.
 
-Texts go to the tasks as rows of their weighted terms, or of their tokens, which the tasks weigh; queries go as a broadcast block. A batch of texts knows each term's
+Texts go to the tasks as rows of their weighted terms, or of their counted ones, which the tasks weigh; queries go as a broadcast block. A batch of texts knows each term's
 greatest weight in it; a query whose greatest weights can't sum up to the k-th score that the task has found
 for it, or that lacks a term it must have, passes over the batch. What leaves a task is ``k`` rows a query at most.
 """
@@ -41,29 +41,24 @@ class _Block:
         self.lens = Lens(part)
 
 
-def _postings(batch: pa.RecordBatch, number: dict[str, int], n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _postings(batch: pa.RecordBatch, number: dict[str, int], n_terms: int, column: str = "weighted", value: str = "weight") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, rows, weights) of the block's terms in a batch of texts, by term."""
-    weighted = batch.column("weighted")
+    weighted = batch.column(column)
     rows = np.repeat(np.arange(batch.num_rows), weighted.value_lengths().to_numpy(zero_copy_only=False))
     inner = weighted.flatten()
     coded = inner.field("term").dictionary_encode()
     of = np.array([number.get(name, -1) for name in coded.dictionary.to_pylist()] or [-1])[coded.indices.to_numpy(zero_copy_only=False)]
-    weight = inner.field("weight").to_numpy(zero_copy_only=False)
+    weight = inner.field(value).to_numpy(zero_copy_only=False)
     kept = np.flatnonzero(of >= 0)
     kept = kept[np.argsort(of[kept], kind="stable")]
     return np.searchsorted(of[kept], np.arange(n_terms + 1)), rows[kept], weight[kept]
 
 
 def _weighed(batch: pa.RecordBatch, number: dict[str, int], idf: np.ndarray, factor: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same of a batch of tokens, weighed here."""
-    tokens, n = batch.column("tokens"), batch.num_rows
-    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    coded = tokens.flatten().dictionary_encode()
-    of = np.array([number.get(name, -1) for name in coded.dictionary.to_pylist()] or [-1])[coded.indices.to_numpy(zero_copy_only=False)]
-    kept = np.flatnonzero(of >= 0)
-    met, tf = np.unique(of[kept] * n + np.repeat(np.arange(n), lengths)[kept], return_counts=True)
-    term, rows = met // n, met % n
-    return np.searchsorted(term, np.arange(len(idf) + 1)), rows, idf[term] * factor(tf, lengths[rows])
+    """The same of a batch of counted terms, weighed here."""
+    starts, rows, tf = _postings(batch, number, len(idf), "held", "tf")
+    lengths = batch.column("length").fill_null(0).to_numpy(zero_copy_only=False)
+    return starts, rows, np.repeat(idf, np.diff(starts)) * factor(tf, lengths[rows])
 
 
 def _finder(block, k: int, every: bool, factor: Callable | None) -> Callable:
@@ -122,20 +117,19 @@ def best_texts(queries: DataFrame, terms: DataFrame, weights: DataFrame, memorie
     """
     weighted = weights.groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("weighted"))  # a text's terms
     if lens_of(queries):
-        weighted = weighted.join(memories.select("id", *_seen_by(memories)), "id")
+        weighted = weighted.join(memories.select("id", *seen_by(memories)), "id")
     return _passes(queries, terms, weighted, k, match)
 
 
-def best_of_tokens(queries: DataFrame, terms: DataFrame, factor: Callable, texts: DataFrame, k: int, match: str = "all") -> DataFrame:
-    """``best_texts`` without a table of weights: ``texts`` have tokens, and a text's are counted and weighed where it lies, so none is shuffled.
+def best_of_counts(queries: DataFrame, terms: DataFrame, factor: Callable, counts: DataFrame, k: int, match: str = "all") -> DataFrame:
+    """``best_texts`` without a table of weights: ``counts`` are texts with held (an array of term and tf), weighed in the tasks, and their length in tokens.
 
-    ``terms`` have idf too. A term is worth that times ``factor`` of its occurrences in a text and the number of the text's tokens (arrays).
+    ``terms`` have idf too. A term is worth that times ``factor`` of its occurrences in a text and the text's length (arrays).
     """
-    rows = texts.select("id", "tokens", *(_seen_by(texts) if lens_of(queries) else []))
-    return _passes(queries, terms, rows, k, match, factor)
+    return _passes(queries, terms, counts, k, match, factor)
 
 
-def _seen_by(memories: DataFrame) -> list[str]:
+def seen_by(memories: DataFrame) -> list[str]:
     return [c for c in SEEN_BY if c in memories.columns]
 
 
@@ -145,7 +139,7 @@ def _passes(queries: DataFrame, terms: DataFrame, rows: DataFrame, k: int, match
     listed = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.first("n_terms").alias("n_terms"), *idf)
     asked = saved(listed.join(queries.select("query_id", *lens_of(queries)), "query_id"), "asked")
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    rows = saved(rows, "weighted") if blocks > 1 else rows
+    rows = saved(rows, "weighted") if blocks > 1 and not factor else rows
     kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id string, score double"
     out = None
     for block in range(blocks):

@@ -1,7 +1,8 @@
 """Hits without a key told by their texts: containment of normalised texts, either way, without comparing all pairs.
 
-A needle of three words and more holds one of its inner words as a whole word wherever it is contained; a shorter one
-holds one of its runs of up to three characters. Of these a needle's rarest is its anchor, texts are met by anchors, and
+Needles go to the texts as a broadcast, and a text's bytes are looked up among their anchors (see ``text_scan``). Of more needles than
+that, those of three words and more hold one of their inner words as a whole word wherever they are contained; shorter ones
+hold one of their runs of up to three characters. Of these a needle's rarest is its anchor, texts are met by anchors, and
 what meets is tested. Equal texts are one.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from recollect.operators import text_scan
 from recollect.operators.evaluate import score_probes
 from recollect.sources.shared import SHORT_ROWS, saved, short
 
@@ -32,27 +35,28 @@ def _grams(text: Column, n: int) -> Column:
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(needle, hay) of ``needles`` (needle, text) and ``hays`` (hay, text) whose text has the needle's somewhere; blank needles are left out.
 
-    Two passes over the hays: one counts marks, one tests the texts that hold an anchor where they lie. Only if the needles
-    are over ``MOST_BYTES`` or there are very many, pairs of ids are shuffled and texts joined to them.
+    One pass over the hays, where they lie. Only if the needles are over ``MOST_BYTES`` or there are very many, marks are counted,
+    pairs of ids are shuffled and texts joined to them.
     """
     words, text = F.split("text", " "), F.col("text")
+    needles = saved(needles.where("text <> ''"), "needles")
+    size = needles.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    if size.n <= SHORT_ROWS and (size.bytes or 0) <= MOST_BYTES:
+        part = needles.select("needle", "text").toArrow()
+        block = text_scan.Needles(part.column("needle").combine_chunks(), [t.encode() for t in part.column("text").to_pylist()])
+        kind = StructType([needles.schema["needle"], StructField("hay", hays.schema["hay"].dataType)])
+        return hays.where("text IS NOT NULL").select("hay", "text").mapInArrow(text_scan.finder(needles.sparkSession.sparkContext.broadcast(block)), kind)
     many = F.size(words) > 2
     short_marks = F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))
     marks = F.when(many, F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(short_marks)
-    needles = saved(needles.where("text <> ''"), "needles")
     marked = saved(needles.select("needle", F.explode(F.array_distinct(marks)).alias("mark")), "needle-marks")
     grams = [r.n for r in needles.where(~many).select(F.least(F.length(text), F.lit(GRAM)).alias("n")).distinct().collect()]  # at most three
     held = F.array_distinct(F.concat(words, *[_grams(text, n) for n in sorted(grams)]))
-    in_hays = lambda *kept: hays.select("hay", *kept, F.explode(held).alias("mark"))
-    met = in_hays().select("mark").join(short(saved(marked.select("mark").distinct(), "marks")), "mark")
+    in_hays = hays.select("hay", F.explode(held).alias("mark"))
+    met = in_hays.select("mark").join(short(saved(marked.select("mark").distinct(), "marks")), "mark")
     counted = saved(met.groupBy("mark").agg(F.count("*").alias("df")), "mark-counts")
     anchor = marked.join(counted, "mark").groupBy("needle").agg(F.min(F.struct("df", "mark")).alias("m")).select("needle", F.col("m.mark").alias("mark"))
-    size = needles.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
-    with_text = needles.withColumnRenamed("text", "n_text")
-    if size.n <= SHORT_ROWS and (size.bytes or 0) <= MOST_BYTES:
-        anchored = saved(anchor.join(with_text, "needle"), "anchors")
-        return in_hays("text").join(F.broadcast(anchored), "mark").where(F.contains("text", F.col("n_text"))).select("needle", "hay")
-    both = in_hays().join(anchor, "mark").select("needle", "hay").join(with_text, "needle").join(hays, "hay")
+    both = in_hays.join(anchor, "mark").select("needle", "hay").join(needles.withColumnRenamed("text", "n_text"), "needle").join(hays, "hay")
     return both.where(F.contains("text", F.col("n_text"))).select("needle", "hay")
 
 
