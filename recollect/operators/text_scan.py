@@ -19,6 +19,7 @@ PLACES, PAIRS = 8, 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 SIGMA = 0x3A3
+WHITE = (b" ", b"\n")
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +234,12 @@ class Terms:
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
-    """A long text in pieces of at most ``CHUNK`` bytes, or up to the next space, cut at spaces."""
+    """A long text in pieces of at most ``CHUNK`` bytes, or up to the next white space, cut there."""
     low = 0
     while len(text) - low > CHUNK:
-        cut = text.rfind(b" ", low + 1, low + CHUNK)
-        cut = cut if cut > 0 else text.find(b" ", low + CHUNK)
+        cut = max(text.rfind(c, low + 1, low + CHUNK) for c in WHITE)
         if cut < 0:
-            break
+            cut = min((at for c in WHITE if (at := text.find(c, low + CHUNK)) > 0), default=len(text))
         yield text[low:cut]
         low = cut
     yield text[low:]

@@ -15,7 +15,7 @@ ODD = ["Le Éclair CAFÉ café2go", "İstanbul ıI ΣΟΦΟΣ ΑΣ'Α σας", "
 @pytest.mark.parametrize("chunk", [1 << 18, 64, 7])
 def test_counts_are_those_of_analysed_texts(spark, monkeypatch, chunk):
     draw = random.Random(5)
-    texts = ODD + [" ".join(draw.choices([t for t in ODD if t], k=draw.randrange(1, 9))) + draw.choice(["", "é", "1"]) for _ in range(60)]
+    texts = ODD + [" ".join(draw.choices([t for t in ODD if t], k=draw.randrange(1, 9))) + draw.choice(["", "é", "\n1"]) for _ in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     want = {r.id: r.t for r in rows.select("id", analyze(F.col("text")).alias("t")).collect()}
     asked = sorted({t for ts in want.values() if ts for t in ts})[::2] + ["unknown"]
