@@ -32,6 +32,15 @@ def test_lists_are_fitted_without_a_matrix_of_all_similarities(spark):
         neighbour_lists.SAMPLE_ROWS = few
 
 
+def test_routed_queries_are_never_broadcast(spark):
+    spread = F.array(*[F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2001)) - 1000.0 for n in range(4)])
+    rows = vectors.saved(spark.range(500).select(F.concat(F.lit("m"), "id").alias("id"), spread.alias("embedding")), "rows")
+    asked = vectors.saved(rows.where("id LIKE '%0'").withColumnRenamed("id", "query_id"), "asked")  # tables of known, small sizes
+    near = neighbour_lists.Lists(rows, 4).search(asked, 3, share=1.0)
+    planned = near._jdf.queryExecution().toString()
+    assert near.count() == 150 and "BroadcastHashJoin" not in planned and "SortMergeJoin" in planned
+
+
 def test_scores_are_made_a_chunk_of_queries_at_a_time(spark):
     draw = np.random.default_rng(3)
     q, x = draw.normal(size=(6000, 8)), draw.normal(size=(2048, 8)).astype("f4")
