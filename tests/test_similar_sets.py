@@ -91,3 +91,10 @@ def test_conflicts_of_values_and_negations(spark):
     got = {frozenset((r.keep, r.drop)): r.conflict for r in consolidate.near_duplicates(memories).collect()}
     want = {frozenset(p): "e" in p or p in ("bd", "cd") for p in ("ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce", "de")}
     assert got == {p: want[p] for p in got} and len(got) == 10
+
+
+def test_pairs_have_the_scope_and_category_that_group_them(spark):
+    rows = [(f"{s}{c}{i}", s, c, datetime(2024, 1, 1), f"alpha beta gamma delta {'epsilon' * (i % 2)}") for s in "st" for c in ("semantic", "episodic") for i in range(3)]
+    memories = spark.createDataFrame(rows, "id string, scope string, category string, valid_from timestamp_ntz, text string")
+    got = consolidate.near_duplicates(memories).collect()  # a pair of sets, and a copy
+    assert len(got) == 8 and all(r.keep[:-1] == r.drop[:-1] == r.scope + r.category for r in got)
